@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, mixing, packing
+from millrace.llm import chat, forest, html, mixing, packing, quality
 from millrace.session import table
 
 QUERIES = {
     "op2_mixing": lambda spark, d: mixing.op2_mixing(table(spark, d, "documents")),
+    "op3_html": lambda spark, d: html.op3_html(table(spark, d, "pages")),
     "op7_packing": lambda spark, d: packing.op7_packing(table(spark, d, "documents")),
+    "op8_jaccard": lambda spark, d: forest.op8_jaccard(table(spark, d, "documents")),
+    "op9_quality": lambda spark, d: quality.op9_quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_chat": lambda spark, d: chat.op10_chat(table(spark, d, "conversations")),
 }
 ORACLES: dict[str, str] = {}
