@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, forest, html, mixing, packing, quality
+from millrace.llm import chat, forest, html, mixing, packing, quality, vectors
 from millrace.session import table
 
 QUERIES = {
     "op2_mixing": lambda spark, d: mixing.op2_mixing(table(spark, d, "documents")),
     "op3_html": lambda spark, d: html.op3_html(table(spark, d, "pages")),
+    "op5_near_dedup": lambda spark, d: vectors.op5_near_dedup(table(spark, d, "embeddings")),
+    "op6_neighbours": lambda spark, d: vectors.op6_neighbours(table(spark, d, "embeddings")),
     "op7_packing": lambda spark, d: packing.op7_packing(table(spark, d, "documents")),
     "op8_jaccard": lambda spark, d: forest.op8_jaccard(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: quality.op9_quality(table(spark, d, "documents"), table(spark, d, "labels")),
