@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +18,8 @@ from millrace.llm.common import written
 
 WINDOW = 4096
 END_ID = 2
-#: Cached words and white-space chunks a worker holds (bounds its memory; a full cache starts again).
-CACHED_WORDS, CACHED_CHUNKS = 600_000, 400_000
+#: Chunks a worker caches before it starts again (bounds its memory: some 220 bytes each).
+CACHED_CHUNKS = 500_000
 #: Ranks within a length are counted by so many blocks of documents, so that a common length is no hot key.
 RANK_BLOCKS = 64
 #: Cut documents up to this many are broadcast to find their texts; more are joined by shuffle.
@@ -38,69 +39,46 @@ class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes, cached by white-space chunk.
 
     The vocabulary's pre-tokenizer never joins text across white space, so a text's ids are
-    its chunks' ids in order. Chunks are split once more into a word and its trailing comma
-    or stop, as most chunks differ only in these. Control characters that Python counts as
+    its chunks' ids in order. A single comma or stop after a letter or digit is a piece of
+    its own to it, so these are cut off first where a text has no runs of marks that would
+    be torn: most chunks are then plain words. Control characters that Python counts as
     white space and the tokenizer doesn't send a text down the plain way.
     """
 
     _odd = re.compile("[\x1c-\x1f]")
-    _plain = re.compile(r"[^\W\d_]+")
+    _run = re.compile(r"[^\w\s][.,](?:\s|\Z)|_[.,]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.chunks) + len(missing) > CACHED_CHUNKS:
-            self.chunks.clear()
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        split = []
-        need = set()
-        for c in missing:
-            head, tail = (c[:-1], c[-1]) if c[-1] in ",." else (c, "")
-            if self._plain.fullmatch(head) and head.isascii():
-                head = head.lower()
-            elif tail and not self._plain.fullmatch(head):
-                head, tail = c, ""
-            split.append((c, head, tail))
-            if head not in self.words:
-                need.add(head)
-            if tail and tail not in self.words:
-                need.add(tail)
-        fresh = list(need)
-        self.words.update(zip(fresh, self.plain(fresh), strict=True))
-        w = self.words
-        self.chunks.update((c, w[h] + w[t] if t else w[h]) for c, h, t in split)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 64):
-            part = texts[at : at + 64]
-            cut = [None if self._odd.search(t) else t.split() for t in part]
-            missing = set().union(*(c for c in cut if c)).difference(self.chunks)
-            if missing:
-                self._learn(list(missing))
-                # a clear may have dropped chunks that were known before it
-                again = set().union(*(c for c in cut if c)).difference(self.chunks)
-                if again:
-                    self._learn(list(again))
-            get = self.chunks.__getitem__
-            for t, c in zip(part, cut, strict=True):
-                if c is None:
-                    out += self.plain([t])
-                    continue
-                try:
-                    out.append(b"".join(map(get, c)))
-                except KeyError:  # more chunks in the part than the cache holds
-                    out += self.plain([t])
-        return out
+    def _chunks(self, text: str) -> list[str]:
+        if not self._run.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        return text.split()
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Each text's ids in turn; what is held at once is a few texts and the cache."""
+        texts = iter(texts)
+        while part := list(itertools.islice(texts, 64)):
+            if len(self.known) > CACHED_CHUNKS:
+                self.known.clear()
+            get = self.known.get
+            cut = [[] if self._odd.search(t) else self._chunks(t) for t in part]
+            ids = [list(map(get, c)) for c in cut]
+            gaps = [[i for i, v in enumerate(x) if v is None] if None in x else () for x in ids]
+            missing = list({c[i] for c, g in zip(cut, gaps, strict=True) for i in g})
+            fresh = dict(zip(missing, self.plain(missing), strict=True))
+            for t, c, x, g in zip(part, cut, ids, gaps, strict=True):
+                for i in g:
+                    x[i] = fresh[c[i]]
+                yield b"".join(x) if c or not t or t.isspace() else self.plain([t])[0]
+            self.known.update((c, v) for c, v in fresh.items() if len(c) <= 64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -280,7 +258,7 @@ def _encoded(docs: DataFrame, path: str, window: int, id_col: str = "doc_id") ->
         enc, end = encoder(path), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             n, tail, tcrc, crcs = [], [], [], []
-            for ids in enc.encode(batch["text"].tolist()):
+            for ids in enc.encode(batch["text"]):
                 ids += end
                 k = len(ids) // 4
                 full = k // window * window * 4
@@ -368,7 +346,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
         enc, end = encoder(path), np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             rows = []
-            for r, raw in zip(b.itertuples(index=False), enc.encode(b["text"].tolist()), strict=True):
+            for r, raw in zip(b.itertuples(index=False), enc.encode(b["text"]), strict=True):
                 raw += end
                 start = r.n - r.tail
                 a, z = 4 * (start + r.keep), 4 * r.n
