@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import math
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,40 +22,52 @@ BINS = 10
 
 FEATURES = (
     "log_words", "word_length", "upper", "marks", "symbols", "bangs", "bars", "digits", "letters",
-    "distinct", "repeated", "line_repeats", "line_length", "shingle_repeats", "capital_words", "odd_words",
+    "distinct", "repeated", "line_repeats", "line_length", "pair_repeats", "capital_words",
 )
-_SYMBOLS = re.compile(r"[#$%&*@^~_=+<>\\{}\[\]]")
-_MARKS = re.compile(r"[.,;:!?'\"()\-]")
-_ODD_WORD = re.compile(r"(?:\S*[A-Za-zÀ-ÿ]\S*)?[#$%&*|]{2,}\S*|\S*!{2,}")
+
+
+def _kinds() -> np.ndarray:
+    """(6, 256): which UTF-8 bytes are capital letters, marks, symbols, digits, letters or begin a character."""
+    k = np.zeros((6, 256))
+    for b in range(256):
+        c = chr(b) if b < 128 else ""
+        k[0, b] = c.isupper()
+        k[1, b] = c != "" and c in ".,;:!?'\"()-"
+        k[2, b] = c != "" and c in "#$%&*@^~_=+<>\\{}[]/"
+        k[3, b] = c.isdigit()
+        k[4, b] = c.isalpha() or b >= 0xC0
+        k[5, b] = b < 0x80 or b >= 0xC0
+    return k
+
+
+_KINDS = _kinds()
 
 
 def features(text: str | None) -> list[float]:
     """Shape of a whole text, by shares, so that length alone decides little."""
     if not text or not (words := text.split()):
         return [0.0] * len(FEATURES)
-    n, chars = len(words), len(text)
-    letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
-    upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    n = len(words)
+    seen = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), minlength=256)
+    upper, marks, symbols, digits, letters, chars = (_KINDS @ seen).tolist()
     lines = [x for x in text.split("\n") if x]
-    lower = list(map(str.lower, words))
-    grams = n - 2
+    lower = text.lower().split()
     return [
-        float(np.log1p(n)),
-        sum(map(len, words)) / n,
+        math.log1p(n),
+        chars / n,
         upper / max(1, letters),
-        len(_MARKS.findall(text)) / chars,
-        len(_SYMBOLS.findall(text)) / chars,
-        text.count("!") / n,
-        text.count("|") / n,
-        len(re.findall(r"\d", text)) / chars,
+        marks / chars,
+        symbols / chars,
+        float(seen[33]) / n,
+        float(seen[124]) / n,
+        digits / chars,
         letters / chars,
-        len(set(lower)) / n ** 0.85,
-        sum(a == b for a, b in zip(lower, lower[1:])) / n,
+        len(set(lower)) / n**0.85,
+        sum(map(operator.eq, lower, lower[1:])) / n,
         1 - len(set(lines)) / max(1, len(lines)),
-        float(np.log1p(chars / max(1, len(lines)))),
-        1 - len(set(zip(lower, lower[1:], lower[2:]))) / grams if grams > 0 else 0.0,
-        sum(w.isupper() for w in words) / n,
-        len(_ODD_WORD.findall(text)) / n,
+        math.log1p(chars / max(1, len(lines))),
+        1 - len(set(zip(lower, lower[1:]))) / (n - 1) if n > 1 else 0.0,
+        sum(map(str.isupper, words)) / n,
     ]
 
 
