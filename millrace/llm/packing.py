@@ -47,6 +47,8 @@ class Encoder:
 
     _odd = re.compile("[\x1c-\x1f]")
     _run = re.compile(r"[^\w\s][.,](?:\s|\Z)|_[.,]")
+    #: Latin-1 by class: a letter or digit, white space, a comma or stop, any other mark, or odd.
+    _class = bytes(63 if 28 <= i < 32 else 46 if chr(i) in ".," else 97 if chr(i).isalnum() else 32 if chr(i).isspace() else 33 for i in range(256))
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,7 +60,15 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunks(self, text: str) -> list[str]:
-        if not self._run.search(text):
+        """White-space chunks; none where the text must go the plain way."""
+        try:
+            kinds = text.encode("latin-1").translate(self._class)
+            odd, torn = b"?" in kinds, b"!. " in kinds or b".. " in kinds or kinds.endswith((b"!.", b".."))
+        except UnicodeEncodeError:
+            odd, torn = self._odd.search(text), self._run.search(text)
+        if odd:
+            return []
+        if not torn:
             text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
         return text.split()
 
@@ -69,7 +79,7 @@ class Encoder:
             if len(self.known) > CACHED_CHUNKS:
                 self.known.clear()
             get = self.known.get
-            cut = [[] if self._odd.search(t) else self._chunks(t) for t in part]
+            cut = [self._chunks(t) for t in part]
             ids = [list(map(get, c)) for c in cut]
             gaps = [[i for i, v in enumerate(x) if v is None] if None in x else () for x in ids]
             missing = list({c[i] for c, g in zip(cut, gaps, strict=True) for i in g})
