@@ -87,7 +87,7 @@ class Encoder:
             for t, c, x, g in zip(part, cut, ids, gaps, strict=True):
                 for i in g:
                     x[i] = fresh[c[i]]
-                yield b"".join(x) if c or not t or t.isspace() else self.plain([t])[0]
+                yield b"".join(x) if c else self.plain([t])[0] if t else b""
             self.known.update((c, v) for c, v in fresh.items() if len(c) <= 64)
 
 

@@ -195,13 +195,13 @@ def _with_site(docs: DataFrame, site: str, path: str) -> DataFrame:
 
 
 def _joined(docs: DataFrame, posts: DataFrame) -> DataFrame:
-    p = posts.select(F.col("site").alias("__site"), F.col("path").alias("__path"), "site_rate", "path_rate")
+    p = posts.select(F.col("site").alias("__site"), F.col("path").alias("__path"), F.col("site_rate").alias("__site_rate"), F.col("path_rate").alias("__path_rate"))
     return docs.join(F.broadcast(p) if p.count() <= BROADCAST_PATHS else p, ["__site", "__path"])
 
 
-def _posterior() -> Column:
-    prior = F.log(F.col("path_rate") / (1 - F.col("path_rate")))
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("llr") + prior))))
+def _posterior(llr: str) -> Column:
+    prior = F.log(F.col("__path_rate") / (1 - F.col("__path_rate")))
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col(llr) + prior))))
 
 
 def quality(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", threshold: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -221,7 +221,7 @@ def quality(docs: DataFrame, labels: DataFrame, site: str = "source", path: str
     )
     posts = site_posteriors(scored, labels)
     d = _joined(scored.withColumnRenamed("site", "__site").withColumnRenamed("path", "__path"), posts)
-    return d.withColumn("posterior", _posterior()).select("doc_id", "source", "llr", "site_rate", "path_rate", "posterior", (F.col("posterior") >= F.lit(threshold)).alias("keep"))
+    return d.withColumn("posterior", _posterior("llr")).select("doc_id", "source", "llr", F.col("__site_rate").alias("site_rate"), F.col("__path_rate").alias("path_rate"), "posterior", (F.col("posterior") >= F.lit(threshold)).alias("keep"))
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
@@ -231,8 +231,8 @@ def kept_rows(docs: DataFrame, labels: DataFrame, site: str = "source", path: st
     wide = _with_site(docs, site, path)
     scored = written(wide.select("doc_id", F.col("__site").alias("site"), F.col("__path").alias("path"), score("text").alias("llr")))
     posts = site_posteriors(scored, labels)
-    d = _joined(wide.withColumn("llr", score("text")), posts)
-    return d.where(_posterior() >= F.lit(threshold)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = _joined(wide.withColumn("__llr", score("text")), posts)
+    return d.where(_posterior("__llr") >= F.lit(threshold)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

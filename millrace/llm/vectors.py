@@ -240,7 +240,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, margin: float =
 
 TABLES, HASHES, CELLS, WIDTH = 4, 6, 4, 1.5
 SHELF, ASKED = 8192, 512
-#: Queries whose true neighbours are looked up to learn how near a k-th neighbour is.
+#: Queries whose true neighbours are looked up to learn where neighbours lie.
 TRIED = 200
 
 
@@ -255,19 +255,22 @@ class Hashes:
     a: np.ndarray  # tables x hashes x dim
     b: np.ndarray
     w: np.ndarray
-    sd: np.ndarray
-    mean: np.ndarray
-    norm: float
+    norm: float  # of vectors over ``scale``, the largest component, so that squares can't overflow
+    scale: float
+    #: Where a neighbour's projections lie: ``base + slope * (the query's own)``, give or take ``spread``.
+    base: np.ndarray | None = None
+    slope: np.ndarray | None = None
+    spread: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, x: np.ndarray, norm: float, seed: int = 11) -> Hashes:
+    def fit(cls, x: np.ndarray, norm: float, scale: float, seed: int = 11) -> Hashes:
         rng = np.random.default_rng(seed)
         a = rng.standard_normal((TABLES, HASHES, x.shape[1] + 1))
-        p = np.einsum("nd,thd->nth", cls._long(x, norm), a)
+        p = np.einsum("nd,thd->nth", cls._long(x / scale, norm), a)
         mean, sd = p.mean(0), np.maximum(p.std(0), 1e-12)
         w = WIDTH * sd
         b = (rng.random((TABLES, HASHES)) - 0.5) * w * 0.5 - mean + w * CELLS / 2
-        return cls(a, b, w, sd, mean, norm)
+        return cls(a, b, w, norm, scale)
 
     @staticmethod
     def _long(x: np.ndarray, norm: float) -> np.ndarray:
@@ -275,21 +278,27 @@ class Hashes:
 
     def bucket(self, x: np.ndarray) -> np.ndarray:
         """(n, tables): each row's bucket number, below CELLS ** HASHES."""
-        p = np.einsum("nd,thd->nth", self._long(x, self.norm), self.a)
+        p = np.einsum("nd,thd->nth", self._long(x / self.scale, self.norm), self.a)
         h = np.clip(np.floor((p + self.b) / self.w), 0, CELLS - 1).astype(np.int64)
         return (h * CELLS ** np.arange(HASHES)[::-1]).sum(-1)
 
-    def odds(self, q: np.ndarray, rho: float) -> np.ndarray:
-        """(n, tables, buckets): chance that a neighbour at angle cosine ``rho`` lies in a bucket.
-
-        A neighbour's projection is normal around rho times the query's own; a bucket's
-        chance is the product of its cells'.
-        """
-        unit = np.concatenate([_unit(q), np.zeros((len(q), 1))], axis=1)
-        at = rho * self.norm * np.einsum("nd,thd->nth", unit, self.a)
-        sd = math.sqrt(max(1e-9, 1 - rho * rho)) * self.sd
+    def asked(self, q: np.ndarray) -> np.ndarray:
+        """(n, tables, hashes): projections of queries, at the common norm."""
+        return self.norm * np.einsum("nd,thd->nth", np.concatenate([_unit(q), np.zeros((len(q), 1))], axis=1), self.a)
+
+    def learn(self, q: np.ndarray, y: np.ndarray) -> None:
+        """Regresses true neighbours' projections on their queries' (rows of q and y are pairs)."""
+        x, p = self.asked(q), np.einsum("nd,thd->nth", self._long(y / self.scale, self.norm), self.a)
+        mx, mp = x.mean(0), p.mean(0)
+        self.slope = ((x - mx) * (p - mp)).sum(0) / np.maximum(((x - mx) ** 2).sum(0), 1e-300)
+        self.base = mp - self.slope * mx
+        self.spread = np.maximum((p - self.base - self.slope * x).std(0), 1e-6 * self.w)
+
+    def odds(self, q: np.ndarray) -> np.ndarray:
+        """(n, tables, buckets): chance that a neighbour lies in a bucket, the product of its cells' chances."""
+        at = self.base + self.slope * self.asked(q)
         edge = np.arange(1, CELLS)[None, None, None, :] * self.w[None, :, :, None] - self.b[None, :, :, None]
-        z = (edge - at[..., None]) / sd[None, :, :, None]
+        z = (edge - at[..., None]) / self.spread[None, :, :, None]
         cdf = 0.5 * (1 + _erf(z / math.sqrt(2)))
         cell = np.diff(np.concatenate([np.zeros((*cdf.shape[:3], 1)), cdf, np.ones((*cdf.shape[:3], 1))], axis=3), axis=3)
         out = np.ones((len(q), TABLES, 1))
@@ -297,6 +306,29 @@ class Hashes:
             out = (out[..., None] * cell[:, :, h, None, :]).reshape(len(q), TABLES, -1)
         return out
 
+    def mass_needed(self, q: np.ndarray, y: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of each neighbour y of query ``owner``: the share of chance its query has to visit in every table until one table holds it."""
+        bucket = self.bucket(y)
+        need = np.empty(len(y))
+        for i in np.unique(owner):
+            odds = self.odds(q[i : i + 1])[0]
+            mine = np.flatnonzero(owner == i)
+            each = np.empty((TABLES, len(mine)))
+            for t in range(TABLES):
+                order, total = visiting_order(odds[t], counts[t])
+                place = np.empty(len(odds[t]), dtype=np.int64)
+                place[order] = np.arange(len(order))
+                each[t] = (total[place[bucket[mine, t]]] - odds[t][bucket[mine, t]] * 0.999) / total[-1]
+            need[mine] = each.min(0)
+        return need
+
+
+def visiting_order(odds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filled buckets, likeliest first, and the running sum of their chances."""
+    full = np.flatnonzero(counts)
+    order = full[np.argsort(-odds[full], kind="stable")]
+    return order, np.cumsum(np.maximum(odds[order], 1e-300))
+
 
 def _erf(x: np.ndarray) -> np.ndarray:
     """Rational approximation, off by less than 2e-7."""
@@ -305,13 +337,13 @@ def _erf(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * (1 - poly * np.exp(-x * x))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.96, fit_rows: int = FIT_ROWS, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95, fit_rows: int = FIT_ROWS, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query, its own id excepted.
 
     Every row is in a bucket of each table. A query visits buckets in the order of their
-    estimated chance to hold a k-th neighbour until the tables together reach ``recall``
-    (or hold too few rows); how near a k-th neighbour is comes from a bounded set of tried
-    queries against all rows. Candidates of all tables are merged and ranked by the inner
+    estimated chance to hold a neighbour, up to a share of all chance. A bounded set of
+    tried queries, searched against all rows, teaches where neighbours lie and which share
+    finds ``recall`` of theirs, so the share follows the data and its size. Candidates of all tables are merged and ranked by the inner
     product in double precision, ties to the smaller id. Neighbouring buckets share a
     shelf of bounded size, one task per shelf block and query block; a large bucket is cut
     into several blocks. A table of one shelf is searched whole.
@@ -334,15 +366,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     n = data.count()
     if not n or asked.isEmpty():
         return empty
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    scale = data.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()[0]
+    part = lambda x: x.cast("double") / F.lit(scale)
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + part(x) * part(x))
     norm = float(np.sqrt(data.agg(F.max(square)).first()[0])) * (1 + 1e-12)
     some = _matrix(data.orderBy(F.xxhash64(F.lit(6), "id"), "id").limit(fit_rows).select("v").toPandas()["v"])
-    h = Hashes.fit(some, norm)
-    if n > SHELF:
-        tried = asked.orderBy(F.xxhash64(F.lit(8), "id"), "id").limit(TRIED).toPandas()
-        rho = _kth_cosine(data, tried, k, norm)
-    else:
-        rho, recall = 0.0, 2.0
+    h = Hashes.fit(some, norm, scale)
+    pairs = _true_neighbours(data, asked.orderBy(F.xxhash64(F.lit(8), "id"), "id").limit(TRIED).toPandas(), k) if n > SHELF else None
+    if pairs is not None:
+        h.learn(pairs[0][pairs[2]], pairs[1])
     shared = spark.sparkContext.broadcast(h)
     kind = dict(data.dtypes)["v"]
 
@@ -357,6 +389,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     counts = np.zeros((TABLES, CELLS**HASHES), dtype=np.int64)
     for r in index.groupBy("t", "bucket").count().collect():  # TABLES x CELLS ** HASHES rows at most
         counts[r["t"], r["bucket"]] = r["count"]
+    share = float(np.quantile(h.mass_needed(*pairs, counts), recall)) if pairs is not None else 2.0
     # shelves: runs of buckets of about SHELF rows; a shelf has as many blocks as its rows need
     before = np.cumsum(counts, axis=1) - counts
     shelf = (before // SHELF).astype(np.int32)
@@ -375,22 +408,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
 
     def visiting(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, (counts, shelf, blocks) = shared.value, plan.value
-        each = 1 - (1 - min(recall, 1 - 1e-9)) ** (1 / TABLES)  # what one table has to hold, as tables miss apart
         for whole in it:
             for a in range(0, len(whole), 128):
                 b = whole.iloc[a : a + 128]
-                odds = h.odds(_matrix(b["v"]), rho)
+                odds = h.odds(_matrix(b["v"])) if share <= 1 else None
                 rows = []
                 for i, (qid, v) in enumerate(zip(b["id"], b["v"], strict=True)):
                     for t in range(TABLES):
-                        full = np.flatnonzero(counts[t])
-                        if recall > 1:
-                            seen = full
+                        if odds is None:
+                            seen = np.flatnonzero(counts[t])
                             if t:
-                                continue
+                                continue  # one table holds every row
                         else:
-                            order = full[np.argsort(-odds[i, t, full], kind="stable")]
-                            need = max(np.searchsorted(np.cumsum(odds[i, t, order]), each * odds[i, t, full].sum()), np.searchsorted(np.cumsum(counts[t, order]), 4 * k))
+                            order, total = visiting_order(odds[i, t], counts[t])
+                            need = max(np.searchsorted(total, share * total[-1]), np.searchsorted(np.cumsum(counts[t, order]), 4 * k))
                             seen = np.sort(order[: need + 1])
                         on = shelf[t, seen]
                         for s in np.unique(on):
@@ -441,26 +472,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _kth_cosine(data: DataFrame, tried: pd.DataFrame, k: int, norm: float) -> float:
-    """Cosine (in the lengthened space) of the k-th neighbour that nine in ten tried queries have at least."""
+def _true_neighbours(data: DataFrame, tried: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(queries, neighbours, which query each belongs to): the k best of every tried query among all rows; none if any has fewer."""
     ids, q = tried["id"].to_numpy(np.int64), _matrix(tried["v"])
-    size = np.sqrt((q * q).sum(1))
+    kind = dict(data.dtypes)["v"]
 
     def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = np.full((len(q), k), -np.inf)
+        held = None
         for b in it:
             if len(b):
                 s = q @ _matrix(b["v"]).T
                 s[ids[:, None] == b["id"].to_numpy(np.int64)[None, :]] = -np.inf
-                top = -np.partition(-np.concatenate([top, s], axis=1), k - 1, axis=1)[:, :k]
-        i, j = np.nonzero(np.isfinite(top))
-        yield pd.DataFrame({"i": i, "score": top[i, j]})
-
-    got = data.mapInPandas(best, "i long, score double").withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("score")))).where(F.col("r") == k)
-    kth = got.select("i", "score").toPandas()  # a row per tried query
-    if len(kth) < len(q):
-        return 0.0
-    return float(np.clip(np.quantile(kth["score"].to_numpy() / (size[kth["i"].to_numpy()] * norm), 0.1), 0.0, 0.999))
+                at = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+                i = np.repeat(np.arange(len(q)), at.shape[1])
+                new = pd.DataFrame({"i": i, "score": s[i, at.ravel()], "v": b["v"].to_numpy()[at.ravel()]})
+                held = new if held is None else pd.concat([held, new], ignore_index=True)
+                held = held[np.isfinite(held["score"])].sort_values(["i", "score"], ascending=[True, False], kind="stable").groupby("i").head(k)
+        if held is not None:
+            yield held
+
+    w = W.partitionBy("i").orderBy(F.desc("score"))
+    got = data.mapInPandas(best, f"i long, score double, v {kind}").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("i", "v").toPandas()  # TRIED x k rows
+    if len(got) < k * len(q):
+        return None
+    return q, _matrix(got["v"]), got["i"].to_numpy(np.int64)
 
 
 def op5_near_dedup(vectors: DataFrame) -> DataFrame:
