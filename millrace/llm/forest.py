@@ -15,6 +15,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 24, 8, 0.9998
 #: Documents of a trie node that one task compares with each other or with another block.
 BLOCK = 512
+#: Ids up to this many are broadcast to find their texts; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+#: Words whose hashes a worker remembers before it starts again.
+KNOWN_WORDS = 150_000
 _PRIME = np.uint64(0x100000001B3)
 #: Texts without a named row get ids from here on, above all others, so that they never name a class.
 _UNNAMED = (1 << 63) - (1 << 41)
@@ -44,7 +48,7 @@ class Shingler:
 
         ws = text.split()
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         for w in set(ws).difference(known):
             known[w] = h(w)
@@ -174,7 +178,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, rec
 
     need = written(per_group(dealt, keys, ["h"], needed, shape))
     text = docs.select(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("h"), F.col("doc_id").cast("long").alias("rep"), "text").withColumn("rep", F.coalesce("rep", _unnamed()))
-    one = need.select("h", "rep").distinct().join(text, ["h", "rep"]).dropDuplicates(["h"]) if _repeats(sig) else need.select("h", "rep").distinct().join(text, ["h", "rep"])
+    ids = written(need.select("h", "rep").distinct())
+    one = text.join(_small(ids), ["h", "rep"])
+    one = one.dropDuplicates(["h"]) if _repeats(sig) else one
     whole = need.join(one.select("h", "text"), "h").select(*names, "text")
 
     def verified(g: pd.DataFrame) -> pd.DataFrame | None:
@@ -212,6 +218,10 @@ def _shingler(width: int) -> Shingler:
     return _shinglers[width]
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _unnamed() -> Column:
     return F.lit(_UNNAMED) + F.pmod(F.xxhash64("h"), F.lit(1 << 40))
 
@@ -254,9 +264,10 @@ def kept_rows(docs: DataFrame, **kw) -> DataFrame:
     Rows that repeat a kept id (whatever their texts) are one document; documents without
     words stay. A document without an id stays.
     """
-    ids = written(join(docs, **kw).where("kept").select(F.col("doc_id").alias("__id")).groupBy("__id").agg(F.count(F.lit(1)).alias("__n")))
-    d = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    if not ids.where("__n > 1 and __id is not null").isEmpty():
+    found = written(join(docs, **kw).groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"), F.count_if("kept").alias("__n")))
+    gone = written(found.where("not __kept").select("__id"))
+    d = docs.join(_small(gone), F.col("doc_id") == F.col("__id"), "left_anti")
+    if not found.where("__n > 1 and __id is not null").isEmpty():
         d = d.withColumn("__x", F.coalesce(F.col("doc_id").cast("string"), F.uuid())).dropDuplicates(["__x"]).drop("__x")
     return d.select(*[F.col(f"`{c}`") for c in docs.columns])
 

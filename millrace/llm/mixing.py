@@ -15,6 +15,8 @@ from millrace.llm.common import written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this many are broadcast with their targets; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: Decisions up to this many are broadcast to the documents; more are joined by shuffle.
+BROADCAST_DECISIONS = 2_000_000
 #: Documents of one source that one task rounds before only a residual goes on.
 FAN_IN = 4096
 
@@ -163,14 +165,20 @@ def mixed_rows(docs: DataFrame, **kw) -> DataFrame:
     Rows meet their decisions by doc_id and, where ids repeat, by place in
     (size, source, text) order within the id.
     """
-    dec = mix(docs, **kw)
+    dec = written(mix(docs, **kw))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if dec.groupBy("doc_id").count().where("count > 1").isEmpty():
+        take = dec.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").cast("int").alias("__n"))
+        take = F.broadcast(take) if take.count() <= BROADCAST_DECISIONS else take
+        took = docs.join(take, F.col("doc_id").eqNullSafe(F.col("__id")))
+        return took.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
     place = F.sort_array(F.collect_list(F.struct(F.col("size"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("s"), "copies")))
     lists = dec.groupBy(F.col("doc_id").alias("__id")).agg(place.alias("__c"))
     one = docs.withColumn("__size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
     order = W.partitionBy("doc_id").orderBy("__size", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")), "text")
     one = one.withColumn("__rn", F.row_number().over(order))
     took = one.join(lists, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__n", F.element_at("__c", F.col("__rn"))["copies"].cast("int"))
-    return took.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return took.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
 
 
 def op2_mixing(docs: DataFrame) -> DataFrame:
