@@ -239,7 +239,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, margin: float =
 # ---------------------------------------------------------------- p-stable hashing
 
 TABLES, HASHES, CELLS, WIDTH = 4, 6, 4, 1.5
-SHELF, ASKED = 8192, 512
+SHELF, ASKED = 8192, 4096
 #: Queries whose true neighbours are looked up to learn where neighbours lie.
 TRIED = 200
 
