@@ -205,12 +205,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, margin: float =
             cos = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], y[j[a : a + 65536]]) for a in range(0, len(i), 65536)])
         hit = cos >= threshold - 1e-15
         i, j = i[hit], j[hit]
-        across = np.flatnonzero(home[i] != one)
-        if len(across):
+        if len(i) and (home[i] != one).any():
             probes = d["probes"].to_numpy()
-            drop = np.zeros(len(i), dtype=bool)
-            for k in across:
-                drop[k] = home[i[k]] > one and home[i[k]] in probes[j[k]]
+            probed = np.zeros((len(d), len(q.coarse)), dtype=bool)
+            probed[np.repeat(np.arange(len(d)), [len(p) for p in probes]), np.concatenate(probes)] = True
+            drop = (home[i] > one) & probed[j, home[i]]
             i, j = i[~drop], j[~drop]
         if not len(i):
             return None
@@ -394,7 +393,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     before = np.cumsum(counts, axis=1) - counts
     shelf = (before // SHELF).astype(np.int32)
     load = [np.bincount(shelf[t], weights=counts[t]) for t in range(TABLES)]
-    blocks = [np.maximum(1, np.ceil(x / (1.5 * SHELF))).astype(np.int32) for x in load]
+    blocks = np.ones((TABLES, max(map(len, load))), dtype=np.int32)
+    for t, x in enumerate(load):
+        blocks[t, : len(x)] = np.maximum(1, np.ceil(x / (1.5 * SHELF)))
     plan = spark.sparkContext.broadcast((counts, shelf, blocks))
 
     def shelved(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -402,7 +403,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         for b in it:
             t, bucket = b["t"].to_numpy(), b["bucket"].to_numpy()
             s = shelf[t, bucket]
-            nb = np.array([blocks[x][y] for x, y in zip(t, s, strict=True)], dtype=np.int64)
+            nb = blocks[t, s].astype(np.int64)
             mixed = (b["id"].to_numpy(np.int64) * np.int64(0x9E3779B1)) >> np.int64(16)
             yield b.assign(shelf=s, blk=(mixed % nb).astype(np.int32))[["t", "shelf", "blk", "bucket", "id", "v"]]
 
@@ -426,7 +427,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                         on = shelf[t, seen]
                         for s in np.unique(on):
                             part = seen[on == s].astype(np.int32)
-                            for blk in range(blocks[t][s]):
+                            for blk in range(blocks[t, s]):
                                 rows.append((t, s, blk, qid, v, part))
                 for z in range(0, len(rows), 4000):
                     yield pd.DataFrame(rows[z : z + 4000], columns=["t", "shelf", "blk", "id", "v", "seen"])
