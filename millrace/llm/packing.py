@@ -19,7 +19,7 @@ from millrace.llm.common import written
 WINDOW = 4096
 END_ID = 2
 #: Chunks a worker caches before it starts again (bounds its memory: some 220 bytes each).
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 450_000
 #: Ranks within a length are counted by so many blocks of documents, so that a common length is no hot key.
 RANK_BLOCKS = 64
 #: Cut documents up to this many are broadcast to find their texts; more are joined by shuffle.
