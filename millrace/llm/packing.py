@@ -19,7 +19,9 @@ from millrace.llm.common import written
 WINDOW = 4096
 END_ID = 2
 #: Chunks a worker caches before it starts again (bounds its memory: some 220 bytes each).
-CACHED_CHUNKS = 450_000
+CACHED_CHUNKS = 600_000
+#: Chunks that stay from one partition to the next: the first met, so the frequent ones.
+KEPT_CHUNKS = 100_000
 #: Ranks within a length are counted by so many blocks of documents, so that a common length is no hot key.
 RANK_BLOCKS = 64
 #: Cut documents up to this many are broadcast to find their texts; more are joined by shuffle.
@@ -90,6 +92,11 @@ class Encoder:
                 yield b"".join(x) if c else self.plain([t])[0] if t else b""
             self.known.update((c, v) for c, v in fresh.items() if len(c) <= 64)
 
+    def trim(self) -> None:
+        """Drops most of the cache, so that a worker at rest holds little."""
+        if len(self.known) > KEPT_CHUNKS:
+            self.known = dict(itertools.islice(self.known.items(), KEPT_CHUNKS))
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -277,6 +284,7 @@ def _encoded(docs: DataFrame, path: str, window: int, id_col: str = "doc_id") ->
                 crcs.append([zlib.crc32(ids[i : i + 4 * window]) for i in range(0, full, 4 * window)])
                 tcrc.append(zlib.crc32(ids[full:]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "n": n, "tail": tail, "block": batch["block"], "tail_crc": tcrc, "crcs": crcs})
+        enc.trim()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     block = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(RANK_BLOCKS)).cast("int")
@@ -363,6 +371,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
                 rows.append((r.doc_id, start, r.keep, zlib.crc32(raw[4 * start : a]), r.n, r.sequence_id, r.offset))
                 rows.append((r.doc_id, start + r.keep, r.tail - r.keep, zlib.crc32(raw[a:z]), r.n, r.sequence_id + 1, 0))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        enc.trim()
 
     pieces = ids.mapInPandas(halves, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return whole.union(_uncut(placed.where("keep = tail"))).union(pieces)
