@@ -135,9 +135,9 @@ def _dense_part(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             b = b.sort_values("id", kind="stable")
             s = np.clip(np.stack(b["v"].to_numpy()) @ m.T, 0.0, 1.0)
             top = np.argsort(-s, axis=0, kind="stable")[:k]
-            for j, qid in enumerate(ids):
-                keep = top[:, j][s[top[:, j], j] > 0]
-                yield pd.DataFrame({"query_id": qid, "id": b["id"].to_numpy()[keep], "vector_score": s[keep, j]})
+            score = np.take_along_axis(s, top, 0)
+            i, j = np.nonzero(score > 0)
+            yield pd.DataFrame({"query_id": np.array(ids)[j], "id": b["id"].to_numpy()[top[i, j]], "vector_score": score[i, j]})
 
     kinds = dict(docs.dtypes)["id"], dict(queries.dtypes)["id"]
     return docs.select("id", "v").mapInPandas(best, f"query_id {kinds[1]}, id {kinds[0]}, vector_score double")
