@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import components, forest, per_group, written
 
-#: Vectors that an index is fitted on, at most; chosen by hash of their ids.
-FIT_ROWS = 20_000
+#: Vectors that an index is fitted on, at most, and components of these; chosen by hash of their ids.
+FIT_ROWS, FIT_COMPONENTS = 20_000, 4_000_000
 #: Rows of an inverted list (or shelf) that one task holds, and queries against them.
 DATA_BLOCK, QUERY_BLOCK = 2048, 2048
 _UNNAMED = (1 << 63) - (1 << 41)
@@ -139,7 +139,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, margin: float =
     single = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
         return single
-    some = reps.orderBy(F.xxhash64(F.lit(4), "rep"), "rep").limit(fit_rows).select("v").toPandas()
+    some = reps.orderBy(F.xxhash64(F.lit(4), "rep"), "rep").limit(min(fit_rows, max(256, FIT_COMPONENTS // dim))).select("v").toPandas()
     lists = int(min(1024, max(1, round(math.sqrt(n)))))
     q = Quantiser.fit(_unit(_matrix(some["v"])), lists, parts, codes)
     spark = vectors.sparkSession
@@ -369,7 +369,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     part = lambda x: x.cast("double") / F.lit(scale)
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + part(x) * part(x))
     norm = float(np.sqrt(data.agg(F.max(square)).first()[0])) * (1 + 1e-12)
-    some = _matrix(data.orderBy(F.xxhash64(F.lit(6), "id"), "id").limit(fit_rows).select("v").toPandas()["v"])
+    some = _matrix(data.orderBy(F.xxhash64(F.lit(6), "id"), "id").limit(min(fit_rows, max(256, FIT_COMPONENTS // dim))).select("v").toPandas()["v"])
     h = Hashes.fit(some, norm, scale)
     pairs = _true_neighbours(data, asked.orderBy(F.xxhash64(F.lit(8), "id"), "id").limit(TRIED).toPandas(), k) if n > SHELF else None
     if pairs is not None:
