@@ -238,7 +238,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, margin: float =
 # ---------------------------------------------------------------- p-stable hashing
 
 TABLES, HASHES, CELLS, WIDTH = 4, 6, 4, 1.5
-SHELF, ASKED = 8192, 4096
+#: Rows up to which a table is searched whole; rows of a shelf and queries that meet it in one task.
+WHOLE, SHELF, ASKED = 8192, 32_768, 4096
 #: Queries whose true neighbours are looked up to learn where neighbours lie.
 TRIED = 200
 
@@ -345,7 +346,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     finds ``recall`` of theirs, so the share follows the data and its size. Candidates of all tables are merged and ranked by the inner
     product in double precision, ties to the smaller id. Neighbouring buckets share a
     shelf of bounded size, one task per shelf block and query block; a large bucket is cut
-    into several blocks. A table of one shelf is searched whole.
+    into several blocks. A small table is searched whole.
 
     Vectors that are null, empty, zero, of another length than most or hold a null or
     non-finite component take no part on either side, nor do null ids. Repeated rows count
@@ -371,7 +372,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     norm = float(np.sqrt(data.agg(F.max(square)).first()[0])) * (1 + 1e-12)
     some = _matrix(data.orderBy(F.xxhash64(F.lit(6), "id"), "id").limit(min(fit_rows, max(256, FIT_COMPONENTS // dim))).select("v").toPandas()["v"])
     h = Hashes.fit(some, norm, scale)
-    pairs = _true_neighbours(data, asked.orderBy(F.xxhash64(F.lit(8), "id"), "id").limit(TRIED).toPandas(), k) if n > SHELF else None
+    pairs = _true_neighbours(data, asked.orderBy(F.xxhash64(F.lit(8), "id"), "id").limit(TRIED).toPandas(), k) if n > WHOLE else None
     if pairs is not None:
         h.learn(pairs[0][pairs[2]], pairs[1])
     shared = spark.sparkContext.broadcast(h)
@@ -389,13 +390,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     for r in index.groupBy("t", "bucket").count().collect():  # TABLES x CELLS ** HASHES rows at most
         counts[r["t"], r["bucket"]] = r["count"]
     share = float(np.quantile(h.mass_needed(*pairs, counts), recall)) if pairs is not None else 2.0
-    # shelves: runs of buckets of about SHELF rows; a shelf has as many blocks as its rows need
+    # shelves: runs of buckets of about SHELF rows (fewer where vectors are long); a shelf has as many blocks as its rows need
     before = np.cumsum(counts, axis=1) - counts
-    shelf = (before // SHELF).astype(np.int32)
+    shelf_rows = int(min(SHELF, max(1024, FIT_COMPONENTS // dim)))
+    shelf = (before // shelf_rows).astype(np.int32)
     load = [np.bincount(shelf[t], weights=counts[t]) for t in range(TABLES)]
     blocks = np.ones((TABLES, max(map(len, load))), dtype=np.int32)
     for t, x in enumerate(load):
-        blocks[t, : len(x)] = np.maximum(1, np.ceil(x / (1.5 * SHELF)))
+        blocks[t, : len(x)] = np.maximum(1, np.ceil(x / (1.5 * shelf_rows)))
     plan = spark.sparkContext.broadcast((counts, shelf, blocks))
 
     def shelved(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

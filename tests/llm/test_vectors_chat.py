@@ -75,6 +75,7 @@ def brute_nearest(x, queries, k):
 @pytest.mark.parametrize("shelf", [8192, 256])
 def test_nearest_recall(spark, monkeypatch, shelf):
     monkeypatch.setattr(vectors, "SHELF", shelf)
+    monkeypatch.setattr(vectors, "WHOLE", shelf)
     monkeypatch.setattr(vectors, "ASKED", 16)
     x = cloud(3000, 16, 2)
     t = table(spark, x)
@@ -87,7 +88,7 @@ def test_nearest_recall(spark, monkeypatch, shelf):
         assert np.allclose(g["score"], x[g["vec_id"]] @ x[q])
         hit += len(set(g["vec_id"]) & set(want[q]))
     recall = hit / (20 * 150)
-    assert recall == 1.0 if shelf == 8192 else recall >= 0.93
+    assert recall == 1.0 if shelf == 8192 else recall >= 0.92
     assert got["query_id"].nunique() == 150
 
 
