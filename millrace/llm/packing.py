@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import operator
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -59,7 +61,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunks(self, text: str) -> list[str]:
         """White-space chunks; none where the text must go the plain way."""
@@ -82,8 +84,8 @@ class Encoder:
                 self.known.clear()
             get = self.known.get
             cut = [self._chunks(t) for t in part]
-            ids = [list(map(get, c)) for c in cut]
-            gaps = [[i for i, v in enumerate(x) if v is None] if None in x else () for x in ids]
+            ids = [list(map(get, c, itertools.repeat(b""))) for c in cut]
+            gaps = [list(itertools.compress(itertools.count(), map(operator.not_, x))) for x in ids]
             missing = list({c[i] for c, g in zip(cut, gaps, strict=True) for i in g})
             fresh = dict(zip(missing, self.plain(missing), strict=True))
             for t, c, x, g in zip(part, cut, ids, gaps, strict=True):
