@@ -79,6 +79,47 @@ def test_lm_scores_match_brute_force(spark, monkeypatch):
         assert (got[i]["score"] is None) == (not t) and (not t or abs(got[i]["score"] - want[i]) < 1e-9)
 
 
+def brute_word_scores(rows, targets):
+    models = []
+    every = [(i, t, [w for part in lm.words(t or "") for w in part]) for i, t in rows]
+    for aim in (targets, None):
+        one, two = Counter(), Counter()
+        for i, _, ws in every:
+            if ws and (aim is None or i in aim):
+                one.update([None, *ws])
+                two.update(zip([None, *ws], ws, strict=False))
+        models.append((one, two, sum(n for w, n in one.items() if w is not None)))
+    known = len({w for _, _, ws in every for w in ws})
+
+    def loss(model, v, w):
+        one, two, total = model
+        return -math.log((two[v, w] + lm.SMOOTHING * (one[w] + 1) / (total + known + 1)) / (one[v] + lm.SMOOTHING))
+
+    return {i: [sum(loss(m, v, w) for v, w in zip([None, *ws], ws, strict=False)) / len(ws) for m in models] for i, _, ws in every if ws}
+
+
+def test_lm_words_match_brute_force_over_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    pool = [chr(0x4E00 + i) for i in range(400)] + [f"w{i}" for i in range(300)] + ["été, ", "snake_case"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 40)))) for i in range(120)]
+    monkeypatch.setattr(lm, "PIECE", 16)
+    d = docs(spark, rows)
+    got = {r["doc_id"]: r for r in lm.word_score(d, d.where("doc_id < 30"), block_bytes=2000).collect()}
+    want = brute_word_scores(rows, set(range(30)))
+    assert len(got) == 120 and len(want) > 100
+    for i, _ in rows:
+        assert (got[i]["score"] is None) == (i not in want)
+        if i in want:
+            assert abs(got[i]["target_loss"] - want[i][0]) < 1e-9 and abs(got[i]["background_loss"] - want[i][1]) < 1e-9
+
+
+def test_lm_tells_rare_scripts_and_word_order_apart(spark):
+    many = [(i, "".join(chr(0x4E00 + (i * 7 + j) % 3000) for j in range(300))) for i in range(60)]
+    rows = [*many, (100, "老师教学生写字"), (101, "市场价格上涨了")] + [(102 + i, "老师教学生写字") for i in range(5)]
+    got = {r["doc_id"]: r["score"] for r in lm.op1_lm_score(docs(spark, rows), labels(spark, [(102 + i, 1, 0) for i in range(5)])).collect()}
+    assert got[100] < got[101] - 0.1
+
+
 def test_lm_on_odd_tables(spark, odd, none):
     got = lm.op1_lm_score(odd, labels(spark, [(5, 1, 0), (5, 1, 0), (None, 1, 0), (6, 0, 0), (4, 1, None)])).collect()
     assert len(got) == len(ODD) and [r["score"] for r in got if r["doc_id"] in (1, 2)] == [None, None]
