@@ -110,16 +110,17 @@ class Quantiser:
         return out
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, margin: float = 2.5, parts: int = 8, codes: int = 256, fit_rows: int = FIT_ROWS, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, parts: int = 8, codes: int = 256, fit_rows: int = FIT_ROWS, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row; links are pairs with cosine at ``threshold`` or above.
 
     Unit vectors are dealt to inverted lists (about the root of their number, 1024 at most;
     k-means on a bounded sample) and coded by subspace codebooks of their residuals. A
-    vector probes every list whose border with its own lies within ``margin`` standard
-    deviations of the shift that a neighbour at the threshold has across a border; the
-    pair counts if either of the two probes the other's list. Table-lookup distances rule
-    out what can't be near: the bound adds the coded vector's own error, so it loses no
-    pair. The rest is decided by the exact cosine in double precision.
+    vector probes every list whose border with its own lies within half the distance of
+    neighbours at the threshold; the pair counts if either of the two probes the other's
+    list. One of the two always does, whatever the vectors' distribution: their distances
+    to the border between their lists add up to no more than their own. Table-lookup
+    distances rule out what can't be near: the bound adds the coded vector's own error, so
+    it loses no pair. The rest is decided by the exact cosine in double precision.
 
     Vectors that are null, empty, zero, of another length than most, or hold a null or
     non-finite component link with nothing. Equal vectors are compared once and counted
@@ -156,7 +157,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, margin: float =
             x = _unit(_matrix(b["v"]))
             home = q.home(x)
             code, miss = q.encode(x, home)
-            hit = q.probes(x, home, margin * reach / math.sqrt(dim))
+            hit = q.probes(x, home, reach / 2 + 1e-9)
             every = [np.flatnonzero(h).astype(np.int32) for h in hit]
             base = pd.DataFrame({"h1": b["h1"], "rep": b["rep"], "m": b["m"], "v": b["v"], "home": home.astype(np.int32), "probes": every, "miss": miss})
             data = base.assign(one=home.astype(np.int32), query=False, code=[c.tobytes() for c in code])

@@ -47,6 +47,16 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert (got["kept"].to_numpy() == (got["component_id"].to_numpy() == got.index.to_numpy())).all()
 
 
+def test_near_duplicates_of_low_rank_vectors(spark):
+    """Eight directions of 256: neighbours cross list borders further than an even spread over all dimensions supposes."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 8)) @ rng.normal(size=(8, 256))
+    links, comp = brute_links(x)
+    got = vectors.near_duplicates(table(spark, x)).toPandas().set_index("vec_id").sort_index()
+    assert links.sum() > 1000 and (got["n_links"].to_numpy() == links).all()
+    assert (got["component_id"].to_numpy() == comp).all()
+
+
 ODD = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [2.0, 0.0]), (9, [float("inf"), 0.0]), (20, [-1.0, 0.1]), (40, [1e300, 1e300])]
 
 
