@@ -143,6 +143,19 @@ def _dense_part(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return docs.select("id", "v").mapInPandas(best, f"query_id {kinds[1]}, id {kinds[0]}, vector_score double")
 
 
+def candidate_scores(keyword: DataFrame, docs: DataFrame, queries: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
+    """(query_id, id, vector_score): of every pair that either retriever may put forward, exact.
+
+    These are the vector scores that ``hybrid`` reads, without those of all other pairs:
+    each query's best by dot product, and its best by keyword whatever their dot product.
+    """
+    best = dense_scores(docs, queries, candidates)
+    pairs = top_per_query(keyword, "keyword_score", candidates).select("query_id", "id").join(best.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    met = pairs.join(docs.select("id", "v"), "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return best.union(met.select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)).alias("vector_score")))
+
+
 def hybrid(keyword: DataFrame, vector: DataFrame, top_k: int = 8, candidates: int = CANDIDATES, weights: tuple[float, float] = (VECTOR_WEIGHT, KEYWORD_WEIGHT), maximum: int = 12) -> DataFrame:
     """(query_id, rank, id, hybrid_score, vector_score, keyword_score).
 

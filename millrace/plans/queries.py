@@ -614,7 +614,8 @@ def _(spark, d):
 @query("i9_hybrid_retrieval")
 def _(spark, d):
     index, q, x, y = _lsa(spark, d)
-    return retrieval.hybrid(retrieval.keyword_scores(index, q), retrieval.dense_scores(x, y, 1000), 8)
+    keyword = retrieval.keyword_scores(index, q)
+    return retrieval.hybrid(keyword, retrieval.candidate_scores(keyword, x, y), 8)
 
 
 def _vectors(spark, d):

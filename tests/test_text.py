@@ -87,3 +87,14 @@ def test_history_keeps_the_newest(spark):
     assert sorted(r["id"] for r in history.retained(log, 2, "id").collect()) == [3, 4]
     assert [r["id"] for r in history.recent(log, 9, "id", "a").collect()] == [3, 1]
     assert history.unique_ids(log, "id")
+
+
+def test_hybrid_reads_the_vector_score_of_every_candidate(spark):
+    """A keyword candidate behind more than 1,000 nearer documents keeps its own vector score."""
+    d = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(1200)] + [(5000, [0.8, 0.6]), (5001, [-1.0, 0.0])], "id long, v array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    keyword = spark.createDataFrame([(1, 5000, 1.0), (1, 5001, 0.5)], "query_id long, id long, keyword_score double")
+    scores = {r["id"]: r["vector_score"] for r in retrieval.candidate_scores(keyword, d, q).collect()}
+    assert len(scores) == 32 and abs(scores[5000] - 0.8) < 1e-12 and scores[5001] == 0.0
+    first = retrieval.hybrid(keyword, retrieval.candidate_scores(keyword, d, q), 8).where("rank = 1").first()
+    assert first["id"] == 5000 and abs(first["hybrid_score"] - (0.65 * 0.8 + 0.35)) < 1e-12
