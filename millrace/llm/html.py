@@ -19,7 +19,7 @@ BLOCK_TAGS = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe label legend li main menu nav object ol optgroup option p pre search section "
     "select summary table tbody td textarea tfoot th thead tr ul".split()
 )
-SKIPPED_TAGS = frozenset("head title script style noscript template svg math canvas iframe object audio video textarea select option datalist map".split())
+SKIPPED_TAGS = frozenset("head title script style noscript template svg annotation annotation-xml canvas iframe object audio video textarea select option datalist map".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,6 +49,7 @@ _NONE: dict[str, str] = {}
 
 # Costs of the labels, in units of one clear sign.
 HARD = 12.0
+LOOSE = 5.0  # of a class or id word, which the text's own signs may outweigh
 OUTSIDE = 2.5
 INSIDE = 3.0
 ADJACENT, SIBLING, ACROSS = 0.6, 0.4, 0.1
@@ -63,6 +64,8 @@ class _Node:
     main: bool
     in_link: bool
     key: int
+    loose: bool = False
+    holds: bool = False
 
 
 @dataclass(slots=True)
@@ -72,9 +75,9 @@ class Block:
     node: _Node
 
 
-def _judge(tag: str, attrs: str, up: _Node) -> tuple[float, bool]:
-    """(strength of signs for boilerplate, opens main text) of an element by itself."""
-    boiler, main = 0.0, tag in MAIN_TAGS
+def _judge(tag: str, attrs: str, up: _Node) -> tuple[float, bool, bool]:
+    """(strength of signs for boilerplate, opens main text, has a class or id word for boilerplate) of an element by itself."""
+    boiler, main, loose = 0.0, tag in MAIN_TAGS, False
     if tag in BOILER_TAGS:
         boiler = HARD
     elif tag == "header":
@@ -92,12 +95,12 @@ def _judge(tag: str, attrs: str, up: _Node) -> tuple[float, bool]:
             elif name in ("class", "id"):
                 words = {w.lower() for w in _SPLIT.split(value) if w}
                 if words & BOILER_WORDS:
-                    boiler = max(boiler, HARD if not words & MAIN_WORDS or tag not in ("body", "html", "main", "article") or words & {"comment", "comments"} else 0.0)
+                    loose |= tag not in ("body", "html") and (not words & MAIN_WORDS or tag not in MAIN_TAGS or bool(words & {"comment", "comments"}))
                 if words & HEADER_WORDS and not words & MAIN_WORDS and not up.main and tag not in HEADING_TAGS:
-                    boiler = max(boiler, HARD)
-                elif tag in ("div", "section", "td") and words & MAIN_WORDS and not boiler:
+                    loose |= tag not in ("body", "html")
+                elif tag in ("div", "section", "td") and words & MAIN_WORDS and not boiler and not loose:
                     main = True
-    return boiler, main
+    return boiler, main, loose
 
 
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -147,7 +150,7 @@ def blocks(page: str) -> list[Block]:
             if n is not root:
                 here = n.up
             continue
-        if tag in BLOCK_TAGS or tag in SKIPPED_TAGS and tag not in ("svg", "math"):
+        if tag in BLOCK_TAGS or tag in SKIPPED_TAGS and tag not in ("svg", "annotation", "annotation-xml"):
             close()
         if tag in VOID_TAGS:
             if tag == "br" and parts:
@@ -168,9 +171,14 @@ def blocks(page: str) -> list[Block]:
                 n = n.up
         if attrs.endswith("/") and tag not in BLOCK_TAGS and tag not in RAW_TAGS:
             continue
-        boiler, main = _judge(tag, attrs, here)
+        boiler, main, loose = _judge(tag, attrs, here)
+        if main:
+            n = here
+            while n is not None and not n.holds:
+                n.holds = True
+                n = n.up
         count += 1
-        here = _Node(tag, here, here.skip or tag in SKIPPED_TAGS, max(here.boiler, boiler), here.main or main, here.in_link or tag == "a", count)
+        here = _Node(tag, here, here.skip or tag in SKIPPED_TAGS, max(here.boiler, boiler), here.main or main, here.in_link or tag == "a", count, loose)
         if tag in RAW_TAGS:
             raw = tag
             stop = re.compile(rf"</{raw}\s*/?>", re.I).search(page, at)
@@ -188,9 +196,36 @@ def _container(n: _Node) -> _Node:
     return n
 
 
+def _loose(found: list[Block]) -> set[int]:
+    """Elements whose class or id words count: those that hold neither a main element nor half of the page's unlinked text."""
+    held: dict[int, int] = {}
+    total, named = 0, {}
+    for b in found:
+        if b.node.boiler >= HARD:
+            continue
+        own = max(0, len(b.text) - b.linked)
+        total += own
+        n = b.node
+        while n is not None:
+            if n.loose:
+                named[n.key] = n
+                held[n.key] = held.get(n.key, 0) + own
+            n = n.up
+    return {k for k, n in named.items() if not n.holds and 2 * held[k] < total}
+
+
+def _is_loose(n: _Node | None, counted: set[int]) -> bool:
+    while n is not None:
+        if n.key in counted:
+            return True
+        n = n.up
+    return False
+
+
 def costs(found: list[Block]) -> list[float]:
     """Evidence of each block: what calling it boilerplate costs more than calling it content."""
     has_main = any(b.node.main and b.node.boiler < HARD for b in found)
+    counted = _loose(found)
     out = []
     for b in found:
         words = b.text.count(" ") + 1
@@ -214,6 +249,8 @@ def costs(found: list[Block]) -> list[float]:
             boiler = 0.0
         if boiler:
             e = -boiler if boiler >= HARD else e - boiler
+        if boiler < HARD and counted and _is_loose(b.node, counted):
+            e -= LOOSE
         out.append(e)
     return out
 

@@ -302,6 +302,24 @@ def test_join_on_odd_tables(odd, none):
     assert forest.op8_jaccard(none).count() == 0 and forest.kept_rows(none).count() == 0
 
 
+PROSE = "".join(f"<p>The river rose for the {k}th day and the villagers moved their cattle to the hills above the old mill.</p>" for k in range(4, 9))
+
+
+@pytest.mark.parametrize("page", [
+    f'<body class="has-sidebar"><div>{PROSE}</div></body>', f'<body class="no-sidebar"><article>{PROSE}</article></body>', f'<div id="ad-free">{PROSE}</div>',
+    f'<div class="content with-sidebar">{PROSE}</div>', f'<article id="newsletter-4">{PROSE}</article>', f'<div class="legal"><main>{PROSE}</main></div>',
+])
+def test_html_words_of_a_class_do_not_lose_the_article(page):
+    assert html.main_text(page).count("villagers") == 5
+    side = '<div class="sidebar"><p>Short link list here</p></div><nav><p>Home and more of the site.</p></nav>'
+    got = html.main_text(page + side)
+    assert got.count("villagers") == 5 and "Short link" not in got and "Home" not in got
+
+
+def test_html_keeps_formulas():
+    assert "x + 1" in html.main_text(f"<article>{PROSE}<p>The sum <math><mi>x</mi> + <mn>1</mn></math> is what the villagers paid.</p></article>")
+
+
 # ---------------------------------------------------------------- licenses
 
 
