@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,51 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Code points of text whose words are looked at together (a longer text is looked at alone).
+SLICE = 1 << 20
+
+
+def text_slices(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """The texts in turn, about ``SLICE`` code points at a time; null is empty."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t or "")
+        n += len(held[-1])
+        if n >= SLICE:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(code of each word, where each text's words begin and end, the distinct words): white-space words as ``str.split`` gives them."""
+    split = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+    coded = split.flatten().dictionary_encode()
+    codes, known, at = coded.indices.to_numpy(), coded.dictionary.to_pylist(), split.offsets.to_numpy()
+    if "" in known:  # white space at either end leaves an empty word
+        there = codes != known.index("")
+        at = np.concatenate([[0], np.cumsum(there)])[at]
+        codes = codes[there]
+    return codes, at, known
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker at rest holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def per_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
     """``fn`` on each group of ``keys``, many small groups to one Arrow batch.
 
@@ -67,6 +117,8 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pd
             held.append(batch.iloc[at[-2] :])
         if held:
             yield from one(pd.concat(held, ignore_index=True))
+        held.clear()
+        release()
 
     def one(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
         r = fn(group)

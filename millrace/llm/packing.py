@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import operator
 import re
 import struct
 import zlib
@@ -16,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import release, text_slices, written
 
 WINDOW = 4096
 END_ID = 2
-#: Chunks a worker caches before it starts again (bounds its memory: some 220 bytes each).
-CACHED_CHUNKS = 600_000
-#: Chunks that stay from one partition to the next: the first met, so the frequent ones.
-KEPT_CHUNKS = 100_000
+#: Pieces of words a worker caches before it forgets most (bounds its memory: some 200 bytes each).
+CACHED_PIECES = 250_000
+#: Pieces that stay then, and from one partition to the next.
+KEPT_PIECES = 60_000
 #: Ranks within a length are counted by so many blocks of documents, so that a common length is no hot key.
 RANK_BLOCKS = 64
 #: Cut documents up to this many are broadcast to find their texts; more are joined by shuffle.
@@ -40,64 +39,77 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes, cached by white-space chunk.
+    """Token ids of whole texts as little-endian 32-bit bytes, cached by the pre-tokenizer's pieces.
 
-    The vocabulary's pre-tokenizer never joins text across white space, so a text's ids are
-    its chunks' ids in order. A single comma or stop after a letter or digit is a piece of
-    its own to it, so these are cut off first where a text has no runs of marks that would
-    be torn: most chunks are then plain words. Control characters that Python counts as
-    white space and the tokenizer doesn't send a text down the plain way.
+    Latin-1 texts are cut into pieces here. Others go by white-space chunks, which the
+    pre-tokenizer never joins; control characters that Python counts as white space and the
+    tokenizer doesn't, and its special tokens, send a text down the plain way.
     """
 
-    _odd = re.compile("[\x1c-\x1f]")
-    _run = re.compile(r"[^\w\s][.,](?:\s|\Z)|_[.,]")
-    #: Latin-1 by class: a letter or digit, white space, a comma or stop, any other mark, or odd.
-    _class = bytes(63 if 28 <= i < 32 else 46 if chr(i) in ".," else 97 if chr(i).isalnum() else 32 if chr(i).isspace() else 33 for i in range(256))
+    #: The pre-tokenizer's pattern on lower-case Latin-1, whose letters and digits are these.
+    _piece = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\s0-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
+    _odd = re.compile("[\x1c-\x1f]|<\\|")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # every piece's last token, and no other, has the end-of-word mark
+        self.last = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
+        mark = self.tok.model.end_of_word_suffix
+        self.last[[i for w, i in self.tok.get_vocab().items() if mark and w.endswith(mark)]] = True
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, text: str) -> list[str]:
-        """White-space chunks; none where the text must go the plain way."""
-        try:
-            kinds = text.encode("latin-1").translate(self._class)
-            odd, torn = b"?" in kinds, b"!. " in kinds or b".. " in kinds or kinds.endswith((b"!.", b".."))
-        except UnicodeEncodeError:
-            odd, torn = self._odd.search(text), self._run.search(text)
-        if odd:
-            return []
-        if not torn:
-            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-        return text.split()
-
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Each text's ids in turn; what is held at once is a few texts and the cache."""
-        texts = iter(texts)
-        while part := list(itertools.islice(texts, 64)):
-            if len(self.known) > CACHED_CHUNKS:
-                self.known.clear()
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pieces: encoded together, parted at the marks; chunks of other scripts one by one."""
+        out = []
+        for at in range(0, len(pieces), 1024):
+            part = pieces[at : at + 1024]
+            (e,) = self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4")
+            end = np.flatnonzero(self.last[ids]) + 1
+            if len(end) != len(part) or end[-1] != len(ids):
+                out += self.plain(part)
+                continue
+            raw, end = ids.tobytes(), (4 * end).tolist()
+            out += [raw[a:b] for a, b in zip([0, *end], end, strict=False)]
+        return out
+
+    def _pieces(self, text: str) -> tuple[list[str], bool]:
+        """What the text is cut into, and whether these are pieces; nothing where it must go the plain way."""
+        if self._odd.search(text):
+            return [], False
+        if text.isascii() or max(text) <= "\xff":
+            return self._piece.findall(text.lower()), True
+        return text.split(), False
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Each text's ids in turn; what is held at once is a slice of the texts and the cache."""
+        for part in text_slices(texts):
             get = self.known.get
-            cut = [self._chunks(t) for t in part]
-            ids = [list(map(get, c, itertools.repeat(b""))) for c in cut]
-            gaps = [list(itertools.compress(itertools.count(), map(operator.not_, x))) for x in ids]
-            missing = list({c[i] for c, g in zip(cut, gaps, strict=True) for i in g})
-            fresh = dict(zip(missing, self.plain(missing), strict=True))
-            for t, c, x, g in zip(part, cut, ids, gaps, strict=True):
-                for i in g:
-                    x[i] = fresh[c[i]]
+            cut = [self._pieces(t) for t in part]
+            ids = [list(map(get, c)) for c, _ in cut]
+            gaps = [[k for k, v in enumerate(x) if v is None] if None in x else [] for x in ids]
+            missing, chunks = set(), set()
+            for (c, small), g in zip(cut, gaps, strict=True):
+                (missing if small else chunks).update(c[k] for k in g)
+            missing, chunks = list(missing), list(chunks - missing)
+            fresh = dict(zip(missing, self._fresh(missing), strict=True)) | dict(zip(chunks, self.plain(chunks), strict=True))
+            for t, (c, _), x, g in zip(part, cut, ids, gaps, strict=True):
+                for k in g:
+                    x[k] = fresh[c[k]]
                 yield b"".join(x) if c else self.plain([t])[0] if t else b""
-            self.known.update((c, v) for c, v in fresh.items() if len(c) <= 64)
+            if len(self.known) + len(fresh) > CACHED_PIECES:
+                self.trim()
+            self.known.update((c, v) for c, v in itertools.islice(fresh.items(), CACHED_PIECES) if len(c) <= 64)
 
     def trim(self) -> None:
-        """Drops most of the cache, so that a worker at rest holds little."""
-        if len(self.known) > KEPT_CHUNKS:
-            self.known = dict(itertools.islice(self.known.items(), KEPT_CHUNKS))
+        """Keeps the pieces first met, which are the frequent ones, so that a worker at rest holds little."""
+        if len(self.known) > KEPT_PIECES:
+            self.known = dict(itertools.islice(self.known.items(), KEPT_PIECES))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -131,67 +143,82 @@ class Plan:
     n_seqs: int
     line_seq: int
     line_tokens: int
+    solved_tokens: int  # placed by solved combinations
 
     def frame(self) -> pd.DataFrame:
         return pd.DataFrame({k: getattr(self, k) for k in ("length", "first", "count", "seq", "offset", "line")})
 
 
-def combinations(hist: np.ndarray, window: int, depth: int = 4) -> list[tuple[int, ...]]:
-    """Shallow combinations of lengths that fill the window exactly.
+#: Combinations drawn in proportion to the histogram, and the lengths of one before it is closed.
+DRAWN, DRAWN_DEPTH = 16_000, 9
 
-    All pairs, and for each first length combinations with common second (and third)
-    lengths, closed by the exact complement: enough to use every length there is, few
-    enough to stay a fixed-size problem.
+
+def combinations(hist: np.ndarray, window: int, slack: int = 0, seed: int = 0) -> np.ndarray:
+    """Shallow combinations of lengths that fill the window up to ``slack``: rows of lengths, longest first, then zeros.
+
+    Each length alone, with each of some common second and third lengths, and draws of a
+    few lengths by their frequency, all closed by the longest length there is that fits:
+    enough to use every length, few enough to stay a fixed-size problem.
     """
     there = np.flatnonzero(hist[: window + 1])
     there = there[there > 0]
-    have = np.zeros(window + 1, dtype=bool)
-    have[there] = True
-    found: set[tuple[int, ...]] = set()
-    common = there[np.argsort(-hist[there], kind="stable")][:24]
-    if have[window]:
-        found.add((window,))
-    for a in there:
-        if have[window - a]:
-            found.add(tuple(sorted((int(a), int(window - a)))))
-    for second in common if depth >= 3 else ():
-        rest = window - second - there
-        for a, b in zip(there[(rest > 0)], rest[rest > 0], strict=True):
-            if have[b]:
-                found.add(tuple(sorted((int(a), int(second), int(b)))))
-    few = common[:8]
-    for i, x in enumerate(few if depth >= 4 else ()):
-        for y in few[i:]:
-            rest = window - x - y - there
-            for a, b in zip(there[rest > 0], rest[rest > 0], strict=True):
-                if have[b]:
-                    found.add(tuple(sorted((int(a), int(x), int(y), int(b)))))
-    for a in there:
-        if window % a == 0:
-            found.add((int(a),) * int(window // a))
-    return sorted(found)
-
-
-def solve(hist: np.ndarray, combos: list[tuple[int, ...]], rounds: int = 300) -> np.ndarray:
+    wide = DRAWN_DEPTH + 1
+    if not len(there):
+        return np.zeros((0, wide), dtype=np.int64)
+    have = np.zeros(window + 1, dtype=np.int64)
+    have[there] = there
+    longest = np.maximum.accumulate(have)  # the longest length there is, up to each room
+    found: list[np.ndarray] = []
+
+    def close(taken: np.ndarray) -> None:
+        """Adds what fills the window among rows of lengths, each with one more."""
+        rest = window - taken.sum(axis=1)
+        last = longest[np.maximum(rest, 0)]
+        ok = (rest > 0) & (last > 0) & (rest - last <= slack)
+        made = np.zeros((ok.sum(), wide), dtype=np.int64)
+        made[:, : taken.shape[1]], made[:, -1] = taken[ok], last[ok]
+        found.append(made)
+
+    common = there[np.argsort(-hist[there], kind="stable")][:6]
+    close(there[:, None])
+    for i, x in enumerate(common):
+        close(np.stack([there, np.full(len(there), x)], axis=1))
+        for y in common[i:]:
+            close(np.stack([there, np.full(len(there), x), np.full(len(there), y)], axis=1))
+    rng = np.random.default_rng(seed)
+    draws = there[np.searchsorted(np.cumsum(hist[there]), rng.integers(0, hist[there].sum(), (DRAWN, DRAWN_DEPTH)), side="right")]
+    for k in range(2, DRAWN_DEPTH + 1):
+        close(draws[:, :k])
+    alone = there[(window - there <= slack)]
+    found.append(np.pad(alone[:, None], ((0, 0), (0, wide - 1))))
+    rows = -np.sort(-np.concatenate(found), axis=1)
+    key = np.zeros(len(rows), dtype=np.uint64)
+    for j in range(wide):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j].astype(np.uint64)
+        key ^= key >> np.uint64(29)
+    return rows[np.unique(key, return_index=True)[1]]
+
+
+def solve(hist: np.ndarray, combos: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Repeat counts x >= 0 that minimise ||A x - hist||, by accelerated projected gradient.
 
     A (lengths x combinations, how often each length is used) is kept as index lists.
     """
-    if not combos:
+    if not len(combos):
         return np.zeros(0)
-    col = np.repeat(np.arange(len(combos)), [len(c) for c in combos])
-    row = np.concatenate([np.array(c) for c in combos])
+    col, at = np.nonzero(combos)
+    row = combos[col, at]
     h = hist.astype(float)
     times = lambda x: np.bincount(row, weights=x[col], minlength=len(h))
     back = lambda r: np.bincount(col, weights=r[row], minlength=len(combos))
     # the largest eigenvalue of A'A, by power iteration, bounds the step
     v = np.ones(len(combos)) / np.sqrt(len(combos))
     top = 1.0
-    for _ in range(30):
+    for _ in range(12):
         v = back(times(v))
         top = float(np.linalg.norm(v)) or 1.0
         v /= top
-    step = 1 / (1.05 * top)
+    step = 1 / (1.1 * top)
     x = y = np.zeros(len(combos))
     t = 1.0
     for _ in range(rounds):
@@ -201,31 +228,70 @@ def solve(hist: np.ndarray, combos: list[tuple[int, ...]], rounds: int = 300) ->
     return x
 
 
-def plan(hist: np.ndarray, window: int = WINDOW) -> Plan:
-    """NNLS counts rounded down to what the histogram has, then greedy; what fits no window whole is laid on the line.
+def rounded(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Whole repeat counts with the same sum: systematic rounding of the fractions in random order, each up or down by less than one."""
+    order = rng.permutation(len(x))
+    line = np.floor(np.concatenate([[0.0], np.cumsum(x[order])]) + rng.random())
+    out = np.empty(len(x), dtype=np.int64)
+    out[order] = np.diff(line).astype(np.int64)
+    return out
+
+
+#: Times that repeat counts are solved for what is left, and the share of it below which greedy takes over.
+SOLVES, LEAST_GAIN = 8, 0.02
+
 
-    ``hist[l]``: how many tails have length l. Greedy takes the longest length left, adds
-    the longest that still fits until nothing does, and repeats that combination while its
-    lengths last; a combination that wastes more than 1/256 of the window goes on the line
-    instead, where cutting leaves no gap.
+def plan(hist: np.ndarray, window: int = WINDOW) -> Plan:
+    """NNLS counts, rounded with their sum kept and solved again for what is left; then greedy; what fits no window whole is laid on the line.
+
+    ``hist[l]``: how many tails have length l. Where few tails have each length, repeat
+    counts are fractions of many combinations that want the same tails: those rounded up
+    are placed while their lengths last and the rest is solved anew, first for windows
+    filled exactly, then up to 1/256. Greedy takes the longest length left, adds the longest
+    that still fits until nothing does, and repeats that combination while its lengths
+    last; one that wastes more than 1/256 of the window goes on the line instead, where
+    cutting leaves no gap.
     """
     left = hist.astype(np.int64).copy()
     uses: list[tuple[tuple[int, ...], int]] = []
-
-    def use(combo: tuple[int, ...], times: int) -> None:
-        need = np.bincount(np.array(combo), minlength=len(left))
-        at = np.flatnonzero(need)
-        times = int(min(times, (left[at] // need[at]).min()))
+    rng = np.random.default_rng(13)
+
+    def use(combo: Iterable[int], times: int) -> int:
+        need: dict[int, int] = {}
+        for l in map(int, combo):
+            if l:
+                need[l] = need.get(l, 0) + 1
+        times = int(min(times, min(left[l] // k for l, k in need.items())))
         if times > 0:
-            left[at] -= times * need[at]
-            uses.append((combo, times))
-
-    combos = combinations(hist, window)
-    x = solve(hist, combos)
-    for i in np.argsort(-x, kind="stable"):
-        if x[i] < 0.5:
+            for l, k in need.items():
+                left[l] -= times * k
+            uses.append((tuple(l for l, k in need.items() for _ in range(k)), times))
+        return max(0, times)
+
+    worth = np.arange(len(left))
+    slack = 0
+    for seed in range(SOLVES):
+        before = int(left @ worth)
+        if not before:
             break
-        use(combos[i], int(round(x[i])))
+        combos = combinations(left, window, slack, seed)
+        x = solve(left, combos)
+        times = rounded(x, rng)
+        goal, placed = float(x.sum()), 0
+        order = np.argsort(-x, kind="stable")
+        for i in order[times[order] > 0]:
+            placed += use(combos[i], int(times[i]))
+        # counts rounded up whose tails were gone make room for those next in weight
+        there = (left > 0) | (worth == 0)
+        for i in order[there[combos[order]].all(axis=1)]:
+            if placed >= goal or not x[i]:
+                break
+            placed += use(combos[i], 1)
+        if before - int(left @ worth) < max(LEAST_GAIN * before, 1):
+            if slack:
+                break
+            slack = window // 256
+    solved = int(sum(sum(c) * k for c, k in uses))
     blocked = np.zeros(len(left), dtype=bool)
     while True:
         open_ = np.flatnonzero((left > 0) & ~blocked)
@@ -262,7 +328,7 @@ def plan(hist: np.ndarray, window: int = WINDOW) -> Plan:
         line += int(l) * int(left[l])
     rows.sort()
     cols = list(np.array(rows, dtype=np.int64).reshape(-1, 6).T)
-    return Plan(*cols, n_seqs=seq + -(-line // window), line_seq=seq, line_tokens=line)
+    return Plan(*cols, n_seqs=seq + -(-line // window), line_seq=seq, line_tokens=line, solved_tokens=solved)
 
 
 # ---------------------------------------------------------------- on tables
@@ -287,6 +353,7 @@ def _encoded(docs: DataFrame, path: str, window: int, id_col: str = "doc_id") ->
                 tcrc.append(zlib.crc32(ids[full:]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "n": n, "tail": tail, "block": batch["block"], "tail_crc": tcrc, "crcs": crcs})
         enc.trim()
+        release()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     block = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(RANK_BLOCKS)).cast("int")
@@ -299,7 +366,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     A document's ids end with id 2. Whole windows of a document are sequences of their own;
     what is left (its tail, under a window) is packed: combinations of lengths that fill a
     window are enumerated, repeat counts solved against the histogram of tails by
-    non-negative least squares, rounded, and residuals packed greedily; tails that fill no
+    non-negative least squares, rounded with their sum kept, and residuals packed greedily; tails that fill no
     window well lie end to end and are cut at its bounds. The plan is made from the
     histogram alone, ``window`` numbers whatever the input; a document finds its place by
     its rank among tails of its length. Only the line's last sequence has padding beyond
@@ -319,7 +386,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
         hist[r["tail"]] = r["c"]
     p = plan(hist, window)
 
-    # whole windows: one sequence each, numbered by document block so that ids are dense enough and distinct
+    # whole windows: one sequence each, numbered by place in the written table, above the packed ones
     whole = heads.where("size(crcs) > 0").select("doc_id", "n", F.posexplode("crcs").alias("k", "crc"), "block", "th")
     per_task = F.monotonically_increasing_id()
     whole = whole.select(
@@ -374,6 +441,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
                 rows.append((r.doc_id, start + r.keep, r.tail - r.keep, zlib.crc32(raw[a:z]), r.n, r.sequence_id + 1, 0))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
         enc.trim()
+        release()
 
     pieces = ids.mapInPandas(halves, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return whole.union(_uncut(placed.where("keep = tail"))).union(pieces)

@@ -217,6 +217,33 @@ def test_packing_cuts_what_fits_no_window(spark):
     assert pad < 64
 
 
+@pytest.mark.parametrize("times", [1, 40])
+def test_solved_combinations_place_most_tails(times):
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(4095, np.exp(rng.normal(6.0, 1.0, 3000)).astype(int) + 2)
+    hist = np.bincount(lengths, minlength=4097) * times
+    p = packing.plan(hist)
+    total = int(hist @ np.arange(4097))
+    assert p.solved_tokens >= 0.8 * total and p.n_seqs * 4096 <= total * 1.003 + 4096
+    placed = np.zeros(4097, dtype=np.int64)
+    np.add.at(placed, p.length, p.count)
+    assert (placed == hist).all()
+
+
+def test_repeat_counts_are_least_squares():
+    hist = np.zeros(65, dtype=np.int64)
+    hist[[10, 20, 22, 24, 30, 34, 44]] = [100, 100, 150, 50, 300, 300, 100]
+    combos = packing.combinations(hist, 64)
+    assert (combos.sum(axis=1) == 64).all()
+    x = packing.solve(hist, combos, 2000)
+    a = np.zeros((65, len(combos)))
+    for j, c in enumerate(combos):
+        np.add.at(a[:, j], c[c > 0], 1)
+    slope = a.T @ (a @ x - hist)  # at the minimum nothing falls, and only what doesn't rise is used
+    assert (x >= 0).all() and slope.min() > -1e-3 and np.abs(slope * x).max() < 1
+    assert packing.rounded(x, np.random.default_rng(1)).sum() - x.sum() < 1
+
+
 def test_packing_on_odd_tables(odd, none):
     check_pieces([(r[0], r[1]) for r in ODD], packing.op7_packing(odd).collect(), packing.WINDOW)
     assert packing.op7_packing(none).count() == 0
@@ -225,7 +252,8 @@ def test_packing_on_odd_tables(odd, none):
 def test_encoder_is_exact():
     e = packing.Encoder(packing.tokenizer_path())
     rng = random.Random(4)
-    made = ["".join(rng.choice(["a", "B", "é", ".", ",", " ", "\n", "\x1c", "'s", "1", "_", "!", "…", "Σ", "́", "<|endoftext|>"]) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    made = [f"x{chr(i)}Y {chr(i)} {chr(i)}'s" for i in range(0x250)]
+    made += ["".join(rng.choice(["a", "B", "é", ".", ",", " ", "\n", "\x1c", "'s", "1", "_", "!", "…", "Σ", "́", "<|endoftext|>"]) for _ in range(rng.randrange(30))) for _ in range(3000)]
     assert list(e.encode(made)) == e.plain(made)
 
 
@@ -281,14 +309,53 @@ def test_join_matches_brute_force(spark, block):
 
 
 def test_depth_reaches_the_target():
-    k = forest.matched_depth()
+    k = forest.floor_depth()
     p = lambda k: 1 - (1 - forest.THRESHOLD**k) ** forest.TREES
     assert p(k) >= forest.TARGET_RECALL > p(k + 1)
     with pytest.raises(ValueError):
-        forest.matched_depth(1, 0.1, 0.999)
-
-
-def test_join_on_odd_tables(odd, none):
+        forest.floor_depth(1, 0.1, 0.999)
+
+
+def planted(seed, edits, n=150):
+    """Pairs of texts of 60 words, the second with so many words replaced."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        copy = list(words)
+        for at in rng.sample(range(60), edits):
+            copy[at] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    return rows
+
+
+def test_prefixes_are_shortened_as_far_as_the_data_ask(spark, monkeypatch):
+    levels, level = [], forest._level
+    monkeypatch.setattr(forest, "_level", lambda *a: (levels.append(a[2]), level(*a))[1])
+    near = forest.join(docs(spark, planted(1, 0) + [(1000 + i, t + " z") for i, (_, t) in enumerate(planted(1, 0)[::2])])).collect()
+    assert levels == [8] and sum(r["n_links"] for r in near) == 150 * 2 + 2 * 300
+    levels.clear()
+    far = forest.join(docs(spark, planted(2, 1, 400))).collect()  # similarity 51/61, and often just met
+    links = sum(r["n_links"] for r in far)
+    assert levels[0] == 8 and len(levels) > 1 and links >= 0.99 * 800
+    assert len({r["met"] for r in far if r["n_links"]}) > 2  # texts' links were met at different lengths
+
+
+def test_words_and_shingles_of_slices(monkeypatch):
+    from millrace.llm import common
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab é\x1c\n\u2003") for _ in range(rng.randrange(40))) for _ in range(300)] + [None, "", " "]
+    monkeypatch.setattr(common, "SLICE", 100)
+    for part in common.text_slices(texts):
+        codes, at, known = common.word_codes(part)
+        assert [[known[c] for c in codes[a:b]] for a, b in zip(at, at[1:], strict=False)] == [t.split() for t in part]
+    sets = list(forest.Shingler(3).all(texts))
+    want = [{tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if (w := (t or "").split()) else set() for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    assert all((len(np.intersect1d(sets[a], sets[b])) == len(want[a] & want[b])) for a in range(0, 300, 7) for b in range(0, 300, 11))
+
+
+def test_join_on_odd_tables(spark, odd, none):
     got = forest.op8_jaccard(odd).collect()
     assert len(got) == len(ODD)
     by = defaultdict(list)
@@ -299,6 +366,8 @@ def test_join_on_odd_tables(odd, none):
     assert by[None][0]["class_id"] is None and by[None][0]["kept"]
     kept = forest.kept_rows(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
+    some = docs(spark, [(1, "a b c d e f g"), (1, "other words of the same id"), (1, "a b c d e f g"), (2, "a b c d e f g")])
+    assert sorted(r["text"] for r in forest.kept_rows(some).collect()) == ["a b c d e f g", "other words of the same id"]
     assert forest.op8_jaccard(none).count() == 0 and forest.kept_rows(none).count() == 0
 
 
