@@ -166,10 +166,10 @@ _NODE = "t int, key long, bi int, bj int, blk int, level int, above int, h binar
 _FOUND = "h binary, rep long, root long, links long, met int, pairs long, missed array<double>"
 
 
-def _level(words: DataFrame, docs: DataFrame, level: int, above: int, repeats: bool, threshold: float, trees: int, width: int, block: int) -> DataFrame:
+def _level(live: DataFrame, words: DataFrame, docs: DataFrame, level: int, above: int, repeats: bool, threshold: float, trees: int, width: int, block: int) -> DataFrame:
     """Verified links of the pairs whose longest common prefix has ``level`` values or more, and fewer than ``above``."""
-    path = words.select("h", "n_sh", F.posexplode("paths").alias("t", "path")).withColumn("key", F.shiftrightunsigned("path", 8 * (MAX_DEPTH - level)))
-    below = F.shiftrightunsigned("path", 8 * max(0, MAX_DEPTH - above))
+    path = live.withColumn("key", _prefix(level))
+    below = _prefix(min(above, MAX_DEPTH))
     # where shortening brings nobody new into a node there is nothing to do
     news = F.lit(True) if above > MAX_DEPTH else F.min(below) < F.max(below)
     nodes = path.groupBy("t", "key").agg(F.count(F.lit(1)).alias("c"), F.sum("n_sh").alias("s"), news.alias("news")).where("c > 1 and news")
@@ -220,6 +220,10 @@ def _level(words: DataFrame, docs: DataFrame, level: int, above: int, repeats: b
     return written(per_group(whole, keys, ["h"], verified, _FOUND))
 
 
+def _prefix(level: int) -> Column:
+    return F.shiftrightunsigned("path", 8 * (MAX_DEPTH - level))
+
+
 def measured_recall(found: DataFrame, level: int, trees: int, threshold: float) -> float:
     """Share of all links met so far: those missed are estimated from the similarities of those met, and one just at the threshold besides."""
     r = found.agg(F.sum("pairs").alias("n"), F.sum(F.col("missed")[level - 1]).alias("m")).first()
@@ -240,9 +244,13 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, rec
     rep = F.coalesce(F.min("doc_id"), _unnamed()).alias("rep")
     reps = written(sig.groupBy("h").agg(rep, F.count(F.lit(1)).alias("m"), F.max("n_sh").alias("n_sh"), F.first("paths").alias("paths")))
     words, repeats = reps.where("n_sh > 0"), _repeats(sig)
+    # who shares no prefix at the last level that may be reached shares none above it
+    path = words.select("h", "n_sh", F.posexplode("paths").alias("t", "path")).withColumn("key", _prefix(floor))
+    met = path.groupBy("t", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "key")
+    live = written(path.join(met, ["t", "key"], "left_semi").select("h", "n_sh", "t", "path"))
     found, level, above = None, MAX_DEPTH, MAX_DEPTH + 1
     while True:
-        more = _level(words, docs, level, above, repeats, threshold, trees, width, block)
+        more = _level(live, words, docs, level, above, repeats, threshold, trees, width, block)
         found = more if found is None else found.union(more)
         if level <= floor or measured_recall(found, level, trees, threshold) >= recall:
             break

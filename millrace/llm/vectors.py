@@ -12,12 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, forest, per_group, written
+from millrace.llm.common import components, forest, per_group, release, written
 
 #: Vectors that an index is fitted on, at most, and components of these; chosen by hash of their ids.
 FIT_ROWS, FIT_COMPONENTS = 20_000, 4_000_000
-#: Rows of an inverted list (or shelf) that one task holds, and queries against them.
+#: Inverted lists, at most; each has this many fitted rows at least.
+MAX_LISTS, ROWS_A_LIST = 4096, 20
+#: Rows of an inverted list that are looked up together, and queries against them.
 DATA_BLOCK, QUERY_BLOCK = 2048, 2048
+#: Vectors whose neighbours among all rows are looked up to learn how far probing has to reach, and the pairs needed for that.
+TRIED_NEAR, LEAST_PAIRS = 2048, 200
 _UNNAMED = (1 << 63) - (1 << 41)
 
 
@@ -42,10 +46,20 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, 0))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over a power of two, which changes no digit, so that no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=1e-300))[1][:, None])
+
+
+def _nearest_row(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    half = 0.5 * (c * c).sum(1)
+    return np.concatenate([np.argmax(x[a : a + 4096] @ c.T - half, axis=1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
+        near = _nearest_row(x, c)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         n = np.bincount(near, minlength=k)
@@ -68,17 +82,13 @@ class Quantiser:
     def fit(cls, x: np.ndarray, lists: int, parts: int, codes: int, seed: int = 5) -> Quantiser:
         rng = np.random.default_rng(seed)
         coarse = _kmeans(x, min(lists, len(x)), 8, rng)
-        r = x - coarse[cls._near(x, coarse)]
+        r = x - coarse[_nearest_row(x, coarse)]
         cuts = np.linspace(0, x.shape[1], min(parts, x.shape[1]) + 1).astype(int).tolist()
         books = [_kmeans(r[:, a:b], min(codes, len(r)), 8, rng) for a, b in zip(cuts, cuts[1:], strict=False)]
         return cls(coarse, books, cuts)
 
-    @staticmethod
-    def _near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
-
     def home(self, x: np.ndarray) -> np.ndarray:
-        return self._near(x, self.coarse)
+        return _nearest_row(x, self.coarse)
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and how far the decoded vector lies from the true one."""
@@ -86,18 +96,18 @@ class Quantiser:
         codes = np.empty((len(x), len(self.books)), dtype=np.uint8)
         miss = np.zeros(len(x))
         for m, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
-            codes[:, m] = self._near(r[:, a:b], self.books[m])
+            codes[:, m] = _nearest_row(r[:, a:b], self.books[m])
             d = r[:, a:b] - self.books[m][codes[:, m]]
             miss += (d * d).sum(1)
         return codes, np.sqrt(miss)
 
-    def probes(self, x: np.ndarray, home: np.ndarray, margin: float) -> np.ndarray:
-        """(n, lists): lists whose border with the home list lies within ``margin`` of the vector, home included."""
+    def borders(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """(n, lists): how far each vector lies from the border between its list and another; 0 to its own."""
         half = 0.5 * (self.coarse * self.coarse).sum(1)
         score = x @ self.coarse.T - half
         gap = score[np.arange(len(x)), home][:, None] - score
         apart = np.sqrt(np.maximum(0, 2 * half[home][:, None] + 2 * half[None, :] - 2 * (self.coarse[home] @ self.coarse.T)))
-        return gap <= margin * apart + 1e-12
+        return np.where(gap <= 1e-12, 0.0, gap / np.maximum(apart, 1e-300))
 
     def distances(self, q: np.ndarray, one: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to coded vectors of one list, summed from per-subspace tables."""
@@ -110,17 +120,58 @@ class Quantiser:
         return out
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, parts: int = 8, codes: int = 256, fit_rows: int = FIT_ROWS, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def _margin(reps: DataFrame, q: Quantiser, threshold: float, tried: int, recall: float) -> float:
+    """How far from a list's border its vectors must probe for ``recall`` of the links.
+
+    Tried vectors meet all rows; of each link between them counts how near to the border
+    between their lists the nearer of the two lies. Half the neighbour distance is always
+    enough, and taken where too few links are met to tell. Counts leave a task in bins.
+    """
+    most = math.sqrt(2 - 2 * threshold) / 2 + 1e-9
+    some = reps.orderBy(F.xxhash64(F.lit(12), "rep"), "rep").limit(tried).select("h1", "rep", "v").toPandas()
+    x, bins = _unit(_matrix(some["v"])), 400
+    home, h1, rep = q.home(x), some["h1"].to_numpy(), some["rep"].to_numpy()
+    far = q.borders(x, home)
+    shared = reps.sparkSession.sparkContext.broadcast((x, home, far, h1, rep, q))
+
+    def met(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, home, far, h1, rep, q = shared.value
+        total = np.zeros(bins + 1, dtype=np.int64)
+        for b in it:
+            for a in range(0, len(b), 2000):
+                part = b.iloc[a : a + 2000]
+                y = _unit(_matrix(part["v"]))
+                i, j = np.nonzero(x @ y.T >= threshold)
+                other = (h1[i] != part["h1"].to_numpy()[j]) | (rep[i] != part["rep"].to_numpy()[j])
+                i, j = i[other], j[other]
+                if len(i):
+                    near, at = np.unique(j, return_inverse=True)
+                    there = q.home(y[near])
+                    back = q.borders(y[near], there)
+                    need = np.minimum(far[i, there[at]], back[at, home[i]])
+                    total += np.bincount(np.minimum(bins, np.ceil(need / most * bins)).astype(int), minlength=bins + 1)
+        yield pd.DataFrame({"bin": np.arange(bins + 1), "n": total})
+
+    got = reps.select("h1", "rep", "v").mapInPandas(met, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
+    n = got["n"].to_numpy(np.int64)
+    if n.sum() < LEAST_PAIRS:
+        return most
+    last = int(np.searchsorted(np.cumsum(n), recall * n.sum()))
+    return most * min(bins, last + 1) / bins
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, parts: int = 8, codes: int = 256, recall: float = 0.9995, fit_rows: int = FIT_ROWS, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row; links are pairs with cosine at ``threshold`` or above.
 
-    Unit vectors are dealt to inverted lists (about the root of their number, 1024 at most;
-    k-means on a bounded sample) and coded by subspace codebooks of their residuals. A
-    vector probes every list whose border with its own lies within half the distance of
-    neighbours at the threshold; the pair counts if either of the two probes the other's
-    list. One of the two always does, whatever the vectors' distribution: their distances
-    to the border between their lists add up to no more than their own. Table-lookup
-    distances rule out what can't be near: the bound adds the coded vector's own error, so
-    it loses no pair. The rest is decided by the exact cosine in double precision.
+    Unit vectors are dealt to inverted lists (about the root of their number, ``MAX_LISTS``
+    at most; k-means on a bounded sample) and coded by subspace codebooks of their residuals.
+    A vector probes every list whose border with its own lies within a margin; a pair is met
+    if either of the two probes the other's list. The margin is learnt from the links of
+    tried vectors, so that ``recall`` of these are met, whatever the vectors' distribution;
+    up to ``TRIED_NEAR`` rows all are tried. Lists travel as packed codes to the vectors that
+    probe them. Table-lookup distances rule out what can't be near: the bound adds the coded
+    vector's own error, so it loses no pair. Vectors are fetched only for rows with a pair
+    that passes, and the exact cosine in double precision decides.
 
     Vectors that are null, empty, zero, of another length than most, or hold a null or
     non-finite component link with nothing. Equal vectors are compared once and counted
@@ -140,78 +191,103 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, parts: int = 8,
     single = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
         return single
-    some = reps.orderBy(F.xxhash64(F.lit(4), "rep"), "rep").limit(min(fit_rows, max(256, FIT_COMPONENTS // dim))).select("v").toPandas()
-    lists = int(min(1024, max(1, round(math.sqrt(n)))))
+    lists = int(min(MAX_LISTS, max(1, round(math.sqrt(n)))))
+    bound = max(256, FIT_COMPONENTS // dim)
+    some = reps.orderBy(F.xxhash64(F.lit(4), "rep"), "rep").limit(min(max(fit_rows, ROWS_A_LIST * lists), bound)).select("v").toPandas()
     q = Quantiser.fit(_unit(_matrix(some["v"])), lists, parts, codes)
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(q)
+    margin = _margin(reps, q, threshold, min(TRIED_NEAR, bound), recall)
+    shared = vectors.sparkSession.sparkContext.broadcast(q)
     reach = math.sqrt(2 - 2 * threshold)
     kind = dict(reps.dtypes)["v"]
 
-    def dealt(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row in its own list, and a query in each list it probes."""
+    def coding(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = shared.value
         for b in it:
-            if not len(b):
-                continue
-            x = _unit(_matrix(b["v"]))
-            home = q.home(x)
-            code, miss = q.encode(x, home)
-            hit = q.probes(x, home, reach / 2 + 1e-9)
-            every = [np.flatnonzero(h).astype(np.int32) for h in hit]
-            base = pd.DataFrame({"h1": b["h1"], "rep": b["rep"], "m": b["m"], "v": b["v"], "home": home.astype(np.int32), "probes": every, "miss": miss})
-            data = base.assign(one=home.astype(np.int32), query=False, code=[c.tobytes() for c in code])
-            at = np.repeat(np.arange(len(b)), hit.sum(1))
-            asked = base.iloc[at].assign(one=np.concatenate(every), query=True, code=None, probes=None)
-            for part in (data, asked):
-                for a in range(0, len(part), 5000):
-                    yield part.iloc[a : a + 5000][["one", "query", "h1", "rep", "m", "v", "home", "probes", "miss", "code"]]
-
-    shape = f"one int, query boolean, h1 long, rep long, m long, v {kind}, home int, probes array<int>, miss double, code binary"
-    all_rows = written(reps.select("h1", "rep", "m", "v").mapInPandas(dealt, shape))
-    sizes = all_rows.groupBy("one").agg(
-        F.ceil(F.sum(F.when(F.col("query"), 0).otherwise(1)) / F.lit(DATA_BLOCK)).cast("int").alias("nd"), F.ceil(F.sum(F.when(F.col("query"), 1).otherwise(0)) / F.lit(QUERY_BLOCK)).cast("int").alias("nq")
-    )  # 1024 rows at most
-    wide = all_rows.join(F.broadcast(sizes), "one").where("nd > 0")
-    own = F.pmod(F.xxhash64("h1", "rep"), F.when(F.col("query"), F.col("nq")).otherwise(F.col("nd"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("nd")).otherwise(F.col("nq")) - 1))
-    wide = wide.withColumn("own", own).withColumn("other", other)
-    wide = wide.withColumn("db", F.when(F.col("query"), F.col("other")).otherwise(F.col("own"))).withColumn("qb", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")))
+            for a in range(0, len(b), 2000):
+                part = b.iloc[a : a + 2000]
+                x = _unit(_matrix(part["v"]))
+                home = q.home(x)
+                code, miss = q.encode(x, home)
+                probes = [np.flatnonzero(r).astype(np.int32) for r in q.borders(x, home) <= margin]
+                yield part.assign(home=home.astype(np.int32), miss=miss, code=[c.tobytes() for c in code], probes=probes)
+
+    coded = written(reps.select("h1", "rep", "m", "v").mapInPandas(coding, f"h1 long, rep long, m long, v {kind}, home int, miss double, code binary, probes array<int>"))
+    sizes = coded.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(DATA_BLOCK)).cast("int").alias("nd"), F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("nq"))
+    place = coded.join(F.broadcast(sizes), "home")  # a row per list
+    mixed = F.xxhash64("h1", "rep")
+    asks = place.withColumn("qb", F.pmod(mixed, "nq").cast("int"))
+
+    def packing(g: pd.DataFrame) -> pd.DataFrame:
+        pack = {k: [g[k].to_numpy(t).tobytes()] for k, t in (("h1", np.int64), ("rep", np.int64), ("miss", np.float32))}
+        return pd.DataFrame({"one": [g["home"].iloc[0]], "db": [g["db"].iloc[0]], "codes": [b"".join(g["code"])]} | pack)
+
+    packs = written(per_group(place.withColumn("db", F.pmod(mixed, "nd").cast("int")).select("home", "db", "h1", "rep", "miss", "code"), ["home", "db"], [], packing, "one int, db int, codes binary, h1 binary, rep binary, miss binary"))
+    wanted = asks.select("home", "qb", F.explode("probes").alias("one")).distinct()
+    none = lambda t: F.lit(None).cast(t)
+    asking = asks.select("home", "qb", F.lit(-1).alias("one"), F.lit(-1).alias("db"), F.col("h1").alias("id"), "rep", "v", "probes", *[none("binary").alias(c) for c in ("codes", "h1s", "reps", "miss")])
+    shipped = wanted.join(packs, "one").select("home", "qb", "one", "db", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("rep"), none(kind).alias("v"), none("array<int>").alias("probes"), "codes", F.col("h1").alias("h1s"), F.col("rep").alias("reps"), "miss")
+    dealt = asking.union(shipped).repartition("home", "qb").sortWithinPartitions("home", "qb", "one", "db")
+
+    def looking(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Streams each query block, then the packs it probes; out come rows of either side that have a pair within the bound."""
+        q = shared.value
+        block, held, out = None, [], []
+        for b in it:
+            for r in b.itertuples(index=False):
+                if (r.home, r.qb) != block:
+                    block, held, x = (r.home, r.qb), [], None
+                if r.one < 0:
+                    held.append((r.id, r.rep, r.v, r.probes))
+                    continue
+                if x is None:
+                    h, p = (np.array([c[k] for c in held], dtype=np.int64) for k in (0, 1))
+                    x = _unit(np.stack([c[2] for c in held]).astype(np.float64))
+                    probed = np.zeros((len(held), len(q.coarse)), dtype=bool)
+                    for k, c in enumerate(held):
+                        probed[k, c[3]] = True
+                who = np.flatnonzero(probed[:, r.one])
+                dh, dr = np.frombuffer(r.h1s, np.int64), np.frombuffer(r.reps, np.int64)
+                far = q.distances(x[who], r.one, np.frombuffer(r.codes, np.uint8).reshape(len(dh), -1))
+                near = far <= ((reach + np.frombuffer(r.miss, np.float32) + np.float32(1e-3)) ** 2)[None, :]
+                if r.one == r.home:
+                    near &= (h[who][:, None] != dh[None, :]) | (p[who][:, None] != dr[None, :])
+                i, j = who[near.any(1)], np.flatnonzero(near.any(0))
+                if len(i):
+                    k = len(i) + len(j)
+                    out.append(pd.DataFrame({"home": np.full(k, r.home), "qb": r.qb, "one": r.one, "db": r.db, "query": np.arange(k) < len(i), "h1": np.concatenate([h[i], dh[j]]), "rep": np.concatenate([p[i], dr[j]])}))
+                if sum(map(len, out)) > 5000:
+                    yield pd.concat(out, ignore_index=True)
+                    out = []
+        if out:
+            yield pd.concat(out, ignore_index=True)
+        release()
+
+    need = written(dealt.mapInPandas(looking, "home int, qb int, one int, db int, query boolean, h1 long, rep long"))
+    side = need.join(coded.select("h1", "rep", "m", "v", F.col("home").alias("own"), "probes"), ["h1", "rep"])
+    # of the other side's probes only whether the asking list is among them matters
+    side = side.withColumn("back", F.array_contains("probes", F.col("home"))).drop("probes", "own")
 
     def compared(g: pd.DataFrame) -> pd.DataFrame | None:
-        q = shared.value
         asks = g["query"].to_numpy(bool)
         d, s = g[~asks], g[asks]
         if not len(d) or not len(s):
             return None
-        one = int(g["one"].iloc[0])
-        y, x = _unit(_matrix(d["v"])), _unit(_matrix(s["v"]))
-        code = np.frombuffer(b"".join(d["code"]), dtype=np.uint8).reshape(len(d), -1)
-        far = q.distances(x, one, code)
-        bound = (reach + d["miss"].to_numpy() + 1e-3) ** 2
-        i, j = np.nonzero(far <= bound[None, :].astype(np.float32))
-        hi, hj = s["h1"].to_numpy(), d["h1"].to_numpy()
-        ri, rj = s["rep"].to_numpy(), d["rep"].to_numpy()
-        home = s["home"].to_numpy()
+        home, one = int(g["home"].iloc[0]), int(g["one"].iloc[0])
+        y, x = _scaled(_matrix(d["v"])), _scaled(_matrix(s["v"]))
+        near = x @ y.T >= (threshold - 1e-9) * np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] * np.sqrt(np.einsum("ij,ij->i", y, y))[None, :]
+        hi, hj, ri, rj = s["h1"].to_numpy(), d["h1"].to_numpy(), s["rep"].to_numpy(), d["rep"].to_numpy()
         # each pair once: within a list by order, across lists from the side that alone probes, or the smaller list
-        inside = home[i] == one
-        before = (ri[i] < rj[j]) | ((ri[i] == rj[j]) & (hi[i] < hj[j]))
-        keep = ~inside | before
-        i, j = i[keep], j[keep]
+        if home == one:
+            near &= (ri[:, None] < rj[None, :]) | ((ri[:, None] == rj[None, :]) & (hi[:, None] < hj[None, :]))
+        elif home > one:
+            near &= ~d["back"].to_numpy(bool)[None, :]
+        i, j = np.nonzero(near)
+        dot = lambda a, b: np.concatenate([np.einsum("ij,ij->i", a[k : k + 65536], b[k : k + 65536]) for k in range(0, max(1, len(a)), 65536)])
         if not len(i):
             return None
-        if len(i) * 8 > len(x) * len(y):
-            cos = (x @ y.T)[i, j]
-        else:
-            cos = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], y[j[a : a + 65536]]) for a in range(0, len(i), 65536)])
-        hit = cos >= threshold - 1e-15
+        nx, ny = np.sqrt(dot(x, x)), np.sqrt(dot(y, y))
+        hit = np.concatenate([dot(x[i[a : a + 65536]], y[j[a : a + 65536]]) for a in range(0, len(i), 65536)]) / (nx[i] * ny[j]) >= threshold
         i, j = i[hit], j[hit]
-        if len(i) and (home[i] != one).any():
-            probes = d["probes"].to_numpy()
-            probed = np.zeros((len(d), len(q.coarse)), dtype=bool)
-            probed[np.repeat(np.arange(len(d)), [len(p) for p in probes]), np.concatenate(probes)] = True
-            drop = (home[i] > one) & probed[j, home[i]]
-            i, j = i[~drop], j[~drop]
         if not len(i):
             return None
         md, ms = d["m"].to_numpy(), s["m"].to_numpy()
@@ -224,8 +300,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, parts: int = 8,
         h, r = np.concatenate([hi, hj]), np.concatenate([ri, rj])
         return pd.DataFrame({"h1": h[at], "rep": r[at], "root": r[root[at]], "links": degree[at]})
 
-    names = ["one", "db", "qb", "query", "h1", "rep", "m", "v", "home", "probes", "miss", "code"]
-    found = written(per_group(wide.select(*names), ["one", "db", "qb"], [], compared, "h1 long, rep long, root long, links long"))
+    names = ["home", "qb", "one", "db", "query", "h1", "rep", "m", "v", "back"]
+    found = written(per_group(side.select(*names), ["home", "qb", "one", "db"], [], compared, "h1 long, rep long, root long, links long"))
     more = found.groupBy("h1", "rep").agg(F.sum("links").alias("more"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
     known = reps.select("h1", "h2", "rep", "m").join(more, ["h1", "rep"], "left").join(comp, "rep", "left")

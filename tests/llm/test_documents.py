@@ -330,7 +330,7 @@ def planted(seed, edits, n=150):
 
 def test_prefixes_are_shortened_as_far_as_the_data_ask(spark, monkeypatch):
     levels, level = [], forest._level
-    monkeypatch.setattr(forest, "_level", lambda *a: (levels.append(a[2]), level(*a))[1])
+    monkeypatch.setattr(forest, "_level", lambda *a: (levels.append(a[3]), level(*a))[1])
     near = forest.join(docs(spark, planted(1, 0) + [(1000 + i, t + " z") for i, (_, t) in enumerate(planted(1, 0)[::2])])).collect()
     assert levels == [8] and sum(r["n_links"] for r in near) == 150 * 2 + 2 * 300
     levels.clear()
