@@ -314,19 +314,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, parts: int = 8,
 
 # ---------------------------------------------------------------- p-stable hashing
 
-TABLES, HASHES, CELLS, WIDTH = 4, 6, 4, 1.5
-#: Rows up to which a table is searched whole; rows of a shelf and queries that meet it in one task.
-WHOLE, SHELF, ASKED = 8192, 32_768, 4096
+TABLES, WIDTH = 4, 1.5
+#: Rows of a filled bucket, about; hash functions of a table, at most.
+BUCKET_ROWS, MOST_HASHES = 64, 16
+#: Rows of a shelf and queries that meet it in one task.
+SHELF, ASKED = 32_768, 4096
 #: Queries whose true neighbours are looked up to learn where neighbours lie.
 TRIED = 200
+#: Buckets of smaller chance are not visited, whatever share is asked for.
+LEAST_CHANCE = 1e-9
 
 
 @dataclass
 class Hashes:
-    """``TABLES`` tables of ``HASHES`` functions floor((a.x + b) / w) with a normal, cut to ``CELLS`` cells.
+    """``TABLES`` tables of functions floor((a.x + b) / w) with a normal; a bucket is the row of its functions' cells.
 
     Vectors are lengthened by one component to a common norm, which makes the largest
-    inner product the smallest distance.
+    inner product the smallest distance. The number of functions grows with the logarithm
+    of the number of rows, so that buckets stay of about one size.
     """
 
     a: np.ndarray  # tables x hashes x dim
@@ -340,24 +345,32 @@ class Hashes:
     spread: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, x: np.ndarray, norm: float, scale: float, seed: int = 11) -> Hashes:
+    def fit(cls, x: np.ndarray, norm: float, scale: float, rows: int, seed: int = 11) -> Hashes:
         rng = np.random.default_rng(seed)
-        a = rng.standard_normal((TABLES, HASHES, x.shape[1] + 1))
+        # a normal in cells of 1.5 deviations fills about 2.75 of them
+        hashes = int(np.clip(round(math.log(max(1, rows / BUCKET_ROWS), 2.75)), 2, MOST_HASHES))
+        a = rng.standard_normal((TABLES, hashes, x.shape[1] + 1))
         p = np.einsum("nd,thd->nth", cls._long(x / scale, norm), a)
-        mean, sd = p.mean(0), np.maximum(p.std(0), 1e-12)
-        w = WIDTH * sd
-        b = (rng.random((TABLES, HASHES)) - 0.5) * w * 0.5 - mean + w * CELLS / 2
-        return cls(a, b, w, norm, scale)
+        w = WIDTH * np.maximum(p.std(0), 1e-12)
+        h = cls(a, rng.random((TABLES, hashes)) * w - p.mean(0), w, norm, scale)
+        h.base, h.slope, h.spread = p.mean(0), np.zeros_like(w), w / WIDTH  # until neighbours are known
+        return h
 
     @staticmethod
     def _long(x: np.ndarray, norm: float) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(0, norm**2 - (x * x).sum(1)))[:, None]], axis=1)
 
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """(n, tables, hashes): each row's cells."""
+        return np.floor((np.einsum("nd,thd->nth", self._long(x / self.scale, self.norm), self.a) + self.b) / self.w).astype(np.int64)
+
     def bucket(self, x: np.ndarray) -> np.ndarray:
-        """(n, tables): each row's bucket number, below CELLS ** HASHES."""
-        p = np.einsum("nd,thd->nth", self._long(x / self.scale, self.norm), self.a)
-        h = np.clip(np.floor((p + self.b) / self.w), 0, CELLS - 1).astype(np.int64)
-        return (h * CELLS ** np.arange(HASHES)[::-1]).sum(-1)
+        """(n, tables): each row's bucket, a hash of its cells."""
+        c = self.cells(x)
+        key = np.zeros(c.shape[:2], dtype=np.uint64)
+        for h in range(c.shape[2]):
+            key = _entered(key, c[:, :, h])
+        return key.view(np.int64)
 
     def asked(self, q: np.ndarray) -> np.ndarray:
         """(n, tables, hashes): projections of queries, at the common norm."""
@@ -369,42 +382,59 @@ class Hashes:
         mx, mp = x.mean(0), p.mean(0)
         self.slope = ((x - mx) * (p - mp)).sum(0) / np.maximum(((x - mx) ** 2).sum(0), 1e-300)
         self.base = mp - self.slope * mx
-        self.spread = np.maximum((p - self.base - self.slope * x).std(0), 1e-6 * self.w)
-
-    def odds(self, q: np.ndarray) -> np.ndarray:
-        """(n, tables, buckets): chance that a neighbour lies in a bucket, the product of its cells' chances."""
-        at = self.base + self.slope * self.asked(q)
-        edge = np.arange(1, CELLS)[None, None, None, :] * self.w[None, :, :, None] - self.b[None, :, :, None]
-        z = (edge - at[..., None]) / self.spread[None, :, :, None]
-        cdf = 0.5 * (1 + _erf(z / math.sqrt(2)))
-        cell = np.diff(np.concatenate([np.zeros((*cdf.shape[:3], 1)), cdf, np.ones((*cdf.shape[:3], 1))], axis=3), axis=3)
-        out = np.ones((len(q), TABLES, 1))
-        for h in range(HASHES):
-            out = (out[..., None] * cell[:, :, h, None, :]).reshape(len(q), TABLES, -1)
-        return out
+        self.spread = np.maximum((p - self.base - self.slope * x).std(0), 1e-3 * self.w)
+
+    def chances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first cell, chance of each cell from there on) by query, table and hash: where a neighbour lies."""
+        at, spread = self.base + self.slope * self.asked(q), np.broadcast_to(self.spread, (len(q), *self.spread.shape))
+        low = np.floor((at - 4 * spread + self.b) / self.w).astype(np.int64)
+        wide = int((np.floor((at + 4 * spread + self.b) / self.w) - low).max()) + 1
+        edge = (low[..., None] + np.arange(wide + 1)) * self.w[None, :, :, None] - self.b[None, :, :, None]
+        return low, np.diff(0.5 * (1 + _erf((edge - at[..., None]) / spread[..., None] / math.sqrt(2))), axis=3)
 
-    def mass_needed(self, q: np.ndarray, y: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def mass_needed(self, q: np.ndarray, y: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Of each neighbour y of query ``owner``: the share of chance its query has to visit in every table until one table holds it."""
-        bucket = self.bucket(y)
-        need = np.empty(len(y))
+        bucket, need = self.bucket(y), np.ones((TABLES, len(y)))
         for i in np.unique(owner):
-            odds = self.odds(q[i : i + 1])[0]
+            low, p = self.chances(q[i : i + 1])
             mine = np.flatnonzero(owner == i)
-            each = np.empty((TABLES, len(mine)))
             for t in range(TABLES):
-                order, total = visiting_order(odds[t], counts[t])
-                place = np.empty(len(odds[t]), dtype=np.int64)
-                place[order] = np.arange(len(order))
-                each[t] = (total[place[bucket[mine, t]]] - odds[t][bucket[mine, t]] * 0.999) / total[-1]
-            need[mine] = each.min(0)
-        return need
+                keys, odds = visits(low[0, t], p[0, t], 1.0)
+                total = np.cumsum(odds)
+                by = np.argsort(keys)
+                at = by[np.minimum(np.searchsorted(keys[by], bucket[mine, t]), len(by) - 1)]
+                need[t, mine] = np.where(keys[at] == bucket[mine, t], total[at] - odds[at] * 0.999, 1.0)
+        return need.min(0)
+
+
+def _entered(key: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    key = (key ^ (cell + (1 << 20)).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(29))
+
 
+def visits(low: np.ndarray, p: np.ndarray, share: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, their chances), likeliest first, until ``share`` of all chance is visited.
 
-def visiting_order(odds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Filled buckets, likeliest first, and the running sum of their chances."""
-    full = np.flatnonzero(counts)
-    order = full[np.argsort(-odds[full], kind="stable")]
-    return order, np.cumsum(np.maximum(odds[order], 1e-300))
+    The likeliest bucket's cells are perturbed hash by hash; a partial row of cells that
+    can't reach the least chance still wanted, whatever its other cells, is not followed.
+    That least chance is lowered until the share is there (or ``most`` buckets are).
+    """
+    best = np.append(np.cumprod(p.max(axis=1)[::-1])[::-1], 1.0)  # of the hashes still to come
+    least = best[0]
+    while True:
+        least = max(least / 8, LEAST_CHANCE)
+        keys, odds = np.zeros(1, dtype=np.uint64), np.ones(1)
+        for h in range(len(low)):
+            cells = np.flatnonzero(p[h] > 0)
+            odds = (odds[:, None] * p[h][None, cells]).ravel()
+            keys = _entered(np.repeat(keys, len(cells)), np.tile(low[h] + cells, len(keys)))
+            follow = odds * best[h + 1] >= least
+            keys, odds = keys[follow], odds[follow]
+        if odds.sum() >= share or least <= LEAST_CHANCE or len(odds) > most:
+            order = np.argsort(-odds, kind="stable")
+            total = np.cumsum(odds[order])
+            order = order[: np.searchsorted(total, share) + 1]
+            return keys[order].view(np.int64), odds[order]
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
@@ -414,16 +444,22 @@ def _erf(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * (1 - poly * np.exp(-x * x))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95, fit_rows: int = FIT_ROWS, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def _exact_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner product of one vector with rows, summed in one order whatever else is in the task: equal vectors score alike."""
+    return np.add.reduce(np.ascontiguousarray(y * x), axis=1)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.96, fit_rows: int = FIT_ROWS, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query, its own id excepted.
 
     Every row is in a bucket of each table. A query visits buckets in the order of their
     estimated chance to hold a neighbour, up to a share of all chance. A bounded set of
     tried queries, searched against all rows, teaches where neighbours lie and which share
-    finds ``recall`` of theirs, so the share follows the data and its size. Candidates of all tables are merged and ranked by the inner
-    product in double precision, ties to the smaller id. Neighbouring buckets share a
-    shelf of bounded size, one task per shelf block and query block; a large bucket is cut
-    into several blocks. A small table is searched whole.
+    finds ``recall`` of theirs, so the share follows the data and its size. Candidates of
+    all tables are merged and ranked by the inner product in double precision, ties to the
+    smaller id. Buckets are dealt to shelves of bounded size, one task per shelf block and
+    query block; a shelf with a large bucket is cut into several blocks. A query that finds
+    fewer than k looks at all rows.
 
     Vectors that are null, empty, zero, of another length than most or hold a null or
     non-finite component take no part on either side, nor do null ids. Repeated rows count
@@ -439,117 +475,120 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     dim = common_length(data, "v")
     data = written(data.where(F.size("v") == F.lit(dim)).dropDuplicates(["id", "v"]))
     asked = written(clean(queries).where(F.size("v") == F.lit(dim)).dropDuplicates(["id", "v"]))
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = data.count()
+    known = data.agg(F.count(F.lit(1)), F.countDistinct("id"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()
+    n, ids, scale = known
     if not n or asked.isEmpty():
-        return empty
-    scale = data.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()[0]
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     part = lambda x: x.cast("double") / F.lit(scale)
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + part(x) * part(x))
     norm = float(np.sqrt(data.agg(F.max(square)).first()[0])) * (1 + 1e-12)
     some = _matrix(data.orderBy(F.xxhash64(F.lit(6), "id"), "id").limit(min(fit_rows, max(256, FIT_COMPONENTS // dim))).select("v").toPandas()["v"])
-    h = Hashes.fit(some, norm, scale)
-    pairs = _true_neighbours(data, asked.orderBy(F.xxhash64(F.lit(8), "id"), "id").limit(TRIED).toPandas(), k) if n > WHOLE else None
+    h = Hashes.fit(some, norm, scale, n)
+    pairs = _true_neighbours(data, asked.orderBy(F.xxhash64(F.lit(8), "id"), "id").limit(TRIED).toPandas(), min(k, ids - 1)) if ids > 1 else None
+    share = 1.0
     if pairs is not None:
         h.learn(pairs[0][pairs[2]], pairs[1])
+        share = float(np.quantile(h.mass_needed(*pairs), recall))
     shared = spark.sparkContext.broadcast(h)
     kind = dict(data.dtypes)["v"]
+    shelf_rows = int(min(SHELF, max(1024, FIT_COMPONENTS // dim)))
+    shelves = -(-n // shelf_rows)
+
+    def shelf_of(bucket: np.ndarray) -> np.ndarray:
+        return ((bucket.view(np.uint64) >> np.uint64(33)) % np.uint64(shelves)).astype(np.int32)
 
-    def bucketed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shelved(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             if len(b):
                 at = shared.value.bucket(_matrix(b["v"]))
                 for t in range(TABLES):
-                    yield pd.DataFrame({"t": np.full(len(b), t, np.int32), "bucket": at[:, t].astype(np.int32), "id": b["id"], "v": b["v"]})
-
-    index = written(data.mapInPandas(bucketed, f"t int, bucket int, id long, v {kind}"))
-    counts = np.zeros((TABLES, CELLS**HASHES), dtype=np.int64)
-    for r in index.groupBy("t", "bucket").count().collect():  # TABLES x CELLS ** HASHES rows at most
-        counts[r["t"], r["bucket"]] = r["count"]
-    share = float(np.quantile(h.mass_needed(*pairs, counts), recall)) if pairs is not None else 2.0
-    # shelves: runs of buckets of about SHELF rows (fewer where vectors are long); a shelf has as many blocks as its rows need
-    before = np.cumsum(counts, axis=1) - counts
-    shelf_rows = int(min(SHELF, max(1024, FIT_COMPONENTS // dim)))
-    shelf = (before // shelf_rows).astype(np.int32)
-    load = [np.bincount(shelf[t], weights=counts[t]) for t in range(TABLES)]
-    blocks = np.ones((TABLES, max(map(len, load))), dtype=np.int32)
-    for t, x in enumerate(load):
-        blocks[t, : len(x)] = np.maximum(1, np.ceil(x / (1.5 * shelf_rows)))
-    plan = spark.sparkContext.broadcast((counts, shelf, blocks))
-
-    def shelved(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, shelf, blocks = plan.value
-        for b in it:
-            t, bucket = b["t"].to_numpy(), b["bucket"].to_numpy()
-            s = shelf[t, bucket]
-            nb = blocks[t, s].astype(np.int64)
-            mixed = (b["id"].to_numpy(np.int64) * np.int64(0x9E3779B1)) >> np.int64(16)
-            yield b.assign(shelf=s, blk=(mixed % nb).astype(np.int32))[["t", "shelf", "blk", "bucket", "id", "v"]]
+                    one = np.ascontiguousarray(at[:, t])
+                    yield pd.DataFrame({"t": np.full(len(b), t, np.int32), "shelf": shelf_of(one), "bucket": one, "id": b["id"], "v": b["v"]})
+        release()
 
     def visiting(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h, (counts, shelf, blocks) = shared.value, plan.value
+        h = shared.value
         for whole in it:
-            for a in range(0, len(whole), 128):
-                b = whole.iloc[a : a + 128]
-                odds = h.odds(_matrix(b["v"])) if share <= 1 else None
+            for a in range(0, len(whole), 256):
+                b = whole.iloc[a : a + 256]
+                low, p = h.chances(_matrix(b["v"]))
                 rows = []
                 for i, (qid, v) in enumerate(zip(b["id"], b["v"], strict=True)):
                     for t in range(TABLES):
-                        if odds is None:
-                            seen = np.flatnonzero(counts[t])
-                            if t:
-                                continue  # one table holds every row
-                        else:
-                            order, total = visiting_order(odds[i, t], counts[t])
-                            need = max(np.searchsorted(total, share * total[-1]), np.searchsorted(np.cumsum(counts[t, order]), 4 * k))
-                            seen = np.sort(order[: need + 1])
-                        on = shelf[t, seen]
-                        for s in np.unique(on):
-                            part = seen[on == s].astype(np.int32)
-                            for blk in range(blocks[t, s]):
-                                rows.append((t, s, blk, qid, v, part))
-                for z in range(0, len(rows), 4000):
-                    yield pd.DataFrame(rows[z : z + 4000], columns=["t", "shelf", "blk", "id", "v", "seen"])
-
-    d = index.mapInPandas(shelved, f"t int, shelf int, blk int, bucket int, id long, v {kind}")
-    s = written(asked.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(visiting, f"t int, shelf int, blk int, id long, v {kind}, seen array<int>"))
-    grid = s.groupBy("t", "shelf", "blk").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKED)).cast("int").alias("nq"))
-    both = s.select("t", "shelf", "blk", F.lit(None).cast("int").alias("bucket"), "id", "v", "seen").join(grid, ["t", "shelf", "blk"]).withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int")).drop("nq")
-    d = d.join(grid, ["t", "shelf", "blk"]).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    both = both.union(d.select("t", "shelf", "blk", "bucket", "id", "v", F.lit(None).cast("array<int>").alias("seen"), "qb"))
+                        seen = visits(low[i, t], p[i, t], share)[0]
+                        on = shelf_of(seen)
+                        by = np.argsort(on, kind="stable")
+                        first = np.flatnonzero(np.append(True, np.diff(on[by]) > 0))
+                        rows += [(t, int(on[by[x]]), qid, v, seen[by[x:z]]) for x, z in zip(first, [*first[1:], len(by)], strict=True)]
+                for z in range(0, len(rows), 1000):
+                    yield pd.DataFrame(rows[z : z + 1000], columns=["t", "shelf", "id", "v", "seen"])
+        release()
+
+    index = written(data.mapInPandas(shelved, f"t int, shelf int, bucket long, id long, v {kind}"))
+    cut = index.groupBy("t", "shelf").agg(F.ceil(F.count(F.lit(1)) / F.lit(1.5 * shelf_rows)).cast("int").alias("nb"))  # a row per shelf
+    cut = written(cut)
+    d = index.join(F.broadcast(cut), ["t", "shelf"]).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).drop("nb")
+
+    def search(s: DataFrame) -> DataFrame:
+        """The best of each query (t, shelf, id, v, seen) among the rows of its buckets on a shelf, or among all where ``seen`` is null."""
+        s = written(s.join(F.broadcast(cut), ["t", "shelf"]).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb"))
+        grid = s.groupBy("t", "shelf", "blk").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKED)).cast("int").alias("nq"))
+        both = s.join(grid, ["t", "shelf", "blk"]).withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int"))
+        both = both.select("t", "shelf", "blk", "qb", F.lit(True).alias("query"), F.lit(0).cast("long").alias("bucket"), "id", "v", "seen")
+        met = d.join(grid, ["t", "shelf", "blk"]).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+        both = both.union(met.select("t", "shelf", "blk", "qb", F.lit(False), "bucket", "id", "v", F.lit(None).cast("array<long>")))
+        found = per_group(both, ["t", "shelf", "blk", "qb"], [], ranked, "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     def ranked(g: pd.DataFrame) -> pd.DataFrame | None:
-        is_q = g["bucket"].isna().to_numpy()
+        is_q = g["query"].to_numpy(bool)
         q, d = g[is_q], g[~is_q]
         if not len(q) or not len(d):
             return None
-        y, at, ids = _matrix(d["v"]), d["bucket"].to_numpy(np.int64), d["id"].to_numpy(np.int64)
-        low = at.min()
+        y, ids = _matrix(d["v"]), d["id"].to_numpy(np.int64)
+        filled, at = np.unique(d["bucket"].to_numpy(np.int64), return_inverse=True)
+        longest = np.sqrt(np.einsum("ij,ij->i", y / scale, y / scale).max())
         out = []
         for a in range(0, len(q), 128):
             part = q.iloc[a : a + 128]
-            qid = part["id"].to_numpy(np.int64)
-            score = _matrix(part["v"]) @ y.T
-            visits = np.zeros((len(part), at.max() - low + 1), dtype=bool)
-            for i, seen in enumerate(part["seen"]):
-                seen = seen[(seen >= low) & (seen - low < visits.shape[1])]
-                visits[i, seen - low] = True
-            score[~visits[:, at - low] | (qid[:, None] == ids[None, :])] = -np.inf
-            top = np.argpartition(-score, k - 1, axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), score.shape)
-            best = np.take_along_axis(score, top, 1)
-            if len(ids) > k:  # ties at the last place go to the smaller id
-                last = best.min(1)
-                for i in np.flatnonzero(((score == last[:, None]).sum(1) > (best == last[:, None]).sum(1)) & np.isfinite(last)):
-                    o = np.lexsort((ids, -score[i]))[:k]
-                    top[i], best[i] = o, score[i, o]
-            i, j = np.nonzero(np.isfinite(best))
-            out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[top[i, j]], "score": best[i, j]}))
-        return pd.concat(out, ignore_index=True)
-
-    found = per_group(both, ["t", "shelf", "blk", "qb"], [], ranked, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            qid, x = part["id"].to_numpy(np.int64), _matrix(part["v"])
+            seen = np.zeros((len(part), len(filled)), dtype=bool)
+            for i, b in enumerate(part["seen"]):
+                if b is None:
+                    seen[i] = True
+                else:
+                    on = np.minimum(np.searchsorted(filled, b), len(filled) - 1)
+                    seen[i, on[filled[on] == b]] = True
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = x @ y.T
+                # what may be among the best, were it summed otherwise, is scored again in one fixed order
+                slack = 1e-12 * np.sqrt(np.einsum("ij,ij->i", x / scale, x / scale)) * longest * scale * scale
+            score[~seen[:, at] | (qid[:, None] == ids[None, :])] = -np.inf
+            last = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1] - slack
+            for i in range(len(part)):
+                top = np.flatnonzero((score[i] >= last[i]) & (score[i] > -np.inf))
+                if len(top):
+                    with np.errstate(over="ignore"):
+                        exact = _exact_products(x[i], y[top])
+                    o = np.lexsort((ids[top], -exact))[:k]
+                    out.append((np.full(len(o), qid[i]), ids[top[o]], exact[o]))
+        if not out:
+            return None
+        return pd.DataFrame(dict(zip(["query_id", "vec_id", "score"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    s = asked.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(visiting, f"t int, shelf int, id long, v {kind}, seen array<long>")
+    best = written(_best(search(s), k))
+    enough = best.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= min(k, ids - 1)).select("id")
+    short = asked.join(enough, "id", "left_anti")
+    if ids > 1 and not short.isEmpty():
+        everywhere = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(int(shelves) - 1))).alias("shelf"), "id", "v", F.lit(None).cast("array<long>").alias("seen"))
+        best = best.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").union(_best(search(everywhere), k).select(best.columns))
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _true_neighbours(data: DataFrame, tried: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -561,7 +600,8 @@ def _true_neighbours(data: DataFrame, tried: pd.DataFrame, k: int) -> tuple[np.n
         held = None
         for b in it:
             if len(b):
-                s = q @ _matrix(b["v"]).T
+                with np.errstate(over="ignore", invalid="ignore"):
+                    s = q @ _matrix(b["v"]).T
                 s[ids[:, None] == b["id"].to_numpy(np.int64)[None, :]] = -np.inf
                 at = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
                 i = np.repeat(np.arange(len(q)), at.shape[1])
