@@ -42,10 +42,9 @@ def bigrams(tokens: Column) -> Column:
     return F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def terms(t: Column) -> Column:
-    """Unigrams and bigrams."""
-    k = word_tokens(t)
-    return F.concat(k, bigrams(k))
+def terms(tokens: Column) -> Column:
+    """Unigrams and bigrams of a column of tokens (a column, as an expression would be worked out for each use)."""
+    return F.concat(tokens, bigrams(tokens))
 
 
 def content_tokens(t: Column) -> Column:
@@ -79,7 +78,7 @@ def markers(t: Column) -> Column:
 
 
 def chunk_words(w: Column, max_words: int, overlap: int) -> Column:
-    """Overlapping runs of words; the chunk that reaches the end is the last. Short tails stay: they hold more than the overlap, so merging them back would pass the limit."""
+    """Overlapping runs of words of a column (not an expression, which each chunk would work out again); the chunk that reaches the end is the last. Short tails stay: they hold more than the overlap, so merging them back would pass the limit."""
     if not 0 <= overlap < max_words:
         raise ValueError("the overlap must be smaller than the chunk")
     step = max_words - overlap

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,37 +21,23 @@ LINE_TAGS = frozenset(
 HIDDEN_TAGS = frozenset("script style noscript svg".split())
 
 
-class _Visible(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.hidden, self.parts = 0, []
-
-    def _line(self, tag: str) -> None:
-        if not self.hidden and tag in LINE_TAGS:
-            self.parts.append("\n")
-
-    def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN_TAGS:
-            self.hidden += 1
-        else:
-            self._line(tag)
-
-    def handle_endtag(self, tag):
-        if tag in HIDDEN_TAGS:
-            self.hidden = max(0, self.hidden - 1)
-        else:
-            self._line(tag)
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
+#: Markup, cut into comments and declarations, whole hidden elements, tags, and the text between.
+_MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<hidden>" + "|".join(sorted(HIDDEN_TAGS)) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</(?P=hidden)\s*>|\Z)"
+    r"|</?(?P<tag>[a-z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>|(?P<text>[^<]+|<)",
+    re.I | re.S,
+)
 
 
 def visible(page: str | None) -> str:
-    p = _Visible()
-    p.feed(page or "")
-    p.close()
-    return "".join(p.parts)
+    """What a reader sees: text between tags, a new line at each tag that begins or ends one."""
+    out = []
+    for m in _MARKUP.finditer(page or ""):
+        if m["text"]:
+            out.append(html.unescape(m["text"]))
+        elif m["tag"] and m["tag"].lower() in LINE_TAGS:
+            out.append("\n")
+    return "".join(out)
 
 
 @F.pandas_udf(StringType())
@@ -60,22 +47,32 @@ def visible_text(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(visible)
 
 
+def unit_chunks(units: DataFrame, max_words: int = 220, overlap: int = 40, source: str = "source_id", unit: str = "unit_index", text: str = "text") -> DataFrame:
+    """A row per chunk of each unit, without its number within the source: a map, no shuffle."""
+    kept = [c for c in units.columns if c != text]
+    made = units.withColumn("__w", words(F.col(text))).withColumn("__c", chunk_words(F.col("__w"), max_words, overlap))
+    # outer, as otherwise a filter on the list's size is put below and works the list out again
+    d = made.select(*kept, F.posexplode_outer("__c").alias("__i", "text")).where(F.col("text").isNotNull())
+    d = d.withColumns({"text_sha256": F.sha2("text", 256), "word_count": word_count(F.col("text")).cast("long")})
+    return d.select(*kept, chunk_id(F.col(source), F.col(unit), F.col("__i") + 1, F.col("text_sha256")).alias("chunk_id"), (F.col("__i") + 1).cast("long").alias("unit_chunk_index"), "word_count", "text_sha256", "text")
+
+
 def chunks(units: DataFrame, max_words: int = 220, overlap: int = 40, source: str = "source_id", unit: str = "unit_index", text: str = "text") -> DataFrame:
     """A row per chunk: ids, places, counts and checksum, beside the unit's own columns.
 
     ``text`` is normalised already. ``source_chunk_index`` numbers a source's chunks: a
-    unit's own chunks by place, on top of the chunks of the units before it, which come
-    from one count per unit.
+    unit's own chunks by place, on top of the chunks of the units before it. These come from
+    one number per unit, so that no task sorts a source's texts.
     """
-    made = units.withColumn("__c", chunk_words(words(F.col(text)), max_words, overlap))
-    before = W.partitionBy(source).orderBy(unit).rowsBetween(W.unboundedPreceding, -1)
-    made = made.withColumn("__before", F.coalesce(F.sum(F.size("__c")).over(before), F.lit(0)))
-    d = made.select(*[c for c in units.columns if c != text], "__before", F.posexplode("__c").alias("__i", "text"))
-    sha = F.sha2("text", 256)
-    return d.select(
-        *[c for c in units.columns if c != text], chunk_id(F.col(source), F.col(unit), F.col("__i") + 1, sha).alias("chunk_id"), (F.col("__i") + 1).cast("long").alias("unit_chunk_index"),
-        (F.col("__before") + F.col("__i") + 1).cast("long").alias("source_chunk_index"), word_count(F.col("text")).cast("long").alias("word_count"), sha.alias("text_sha256"), "text",
-    )
+    step = F.lit(max_words - overlap)
+    n = word_count(F.col(text))
+    many = F.when(n > 0, F.ceil(F.greatest(n - max_words, F.lit(0)) / step) + 1).otherwise(0)
+    per = units.select(F.col(source).alias("__source"), F.col(unit).alias("__unit"), many.alias("__n")).groupBy("__source", "__unit").agg(F.sum("__n").alias("__n"))
+    before = W.partitionBy("__source").orderBy("__unit").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    d = unit_chunks(units, max_words, overlap, source, unit, text).join(per, F.col(source).eqNullSafe(F.col("__source")) & F.col(unit).eqNullSafe(F.col("__unit")))
+    kept = [c for c in units.columns if c != text]
+    return d.select(*kept, "chunk_id", "unit_chunk_index", (F.col("__before") + F.col("unit_chunk_index")).cast("long").alias("source_chunk_index"), "word_count", "text_sha256", "text")
 
 
 def chunk_id(source: Column, unit: Column, index: Column, sha: Column) -> Column:

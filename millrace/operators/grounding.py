@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import clip01
-from millrace.functions.text import content_tokens, coverage_share, normalized, phrase_share, sentences
+from millrace.functions.text import bigrams, content_tokens, coverage_share, normalized, sentences
 
 
 @dataclass(frozen=True)
@@ -74,21 +74,28 @@ def affinity(classification: Column, kind: Column, g: Grounding) -> Column:
     return out
 
 
+def tokenized(texts: DataFrame) -> DataFrame:
+    """Adds the content tokens of ``text`` and their neighbouring pairs, once for each text whatever the number of questions."""
+    return texts.withColumn("text_tokens", content_tokens(F.col("text"))).withColumn("text_pairs", bigrams(F.col("text_tokens")))
+
+
 def rerank(candidates: DataFrame, g: Grounding = Grounding()) -> DataFrame:
     """Adds the score, its four parts, the intent and the new rank.
 
     Candidates have query_id, query, rank, hybrid_score, chunk_id, classification and text.
-    A query without content tokens keeps none.
+    Texts that ``tokenized`` has been over aren't cut again. A query without content tokens
+    keeps none.
     """
     g.validate()
-    q, t = content_tokens(F.col("query")), content_tokens(F.col("text"))
-    d = candidates.withColumn("__q", q).withColumn("__t", t).where(F.size("__q") > 0)
-    d = d.withColumns({"intent": intent(F.col("query"), g), "hybrid": clip01(F.col("hybrid_score").cast("double")), "query_coverage": coverage_share(F.col("__q"), F.col("__t")), "phrase": phrase_share(F.col("__q"), F.col("__t"))})
+    d = candidates if "text_tokens" in candidates.columns else tokenized(candidates)
+    d = d.withColumn("__q", content_tokens(F.col("query"))).where(F.size("__q") > 0).withColumn("__p", F.array_distinct(bigrams(F.col("__q"))))
+    share = F.when(F.size("__q") >= 2, F.size(F.array_intersect("__p", "text_pairs")) / F.size("__p")).otherwise(F.lit(0.0))
+    d = d.withColumns({"intent": intent(F.col("query"), g), "hybrid": clip01(F.col("hybrid_score").cast("double")), "query_coverage": coverage_share(F.col("__q"), F.col("text_tokens")), "phrase": share})
     d = d.withColumn("classification_affinity", affinity(F.col("classification"), F.col("intent"), g))
     total = F.lit(g.hybrid_weight) * F.col("hybrid") + F.lit(g.coverage_weight) * F.col("query_coverage") + F.lit(g.phrase_weight) * F.col("phrase") + F.lit(g.classification_weight) * F.col("classification_affinity")
     d = d.withColumn("rerank_score", total)
     w = W.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("hybrid"), "chunk_id")
-    return d.withColumn("rerank_rank", F.row_number().over(w)).withColumnRenamed("rank", "retrieval_rank").drop("__q", "__t")
+    return d.withColumn("rerank_rank", F.row_number().over(w)).withColumnRenamed("rank", "retrieval_rank").drop("__q", "__p", "text_tokens", "text_pairs")
 
 
 CITATION = ("chunk_id", "source_id", "source_title", "publisher", "source_url", "doi", "classification", "equipment_relevance", "scope_note", "locator", "source_sha256", "text_sha256")

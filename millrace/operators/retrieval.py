@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import terms
+from millrace.functions.arrays import l2_normalize
+from millrace.functions.text import terms, word_tokens
+from millrace.plans.tables import cut
 
 VECTOR_WEIGHT, KEYWORD_WEIGHT, CANDIDATES = 0.65, 0.35, 30
 
 
 def term_counts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf); texts are cut into tokens once."""
+    k = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text)).alias("k"))
+    # outer, as otherwise a filter on the list's size is put below and cuts the text again
+    return k.select("id", F.explode_outer(terms(F.col("k"))).alias("term")).where(F.col("term").isNotNull()).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, max_features: int | None = 16_000, min_df: int = 1) -> DataFrame:
@@ -27,17 +32,25 @@ def vocabulary(counts: DataFrame, n_docs: int, max_features: int | None = 16_000
     return v.select("term", "df", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
 
+#: Terms (of a vocabulary, or of all queries) up to which they are broadcast; more are joined by shuffle.
+BROADCAST_TERMS = 500_000
+
+
+def _few(d: DataFrame) -> DataFrame:
+    return F.broadcast(d) if d.count() <= BROADCAST_TERMS else d
+
+
 def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(id, term, weight): (1 + ln tf) * idf, each document's weights of unit length."""
-    w = counts.join(vocab.select("term", "idf"), "term").select("id", "term", ((F.log("tf") + 1.0) * F.col("idf")).alias("w"))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    w = counts.join(_few(vocab.select("term", "idf")), "term").select("id", "term", ((F.log("tf") + 1.0) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))  # a document's own terms
+    return w.select("id", "term", (F.col("w") / norm).alias("weight"))
 
 
 def keyword_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, keyword_score): only documents that share a term meet a query."""
+    """(query_id, id, keyword_score): only documents that share a term meet a query; where the queries' terms are few they come to the documents, so a frequent term is no hot key."""
     q = queries.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw"))
-    return index.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("keyword_score"))
+    return index.join(_few(q), "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("keyword_score"))
 
 
 def top_per_query(scores: DataFrame, score: str, k: int) -> DataFrame:
@@ -46,62 +59,116 @@ def top_per_query(scores: DataFrame, score: str, k: int) -> DataFrame:
     return scores.where(F.col(score) > 0).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 
 
-def lsa(index: DataFrame, vocab: DataFrame, dims: int, n_docs: int, rounds: int = 7, seed: int = 42) -> DataFrame:
-    """(term, vector): right singular directions of the TF-IDF matrix by randomised subspace iteration.
+#: Terms of a vocabulary that latent directions are made for, at most: their table is held in tasks and on the driver.
+LSA_TERMS = 100_000
+#: Terms whose partial sums travel in one row, and entries that are multiplied at a time.
+TERM_CHUNK, ENTRIES = 16, 100_000
 
-    The matrix stays a distributed table of entries. One round multiplies it by a table of
-    term vectors and back: two grouped sums over entries, the vectors of ``dims`` numbers.
-    What comes to the driver is the (dims x dims) Gram matrix that orthonormalises them.
-    """
-    n_terms = vocab.count()
-    if not 2 <= dims <= min(n_docs - 1, n_terms - 1):
-        raise ValueError(f"{dims} dimensions don't fit {n_docs} documents and {n_terms} terms")
-    from millrace.plans.tables import cut
-
-    add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(dims)])
-    start = F.array(*[(F.pmod(F.xxhash64(F.lit(seed + i), "term"), F.lit(1 << 30)) / F.lit(float(1 << 29)) - 1.0) for i in range(dims)])
-    v = cut(vocab.select("term", start.alias("v")))
-    for _ in range(rounds):
-        d = index.join(v, "term").select("id", F.transform("v", lambda x: x * F.col("weight")).alias("x")).groupBy("id").agg(add("x").alias("d"))
-        t = index.join(d, "id").select("term", F.transform("d", lambda x: x * F.col("weight")).alias("x")).groupBy("term").agg(add("x").alias("v"))
-        v = cut(_orthonormal(cut(t), dims))
-    # rotate to singular directions: eigenvectors of the small matrix of document-side products
-    d = index.join(v, "term").select("id", F.transform("v", lambda x: x * F.col("weight")).alias("x")).groupBy("id").agg(add("x").alias("v"))
-    values, q = np.linalg.eigh(_gram(d, dims))
-    return _times(v, q[:, np.argsort(-values)])
 
+def _entries(index: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, cols, weights): a document's entries as one row, terms by number."""
+    shared = index.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
-def _gram(t: DataFrame, dims: int) -> np.ndarray:
-    """Sum of outer products of the vectors, added up in each task before it travels."""
-
-    def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = np.zeros((dims, dims))
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = shared.value
         for b in it:
-            if len(b):
-                m = np.stack(b["v"].to_numpy())
-                g += m.T @ m
-        yield pd.DataFrame({"g": [g.ravel()]})
+            cols = [[number.get(t, -1) for t in x] for x in b["terms"]]
+            yield pd.DataFrame({"id": b["id"], "cols": cols, "weights": b["weights"]})
+
+    kind = dict(index.dtypes)["id"]
+    both = F.collect_list(F.struct("term", "weight"))
+    d = index.groupBy("id").agg(both.alias("e")).select("id", F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"))
+    return d.mapInPandas(run, f"id {kind}, cols array<int>, weights array<double>")
+
+
+def _projected(b: pd.DataFrame, v: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, their products with v, and their entries: row, term, weight), about ``ENTRIES`` entries at a time."""
+    sizes = np.array([len(c) for c in b["cols"]], dtype=np.int64)
+    edge, total = [0], 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= ENTRIES or i == len(sizes) - 1:
+            edge.append(i + 1)
+            total = 0
+    for a, z in zip(edge, edge[1:], strict=False):
+        cols, w = np.concatenate(b["cols"].iloc[a:z].to_list()).astype(np.int64), np.concatenate(b["weights"].iloc[a:z].to_list())
+        row = np.repeat(np.arange(z - a), sizes[a:z])
+        row, cols, w = row[cols >= 0], cols[cols >= 0], w[cols >= 0]
+        y = np.zeros((z - a, v.shape[1]))
+        if len(row):
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            y[row[first]] = np.add.reduceat(v[cols] * w[:, None], first, axis=0)
+        yield slice(a, z), y, row, cols, w
 
-    rows = t.select("v").mapInPandas(part, "g array<double>").agg(F.array(*[F.sum(F.col("g")[i]) for i in range(dims * dims)]).alias("g")).first()
-    return np.array(rows["g"], dtype=float).reshape(dims, dims)
 
+def lsa(index: DataFrame, vocab: DataFrame, dims: int, n_docs: int, rounds: int = 7, seed: int = 42) -> DataFrame:
+    """(term, v): right singular directions of the TF-IDF matrix by randomised subspace iteration.
 
-def _times(t: DataFrame, m: np.ndarray) -> DataFrame:
-    cols = [F.aggregate(F.zip_with("v", F.array(*map(F.lit, m[:, j].tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for j in range(m.shape[1])]
-    return t.select(*[c for c in t.columns if c != "v"], F.array(*cols).alias("v"))
+    The matrix stays distributed, a row of entries for each document. One round multiplies
+    it by the table of term vectors (terms x dims, bounded by the vocabulary) and back:
+    every task adds up its documents' share, the shares are added by term, and the sum is
+    orthonormalised. The last round's small product turns the basis to singular directions.
+    """
+    terms = [r["term"] for r in vocab.select("term").orderBy("term").limit(LSA_TERMS + 1).collect()]
+    if len(terms) > LSA_TERMS:
+        raise ValueError(f"latent directions need a vocabulary of {LSA_TERMS} terms at most")
+    if not 2 <= dims <= min(n_docs - 1, len(terms) - 1):
+        raise ValueError(f"{dims} dimensions don't fit {n_docs} documents and {len(terms)} terms")
+    spark = index.sparkSession
+    rows = cut(_entries(index, terms))
+    v = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), dims)))[0]
+    for _ in range(rounds):
+        v = np.linalg.qr(_there_and_back(rows, v))[0]
+    values, turn = np.linalg.eigh(v.T @ _there_and_back(rows, v))
+    v = v @ turn[:, np.argsort(-values)]
+    v *= np.where(v[np.abs(v).argmax(axis=0), np.arange(dims)] < 0, -1.0, 1.0)
+    return spark.createDataFrame(pd.DataFrame({"term": terms, "v": v.tolist()}), "term string, v array<double>")
+
+
+def _there_and_back(rows: DataFrame, v: np.ndarray) -> np.ndarray:
+    """A'A v, the tasks' shares added by blocks of terms."""
+    shared = rows.sparkSession.sparkContext.broadcast(v)
 
+    def share(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = shared.value
+        out = np.zeros_like(v)
+        for b in it:
+            for _, y, row, cols, w in _projected(b, v):
+                order = np.argsort(cols, kind="stable")
+                cols, part = cols[order], y[row[order]] * w[order][:, None]
+                if len(cols):
+                    first = np.flatnonzero(np.append(True, cols[1:] != cols[:-1]))
+                    out[cols[first]] += np.add.reduceat(part, first, axis=0)
+        used = [a for a in range(0, len(out), TERM_CHUNK) if out[a : a + TERM_CHUNK].any()]
+        yield pd.DataFrame({"at": used, "x": [out[a : a + TERM_CHUNK].tobytes() for a in used]})
+
+    def added(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for b in it:
+            for at, x in zip(b["at"], b["x"], strict=True):
+                x = np.frombuffer(x)
+                total[at] = total[at] + x if at in total else x
+        yield pd.DataFrame({"at": list(total), "x": [x.tobytes() for x in total.values()]})
 
-def _orthonormal(t: DataFrame, dims: int) -> DataFrame:
-    values, q = np.linalg.eigh(_gram(t, dims))
-    return _times(t, q / np.sqrt(np.maximum(values, 1e-18)))
+    sums = rows.mapInPandas(share, "at int, x binary").repartition("at").mapInPandas(added, "at int, x binary").toPandas()  # as large as v
+    out = np.zeros_like(v)
+    for at, x in zip(sums["at"], sums["x"], strict=True):
+        out[at : at + TERM_CHUNK] = np.frombuffer(x).reshape(-1, v.shape[1])
+    return out
 
 
 def embed(index: DataFrame, directions: DataFrame, dims: int) -> DataFrame:
     """(id, v): documents (or queries) in the latent space, of unit length."""
-    from millrace.functions.arrays import l2_normalize
+    d = directions.orderBy("term").limit(LSA_TERMS).toPandas()
+    terms, m = d["term"].tolist(), np.array(d["v"].tolist(), dtype=float).reshape(-1, dims)
+    shared = index.sparkSession.sparkContext.broadcast(m)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            for at, y, *_ in _projected(b, shared.value):
+                yield pd.DataFrame({"id": b["id"].iloc[at], "v": y.tolist()})
 
-    x = index.join(directions, "term").select("id", F.transform("v", lambda x: x * F.col("weight")).alias("x"))
-    return x.groupBy("id").agg(F.array(*[F.sum(F.col("x")[i]) for i in range(dims)]).alias("v")).select("id", l2_normalize(F.col("v")).alias("v"))
+    return _entries(index, terms).mapInPandas(run, f"id {dict(index.dtypes)['id']}, v array<double>").select("id", l2_normalize(F.col("v")).alias("v"))
 
 
 #: Queries that are broadcast at a time.
@@ -172,6 +239,6 @@ def hybrid(keyword: DataFrame, vector: DataFrame, top_k: int = 8, candidates: in
 
 
 def table_identity(df: DataFrame) -> DataFrame:
-    """(rows, identity): an order-free fingerprint of a table's content, for checks on load."""
+    """(rows, identity): an order-free fingerprint of a table's content, for checks on load. A sum, so that rows that stand twice count twice."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("identity"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("identity"))

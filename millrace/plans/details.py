@@ -161,8 +161,8 @@ def _(spark, d):
 @query("g3_token_intersections", f"WITH {RERANK_SQL} SELECT query_id, chunk_id, len(list_intersect(list_distinct(qt), tt)) AS shared FROM kind")
 def _(spark, d):
     c = candidates(spark, d)
-    q, t = T.content_tokens(F.col("query")), T.content_tokens(F.col("text"))
-    return c.where(F.size(q) > 0).select("query_id", "chunk_id", F.size(F.array_intersect(F.array_distinct(q), t)).cast("long").alias("shared"))
+    q = T.content_tokens(F.col("query"))
+    return c.where(F.size(q) > 0).select("query_id", "chunk_id", F.size(F.array_intersect(F.array_distinct(q), F.col("text_tokens"))).cast("long").alias("shared"))
 
 
 # ---------------------------------------------------------------- aggregates
@@ -316,9 +316,8 @@ def _(spark, d):
 
 @query("h21_phrase_share", f"WITH {RERANK_SQL} SELECT query_id, chunk_id, round(phrase, 6) AS phrase FROM parts")
 def _(spark, d):
-    c = candidates(spark, d)
-    q, t = T.content_tokens(F.col("query")), T.content_tokens(F.col("text"))
-    return rounded(c.where(F.size(q) > 0).select("query_id", "chunk_id", T.phrase_share(q, t).alias("phrase")))
+    c = candidates(spark, d).withColumn("q", T.content_tokens(F.col("query"))).where(F.size("q") > 0)
+    return rounded(c.select("query_id", "chunk_id", T.phrase_share(F.col("q"), F.col("text_tokens")).alias("phrase")))
 
 
 @query("h23_intents", "SELECT doc_id, CASE WHEN contains(t, 'service manual') OR contains(t, 'part number') OR contains(t, 'this unit') OR contains(t, 'exact equipment') OR contains(t, 'this compressor') OR contains(t, 'manufacturer-specified') OR contains(t, 'manufacturer specified') OR contains(t, 'model-specific') OR contains(t, 'model specific') THEN 'equipment_specific' WHEN contains(t, 'dataset') OR contains(t, 'uci') OR contains(t, 'sensor data') OR contains(t, 'failure event') OR contains(t, 'sampling interval') THEN 'dataset_specific' ELSE 'general' END AS intent FROM (SELECT doc_id, lower(text) AS t FROM documents)")

@@ -17,7 +17,8 @@ from millrace.functions import text as T
 from millrace.functions.arrays import l2_norm
 from millrace.functions.time import elapsed_seconds, seconds_between
 from millrace.operators import alarms, corpus, eligibility, evaluation, features, grounding, history, iforest, profile, retrieval, robust, segments, targets
-from millrace.session import table
+from millrace.plans.tables import cut
+from millrace.session import spread, table
 
 GAP = 600.0
 SAMPLING = 260.0
@@ -498,7 +499,7 @@ def _(spark, d):
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 _WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
@@ -515,14 +516,14 @@ def _(spark, d):
 SELECT doc_id, i + 1 AS unit_chunk_index, sha256(array_to_string(w[i * 180 + 1 : i * 180 + 220], ' ')) AS text_sha256, len(w[i * 180 + 1 : i * 180 + 220]) AS word_count FROM i""")
 def _(spark, d):
     u = docs(spark, d).select("doc_id", F.lit(1).alias("unit_index"), "text")
-    return corpus.chunks(u, source="doc_id").select("doc_id", "unit_chunk_index", "text_sha256", "word_count")
+    return corpus.unit_chunks(u, source="doc_id").select("doc_id", "unit_chunk_index", "text_sha256", "word_count")
 
 
 @query("h17_chunk_ids", f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE CAST(ceil(greatest(len(w) - 220, 0) / 180) AS BIGINT) + 1 END)) AS i FROM w)
 SELECT doc_id || '::u0001::c' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') || '::' || left(sha256(array_to_string(w[i * 180 + 1 : i * 180 + 220], ' ')), 12) AS chunk_id FROM i""")
 def _(spark, d):
     u = docs(spark, d).select("doc_id", F.lit(1).alias("unit_index"), "text")
-    return corpus.chunks(u, source="doc_id").select("chunk_id")
+    return corpus.unit_chunks(u, source="doc_id").select("chunk_id")
 
 
 @query("h19_retrieval_terms", f"WITH t AS (SELECT doc_id, {_TOKENS} AS k FROM documents) SELECT doc_id, len(k) AS tokens, greatest(len(k) - 1, 0) AS bigrams, k[1] AS first_token FROM t")
@@ -567,7 +568,7 @@ def queries_of(spark, d):
 _TERMS = "list_concat(k, list_transform(range(1, greatest(len(k), 1)), lambda i: k[i] || ' ' || k[i + 1]))"
 TFIDF_SQL = f"""tok AS (SELECT doc_id AS id, {_TOKENS} AS k FROM documents), tc AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_TERMS}) AS term FROM tok) GROUP BY ALL),
 nd AS (SELECT count(*) AS n FROM documents),
-voc AS (SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM tc GROUP BY term ORDER BY total DESC, term LIMIT 4000), nd),
+voc AS (SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM tc GROUP BY term ORDER BY total DESC, term LIMIT 16000), nd),
 wt AS (SELECT id, term, (ln(tf) + 1.0) * idf AS w FROM tc JOIN voc USING (term)), nrm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM wt GROUP BY id), idx AS (SELECT id, term, w / norm AS weight FROM wt JOIN nrm USING (id)),
 qtok AS (SELECT item_id AS id, {_TOKENS} AS k FROM benchmark), qtc AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_TERMS}) AS term FROM qtok) GROUP BY ALL),
 qwt AS (SELECT id, term, (ln(tf) + 1.0) * idf AS w FROM qtc JOIN voc USING (term)), qn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM qwt GROUP BY id), qidx AS (SELECT id, term, w / norm AS weight FROM qwt JOIN qn USING (id)),
@@ -576,8 +577,8 @@ ks AS (SELECT q.id AS query_id, i.id, sum(i.weight * q.weight) AS keyword_score
 
 def tfidf(spark, d):
     x = docs(spark, d)
-    tc = retrieval.term_counts(x, "doc_id", "text")
-    voc = retrieval.vocabulary(tc, x.count(), 4000)
+    tc = cut(retrieval.term_counts(x, "doc_id", "text"))
+    voc = cut(retrieval.vocabulary(tc, x.count()))
     qc = retrieval.term_counts(queries_of(spark, d), "doc_id", "text")
     return voc, retrieval.tfidf(tc, voc), retrieval.tfidf(qc, voc)
 
@@ -599,11 +600,11 @@ def _(spark, d):
 
 
 def _lsa(spark, d):
-    from millrace.plans.tables import cut
-
-    voc, index, q = (cut(x) for x in tfidf(spark, d))
-    directions = cut(retrieval.lsa(index, voc, 16, table(spark, d, "documents").count(), 3))
-    return index, q, retrieval.embed(index, directions, 16), retrieval.embed(q, directions, 16)
+    voc, index, q = tfidf(spark, d)
+    index, q, n = cut(index), cut(q), table(spark, d, "documents").count()
+    dims = min(128, n - 1)
+    directions = retrieval.lsa(index, voc, dims, n)
+    return index, q, retrieval.embed(index, directions, dims), retrieval.embed(q, directions, dims)
 
 
 @query("i8_lsa_embeddings")
@@ -660,10 +661,11 @@ QUESTIONS = ("the tion of this and that", "dataset ersh thing and ent", "service
 
 
 def candidates(spark, d):
-    """Every document as a candidate for five fixed questions, with a made-up hybrid score."""
+    """Every document, tokenized once, as a candidate for five fixed questions, with a made-up hybrid score."""
     q = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(t).alias("query")) for i, t in enumerate(QUESTIONS)])).alias("q")
-    x = table(spark, d, "documents").select(q, "doc_id", "text").select("q.query_id", "q.query", "doc_id", "text")
+    x = grounding.tokenized(spread(table(spark, d, "documents").select("doc_id", "text"))).select(q, "*").select("q.query_id", "q.query", "doc_id", "text", "text_tokens", "text_pairs")
     return x.select(
+        "text_tokens", "text_pairs",
         "query_id", "query", F.col("doc_id").cast("int").alias("rank"), (1.0 / (1.0 + F.col("doc_id") % 10)).alias("hybrid_score"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("chunk_id"),
         F.expr(_CLASS).alias("classification"), F.concat(F.lit("src"), F.col("doc_id").cast("string")).alias("source_id"), F.lit("page:1").alias("locator"), F.sha2("text", 256).alias("text_sha256"), "text",
     )
@@ -693,8 +695,6 @@ def _(spark, d):
 
 
 def _answers(spark, d):
-    from millrace.plans.tables import cut
-
     c = candidates(spark, d)
     rr = cut(grounding.rerank(c))
     q = c.select("query_id", "query").distinct()
