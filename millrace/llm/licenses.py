@@ -155,9 +155,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         return F.transform(held, lambda s: F.struct(F.lit(c.longest).alias("size"), s.alias("start"), F.lit(c.window - SHINGLE + 1).alias("k")))
 
     used = {class_of(len(tokens(t)), known).longest for t in templates.values()}
-    d = d.withColumn("win", F.explode(reduce(lambda a, b: F.concat(a, b), [starts(known[u]) for u in sorted(used)])))
+    # outer, as otherwise a filter on the list's size is put below and works the list out again
+    d = d.withColumn("win", F.explode_outer(reduce(lambda a, b: F.concat(a, b), [starts(known[u]) for u in sorted(used)]))).where("win is not null")
     d = d.select("doc_id", "win.size", "win.start", F.array_distinct(F.slice("sh", F.col("win.start") + 1, F.col("win.k"))).alias("shingles"))
-    d = d.withColumn("key", F.explode(_keys(F.col("shingles"), n)))
+    d = d.withColumn("key", F.explode_outer(_keys(F.col("shingles"), n)))
     met = d.join(F.broadcast(template_table(spark, templates, n)), ["size", "key"])
     share = F.size(F.array_intersect("t_shingles", "shingles")) / F.size("t_shingles")
     met = met.select("doc_id", "license", "start", share.alias("share")).where(F.col("share") >= F.lit(CONTAINMENT - 1e-9))

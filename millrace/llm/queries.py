@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from millrace.llm import chat, forest, html, licenses, lm, mixing, packing, quality, vectors
-from millrace.session import table
+from millrace.session import spread, table
 
 QUERIES = {
     "op1_lm_score": lambda spark, d: lm.op1_lm_score(table(spark, d, "documents"), table(spark, d, "labels")),
-    "op2_mixing": lambda spark, d: mixing.op2_mixing(table(spark, d, "documents")),
-    "op3_html": lambda spark, d: html.op3_html(table(spark, d, "pages")),
-    "op4_licenses": lambda spark, d: licenses.op4_licenses(table(spark, d, "documents")),
+    "op2_mixing": lambda spark, d: mixing.op2_mixing(spread(table(spark, d, "documents"))),
+    "op3_html": lambda spark, d: html.op3_html(spread(table(spark, d, "pages"))),
+    "op4_licenses": lambda spark, d: licenses.op4_licenses(spread(table(spark, d, "documents"))),
     "op5_near_dedup": lambda spark, d: vectors.op5_near_dedup(table(spark, d, "embeddings")),
     "op6_neighbours": lambda spark, d: vectors.op6_neighbours(table(spark, d, "embeddings")),
-    "op7_packing": lambda spark, d: packing.op7_packing(table(spark, d, "documents")),
-    "op8_jaccard": lambda spark, d: forest.op8_jaccard(table(spark, d, "documents")),
-    "op9_quality": lambda spark, d: quality.op9_quality(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op7_packing": lambda spark, d: packing.op7_packing(spread(table(spark, d, "documents"))),
+    "op8_jaccard": lambda spark, d: forest.op8_jaccard(spread(table(spark, d, "documents"))),
+    "op9_quality": lambda spark, d: quality.op9_quality(spread(table(spark, d, "documents")), table(spark, d, "labels")),
     "op10_chat": lambda spark, d: chat.op10_chat(table(spark, d, "conversations")),
 }
 
