@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,16 +12,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import free_name, release, text_slices, word_codes, written
 
 #: Labelled rows that the classifier is fitted on, at most; chosen by hash of doc_id.
 FIT_ROWS = 20_000
-#: Paths up to this many are broadcast with their posteriors; more are joined by shuffle.
-BROADCAST_PATHS = 20_000
+#: Paths up to this many are broadcast with their sums, and rejected rows with their numbers; more are joined by shuffle.
+BROADCAST_PATHS, BROADCAST_ROWS = 20_000, 2_000_000
 BINS = 10
+#: Buckets that words are hashed to, and documents' worth of smoothing of a bucket's odds.
+BUCKETS, SMOOTHING = 1 << 16, 2.0
 
 FEATURES = (
-    "log_words", "word_length", "upper", "marks", "symbols", "bangs", "bars", "digits", "letters",
+    "log_words", "word_length", "upper", "marks", "symbols", "digits", "letters",
     "distinct", "repeated", "line_repeats", "line_length", "pair_repeats", "capital_words",
 )
 
@@ -58,8 +60,6 @@ def features(text: str | None) -> list[float]:
         upper / max(1, letters),
         marks / chars,
         symbols / chars,
-        float(seen[33]) / n,
-        float(seen[124]) / n,
         digits / chars,
         letters / chars,
         len(set(lower)) / n**0.85,
@@ -71,18 +71,49 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+def buckets(texts: Iterable[str | None]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(texts, bucket of each word in lower case, where each text's words begin and end), a slice at a time."""
+    for part in text_slices(texts):
+        codes, at, known = word_codes(part)
+        names = np.array([w.lower().strip(".,;:!?\"'()") for w in known], dtype=object)
+        hashed = pd.util.hash_array(names, categorize=False) if known else np.zeros(0, np.uint64)
+        yield part, (hashed % np.uint64(BUCKETS)).astype(np.int32)[codes], at
+
+
+def word_odds(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Log odds of each bucket: how much more often a word of good texts falls into it than one of bad texts."""
+    seen = [np.bincount(np.concatenate([w for w, k in zip(words, y == c, strict=True) if k] or [np.zeros(0, np.int32)]), minlength=BUCKETS) for c in (1, 0)]
+    both = (seen[0] + seen[1] + 1) / (seen[0].sum() + seen[1].sum() + BUCKETS)
+    rate = [(n + SMOOTHING * both * BUCKETS) / (n.sum() + SMOOTHING * BUCKETS) for n in seen]
+    return np.log(rate[0] / rate[1])
+
+
+def word_evidence(odds: np.ndarray, bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Mean log odds of each text's words; 0 without words."""
+    total = np.concatenate([[0.0], np.cumsum(odds[bucket])])
+    return (total[at[1:]] - total[at[:-1]]) / np.maximum(1, np.diff(at))
+
+
 @dataclass
 class Model:
-    """Additive logistic model over quantile bins of the features."""
+    """Additive logistic model over quantile bins of the features, the last of which is the evidence of words."""
 
     edges: np.ndarray
     weights: np.ndarray
     bias: float
-    base: float  # log odds of the fitted rows, taken out of the evidence
+    words: np.ndarray | None = None
 
     def evidence(self, x: np.ndarray) -> np.ndarray:
         """Log likelihood ratio of good against bad."""
-        return self._design(x) @ self.weights + self.bias - self.base
+        return self._design(x) @ self.weights + self.bias
+
+    def of(self, texts: Iterable[str | None]) -> np.ndarray:
+        out = [np.zeros(0)]
+        for part, bucket, at in buckets(texts):
+            x = np.array([features(t) for t in part], dtype=np.float64).reshape(-1, len(FEATURES))
+            odds = self.words if self.words is not None else np.zeros(BUCKETS)
+            out.append(self.evidence(np.concatenate([x, word_evidence(odds, bucket, at)[:, None]], axis=1)))
+        return np.concatenate(out)
 
     def _design(self, x: np.ndarray) -> np.ndarray:
         cols = []
@@ -94,13 +125,12 @@ class Model:
 def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 25) -> Model:
     """Newton's method on the penalised log likelihood; classes weigh alike whatever their shares."""
     if not len(y) or y.min() == y.max():
-        k = np.zeros((len(FEATURES), 1))
-        return Model(k, np.zeros(len(FEATURES)), 0.0, 0.0)
+        return Model(np.zeros((x.shape[1], 1)), np.zeros(x.shape[1]), 0.0)
     good, bad = x[y == 1], x[y == 0]
     qs = np.linspace(0, 1, BINS + 1)[1:-1]
     # bins by the quantiles of either class, so that a rare class still has its own
     edges = np.array([np.sort(np.concatenate([np.quantile(good[:, j], qs), np.quantile(bad[:, j], qs), [good[:, j].max(), good[:, j].min()]])) for j in range(x.shape[1])])
-    m = Model(edges, np.zeros(edges.size), 0.0, 0.0)
+    m = Model(edges, np.zeros(edges.size), 0.0)
     d = np.concatenate([m._design(x), np.ones((len(x), 1))], axis=1)
     w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     beta = np.zeros(d.shape[1])
@@ -114,7 +144,7 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 25) -> Mode
         beta -= step
         if np.abs(step).max() < 1e-6:
             break
-    return Model(edges, beta[:-1], float(beta[-1]), 0.0)  # balanced weights: base odds are one
+    return Model(edges, beta[:-1], float(beta[-1]))  # balanced weights: base odds are one
 
 
 def evidence_of(m: Model):
@@ -123,8 +153,8 @@ def evidence_of(m: Model):
     @F.pandas_udf("double")
     def score(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
-            x = np.array([features(t) for t in s], dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pd.Series(m.evidence(x))
+            yield pd.Series(m.of(s))
+        release()
 
     return score
 
@@ -134,36 +164,86 @@ def _labels(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
 
 
+def fit_rows(x: np.ndarray, words: list[np.ndarray], y: np.ndarray) -> Model:
+    """The classifier from features, word buckets and labels.
+
+    Each half of the rows is given the evidence of words learnt from the other half, so that
+    the model learns what such evidence is worth on texts it hasn't seen.
+    """
+    if not len(y) or y.min() == y.max():
+        return fit(np.zeros((0, len(FEATURES) + 1)), np.zeros(0))
+    half = np.zeros(len(y), dtype=np.int64)
+    for c in (0, 1):  # each half has its share of either class
+        half[y == c] = np.arange((y == c).sum()) % 2
+    evidence = np.zeros(len(y))
+    at = np.cumsum([0, *map(len, words)])
+    flat = np.concatenate(words) if len(words) else np.zeros(0, np.int32)
+    for side in (0, 1):
+        odds = word_odds([w for w, h in zip(words, half, strict=True) if h != side], y[half != side])
+        evidence[half == side] = word_evidence(odds, flat, at)[half == side]
+    m = fit(np.concatenate([x, evidence[:, None]], axis=1), y)
+    m.words = word_odds(words, y)
+    return m
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """The classifier from at most ``rows`` labelled documents (a fixed bound, so broadcast and collected)."""
+    """The classifier from at most ``rows`` labelled documents (a fixed bound, so broadcast and collected).
+
+    Of several texts with one id that of the smallest hash counts.
+    """
     some = _labels(labels).orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(rows)
 
     def shape(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [features(t) for t in b["text"]]})
-
-    d = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInPandas(shape, "doc_id long, y double, x array<double>")
-    got = d.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+            x, w = [], []
+            for part, bucket, at in buckets(b["text"]):
+                x += [features(t) for t in part]
+                w += np.split(bucket, at[1:-1])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "y": b["y"], "x": x, "w": w})
+        release()
+
+    d = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(F.broadcast(some), "doc_id")
+    got = d.mapInPandas(shape, "doc_id long, th long, y double, x array<double>, w array<int>").groupBy("doc_id").agg(F.min_by(F.struct("y", "x", "w"), "th").alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     if not len(got):
-        return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
-    return fit(np.array(got["x"].tolist()), (got["y"].to_numpy() >= 0.5).astype(float))
+        return fit_rows(np.zeros((0, len(FEATURES))), [], np.zeros(0))
+    return fit_rows(np.array(got["x"].tolist()), [np.asarray(w, dtype=np.int32) for w in got["w"]], (got["y"].to_numpy() >= 0.5).astype(float))
 
 
 def _key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
-def site_posteriors(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """(site, path, site_rate, path_rate): shares of good documents, shrunk level by level.
+@dataclass
+class Priors:
+    """Sums of each path and site, and how strongly each level is drawn toward the one above."""
+
+    sums: DataFrame  # site, path, k, n, sk, sn
+    mean: float
+    site_weight: float
+    path_weight: float
+
+    def rates(self, own: Column, one: Column) -> tuple[Column, Column]:
+        """(site's, path's) share of good documents without ``one`` documents that add ``own`` to it."""
+        site = (F.col("sk") - own + F.lit(self.site_weight * self.mean)) / (F.col("sn") - one + F.lit(self.site_weight))
+        path = (F.col("k") - own + F.lit(self.path_weight) * site) / (F.col("n") - one + F.lit(self.path_weight))
+        # sums of other documents, kept clear of rounding at the ends
+        return tuple(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), r)) for r in (site, path))
+
 
-    Every document counts: by its label where it has one, else by its classifier odds. A
-    site's rate is drawn toward the global rate with as many pseudo-documents as the
+def judged(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """``scored`` with ``good``: what a document adds to its path, its label where it has one, else its classifier odds."""
+    odds = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("llr")))))
+    return scored.join(_labels(labels), "doc_id", "left").withColumn("good", F.coalesce("y", odds)).drop("y")
+
+
+def priors(seen: DataFrame) -> Priors:
+    """Grouped sums by path and site (map-side partials) and the strength of their priors.
+
+    A site's rate is drawn toward the global rate with as many pseudo-documents as the
     spread between sites calls for (moments of a beta prior), a path's toward its site's
     rate likewise. So a path of few documents stays near its site, a sparse site near the
-    global prior. All by grouped sums with map-side partials.
+    global prior.
     """
-    y = _labels(labels)
-    seen = scored.join(y, "doc_id", "left").select("site", "path", F.coalesce("y", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("llr"))))) ).alias("good"))
     paths = written(seen.groupBy("site", "path").agg(F.sum("good").alias("k"), F.count(F.lit(1)).cast("double").alias("n")))
     sites = paths.groupBy("site").agg(F.sum("k").alias("sk"), F.sum("n").alias("sn"))
     g = sites.agg(F.sum("sk").alias("k"), F.sum("sn").alias("n")).first()
@@ -184,55 +264,59 @@ def site_posteriors(scored: DataFrame, labels: DataFrame) -> DataFrame:
         return float(np.clip(within / between - 1 if between > 0 else 1e4, 2.0, 1e4))
 
     s1 = strength(sites, "sk", "sn", F.lit(mean))
-    sites = sites.withColumn("site_rate", (F.col("sk") + F.lit(s1 * mean)) / (F.col("sn") + F.lit(s1)))
-    both = written(paths.join(sites.select("site", "site_rate"), "site"))
-    s2 = strength(both, "k", "n", F.col("site_rate"))
-    return both.select("site", "path", "site_rate", ((F.col("k") + F.lit(s2) * F.col("site_rate")) / (F.col("n") + F.lit(s2))).alias("path_rate"))
-
+    both = written(paths.join(sites, "site"))
+    s2 = strength(both, "k", "n", (F.col("sk") + F.lit(s1 * mean)) / (F.col("sn") + F.lit(s1)))
+    return Priors(both, mean, s1, s2)
 
-def _with_site(docs: DataFrame, site: str, path: str) -> DataFrame:
-    return docs.withColumn("__site", _key(F.col(site))).withColumn("__path", _key(F.col(path)))
 
-
-def _joined(docs: DataFrame, posts: DataFrame) -> DataFrame:
-    p = posts.select(F.col("site").alias("__site"), F.col("path").alias("__path"), F.col("site_rate").alias("__site_rate"), F.col("path_rate").alias("__path_rate"))
-    return docs.join(F.broadcast(p) if p.count() <= BROADCAST_PATHS else p, ["__site", "__path"])
-
-
-def _posterior(llr: str) -> Column:
-    prior = F.log(F.col("__path_rate") / (1 - F.col("__path_rate")))
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col(llr) + prior))))
+def decided(seen: DataFrame, threshold: float) -> DataFrame:
+    """``seen`` with site_rate, path_rate, posterior and keep; a document's own part is left out of the rates it is judged by."""
+    p = priors(seen)
+    d = seen.join(F.broadcast(p.sums) if p.sums.count() <= BROADCAST_PATHS else p.sums, ["site", "path"])
+    site, path = p.rates(F.col("good"), F.lit(1.0))
+    d = d.withColumns({"site_rate": site, "path_rate": path})
+    prior = F.log(F.col("path_rate") / (1 - F.col("path_rate")))
+    posterior = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("llr") + prior))))
+    return d.withColumn("posterior", posterior).withColumn("keep", F.col("posterior") >= F.lit(threshold)).drop("k", "n", "sk", "sn")
 
 
 def quality(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", threshold: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, source, llr, site_rate, path_rate, posterior, keep) of every document.
 
-    ``llr`` is the classifier's log likelihood ratio, ``posterior`` that evidence on the
-    path's shrunk prior, ``keep`` whether it reaches ``threshold``. Within a site, ``path``
-    names the finer level. Null or empty text: all features 0; null site or path: a group
-    of its own. Repeated rows count and come out as often. Without usable labels (none, or
-    one class) the evidence is 0 and everything is kept. Extra columns are not read.
+    ``llr`` is the classifier's log likelihood ratio (shape of the text and its words),
+    ``posterior`` that evidence on the path's prior, ``keep`` whether it reaches
+    ``threshold``. ``site`` and ``path`` name the two levels, the second within the first.
+    Null or empty text: all features 0; null site or path: a group of its own. Repeated rows
+    count and come out as often. Without usable labels (none, or one class) the evidence is
+    0 and everything is kept. Extra columns are not read.
     """
     m = fit_on(docs, labels, fit_rows)
-    scored = written(
-        _with_site(docs.select("doc_id", "text", F.col(site).alias("s"), F.col(path).alias("p")), "s", "p").select(
-            "doc_id", F.col("s").alias("source"), F.col("__site").alias("site"), F.col("__path").alias("path"), evidence_of(m)("text").alias("llr")
-        )
-    )
-    posts = site_posteriors(scored, labels)
-    d = _joined(scored.withColumnRenamed("site", "__site").withColumnRenamed("path", "__path"), posts)
-    return d.withColumn("posterior", _posterior("llr")).select("doc_id", "source", "llr", F.col("__site_rate").alias("site_rate"), F.col("__path_rate").alias("path_rate"), "posterior", (F.col("posterior") >= F.lit(threshold)).alias("keep"))
+    scored = docs.select("doc_id", F.col(site).alias("source"), _key(F.col(site)).alias("site"), _key(F.col(path)).alias("path"), evidence_of(m)("text").alias("llr"))
+    if not _tells(m):
+        scored = scored.withColumn("llr", F.lit(0.0))
+    d = decided(written(judged(written(scored), labels)), threshold)
+    return d.select("doc_id", "source", "llr", "site_rate", "path_rate", "posterior", (F.col("keep") | F.lit(not _tells(m))).alias("keep"))
+
+
+def _tells(m: Model) -> bool:
+    return m.words is not None
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, columns unchanged; texts are scored in place, not shuffled."""
+    """The rows of ``docs`` that ``quality`` keeps, columns unchanged.
+
+    Texts are scored once, into a table with a number for each row; the numbers of rejected
+    rows find them there.
+    """
     m = fit_on(docs, labels)
-    score = evidence_of(m)
-    wide = _with_site(docs, site, path)
-    scored = written(wide.select("doc_id", F.col("__site").alias("site"), F.col("__path").alias("path"), score("text").alias("llr")))
-    posts = site_posteriors(scored, labels)
-    d = _joined(wide.withColumn("__llr", score("text")), posts)
-    return d.where(_posterior("__llr") >= F.lit(threshold)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not _tells(m):
+        return docs
+    row, llr = free_name("row", docs), free_name("llr", docs)
+    wide = written(docs.withColumns({llr: evidence_of(m)("text"), row: F.monotonically_increasing_id()}))
+    slim = wide.select(F.col(row).alias("row"), "doc_id", _key(F.col(site)).alias("site"), _key(F.col(path)).alias("path"), F.col(llr).alias("llr"))
+    gone = written(decided(written(judged(slim, labels)), threshold).where("not keep").select(F.col("row").alias(row)))
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return wide.join(few, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
