@@ -80,12 +80,11 @@ def buckets(texts: Iterable[str | None]) -> Iterator[tuple[list[str], np.ndarray
         yield part, (hashed % np.uint64(BUCKETS)).astype(np.int32)[codes], at
 
 
-def word_odds(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Log odds of each bucket: how much more often a word of good texts falls into it than one of bad texts."""
-    seen = [np.bincount(np.concatenate([w for w, k in zip(words, y == c, strict=True) if k] or [np.zeros(0, np.int32)]), minlength=BUCKETS) for c in (1, 0)]
-    both = (seen[0] + seen[1] + 1) / (seen[0].sum() + seen[1].sum() + BUCKETS)
-    rate = [(n + SMOOTHING * both * BUCKETS) / (n.sum() + SMOOTHING * BUCKETS) for n in seen]
-    return np.log(rate[0] / rate[1])
+def word_odds(seen: np.ndarray) -> np.ndarray:
+    """Log odds of each bucket from (2, ``BUCKETS``) counts in bad and good texts: how much more often a word of good texts falls into it."""
+    both = (seen.sum(axis=0) + 1) / (seen.sum() + BUCKETS)
+    rate = (seen + SMOOTHING * both * BUCKETS) / (seen.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
+    return np.log(rate[1] / rate[0])
 
 
 def word_evidence(odds: np.ndarray, bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -164,32 +163,12 @@ def _labels(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
 
 
-def fit_rows(x: np.ndarray, words: list[np.ndarray], y: np.ndarray) -> Model:
-    """The classifier from features, word buckets and labels.
-
-    Each half of the rows is given the evidence of words learnt from the other half, so that
-    the model learns what such evidence is worth on texts it hasn't seen.
-    """
-    if not len(y) or y.min() == y.max():
-        return fit(np.zeros((0, len(FEATURES) + 1)), np.zeros(0))
-    half = np.zeros(len(y), dtype=np.int64)
-    for c in (0, 1):  # each half has its share of either class
-        half[y == c] = np.arange((y == c).sum()) % 2
-    evidence = np.zeros(len(y))
-    at = np.cumsum([0, *map(len, words)])
-    flat = np.concatenate(words) if len(words) else np.zeros(0, np.int32)
-    for side in (0, 1):
-        odds = word_odds([w for w, h in zip(words, half, strict=True) if h != side], y[half != side])
-        evidence[half == side] = word_evidence(odds, flat, at)[half == side]
-    m = fit(np.concatenate([x, evidence[:, None]], axis=1), y)
-    m.words = word_odds(words, y)
-    return m
-
-
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """The classifier from at most ``rows`` labelled documents (a fixed bound, so broadcast and collected).
+    """The classifier from at most ``rows`` labelled documents (a fixed bound, so broadcast, and collected without their texts).
 
-    Of several texts with one id that of the smallest hash counts.
+    Each half of the rows is given the evidence of words learnt from the other half, so that
+    the model learns what such evidence is worth on texts it hasn't seen. Of several texts
+    with one id that of the smallest hash counts.
     """
     some = _labels(labels).orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(rows)
 
@@ -203,10 +182,26 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         release()
 
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(F.broadcast(some), "doc_id")
-    got = d.mapInPandas(shape, "doc_id long, th long, y double, x array<double>, w array<int>").groupBy("doc_id").agg(F.min_by(F.struct("y", "x", "w"), "th").alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
-    if not len(got):
-        return fit_rows(np.zeros((0, len(FEATURES))), [], np.zeros(0))
-    return fit_rows(np.array(got["x"].tolist()), [np.asarray(w, dtype=np.int32) for w in got["w"]], (got["y"].to_numpy() >= 0.5).astype(float))
+    one = d.mapInPandas(shape, "doc_id long, th long, y double, x array<double>, w array<int>").groupBy("doc_id").agg(F.min_by(F.struct("y", "x", "w"), "th").alias("r"))
+    side = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).cast("int")
+    fitted = written(one.select("doc_id", side.alias("side"), (F.col("r.y") >= 0.5).cast("int").alias("y"), "r.x", "r.w"))
+    seen = np.zeros((2, 2, BUCKETS))
+    for r in fitted.select("side", "y", F.explode("w").alias("bucket")).groupBy("side", "y", "bucket").count().toPandas().itertuples():  # 4 x BUCKETS rows at most
+        seen[r.side, r.y, r.bucket] = r.count
+    learnt = fitted.sparkSession.sparkContext.broadcast([word_odds(seen[1 - k]) for k in (0, 1)])
+
+    def told(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            e = [float(learnt.value[k][w].mean()) if len(w) else 0.0 for k, w in zip(b["side"], b["w"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": b["x"], "e": e})
+
+    got = fitted.mapInPandas(told, "doc_id long, y int, x array<double>, e double").toPandas().sort_values("doc_id")
+    y = got["y"].to_numpy(dtype=float)
+    if not len(y) or y.min() == y.max():
+        return fit(np.zeros((0, len(FEATURES) + 1)), np.zeros(0))
+    m = fit(np.concatenate([np.array(got["x"].tolist()), got["e"].to_numpy()[:, None]], axis=1), y)
+    m.words = word_odds(seen.sum(axis=0))
+    return m
 
 
 def _key(c: Column) -> Column:

@@ -512,19 +512,14 @@ def test_sparse_paths_stay_near_their_site(spark):
     assert p["b", "p"]["site_rate"] < 0.2 < 0.8 < p["a", "p0"]["site_rate"]
 
 
-def test_words_tell_texts_of_one_shape_apart():
+def test_words_tell_texts_of_one_shape_apart(spark):
     """Good and bad texts alike in every count of shape: only their words differ."""
     rng = random.Random(12)
     pool = {1: ["river", "stone", "house", "north", "light"], 0: ["pills", "lotto", "cheap", "bonus", "click"]}
     rest = [f"w{i:03d}"[:5] + "x" for i in range(200)]
     texts = [" ".join(rng.choice(pool[k % 2] if rng.random() < 0.2 else rest) for _ in range(80)) for k in range(600)]
-    x, w = [], []
-    for part, bucket, at in quality.buckets(texts):
-        x += [quality.features(t) for t in part]
-        w += np.split(bucket, at[1:-1])
-    y = np.array([k % 2 for k in range(600)], dtype=float)
-    m = quality.fit_rows(np.array(x[:400]), w[:400], y[:400])
-    assert ((m.of(texts[400:]) > 0) == (y[400:] == 1)).mean() > 0.95
+    m = quality.fit_on(docs(spark, list(enumerate(texts))), labels(spark, [(k, k % 2, 0) for k in range(400)]))
+    assert ((m.of(texts[400:]) > 0) == np.array([k % 2 == 1 for k in range(400, 600)])).mean() > 0.95
 
 
 def test_held_out_documents_are_judged_as_labelled(spark):
