@@ -9,6 +9,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +48,25 @@ _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _NONE: dict[str, str] = {}
 
-# Costs of the labels, in units of one clear sign.
-HARD = 12.0
-LOOSE = 5.0  # of a class or id word, which the text's own signs may outweigh
+#: Words that say no more than that the element is a box of something.
+GENERIC_WORDS = frozenset(
+    "box block section widget container wrapper wrap inner outer area list lists item items link links bar row col column group panel pane module unit text body content title header "
+    "head top bottom left right main post posts article articles story stories news button buttons icon icons form slot zone label js with has no is free e g the id".split()
+)
+HEAD_TAGS = frozenset("head title base link meta style script noscript template".split())
+
+# Costs in log odds: signs of the container besides the classifier of the block itself.
+HARD = 12.0  # elements and roles that hold no article by their definition
+LOOSE, FAINT = 5.0, 1.5  # class or id words: nothing but such words, or with others
 OUTSIDE = 2.5
-INSIDE = 3.0
-ADJACENT, SIBLING, ACROSS = 0.6, 0.4, 0.1
+INSIDE = 2.0
+ADJACENT, SIBLING, ACROSS = 0.8, 0.6, 0.1
+
+FEATURES = ("log_words", "linked", "stop", "paragraph", "heading", "item", "cell", "rights")
+#: Log odds of each feature before any page is seen, the constant last; what is fitted is drawn toward them.
+PRIOR = np.array([0.65, -4.0, 0.5, 0.8, 1.0, 0.0, 0.0, -1.5, -1.2])
+#: Pages that the block classifier is fitted on, at most, and blocks of one; weight of the prior in blocks.
+FIT_PAGES, FIT_BLOCKS, PRIOR_WEIGHT = 500, 200, 100.0
 
 
 @dataclass(slots=True)
@@ -64,7 +78,7 @@ class _Node:
     main: bool
     in_link: bool
     key: int
-    loose: bool = False
+    loose: float = 0.0
     holds: bool = False
 
 
@@ -75,9 +89,9 @@ class Block:
     node: _Node
 
 
-def _judge(tag: str, attrs: str, up: _Node) -> tuple[float, bool, bool]:
-    """(strength of signs for boilerplate, opens main text, has a class or id word for boilerplate) of an element by itself."""
-    boiler, main, loose = 0.0, tag in MAIN_TAGS, False
+def _judge(tag: str, attrs: str, up: _Node) -> tuple[float, bool, float]:
+    """(strength of signs for boilerplate, opens main text, cost of class or id words for boilerplate) of an element by itself."""
+    boiler, main, loose = 0.0, tag in MAIN_TAGS, 0.0
     if tag in BOILER_TAGS:
         boiler = HARD
     elif tag == "header":
@@ -94,10 +108,10 @@ def _judge(tag: str, attrs: str, up: _Node) -> tuple[float, bool, bool]:
                 boiler = HARD
             elif name in ("class", "id"):
                 words = {w.lower() for w in _SPLIT.split(value) if w}
-                if words & BOILER_WORDS:
-                    loose |= tag not in ("body", "html") and (not words & MAIN_WORDS or tag not in MAIN_TAGS or bool(words & {"comment", "comments"}))
-                if words & HEADER_WORDS and not words & MAIN_WORDS and not up.main and tag not in HEADING_TAGS:
-                    loose |= tag not in ("body", "html")
+                if words & BOILER_WORDS and tag not in ("body", "html") and (not words & MAIN_WORDS or tag not in MAIN_TAGS or words & {"comment", "comments"}):
+                    loose = max(loose, LOOSE if words <= BOILER_WORDS | GENERIC_WORDS else FAINT)
+                if words & HEADER_WORDS and not words & MAIN_WORDS and not up.main and tag not in HEADING_TAGS and tag not in ("body", "html"):
+                    loose = LOOSE
                 elif tag in ("div", "section", "td") and words & MAIN_WORDS and not boiler and not loose:
                     main = True
     return boiler, main, loose
@@ -157,6 +171,13 @@ def blocks(page: str) -> list[Block]:
                 parts.append(" ")
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
+        if here.skip and tag not in HEAD_TAGS:
+            # what can't stand in a head ends it, whether its end tag is there or not
+            n = here
+            while n is not root and n.tag != "head":
+                n = n.up
+            if n is not root:
+                here = n.up
         if tag in BLOCK_TAGS:
             # a block ends an open paragraph; items, cells and rows end their like
             shut = _CLOSES.get(tag, {"p"})
@@ -196,8 +217,8 @@ def _container(n: _Node) -> _Node:
     return n
 
 
-def _loose(found: list[Block]) -> set[int]:
-    """Elements whose class or id words count: those that hold neither a main element nor half of the page's unlinked text."""
+def _loose(found: list[Block]) -> dict[int, float]:
+    """Costs of the elements whose class or id words count: those that hold neither a main element nor half of the page's unlinked text."""
     held: dict[int, int] = {}
     total, named = 0, {}
     for b in found:
@@ -211,46 +232,73 @@ def _loose(found: list[Block]) -> set[int]:
                 named[n.key] = n
                 held[n.key] = held.get(n.key, 0) + own
             n = n.up
-    return {k for k, n in named.items() if not n.holds and 2 * held[k] < total}
+    return {k: n.loose for k, n in named.items() if not n.holds and 2 * held[k] < total}
 
 
-def _is_loose(n: _Node | None, counted: set[int]) -> bool:
+def _loose_cost(n: _Node | None, counted: dict[int, float]) -> float:
+    most = 0.0
     while n is not None:
-        if n.key in counted:
-            return True
+        most = max(most, counted.get(n.key, 0.0))
         n = n.up
-    return False
+    return most
+
+
+def signs(b: Block) -> list[float]:
+    """``FEATURES`` of a block by itself, wherever it stands."""
+    tag = _container(b.node).tag
+    return [
+        math.log(b.text.count(" ") + 2), min(1.0, b.linked / max(1, len(b.text))), float(b.text[-1] in ".!?。…\"”»"), float(tag == "p"), float(tag in HEADING_TAGS),
+        float(tag in ("li", "dt", "dd")), float(tag in ("td", "th")), float("©" in b.text or "rights reserved" in b.text.lower()),
+    ]
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Logistic weights (the constant last), drawn toward ``PRIOR``; classes weigh alike. Newton's method."""
+    if not len(y) or y.min() == y.max():
+        return PRIOR
+    d = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    beta = PRIOR.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(d @ beta, -30, 30)))
+        step = np.linalg.solve((d * (w * p * (1 - p))[:, None]).T @ d + PRIOR_WEIGHT * np.eye(len(beta)), d.T @ (w * (p - y)) + PRIOR_WEIGHT * (beta - PRIOR))
+        beta -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta
+
+
+def told(found: list[Block]) -> list[tuple[list[float], float]]:
+    """Features and labels of the blocks that a page's own elements tell apart: content of a main element, or of one that holds none by definition."""
+    counted = _loose(found)
+    out = []
+    for b in found:
+        if b.node.boiler >= HARD:
+            out.append((signs(b), 0.0))
+        elif b.node.main and not (counted and _loose_cost(b.node, counted)):
+            out.append((signs(b), 1.0))
+    step = -(-len(out) // FIT_BLOCKS) or 1
+    return out[::step]
 
 
-def costs(found: list[Block]) -> list[float]:
-    """Evidence of each block: what calling it boilerplate costs more than calling it content."""
+def costs(found: list[Block], weights: np.ndarray = PRIOR) -> list[float]:
+    """What calling each block boilerplate costs more than calling it content, in log odds: the classifier's, and its containers'."""
     has_main = any(b.node.main and b.node.boiler < HARD for b in found)
     counted = _loose(found)
+    own, constant = weights[:-1].tolist(), float(weights[-1])
     out = []
     for b in found:
-        words = b.text.count(" ") + 1
-        share = min(1.0, b.linked / max(1, len(b.text)))
-        box = _container(b.node)
-        e = 0.9 * math.log(words + 1, 4) - 1.2 - 4.0 * share
-        if b.text[-1] in ".!?。…\"”»":
-            e += 0.5
-        if box.tag == "p":
-            e += 0.8
-        elif box.tag in HEADING_TAGS:
-            e += 1.0
+        boiler = b.node.boiler
+        if boiler >= HARD:
+            out.append(-boiler)
+            continue
+        e = constant + sum(w * x for w, x in zip(own, signs(b), strict=True))
         if has_main:
             e += INSIDE if b.node.main else -OUTSIDE
-            if b.node.main and e < 0.5 and share < 0.5:
-                e = 0.5
-        if "©" in b.text or "rights reserved" in b.text.lower():
-            e -= 1.5
-        boiler = b.node.boiler
-        if 0 < boiler < HARD and box.tag in HEADING_TAGS:
-            boiler = 0.0
-        if boiler:
-            e = -boiler if boiler >= HARD else e - boiler
-        if boiler < HARD and counted and _is_loose(b.node, counted):
-            e -= LOOSE
+        if boiler and _container(b.node).tag not in HEADING_TAGS:
+            e -= boiler
+        if counted:
+            e -= _loose_cost(b.node, counted)
         out.append(e)
     return out
 
@@ -361,25 +409,48 @@ def _chain_first(v: int, it: Iterator[int]) -> Iterator[int]:
     yield from it
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
     """The page's article as one line: content blocks in page order, joined by a space."""
     found = blocks(page or "")
     if not found:
         return ""
-    keep = min_cut(costs(found), edges(found))
+    keep = min_cut(costs(found, weights), edges(found))
     return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
+def fit_on(pages: DataFrame, html: str = "html", most: int = FIT_PAGES) -> np.ndarray:
+    """Weights of the block classifier from at most ``most`` different pages, those of the smallest hashes, labelled by their own elements."""
+    p = pages.select(F.xxhash64(html).alias("h"), F.col(html).alias("html")).where(F.col("html").isNotNull())
+    last = p.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return PRIOR
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [r for page in b["html"] for r in told(blocks(page))]
+            yield pd.DataFrame({"x": [r[0] for r in rows], "y": [r[1] for r in rows]})
+
+    got = p.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("html").alias("html")).select("html").mapInPandas(run, "x array<double>, y double").toPandas()  # most * FIT_BLOCKS rows
+    order = np.lexsort(np.array(got["x"].tolist()).T) if len(got) else []
+    return fit(np.array(got["x"].tolist()).reshape(-1, len(FEATURES))[order], got["y"].to_numpy(dtype=float)[order])
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row: a map over pages, no shuffle.
+    """(page_id, url, text, n_chars) of every row: a map over pages, no shuffle of them.
+
+    A page's text blocks are nodes between content and boilerplate. What it costs to label a
+    block against its evidence are log odds: of a classifier fitted on blocks of a bounded
+    sample of the pages, and of the containers the block stands in. Labels that differ
+    between neighbours cost too, and a minimum cut finds the cheapest labels of all.
 
     Null, empty or textless html: text "" and 0. Repeated rows come out as often. A page
     is handled whole whatever its length. Extra columns are not read.
     """
+    weights = fit_on(pages, html)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [main_text(h) for h in b["html"]]
+            texts = [main_text(h, weights) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))

@@ -385,6 +385,43 @@ def test_html_words_of_a_class_do_not_lose_the_article(page):
     assert got.count("villagers") == 5 and "Short link" not in got and "Home" not in got
 
 
+def test_html_head_may_be_left_open():
+    got = html.main_text(f"<html><head><title>T</title><style>p{{}}</style><body><article>{PROSE}</article></body></html>")
+    assert got.count("villagers") == 5 and "T The" not in got
+    assert html.main_text(f"<head><title>T</title><p>{PROSE}").count("villagers") == 5
+
+
+@pytest.mark.parametrize("name", ["share-price", "related-work", "social-history", "search-results-explained"])
+def test_html_keeps_paragraphs_whose_class_has_such_a_word_among_others(name):
+    page = f"<article>{PROSE}<p class='{name}'>The price stood at ten by the evening of that day.</p>{PROSE}</article><div class='related-links'><p>Other pages that might be read next.</p></div>"
+    got = html.main_text(page)
+    assert "by the evening" in got and "Other pages" not in got
+
+
+def test_the_cut_overrules_single_blocks():
+    """Outside any main element: a linked line among paragraphs stays, a sentence among links goes."""
+    links = "".join(f"<li><a href=/{k}>Page number {k}</a></li>" for k in range(8))
+    page = f"<body><div>{PROSE}<p>See also <a href=x>the mill</a> here</p>{PROSE}</div><ul>{links}<li>Some more pages here.</li>{links}</ul></body>"
+    found = html.blocks(page)
+    e = html.costs(found)
+    keep = html.min_cut(e, html.edges(found))
+    at = {b.text: (c, k) for b, c, k in zip(found, e, keep, strict=True)}
+    assert at["See also the mill here"][0] < 0 and at["See also the mill here"][1]
+    assert at["Some more pages here."][0] > 0 and not at["Some more pages here."][1]
+    assert html.main_text(page).count("villagers") == 10 and "Page number" not in html.main_text(page)
+
+
+def test_block_classifier_is_fitted_toward_its_prior(spark):
+    pages = [f"<nav><p>Go to page {k}</p><p>More of that</p></nav><article>{PROSE}</article>" for k in range(30)]
+    d = spark.createDataFrame([(k, "u", p) for k, p in enumerate([*pages, None, "", pages[0]])], "page_id long, url string, html string")
+    weights = html.fit_on(d)
+    assert len(weights) == len(html.FEATURES) + 1 and not np.allclose(weights, html.PRIOR) and weights[0] > html.PRIOR[0]
+    assert np.allclose(weights, html.fit_on(d.repartition(5)))
+    few = html.fit_on(d, most=1)
+    assert np.abs(few - html.PRIOR).max() < np.abs(weights - html.PRIOR).max()
+    assert (html.fit_on(d.limit(0)) == html.PRIOR).all()
+
+
 def test_html_keeps_formulas():
     assert "x + 1" in html.main_text(f"<article>{PROSE}<p>The sum <math><mi>x</mi> + <mn>1</mn></math> is what the villagers paid.</p></article>")
 
