@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -15,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import release, text_slices, written
+from millrace.llm.common import SLICE, release, text_slices, written
 
 WINDOW = 4096
 END_ID = 2
-#: Pieces of words a worker caches before it forgets most (bounds its memory: some 200 bytes each).
-CACHED_PIECES = 250_000
-#: Pieces that stay then, and from one partition to the next.
-KEPT_PIECES = 60_000
+#: Places of a worker's table of pieces, ids it holds, and bytes of a piece that is looked up there.
+SLOTS, CACHED_IDS, LONGEST_CACHED = 1 << 20, 3_000_000, 64
+#: Chunks of other scripts a worker caches before it starts again.
+CACHED_CHUNKS = 60_000
 #: Ranks within a length are counted by so many blocks of documents, so that a common length is no hot key.
 RANK_BLOCKS = 64
 #: Cut documents up to this many are broadcast to find their texts; more are joined by shuffle.
@@ -41,75 +40,161 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes, cached by the pre-tokenizer's pieces.
 
-    Latin-1 texts are cut into pieces here. Others go by white-space chunks, which the
-    pre-tokenizer never joins; control characters that Python counts as white space and the
-    tokenizer doesn't, and its special tokens, send a text down the plain way.
+    Latin-1 texts are cut into pieces by the classes of their bytes, and pieces are looked up
+    by 64-bit hash, all in array operations: a table of ``SLOTS`` places holds where a piece's
+    ids lie, a piece that finds its place taken takes it over. Texts of other scripts go by
+    white-space chunks, which the pre-tokenizer never joins; control characters that Python
+    counts as white space and the tokenizer doesn't, and its special tokens, send a text down
+    the plain way.
     """
 
-    #: The pre-tokenizer's pattern on lower-case Latin-1, whose letters and digits are these.
-    _piece = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\s0-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
-    _odd = re.compile("[\x1c-\x1f]|<\\|")
+    _odd = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    #: Lower-case Latin-1 by class: white space 0, letters 1, digits 2, marks 3.
+    _class = np.array([0 if chr(i).isspace() else 1 if chr(i).isalpha() else 2 if chr(i) in "0123456789²³¹¼½¾" else 3 for i in range(256)], dtype=np.uint8)
+    #: Letters that an apostrophe takes with it: one, or these two.
+    _one, _two = b"stmd", (b"re", b"ve", b"ll")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         # every piece's last token, and no other, has the end-of-word mark
         self.last = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
         mark = self.tok.model.end_of_word_suffix
         self.last[[i for w, i in self.tok.get_vocab().items() if mark and w.endswith(mark)]] = True
+        self.value = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.power, self.inverse = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+        self.known: dict[str, bytes] = {}
+        self.key, self.used = None, 0
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, pieces: list[str]) -> list[bytes]:
-        """Ids of single pieces: encoded together, parted at the marks; chunks of other scripts one by one."""
-        out = []
+    def _fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, how many of each piece): encoded together, parted at the marks."""
+        ids, sizes = [], []
         for at in range(0, len(pieces), 1024):
             part = pieces[at : at + 1024]
             (e,) = self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
-            end = np.flatnonzero(self.last[ids]) + 1
-            if len(end) != len(part) or end[-1] != len(ids):
-                out += self.plain(part)
-                continue
-            raw, end = ids.tobytes(), (4 * end).tolist()
-            out += [raw[a:b] for a, b in zip([0, *end], end, strict=False)]
+            got = np.array(e.ids, dtype="<u4")
+            end = np.flatnonzero(self.last[got]) + 1
+            if len(end) != len(part) or end[-1] != len(got):
+                one = self.plain(part)
+                got, end = np.frombuffer(b"".join(one), "<u4"), np.cumsum([len(x) // 4 for x in one])
+            ids.append(got)
+            sizes.append(np.diff(end, prepend=0))
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def _cut(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each piece of lower-case Latin-1 begins and ends."""
+        kind = self._class[buf]
+        start = kind > 0
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        # a run of marks that begins with an apostrophe: the letters it takes belong to it, others after them begin anew
+        near = np.concatenate([buf, np.zeros(3, np.uint8)])
+        p = np.flatnonzero(start & (buf == 39))
+        one = np.isin(near[p + 1], np.frombuffer(self._one, np.uint8))
+        two = np.zeros(len(p), dtype=bool)
+        for x, y in self._two:
+            two |= (near[p + 1] == x) & (near[p + 2] == y)
+        start = np.append(start, np.zeros(3, dtype=bool))
+        kind = np.append(kind, np.zeros(3, dtype=np.uint8))
+        for which, wide in ((one, 2), (two, 3)):
+            start[p[which] + 1] = False
+            start[p[which] + wide] |= kind[p[which] + wide] == 1
+        start, kind = start[: len(buf)], kind[: len(buf)]
+        bound = np.flatnonzero(start | (kind == 0))
+        mine = start[bound]
+        return bound[mine], np.append(bound[1:], len(buf))[mine]
+
+    def _hashes(self, buf: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Hash of each buf[a:z]: differences of running sums of byte values times powers, brought to one power."""
+        if len(self.power) <= len(buf):
+            self.power = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(buf), 0x9E3779B97F4A7C15, dtype=np.uint64)))
+            self.inverse = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(buf), pow(0x9E3779B97F4A7C15, -1, 1 << 64), dtype=np.uint64)))
+        total = np.append(np.uint64(0), np.cumsum(self.value[buf] * self.power[: len(buf)]))
+        h = (total[z] - total[a]) * self.inverse[a]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+    def _tokens(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each piece begins, how many ids it has, all ids in order) of lower-case Latin-1."""
+        a, z = self._cut(buf)
+        if self.key is None or self.used > CACHED_IDS:
+            self.key, self.first, self.count = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+            self.flat, self.used = np.zeros(CACHED_IDS + SLICE, dtype="<u4"), 0
+        h = self._hashes(buf, a, z)
+        slot = (h >> np.uint64(64 - (SLOTS - 1).bit_length())).astype(np.int64)
+        first, count = self.first[slot], self.count[slot]
+        # hashes stand for short pieces only; long ones are looked at each time
+        miss = np.flatnonzero((self.key[slot] != h) | (z - a > LONGEST_CACHED))
+        if len(miss):
+            _, there, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            raw, lone = buf.tobytes(), z[miss] - a[miss] > LONGEST_CACHED
+            if lone.any():
+                there, back = np.arange(len(miss)), np.arange(len(miss))
+            at = miss[there]
+            ids, sizes = self._fresh([raw[i:j].decode("latin-1") for i, j in zip(a[at].tolist(), z[at].tolist(), strict=True)])
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(len(ids) + SLICE, dtype="<u4")])
+            self.flat[self.used : self.used + len(ids)] = ids
+            begin = self.used + np.cumsum(sizes) - sizes
+            self.used += len(ids)
+            first[miss], count[miss] = begin[back], sizes[back]
+            self.key[slot[at]], self.first[slot[at]], self.count[slot[at]] = h[at], begin, sizes
+        end = np.cumsum(count, dtype=np.int64)
+        return a, count, self.flat[np.arange(end[-1] if len(end) else 0) - np.repeat(end - count - first, count)]
+
+    def _latin(self, texts: list[str]) -> list[bytes]:
+        buf = np.frombuffer("\n".join(texts).lower().encode("latin-1"), np.uint8)
+        at, starts, counts, tokens = 0, [], [], []
+        while at < len(buf):
+            end = min(len(buf), at + SLICE)
+            if end < len(buf):  # a long text is cut behind white space
+                space = np.flatnonzero(self._class[buf[at:end]] == 0)
+                if not len(space):
+                    space = np.flatnonzero(self._class[buf[end:]] == 0)[:1] + (end - at)
+                end = at + int(space[-1]) + 1 if len(space) else len(buf)
+            a, n, ids = self._tokens(buf[at:end])
+            starts.append(a + at)
+            counts.append(n)
+            tokens.append(ids)
+            at = end
+        if not starts:
+            return [b""] * len(texts)
+        edge = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        place = np.concatenate([[0], np.cumsum(np.concatenate(counts), dtype=np.int64)])[np.searchsorted(np.concatenate(starts), edge)]
+        every = np.concatenate(tokens)
+        return [every[i:j].tobytes() for i, j in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
+
+    @staticmethod
+    def _is_latin(text: str) -> bool:
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
+        cut = [[] if any(x in t for x in self._odd) else t.split() for t in texts]
+        missing = list({c for x in cut for c in x}.difference(self.known))
+        fresh = dict(zip(missing, self.plain(missing), strict=True))
+        get = (self.known | fresh).__getitem__
+        out = [b"".join(map(get, x)) if x else self.plain([t])[0] if t else b"" for t, x in zip(texts, cut, strict=True)]
+        self.known = self.known if len(self.known) < CACHED_CHUNKS else {}
+        self.known.update(itertools.islice(((c, v) for c, v in fresh.items() if len(c) <= LONGEST_CACHED), CACHED_CHUNKS))
         return out
 
-    def _pieces(self, text: str) -> tuple[list[str], bool]:
-        """What the text is cut into, and whether these are pieces; nothing where it must go the plain way."""
-        if self._odd.search(text):
-            return [], False
-        if text.isascii() or max(text) <= "\xff":
-            return self._piece.findall(text.lower()), True
-        return text.split(), False
-
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Each text's ids in turn; what is held at once is a slice of the texts and the cache."""
         for part in text_slices(texts):
-            get = self.known.get
-            cut = [self._pieces(t) for t in part]
-            ids = [list(map(get, c)) for c, _ in cut]
-            gaps = [[k for k, v in enumerate(x) if v is None] if None in x else [] for x in ids]
-            missing, chunks = set(), set()
-            for (c, small), g in zip(cut, gaps, strict=True):
-                (missing if small else chunks).update(c[k] for k in g)
-            missing, chunks = list(missing), list(chunks - missing)
-            fresh = dict(zip(missing, self._fresh(missing), strict=True)) | dict(zip(chunks, self.plain(chunks), strict=True))
-            for t, (c, _), x, g in zip(part, cut, ids, gaps, strict=True):
-                for k in g:
-                    x[k] = fresh[c[k]]
-                yield b"".join(x) if c else self.plain([t])[0] if t else b""
-            if len(self.known) + len(fresh) > CACHED_PIECES:
-                self.trim()
-            self.known.update((c, v) for c, v in itertools.islice(fresh.items(), CACHED_PIECES) if len(c) <= 64)
-
-    def trim(self) -> None:
-        """Keeps the pieces first met, which are the frequent ones, so that a worker at rest holds little."""
-        if len(self.known) > KEPT_PIECES:
-            self.known = dict(itertools.islice(self.known.items(), KEPT_PIECES))
+            small = [self._is_latin(t) and not any(x in t for x in self._odd) for t in part]
+            latin = iter(self._latin([t for t, k in zip(part, small, strict=True) if k]))
+            other = iter(self._by_chunks([t for t, k in zip(part, small, strict=True) if not k]))
+            for k in small:
+                yield next(latin) if k else next(other)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -352,7 +437,6 @@ def _encoded(docs: DataFrame, path: str, window: int, id_col: str = "doc_id") ->
                 crcs.append([zlib.crc32(ids[i : i + 4 * window]) for i in range(0, full, 4 * window)])
                 tcrc.append(zlib.crc32(ids[full:]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "n": n, "tail": tail, "block": batch["block"], "tail_crc": tcrc, "crcs": crcs})
-        enc.trim()
         release()
 
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -440,7 +524,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
                 rows.append((r.doc_id, start, r.keep, zlib.crc32(raw[4 * start : a]), r.n, r.sequence_id, r.offset))
                 rows.append((r.doc_id, start + r.keep, r.tail - r.keep, zlib.crc32(raw[a:z]), r.n, r.sequence_id + 1, 0))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        enc.trim()
         release()
 
     pieces = ids.mapInPandas(halves, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
