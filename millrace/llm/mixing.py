@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import free_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this many are broadcast with their targets; more are joined by shuffle.
@@ -162,23 +162,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def mixed_rows(docs: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it; columns unchanged.
 
-    Rows meet their decisions by doc_id and, where ids repeat, by place in
-    (size, source, text) order within the id.
+    Rows meet their decisions by doc_id. Where ids repeat, rows of one id, size and source
+    are alike to the mix: they share out their copies in the order of their texts.
     """
     dec = written(mix(docs, **kw))
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    key, times, size, place = (free_name(n, docs) for n in ("key", "times", "words", "place"))
+    every = lambda d: d.withColumn(free_name("copy", d), F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns)
     if dec.groupBy("doc_id").count().where("count > 1").isEmpty():
-        take = dec.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").cast("int").alias("__n"))
+        take = dec.where("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").cast("int").alias(times))
         take = F.broadcast(take) if take.count() <= BROADCAST_DECISIONS else take
-        took = docs.join(take, F.col("doc_id").eqNullSafe(F.col("__id")))
-        return took.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
-    place = F.sort_array(F.collect_list(F.struct(F.col("size"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("s"), "copies")))
-    lists = dec.groupBy(F.col("doc_id").alias("__id")).agg(place.alias("__c"))
-    one = docs.withColumn("__size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
-    order = W.partitionBy("doc_id").orderBy("__size", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")), "text")
-    one = one.withColumn("__rn", F.row_number().over(order))
-    took = one.join(lists, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__n", F.element_at("__c", F.col("__rn"))["copies"].cast("int"))
-    return took.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
+        return every(docs.join(take, F.col("doc_id").eqNullSafe(F.col(key))))
+    share = dec.groupBy(F.col("doc_id").alias(key), F.col("size").alias("s"), F.col("source").alias("o")).agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("r")).where("c > 0")
+    one = docs.withColumn(size, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
+    one = one.withColumn(place, F.row_number().over(W.partitionBy("doc_id", size, "source").orderBy(F.xxhash64("text"), "text")))
+    took = one.join(share.select(key, F.struct("s", "o", "c", "r").alias(times)), F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(size) == F.col(times)["s"]) & F.col("source").cast("string").eqNullSafe(F.col(times)["o"]))
+    n = F.floor(F.col(times)["c"] / F.col(times)["r"]) + (F.col(place) <= F.col(times)["c"] % F.col(times)["r"]).cast("long")
+    return every(took.withColumn(times, n.cast("int")).where(F.col(times) > 0))
 
 
 def op2_mixing(docs: DataFrame) -> DataFrame:

@@ -218,6 +218,43 @@ def test_pipeline_stages(spark):
     assert set(total) == set(now)
 
 
+CLASHING = ("id", "row", "llr", "key", "times", "words", "place", "copy", "site", "path", "__id", "__n")
+
+
+def odd_documents(spark):
+    made = [(1, None), (2, ""), (3, "   "), (4, "one two three four five six"), (4, "one two three four five six"), (5, "x " * 30_000), (6, "other words of that same id here"), (6, "and a second text of it"), (None, "no id but some text"), (None, None)]
+    rows = [(i, t, "en" if i != 4 else None, None if i == 5 else "s", 7, *(k for k, _ in enumerate(CLASHING))) for i, t in made]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHING))
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
+        n = docs.count()
+        for k, (_, stage) in enumerate(cp.STAGES):
+            out = stage(spark, docs, sf)
+            got = out.collect()
+            if k < 3:
+                assert out.columns == docs.columns
+                assert all(tuple(r[c] for c in CLASHING) == tuple(range(len(CLASHING))) for r in got)
+                docs = spark.createDataFrame(got, docs.schema)
+            if k == 1 and n:
+                assert sorted((r["doc_id"] or 0, (r["text"] or "")[:6]) for r in got) == sorted([(0, ""), (0, "no id "), (1, ""), (2, ""), (3, "   "), (4, "one tw"), (5, "x x x "), (6, "and a "), (6, "other ")])
+        assert bool(got) == bool(n)
+
+
+def test_pipeline_runs_and_leaves_only_its_result(spark):
+    import corpus_pipeline as cp
+
+    before = len(common._tables)
+    got = cp.run(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    fill = got.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
+    assert fill.max() <= 4096 and fill.sum() / (4096 * len(fill)) > 0.95 and len(common._tables) == before
+
+
 def test_registered_queries_match_their_sql(spark):
     import duckdb
 
