@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import release
+
 #: Symbols of the shared vocabulary; id 0 is any other code point and the start of a text.
 VOCABULARY = 255
 #: Weight of the shorter context in the smoothed estimates.
@@ -263,7 +265,9 @@ def word_score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", bloc
     words and pairs and sends them, by ranges of their 63-bit hashes, to as many parts as
     there are blocks; a part sums over blocks and answers each with what the others add.
     So counts never meet in one place, each key leaves a block once however frequent it
-    is, and no part or block grows with the corpus. Two grams of equal hash would be
+    is, and no part or block grows with the corpus. A block sends one message to every part,
+    so that messages shrink as blocks get many: let ``block_bytes`` grow with the root of
+    the corpus (at 300 TB of text 1 GB, for messages of some 8 KB). Two grams of equal hash would be
     counted as one.
 
     Null, empty or blank text: 0 tokens, null losses and score. Repeated rows are documents
@@ -286,6 +290,8 @@ def word_score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", bloc
         b = _Block.of(g["text"], g["target"])
         at = b.cuts(parts)
         rows = [(b.keys[i:j].tobytes(), _planes(b.n[i:j].astype(np.uint32))) for i, j in zip(at, at[1:], strict=False)]
+        del b
+        release()
         return pd.DataFrame(rows, columns=["keys", "n"]).assign(block=g["block"].iloc[0], part=np.arange(parts, dtype=np.int32))
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
@@ -297,6 +303,8 @@ def word_score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", bloc
         told = np.array([word.sum(), *sums[word].sum(0)], dtype=np.int64).tobytes()
         more = sums[at] - n
         cut = np.cumsum([0, *(len(k) // 8 for k in g["keys"])])
+        del keys, n, at, every, sums, word
+        release()
         return pd.DataFrame({"block": g["block"], "part": g["part"], "more": [_planes(more[i:j]) for i, j in zip(cut, cut[1:], strict=False)], "told": told})
 
     def judge(g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -310,6 +318,8 @@ def word_score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", bloc
             c = n[:, m]
             p = (c[b.pair] + SMOOTHING * (c[b.word] + 1) / (sums[m] + size + 1)) / (c[b.before] + SMOOTHING)
             mean.append(np.bincount(b.owner, weights=-np.log(p), minlength=len(g)) / np.maximum(tokens, 1))
+        del b, n, c, p
+        release()
         cols = {"target_loss": mean[0], "background_loss": mean[1], "score": mean[0] - mean[1]}
         return pd.DataFrame({"doc_id": g["doc_id"], "n_tokens": tokens} | {k: pd.arrays.FloatingArray(v, tokens == 0) for k, v in cols.items()})
 
