@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from datetime import UTC, datetime
 from typing import Any
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import grounding, iforest, retrieval
 from millrace.operators.contracts import check_chain
+from millrace.plans.tables import cut
 from millrace.sources.files import canonical
 from millrace.sources.store import Counters, Store
 
@@ -31,24 +33,54 @@ class Prediction:
         return {"status": "scored", "candidate_id": self.candidate_id, "feature_names_sha256": self.features_sha256} | iforest.predict_one(row, self.forest, self.threshold)
 
 
+#: Tables of a saved index.
+INDEX = ("vocabulary", "index", "directions", "embedded")
+
+
+def _identity(df: DataFrame) -> list[Any]:
+    return list(retrieval.table_identity(df).first())
+
+
 class Knowledge:
     """A TF-IDF and LSA index held as tables, for ad-hoc questions."""
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, dims: int, max_features: int = 16_000, g: grounding.Grounding = grounding.Grounding()):
         self.spark, self.chunks, self.dims, self.g = spark, chunks, dims, g
-        counts = retrieval.term_counts(chunks, "chunk_id", "text")
+        counts = cut(retrieval.term_counts(chunks, "chunk_id", "text"))
         n = chunks.count()
         self.vocabulary = retrieval.vocabulary(counts, n, max_features).cache()
         self.index = retrieval.tfidf(counts, self.vocabulary).cache()
         self.directions = retrieval.lsa(self.index, self.vocabulary, dims, n, 7).cache()
         self.embedded = retrieval.embed(self.index, self.directions, dims).cache()
 
+    def save(self, path: str) -> dict[str, Any]:
+        """Writes the index as tables below ``path``, beside what they hold: rows and content of each, and of the chunks they stand for."""
+        identity = {"dims": self.dims, "chunks": _identity(self.chunks.select("chunk_id", "text"))}
+        for name in INDEX:
+            getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+            identity[name] = _identity(self.spark.read.parquet(f"{path}/{name}"))
+        self.spark.createDataFrame([(canonical(identity),)], "identity string").coalesce(1).write.mode("errorifexists").text(f"{path}/identity")
+        return identity
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, chunks: DataFrame, g: grounding.Grounding = grounding.Grounding()) -> Knowledge:
+        """A saved index; tables or chunks that aren't those it was saved with are an error."""
+        identity = json.loads(spark.read.text(f"{path}/identity").first()[0])
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in INDEX}
+        check_chain(identity, {"dims": identity["dims"], "chunks": _identity(chunks.select("chunk_id", "text"))} | {k: _identity(t) for k, t in tables.items()})
+        k = cls.__new__(cls)
+        k.spark, k.chunks, k.dims, k.g = spark, chunks, identity["dims"], g
+        for name, t in tables.items():
+            setattr(k, name, t.cache())
+        return k
+
     def retrieve(self, query: str, top_k: int = 8) -> DataFrame:
         """Chunks for one question, best first; none if no word is known."""
         if not query.strip():
             raise ValueError("the question is empty")
         q = retrieval.tfidf(retrieval.term_counts(self.spark.createDataFrame([("q", query)], "id string, text string"), "id", "text"), self.vocabulary)
-        hits = retrieval.hybrid(retrieval.keyword_scores(self.index, q), retrieval.dense_scores(self.embedded, retrieval.embed(q, self.directions, self.dims), self.chunks.count()), top_k)
+        keyword = retrieval.keyword_scores(self.index, q)
+        hits = retrieval.hybrid(keyword, retrieval.candidate_scores(keyword, self.embedded, retrieval.embed(q, self.directions, self.dims)), top_k)
         return hits.withColumnRenamed("id", "chunk_id").join(self.chunks, "chunk_id").orderBy("rank")
 
     def answer(self, query: str, candidates: int = 12) -> dict[str, Any]:
@@ -71,17 +103,28 @@ def smoke(k: Knowledge, cases: tuple[tuple[str, str], ...] = SMOKE) -> list[dict
     return [{"query": q, "expected": want, "status": (got := k.answer(q))["status"], "passed": got["status"] == want} for q, want in cases]
 
 
+def _sha256(path: str) -> str | None:
+    try:
+        with open(path, "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+    except OSError:
+        return None
+
+
 class Services:
     """What an HTTP shell would call; requests are counted and kept without raw inputs."""
 
-    def __init__(self, store: Store, prediction: Prediction | None = None, knowledge: Knowledge | None = None):
-        self.store, self.prediction, self.knowledge, self.counters = store, prediction, knowledge, Counters()
+    def __init__(self, store: Store, prediction: Prediction | None = None, knowledge: Knowledge | None = None, frozen: dict[str, str] | None = None):
+        """``frozen``: SHA-256 by path of the files that the parts were frozen with."""
+        self.store, self.prediction, self.knowledge, self.counters, self.frozen = store, prediction, knowledge, Counters(), frozen or {}
 
     def live(self) -> dict[str, str]:
         return {"status": "live"}
 
     def ready(self) -> dict[str, Any]:
+        """Ready when every part is there and every frozen file still has its SHA-256."""
         parts = {"prediction": self.prediction is not None, "knowledge": self.knowledge is not None}
+        parts |= {f"file:{path}": _sha256(path) == digest.lower() for path, digest in sorted(self.frozen.items())}
         return {"status": "ready" if all(parts.values()) else "not_ready", "components": parts}
 
     def _kept(self, operation: str, request: dict, respond) -> dict[str, Any]:
@@ -99,6 +142,15 @@ class Services:
     def predict(self, row: dict[str, float]) -> dict[str, Any]:
         return self._kept("predict", {"feature_count": len(row)}, lambda: self.prediction.predict(row))
 
+    def retrieve(self, query: str, top_k: int = 8) -> dict[str, Any]:
+        """The best chunks of one question, counted and kept as a request like the others."""
+
+        def respond() -> dict[str, Any]:
+            rows = [r.asDict(recursive=True) for r in self.knowledge.retrieve(query, top_k).collect()]
+            return {"status": "retrieved", "result_count": len(rows), "results": rows}
+
+        return self._kept("retrieve", {"query_characters": len(query), "top_k": top_k}, respond)
+
     def answer(self, query: str) -> dict[str, Any]:
         return self._kept("answer", {"query_characters": len(query)}, lambda: self.knowledge.answer(query))
 

@@ -126,10 +126,11 @@ def _(spark, d):
     return rows.groupBy("partition").agg(F.count(F.lit(1)).alias("rows"), F.count_if("alarm").alias("alarms"), F.count_if(F.col("alarm").isNull()).alias("without_score"))
 
 
-@query("c5_partition_agreement", "SELECT 0::BIGINT AS disagreements")
+@query("c5_partition_agreement", "SELECT count(*) AS disagreements FROM documents WHERE doc_id % 7 = 0 AND (lang IS DISTINCT FROM CASE WHEN doc_id % 21 = 0 THEN NULL ELSE 'en' END OR source IS DISTINCT FROM CASE WHEN doc_id % 14 = 0 THEN source ELSE 'elsewhere' END)")
 def _(spark, d):
-    g = governed(spark, d)
-    return features.disagreements(g, g, "event_id", ["partition", "target_state"]).agg(F.count(F.lit(1)).alias("disagreements"))
+    a = table(spark, d, "documents").select("doc_id", "lang", "source")
+    b = a.where("doc_id % 7 = 0").select("doc_id", F.when(F.col("doc_id") % 21 != 0, F.lit("en")).alias("lang"), F.when(F.col("doc_id") % 14 == 0, F.col("source")).otherwise(F.lit("elsewhere")).alias("source"))
+    return features.disagreements(a, b, "doc_id", ["lang", "source"]).agg(F.count(F.lit(1)).alias("disagreements"))
 
 
 @query("c6_citation_lookup", f"WITH {RERANK_SQL}, top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, hybrid DESC, chunk_id) AS n FROM rr WHERE rerank_score >= 0.08) SELECT query_id, count(*) AS traceable FROM top WHERE n <= 4 GROUP BY 1")

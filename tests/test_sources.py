@@ -196,3 +196,30 @@ def test_charts_are_svg():
     assert charts.state_bars([{"signal": "a<b", "state": 1, "percentage": 50.0}]).count("<rect") == 1
     assert "a&lt;b" in charts.state_bars([{"signal": "a<b", "state": 1, "percentage": 50.0}])
     assert charts.quantile_strips([{"signal": "x", "minimum": 0, "q25": 1, "q50": 2, "q75": 3, "maximum": 4}]).startswith("<svg")
+
+
+def test_saved_index_answers_alike_and_refuses_other_chunks(spark, tmp_path):
+    rows = [(f"c{i}", f"compressor pressure note {i} about valve {i % 3} and leak {i % 5}") for i in range(12)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string")
+    k = Knowledge(spark, chunks, 3)
+    k.save(str(tmp_path / "index"))
+    again = Knowledge.load(spark, str(tmp_path / "index"), chunks)
+    hits = lambda x: [(r["rank"], r["chunk_id"], round(r["hybrid_score"], 9)) for r in x.retrieve("pressure valve 2", 4).collect()]
+    assert hits(k) == hits(again) and len(hits(k)) == 4
+    with pytest.raises(ValueError):
+        Knowledge.load(spark, str(tmp_path / "index"), spark.createDataFrame([*rows, rows[0]], "chunk_id string, text string"))
+
+
+def test_readiness_follows_the_frozen_files_and_retrieval_is_kept(spark, tmp_path):
+    import hashlib
+
+    f = tmp_path / "model.json"
+    f.write_text("{}")
+    chunks = spark.createDataFrame([(f"c{i}", f"compressor pressure note {i}") for i in range(6)], "chunk_id string, text string")
+    s = Services(Store(spark, str(tmp_path / "st"), {"records": 9, "evaluations": 9, "events": 9}), None, Knowledge(spark, chunks, 2), {str(f): hashlib.sha256(b"{}").hexdigest()})
+    assert s.ready()["components"][f"file:{f}"]
+    got = s.retrieve("compressor note", 3)
+    assert got["status"] == "ok" and got["result"]["result_count"] == 3 and s.retrieve(" ")["status"] == "rejected"
+    f.write_text("{ }")
+    assert not s.ready()["components"][f"file:{f}"] and s.ready()["status"] == "not_ready"
+    assert s.metrics()["counters"]["retrieve.requests"] == 2
