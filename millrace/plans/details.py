@@ -363,7 +363,7 @@ def _(spark, d):
 @query("i6_forest_held_out")
 def _(spark, d):
     e = cut(eligible(spark, d))
-    f = iforest.fit(e.where("eligible_for_reference_fit"), MODEL, iforest.Candidate(50, 256, 1.0), "event_id")
+    f = iforest.fit(e.where("eligible_for_reference_fit"), MODEL, iforest.Candidate(100, 1024, 1.0), "event_id")
     limit = robust.threshold(iforest.score(e.where("eligible_for_reference_fit"), f), 0.95, "anomaly_score")
     held = robust.with_alarm(iforest.score(e.where("partition = 'test' and eligible_for_scoring"), f), "anomaly_score", limit)
     return alarms.candidate_metrics(held, SAMPLING)
@@ -377,7 +377,7 @@ def _(spark, d):
 @query("i20_single_row_prediction")
 def _(spark, d):
     e = cut(eligible(spark, d))
-    f = iforest.fit(e.where("eligible_for_reference_fit"), MODEL, iforest.Candidate(20, 128, 1.0), "event_id")
+    f = iforest.fit(e.where("eligible_for_reference_fit"), MODEL, iforest.Candidate(100, 1024, 1.0), "event_id")
     row = e.where("eligible_for_scoring").orderBy("event_id").first().asDict()
     p = iforest.predict_one({k: row[k] for k in MODEL}, f, 0.5)
     return spark.createDataFrame([(p["anomaly_score"], p["threshold"], p["alarm"])], "anomaly_score double, threshold double, alarm boolean")

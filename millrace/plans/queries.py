@@ -486,13 +486,13 @@ def _(spark, d):
     from millrace.plans.tables import cut
 
     e = cut(e)
-    f = iforest.fit(e.where("eligible_for_reference_fit"), MODEL, iforest.Candidate(50, 256, 1.0), "event_id")
+    f = iforest.fit(e.where("eligible_for_reference_fit"), MODEL, iforest.Candidate(100, 1024, 1.0), "event_id")
     return iforest.score(e.where("eligible_for_scoring").select("event_id", "partition", *MODEL), f).select("event_id", "partition", "anomaly_score")
 
 
-@query("i3_candidate_grid", "SELECT CAST(row_number() OVER (ORDER BY n, m, f) AS BIGINT) AS complexity_rank, 'iforest_ne' || n || '_ms' || m || '_mf' || replace(CAST(f AS VARCHAR), '.', 'p') AS candidate_id FROM (VALUES (100), (200)) a(n), (VALUES (256), (4096)) b(m), (VALUES (0.5), (1.0)) c(f)")
+@query("i3_candidate_grid", "SELECT CAST(row_number() OVER (ORDER BY n, m, f) AS BIGINT) AS complexity_rank, 'iforest_ne' || n || '_ms' || m || '_mf' || replace(CAST(f AS VARCHAR), '.', 'p') AS candidate_id FROM (VALUES (100), (200)) a(n), (VALUES (1024), (4096)) b(m), (VALUES (0.5), (1.0)) c(f)")
 def _(spark, d):
-    return spark.createDataFrame([(c.complexity_rank, c.candidate_id) for c in iforest.grid([100, 200], [256, 4096], [0.5, 1.0])], "complexity_rank long, candidate_id string")
+    return spark.createDataFrame([(c.complexity_rank, c.candidate_id) for c in iforest.grid([100, 200], [1024, 4096], [0.5, 1.0])], "complexity_rank long, candidate_id string")
 
 
 # ---------------------------------------------------------------- text
