@@ -13,7 +13,7 @@ from millrace.functions.arrays import any_null, clip01, finite
 from millrace.functions.time import hours, lenient_timestamp
 from millrace.operators import alarms, corpus, eligibility, evaluation, features, grounding, iforest, retrieval, robust
 from millrace.plans.queries import (
-    _BEST, CLASSIFIED, ELIGIBLE_SQL, FEATURES_SQL, HYBRID_SQL, MODEL, RERANK_SQL, SAMPLING, SCORED_SQL, SENSOR, SPEC, TFIDF_SQL, _answers, _diagnosis, _stand_in_vectors,
+    _BEST, ANSWER_SQL, BEST_SQL, CLASSIFIED, ELIGIBLE_SQL, EVALUATION_SQL, FEATURES_SQL, HYBRID_SQL, MODEL, RERANK_SQL, SAMPLING, SCORED_SQL, SENSOR, SPEC, TFIDF_SQL, _answers, _diagnosis, _stand_in_vectors,
     candidates, docs, eligible, featured, fitted, governed, query, r6, rounded, sensor, tfidf,
 )
 from millrace.plans.tables import cut
@@ -188,23 +188,23 @@ def _(spark, d):
     return alarms.comparison(count(fitted(spark, d)[2]), count(fitted(spark, d, "test")[2]), ("validation", "test"))
 
 
-@query("d26_citation_metrics")
+@query("d26_citation_metrics", f"WITH {EVALUATION_SQL} SELECT case_id, citation_count, traceable_count, round(traceability_rate, 6) AS traceability_rate, marker_coverage, scoped_count, aligned_count, round(scope_alignment_rate, 6) AS scope_alignment_rate FROM cmr")
 def _(spark, d):
     from millrace.plans.queries import _cases
 
     cases, _, r, ans = _cases(spark, d)
-    return evaluation.citation_metrics(cases, ans, r)
+    return rounded(evaluation.citation_metrics(cases, ans, r))
 
 
-@query("d27_faithfulness")
+@query("d27_faithfulness", f"WITH {EVALUATION_SQL} SELECT case_id, claim_count, supported_count, round(supported_rate, 6) AS supported_rate FROM fr")
 def _(spark, d):
     from millrace.plans.queries import _cases
 
     _, _, r, ans = _cases(spark, d)
-    return evaluation.faithfulness(ans, r)
+    return rounded(evaluation.faithfulness(ans, r))
 
 
-@query("d28_usefulness")
+@query("d28_usefulness", f"WITH {EVALUATION_SQL} SELECT case_id, status, status_match, reason_match, intent_match, concept_coverage, useful, refusal_boundary FROM uu JOIN cm USING (case_id)")
 def _(spark, d):
     from millrace.plans.queries import _cases
 
@@ -255,7 +255,7 @@ def _(spark, d):
     return rounded(grounding.rerank(candidates(spark, d)).select("query_id", F.col("rerank_rank").cast("long").alias("rerank_rank"), "rerank_score"))
 
 
-@query("f8_best_sentences")
+@query("f8_best_sentences", f"WITH {RERANK_SQL}, {BEST_SQL} SELECT query_id, chunk_id, sentences FROM best")
 def _(spark, d):
     return candidates(spark, d).select("query_id", "chunk_id", grounding.best_sentences(F.col("query"), F.col("text"), 2).alias("sentences"))
 
@@ -369,7 +369,7 @@ def _(spark, d):
     return alarms.candidate_metrics(held, SAMPLING)
 
 
-@query("i12_answered_questions")
+@query("i12_answered_questions", f"WITH {ANSWER_SQL} SELECT query_id, status, reason_code, (SELECT count(*) FROM cit WHERE cit.query_id = ans.query_id)::INTEGER AS citations FROM ans")
 def _(spark, d):
     return _answers(spark, d)[1].select("query_id", "status", "reason_code", F.size("citations").alias("citations"))
 

@@ -694,6 +694,23 @@ def _(spark, d):
     return rounded(grounding.evidence(grounding.rerank(candidates(spark, d))).select("query_id", "rerank_score"))
 
 
+BEST_SQL = f"""sent AS (SELECT query_id, chunk_id, list_distinct(qt) AS q, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS ss FROM cand WHERE len(qt) > 0),
+ranked AS (SELECT query_id, chunk_id, list_sort(list_transform(range(1, len(ss) + 1), lambda i: {{'o': -len(list_intersect(q, {_CONTENT.format('ss[i]')})), 'i': i, 's': ss[i]}})) AS o FROM sent),
+best AS (SELECT query_id, chunk_id, list_transform(CASE WHEN len(o) > 0 AND o[1].o < 0 THEN list_filter(o, lambda x: x.o < 0)[1:2] ELSE o[1:1] END, lambda x: x.s) AS sentences FROM ranked)"""
+_G = grounding.Grounding()
+ANSWER_SQL = f"""{RERANK_SQL}, {BEST_SQL},
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, hybrid DESC, chunk_id) AS rerank_rank FROM rr),
+ev AS (SELECT query_id, chunk_id, classification, text, row_number() OVER (PARTITION BY query_id ORDER BY rerank_rank) AS n FROM rk WHERE rerank_score >= 0.08 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rerank_rank) <= 4),
+said AS (SELECT ev.*, list_transform(sentences, lambda s: s || ' [S' || n || ']') AS said FROM ev JOIN best USING (query_id, chunk_id)),
+placed AS (SELECT *, coalesce(sum(len(said)) OVER (PARTITION BY query_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lines_before FROM said),
+per AS (SELECT query_id, count(*) AS found, bool_or(classification = 'exact_equipment_source') AS exact, flatten(list(said ORDER BY n))[1:5] AS lines, count(*) FILTER (WHERE lines_before < 5) AS used FROM placed GROUP BY 1),
+judged AS (SELECT q.query_id::BIGINT AS query_id, query, CASE WHEN contains(query, 'service manual') THEN 'equipment_specific' WHEN contains(query, 'dataset') THEN 'dataset_specific' ELSE 'general' END AS intent, lines, used,
+  CASE WHEN contains(query, 'service manual') AND NOT coalesce(exact, false) THEN 'no_exact_equipment_evidence' WHEN found IS NULL THEN 'below_evidence_threshold' WHEN len(lines) = 0 THEN 'no_supported_sentence' ELSE 'grounded' END AS reason_code FROM q LEFT JOIN per USING (query_id)),
+ans AS (SELECT query_id, query, intent, reason_code, CASE WHEN reason_code = 'grounded' THEN 'answered' ELSE 'insufficient_evidence' END AS status, CASE WHEN reason_code = 'grounded' THEN used::INTEGER ELSE 0 END AS evidence_chunk_count,
+  CASE reason_code WHEN 'grounded' THEN CASE intent {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in grounding.ANSWER_PREFIX.items())} END || array_to_string(lines, ' ') WHEN 'no_exact_equipment_evidence' THEN '{_G.refusal + _G.no_equipment}' ELSE '{_G.refusal}' END AS answer FROM judged),
+cit AS (SELECT query_id, chunk_id, classification, text, 'S' || n AS citation_id FROM placed JOIN ans USING (query_id) WHERE reason_code = 'no_supported_sentence' OR reason_code = 'no_exact_equipment_evidence' OR (reason_code = 'grounded' AND lines_before < 5))"""
+
+
 def _answers(spark, d):
     c = candidates(spark, d)
     rr = cut(grounding.rerank(c))
@@ -701,14 +718,36 @@ def _answers(spark, d):
     return rr, grounding.answers(q, rr)
 
 
-@query("i11_answers")
+@query("i11_answers", f"WITH {ANSWER_SQL} SELECT query_id, status, reason_code, intent, answer, evidence_chunk_count FROM ans")
 def _(spark, d):
     return _answers(spark, d)[1].select("query_id", "status", "reason_code", "intent", "answer", "evidence_chunk_count")
 
 
-@query("i13_evaluation")
+_NORMAL = "regexp_replace(trim(lower({0})), '\\s+', ' ', 'g')"
+_LEADS = "|".join(v.strip() for v in grounding.ANSWER_PREFIX.values())
+EVALUATION_SQL = f"""{ANSWER_SQL},
+cm AS (SELECT query_id AS case_id, any_value(status) AS status, count(citation_id) AS citation_count, count(citation_id) FILTER (WHERE sha256(cit.text) = sha256(rr.text) AND cit.classification = rr.classification) AS traceable_count,
+  count(citation_id) AS scoped_count, count(citation_id) FILTER (WHERE cit.classification = 'authoritative_general_reference') AS aligned_count,
+  CASE WHEN any_value(status) = 'answered' THEN list_sort(list_distinct(regexp_extract_all(any_value(answer), '\\[([A-Z][A-Z0-9]*)\\]', 1))) = list_sort(list(citation_id)) END AS marker_coverage FROM ans LEFT JOIN cit USING (query_id) LEFT JOIN rr USING (query_id, chunk_id) GROUP BY 1),
+cmr AS (SELECT *, CASE WHEN citation_count > 0 THEN traceable_count / citation_count END AS traceability_rate, CASE WHEN scoped_count > 0 THEN aligned_count / scoped_count END AS scope_alignment_rate FROM cm),
+mk AS (SELECT query_id, string_split_regex(answer, '\\[[A-Z][A-Z0-9]*\\]') AS parts, regexp_extract_all(answer, '\\[([A-Z][A-Z0-9]*)\\]', 1) AS ids FROM ans),
+cl AS (SELECT query_id, trim(regexp_replace(trim(parts[i]), '^(?:{_LEADS})\\s*', '')) AS claim, ids[i] AS citation_id FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM mk)),
+fa AS (SELECT query_id, count(*) AS claim_count, count(*) FILTER (WHERE contains({_NORMAL.format('text')}, {_NORMAL.format('claim')})) AS supported_count FROM cl LEFT JOIN cit USING (query_id, citation_id) WHERE claim <> '' GROUP BY 1),
+fr AS (SELECT query_id AS case_id, coalesce(claim_count, 0) AS claim_count, coalesce(supported_count, 0) AS supported_count, supported_count / claim_count AS supported_rate FROM ans LEFT JOIN fa USING (query_id)),
+us AS (SELECT query_id AS case_id, status, status = 'answered' AS status_match, reason_code = 'grounded' AS reason_match, intent = 'general' AS intent_match, contains(query, 'manual') AS boundary,
+  CASE WHEN contains({_NORMAL.format('answer')}, 'the') OR contains({_NORMAL.format('answer')}, 'und') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS concept_coverage, reason_code = 'no_exact_equipment_evidence' AND intent = 'equipment_specific' AS refused FROM ans),
+uu AS (SELECT case_id, status_match, reason_match, intent_match, concept_coverage, boundary, status_match AND reason_match AND intent_match AND (boundary OR concept_coverage >= 0.5) AS useful, CASE WHEN boundary THEN refused END AS refusal_boundary FROM us),
+re AS (SELECT query_id AS case_id, min(rerank_rank) FILTER (WHERE chunk_id = '000000001') AS first_rank, bool_or(classification = 'authoritative_general_reference') FILTER (WHERE rerank_rank = 1) AS top1, NOT bool_or(classification = 'exact_equipment_source') AS clear FROM rk GROUP BY 1),
+res AS (SELECT *, list_filter([CASE WHEN NOT coalesce(first_rank <= 5, false) THEN 'retrieval_source_miss_at_5' END, CASE WHEN NOT coalesce(top1, false) THEN 'retrieval_top1_classification_mismatch' END, CASE WHEN traceability_rate <> 1 THEN 'citation_traceability_failure' END,
+  CASE WHEN citation_count > 0 AND NOT marker_coverage THEN 'citation_marker_coverage_failure' END, CASE WHEN scope_alignment_rate <> 1 THEN 'citation_source_scope_misalignment' END, CASE WHEN citation_count = 0 THEN 'answered_case_without_citation' END,
+  CASE WHEN supported_rate <> 1 THEN 'unsupported_cited_claim' END, CASE WHEN boundary AND NOT refusal_boundary THEN 'equipment_refusal_boundary_failure' END, CASE WHEN NOT status_match THEN 'unexpected_answer_status' END,
+  CASE WHEN NOT reason_match THEN 'unexpected_reason_code' END, CASE WHEN NOT intent_match THEN 'unexpected_intent' END, CASE WHEN concept_coverage < 0.5 THEN 'low_usefulness_concept_coverage' END], lambda x: x IS NOT NULL) AS failure_flags
+  FROM uu JOIN cmr USING (case_id) JOIN fr USING (case_id) LEFT JOIN re USING (case_id))"""
+
+
+@query("i13_evaluation", f"WITH {EVALUATION_SQL} SELECT case_id, citation_count, round(traceability_rate, 6) AS traceability_rate, marker_coverage, claim_count, round(supported_rate, 6) AS supported_rate, useful, failure_flags FROM res")
 def _(spark, d):
-    return evaluation.evaluate(*_cases(spark, d)).select("case_id", "citation_count", "traceability_rate", "marker_coverage", "claim_count", "supported_rate", "useful", "failure_flags")
+    return rounded(evaluation.evaluate(*_cases(spark, d)).select("case_id", "citation_count", "traceability_rate", "marker_coverage", "claim_count", "supported_rate", "useful", "failure_flags"))
 
 
 def _cases(spark, d):
@@ -719,9 +758,16 @@ def _cases(spark, d):
     return cases.drop("query"), r.withColumn("rank", F.col("rerank_rank")), r, ans.withColumnRenamed("query_id", "case_id")
 
 
-@query("d25_evaluation_summary")
+def _sql_rate(c: str, name: str | None = None) -> str:
+    return f"round(avg({c}::INTEGER), 6) AS {name or c}_rate"
+
+
+@query("d25_evaluation_summary", f"""WITH {EVALUATION_SQL} SELECT count(*) AS case_count, round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 6) AS mean_reciprocal_rank, {", ".join(_sql_rate(f"coalesce(first_rank <= {k}, false)", f"hit_at_{k}") for k in (1, 3, 5))},
+{_sql_rate("top1", "top1_class")}, round(avg(clear::INTEGER) FILTER (WHERE boundary), 6) AS boundary_clear_rate, sum(citation_count)::BIGINT AS citation_count, round(sum(traceable_count) / sum(citation_count), 6) AS traceability_rate, {_sql_rate("marker_coverage")},
+round(sum(aligned_count) / sum(scoped_count), 6) AS scope_alignment_rate, sum(claim_count)::BIGINT AS claim_count, round(sum(supported_count) / sum(claim_count), 6) AS supported_rate, {", ".join(map(_sql_rate, ("refusal_boundary", "status_match", "reason_match", "intent_match")))},
+round(avg(concept_coverage), 6) AS mean_concept_coverage, {_sql_rate("useful")}, count(*) FILTER (WHERE len(failure_flags) > 0) AS failure_case_count FROM res""")
 def _(spark, d):
-    return evaluation.aggregate(evaluation.evaluate(*_cases(spark, d)))
+    return rounded(evaluation.aggregate(evaluation.evaluate(*_cases(spark, d))))
 
 
 @query("f10_recent_history", "SELECT conv_id * 1000 + turn AS id, role FROM conversations WHERE role = 'user' ORDER BY 1 DESC LIMIT 20")
