@@ -182,10 +182,17 @@ def _(spark, d):
     return rounded(alarms.candidate_metrics(fitted(spark, d)[2], SAMPLING))
 
 
-@query("d30_comparison", f"WITH {SCORED_SQL} SELECT 'validation' AS model, count(*) AS rows, count(*) FILTER (WHERE alarm) AS alarms FROM val UNION ALL SELECT 'test', count(*), count(*) FILTER (WHERE score > t) FROM scored, lim WHERE partition = 'test' AND eligible_for_scoring")
+_MEASURES = f"""SELECT '{{0}}' AS model, event_count, covered_events, round(mean_latency_seconds, 6) AS mean_latency_seconds, round(covered_events / event_count, 6) AS event_coverage, burden_rows, burden_alarms, round(burden_alarms / burden_rows, 6) AS alarm_burden_fraction,
+round(burden_alarms * 24.0::DOUBLE / (burden_rows * {SAMPLING}::DOUBLE / 3600.0::DOUBLE), 6) AS alarms_per_24_hours
+FROM (SELECT count(*) AS event_count, count(*) FILTER (WHERE covered) AS covered_events, avg(latency) AS mean_latency_seconds FROM (SELECT source_event, min(timestamp) FILTER (WHERE alarm) IS NOT NULL AS covered, (epoch_us(min(timestamp) FILTER (WHERE alarm)) - epoch_us(min(timestamp))) / 1e6 AS latency FROM {{1}} WHERE eligible_for_known_event_evaluation GROUP BY 1)),
+(SELECT count(*) AS burden_rows, count(*) FILTER (WHERE alarm) AS burden_alarms FROM {{1}} WHERE eligible_for_alarm_burden)"""
+
+
+@query("d30_comparison", f"WITH {SCORED_SQL}, held AS (SELECT s.*, score > t AS alarm FROM scored s, lim WHERE partition = 'test' AND eligible_for_scoring) {_MEASURES.format('validation', 'val')} UNION ALL {_MEASURES.format('test', 'held')}")
 def _(spark, d):
-    count = lambda s: s.agg(F.count(F.lit(1)).alias("rows"), F.count_if("alarm").alias("alarms"))
-    return alarms.comparison(count(fitted(spark, d)[2]), count(fitted(spark, d, "test")[2]), ("validation", "test"))
+    e = cut(eligible(spark, d))
+    measure = lambda part: alarms.candidate_metrics(robust.run(e, 0.95, part, MODEL)[1], SAMPLING)
+    return rounded(alarms.comparison(measure("validation"), measure("test"), ("validation", "test")))
 
 
 @query("d26_citation_metrics", f"WITH {EVALUATION_SQL} SELECT case_id, citation_count, traceable_count, round(traceability_rate, 6) AS traceability_rate, marker_coverage, scoped_count, aligned_count, round(scope_alignment_rate, 6) AS scope_alignment_rate FROM cmr")

@@ -167,6 +167,20 @@ def write_chunks(chunks: DataFrame, path: str, overwrite: bool = False) -> None:
     chunks.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
+def write_normalized(units: DataFrame, path: str, overwrite: bool = False, source: str = "source_id", unit: str = "unit_index") -> None:
+    """One text file per source, in a folder named by it: each unit under a line with its locator, blank lines between.
+
+    Only the first and last unit of a source are looked up, so no text is windowed; the
+    units of one source are sorted where their one file is written.
+    """
+    ends = units.groupBy(source).agg(F.min(unit).alias("__a"), F.max(unit).alias("__z"))
+    d = units.join(ends.withColumnRenamed(source, "__s"), F.col(source).eqNullSafe(F.col("__s")))
+    block = F.concat(F.lit("===== "), F.coalesce("locator", F.lit("")), F.lit(" =====\n\n"), F.coalesce("text", F.lit("")))
+    block = F.when(F.col(unit) == F.col("__z"), F.regexp_replace(block, r"\s+\z", "")).otherwise(block)
+    d = d.select(source, unit, F.when(F.col(unit) == F.col("__a"), block).otherwise(F.concat(F.lit("\n"), block)).alias("value"))
+    d.repartition(source).sortWithinPartitions(source, unit).select(source, "value").write.mode("overwrite" if overwrite else "errorifexists").partitionBy(source).text(path)
+
+
 def text_units(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of plain-text files, each whole."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

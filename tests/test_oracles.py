@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from millrace.plans import details, queries  # noqa: F401
+from millrace.plans import details, queries, stages  # noqa: F401
 
 SMALL, WIDE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
