@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from millrace.operators.segments import _bucketed, running_groups
 
 WINDOWS = (6, 30)
+#: Rows of one history group that a task takes at once.
+RUN = 100_000
 
 
 def history_groups(df: DataFrame, ts: str = "timestamp", tie: str | None = None) -> DataFrame:
@@ -27,15 +29,38 @@ def history_groups(df: DataFrame, ts: str = "timestamp", tie: str | None = None)
     return running_groups(d.drop("__in", "__before"), starts, "history_group_id", ts, tie).drop("__b", "__p")
 
 
-def causal_features(df: DataFrame, continuous: list[str], ts: str = "timestamp", tie: str | None = None, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+def positions(df: DataFrame, ts: str = "timestamp", tie: str | None = None) -> DataFrame:
+    """Adds ``history_rows_available``: the place of a row in its history group, from 1.
+
+    Rows are numbered by group and day; what a group has before a day comes from one row per
+    group and day, so a group without a gap, however long, is no single task.
+    """
+    d = _bucketed(df, ts, "day")
+    order = [F.col(ts)] + ([F.col(tie)] if tie else [])
+    sizes = d.groupBy("history_group_id", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy("history_group_id").orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("history_group_id", "__b", F.coalesce(before, F.lit(0)).alias("__base"))
+    d = d.withColumn("__in", F.row_number().over(W.partitionBy("history_group_id", "__b").orderBy(*order)))
+    return d.join(sizes, ["history_group_id", "__b"]).withColumn("history_rows_available", F.col("__base") + F.col("__in")).drop("__b", "__in", "__base")
+
+
+def causal_features(df: DataFrame, continuous: list[str], ts: str = "timestamp", tie: str | None = None, windows: tuple[int, ...] = WINDOWS, run: int = RUN) -> DataFrame:
     """Lag, difference, and mean and population deviation over the last rows, the current one included.
 
     Partial windows count; ``has_full_n_row_history`` says whether a window was full. All
-    windows share one partitioning and order, so there is one shuffle and one sort.
+    windows share one partitioning and order. A history group is cut into runs of ``run``
+    rows; the rows before a run that its windows reach back to are dealt to it as well and
+    leave again after the windows.
     """
-    order = [F.col(ts)] + ([F.col(tie)] if tie else [])
-    w = W.partitionBy("history_group_id").orderBy(*order)
-    d = df.withColumn("history_rows_available", F.row_number().over(w).cast("long"))
+    reach = max(*windows, 2) - 1
+    if run <= reach:
+        raise ValueError("a run must be longer than the windows")
+    placed = positions(df, ts, tie)
+    at = F.col("history_rows_available") - 1
+    own = F.floor(at / F.lit(run))
+    dealt = F.when(at % run >= run - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    d = placed.withColumn("__run", F.explode(dealt))
+    w = W.partitionBy("history_group_id", "__run").orderBy("history_rows_available")
     made = []
     for c in continuous:
         col = F.col(f"`{c}`")
@@ -43,7 +68,7 @@ def causal_features(df: DataFrame, continuous: list[str], ts: str = "timestamp",
         for n in windows:
             frame = w.rowsBetween(-(n - 1), W.currentRow)
             made += [F.avg(col).over(frame).alias(f"{c}__mean_{n}"), F.stddev_pop(col).over(frame).alias(f"{c}__stddev_pop_{n}")]
-    d = d.select("*", *made)
+    d = d.select("*", *made).where(F.col("__run") == own).drop("__run")
     have = F.col("history_rows_available")
     flags = {"has_lag_1_history": have >= 2} | {f"has_full_{n}_row_history": have >= n for n in windows}
     return d.withColumns(flags)

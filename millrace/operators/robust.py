@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.arrays import any_null, first_largest, greatest_of
+from millrace.functions.quantiles import quantiles
 
 #: Columns that describe a row and are never features.
 GOVERNANCE = frozenset(
@@ -38,22 +39,24 @@ def numeric_features(df: DataFrame, exclude: frozenset[str] = GOVERNANCE) -> lis
 
 
 def fit(reference: DataFrame, features: list[str]) -> Fit:
-    """Median and interquartile range of every feature in one aggregate.
+    """Exact median and interquartile range of every feature, all features in the same passes.
 
     Nulls or a non-finite range are errors; a feature whose range is 0 is left out, with the reason.
     """
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(features):
         c = F.col(f"`{f}`").cast("double")
-        aggs += [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"), F.count_if(c.isNull()).alias(f"z{i}")]
+        aggs.append(F.count_if(c.isNull()).alias(f"z{i}"))
     r = reference.agg(*aggs).first()
     if not r["n"]:
         raise ValueError("no reference rows")
-    kept, left = [], []
     for i, f in enumerate(features):
         if r[f"z{i}"]:
             raise ValueError(f"{f} has nulls on reference rows")
-        lo, mid, hi = r[f"q{i}"]
+    found = quantiles(reference, features, (0.25, 0.5, 0.75))
+    kept, left = [], []
+    for f in features:
+        lo, mid, hi = found[f]
         iqr = hi - lo
         if not math.isfinite(iqr) or not math.isfinite(mid) or iqr < 0:
             raise ValueError(f"{f} has no finite range")
@@ -77,7 +80,7 @@ def score(parameters: tuple[Parameter, ...]) -> Column:
 
 def threshold(scores: DataFrame, quantile: float, column: str = "robust_distance_score") -> float:
     """The exact, interpolated quantile of training scores."""
-    return scores.agg(F.percentile(column, F.lit(quantile))).first()[0]
+    return quantiles(scores, [column], [quantile])[column][0]
 
 
 def with_alarm(df: DataFrame, score_col: str, limit: float, name: str = "alarm") -> DataFrame:
@@ -95,9 +98,10 @@ def check_complete(df: DataFrame, parameters: tuple[Parameter, ...]) -> None:
 SUMMARY = ((0.5, "median"), (0.95, "p95"), (0.995, "p995"))
 
 
-def score_summary(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    c = F.col(column)
-    return df.groupBy(*keys).agg(F.count(c).alias("row_count"), F.min(c).alias("minimum"), *[F.percentile(c, F.lit(q)).alias(n) for q, n in SUMMARY], F.max(c).alias("maximum"))
+def score_summary(df: DataFrame, column: str) -> DataFrame:
+    c, found = F.col(column), quantiles(df, [column], [q for q, _ in SUMMARY])[column]
+    middle = [F.lit(v).cast("double").alias(n) for v, (_, n) in zip(found, SUMMARY, strict=True)]
+    return df.agg(F.count(c).alias("row_count"), F.min(c).alias("minimum"), F.max(c).alias("maximum")).select("row_count", "minimum", *middle, "maximum")
 
 
 def contributions(parameters: tuple[Parameter, ...]) -> Column:

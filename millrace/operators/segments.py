@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.quantiles import quantiles
 from millrace.functions.time import seconds_between
 
 
@@ -77,11 +78,18 @@ def unpivoted(df: DataFrame, columns: list[str], key: str, value: str) -> DataFr
 
 
 def signal_summary(df: DataFrame, signals: list[str]) -> DataFrame:
-    """Exact summaries of all signals in one pass."""
-    q = [F.percentile("value", F.lit(p)).alias(f"q{int(p * 100):02d}") for p in QUANTILES]
-    return unpivoted(df, signals, "signal", "value").groupBy("signal").agg(
-        F.count("value").alias("non_null"), F.min("value").alias("minimum"), *q, F.avg("value").alias("mean"), F.max("value").alias("maximum"), F.stddev_pop("value").alias("stddev_pop")
+    """Exact summaries of all signals; the quantiles enter the plan as numbers."""
+    found = quantiles(df, signals, QUANTILES)
+    g = unpivoted(df, signals, "signal", "value").groupBy("signal").agg(
+        F.count("value").alias("non_null"), F.min("value").alias("minimum"), F.avg("value").alias("mean"), F.max("value").alias("maximum"), F.stddev_pop("value").alias("stddev_pop")
     )
+    q = []
+    for j, p in enumerate(QUANTILES):
+        of = F.lit(None).cast("double")
+        for s in signals:
+            of = F.when(F.col("signal") == s, F.lit(found[s][j])).otherwise(of)
+        q.append(of.alias(f"q{int(p * 100):02d}"))
+    return g.select("signal", "non_null", "minimum", *q, "mean", "maximum", "stddev_pop")
 
 
 def state_frequencies(df: DataFrame, signals: list[str]) -> DataFrame:

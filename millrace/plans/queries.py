@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.arrays import l2_norm
+from millrace.functions.quantiles import quantiles
 from millrace.functions.time import elapsed_seconds, seconds_between
 from millrace.operators import alarms, corpus, eligibility, evaluation, features, grounding, history, iforest, profile, retrieval, robust, segments, targets
 from millrace.plans.tables import cut
@@ -455,8 +456,8 @@ def _(spark, d):
     e, f, _ = fitted(spark, d)
     s = e.where("eligible_for_reference_fit").select(robust.score(f.retained).alias("s"))
     qs = (0.9, 0.95, 0.99, 0.995)
-    wide = s.agg(F.percentile("s", F.array(*map(F.lit, qs))).alias("t"))
-    return wide.select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("quantile"), F.col("t").alias("threshold"))).alias("x")).select("x.quantile", r6("x.threshold").alias("threshold"))
+    found = quantiles(s, ["s"], qs)["s"]
+    return rounded(spark.createDataFrame(list(zip(qs, found, strict=True)), "quantile double, threshold double"), "quantile")
 
 
 _GRID = " UNION ALL ".join(f"SELECT {i} AS complexity_rank, quantile_cont(score, {q}) AS t FROM scored WHERE eligible_for_reference_fit" for i, q in enumerate((0.9, 0.95, 0.99), start=1))
@@ -473,7 +474,7 @@ def _(spark, d):
     e, f, scored = fitted(spark, d)
     train = e.where("eligible_for_reference_fit").select(robust.score(f.retained).alias("s"))
     qs = (0.9, 0.95, 0.99)
-    limits = train.agg(F.percentile("s", F.array(*map(F.lit, qs)))).first()[0]
+    limits = quantiles(train, ["s"], qs)["s"]
     rows = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("complexity_rank"), F.lit(t).alias("t")) for i, t in enumerate(limits, start=1)])).alias("g")
     every = scored.drop("alarm").select("*", rows).select("*", "g.complexity_rank", (F.col("robust_distance_score") > F.col("g.t")).alias("alarm"))
     m = alarms.candidate_metrics(every, SAMPLING, "complexity_rank")

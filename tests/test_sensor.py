@@ -1,5 +1,6 @@
 """Small hand-made series with known answers."""
 
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 
 from millrace.functions.arrays import first_largest
 from millrace.operators import alarms, eligibility, features, iforest, profile, robust, segments, targets
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 T0 = datetime(2020, 1, 1)
@@ -177,3 +179,35 @@ def test_isolation_forest_ranks_an_outlier_first(spark):
         iforest.predict_one({"a": 1.0}, f, 0.5)
     with pytest.raises(ValueError):
         iforest.grid([1], [1], [1.0])
+
+
+def test_quantiles_are_those_of_percentile(spark):
+    from millrace.functions.quantiles import quantiles
+
+    rows = [(math.sin(i) * 1000 if i % 3 else 5.0, None if i % 7 else float(i), 1.0, None) for i in range(5000)]
+    rows += [(float("nan"), -math.inf, 1.0, None)] * 3
+    d = spark.createDataFrame(rows, "a double, `b.c` double, c double, z double")
+    p = (0.0, 0.01, 0.25, 0.5, 0.75, 0.995, 1.0)
+    for accuracy in (100_000, 200):  # brackets of few and of many values
+        got = quantiles(d, ["a", "b.c", "c", "z"], p, accuracy)
+        want = d.agg(*[F.percentile(f"`{n}`", F.array(*map(F.lit, p))) for n in ("a", "b.c", "c", "z")]).first()
+        assert got["z"] == [None] * len(p) and want[3] is None
+        for n, w in zip(("a", "b.c", "c"), want, strict=False):
+            assert all(x == y or (math.isnan(x) and math.isnan(y)) or abs(x - y) < 1e-9 for x, y in zip(got[n], w, strict=True)), (n, got[n], w)
+    assert quantiles(d.limit(0), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_long_history_groups_are_cut_without_a_trace(spark):
+    t0 = datetime(2020, 1, 1)
+    rows = [(t0 + timedelta(seconds=5000 * i + (200_000 if i >= 150 else 0)), 1 if i < 150 else 2, math.sin(i)) for i in range(200)]
+    d = spark.createDataFrame(rows, "timestamp timestamp_ntz, history_group_id long, x double").cache()
+    whole = sorted(map(str, features.causal_features(d, ["x"]).collect()))
+    w = Window.partitionBy("history_group_id").orderBy("timestamp").rowsBetween(-29, 0)
+    plain = {r["timestamp"]: (r["m"], r["n"]) for r in d.select("timestamp", F.avg("x").over(w).alias("m"), F.count("x").over(w).alias("n")).collect()}
+    for run in (30, 37, 1000):
+        got = features.causal_features(d, ["x"], run=run)
+        assert sorted(map(str, got.collect())) == whole
+        for r in got.collect():
+            assert abs(r["x__mean_30"] - plain[r["timestamp"]][0]) < 1e-12 and min(r["history_rows_available"], 30) == plain[r["timestamp"]][1]
+    with pytest.raises(ValueError):
+        features.causal_features(d, ["x"], run=29)
