@@ -131,7 +131,9 @@ def governed(spark, d):
 
 
 def featured(spark, d):
-    return features.causal_features(features.history_groups(governed(spark, d), tie="event_id"), CONTINUOUS, tie="event_id")
+    """Each step reads its input several times (rows, and a summary row per day), so steps are cut: the steps' reads add up and don't multiply."""
+    grouped = features.history_groups(cut(governed(spark, d)), tie="event_id")
+    return features.causal_features(cut(grouped), CONTINUOUS, tie="event_id")
 
 
 def eligible(spark, d):
@@ -363,7 +365,7 @@ def _(spark, d):
 
 @query("d8_robust_fit", f"WITH {FIT_SQL} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(q2_{f}, 6) AS median, round(q3_{f} - q1_{f}, 6) AS iqr, n AS reference_rows FROM fit" for f in MODEL))
 def _(spark, d):
-    e = eligible(spark, d)
+    e = cut(eligible(spark, d))
     f = robust.fit(e.where("eligible_for_reference_fit and partition = 'train'"), MODEL)
     return rounded(spark.createDataFrame([(p.feature, p.median, p.iqr, f.reference_rows) for p in f.retained], "feature string, median double, iqr double, reference_rows long"))
 
