@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import align, bestfit, chat, forest, html, licenses, lm, mixing, packing, quality, vectors
+from millrace.llm import align, bestfit, chat, forest, html, licenses, lm, mixing, packing, quality, vectors, whitening
 from millrace.session import spread, table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_jaccard": lambda spark, d: forest.op8_jaccard(spread(table(spark, d, "documents"))),
     "op9_quality": lambda spark, d: quality.op9_quality(spread(table(spark, d, "documents")), table(spark, d, "labels")),
     "op10_chat": lambda spark, d: chat.op10_chat(table(spark, d, "conversations")),
+    "op11_whitening": lambda spark, d: whitening.op11_whitening(table(spark, d, "embeddings")),
     "op12_best_fit": lambda spark, d: bestfit.op12_best_fit(spread(table(spark, d, "documents"))),
     "op13_alignment": lambda spark, d: align.op13_alignment(spread(table(spark, d, "documents"))),
 }
