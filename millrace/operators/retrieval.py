@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from millrace.functions.arrays import l2_normalize
 from millrace.functions.text import terms, word_tokens
+from millrace.operators.postings import PLACES, best, keyword_top_k, pair_scores, posting_blocks
+from millrace.operators.products import largest_products, vector_blocks
 from millrace.plans.tables import cut
 
 VECTOR_WEIGHT, KEYWORD_WEIGHT, CANDIDATES = 0.65, 0.35, 30
 
 
 def term_counts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf); texts are cut into tokens once."""
-    k = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text)).alias("k"))
+    """(id, term, tf); texts are dealt by id and cut into tokens once, so that a document's terms are counted where they are and no term is shuffled."""
+    k = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).repartition("id").select("id", word_tokens(F.col("t")).alias("k"))
     # outer, as otherwise a filter on the list's size is put below and cuts the text again
     return k.select("id", F.explode_outer(terms(F.col("k"))).alias("term")).where(F.col("term").isNotNull()).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -54,9 +56,8 @@ def keyword_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def top_per_query(scores: DataFrame, score: str, k: int) -> DataFrame:
-    """The k best documents of each query with a score over 0, ties to the smaller id."""
-    w = W.partitionBy("query_id").orderBy(F.desc(score), "id")
-    return scores.where(F.col(score) > 0).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+    """The k best documents of each query with a score over 0; equal ones (to nine places, as sums of floats have no order) by the smaller id."""
+    return best(scores, k, score)
 
 
 #: Terms of a vocabulary that latent directions are made for, at most: their table is held in tasks and on the driver.
@@ -171,56 +172,38 @@ def embed(index: DataFrame, directions: DataFrame, dims: int) -> DataFrame:
     return _entries(index, terms).mapInPandas(run, f"id {dict(index.dtypes)['id']}, v array<double>").select("id", l2_normalize(F.col("v")).alias("v"))
 
 
-#: Queries that are broadcast at a time.
-QUERY_PART = 10_000
+def dense_scores(docs: DataFrame, queries: DataFrame, k: int, blocks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(query_id, id, vector_score): each query's k nearest by dot product, over 0 and at most 1; ``blocks``: those of ``docs``, where they are made already."""
+    return largest_products(blocks or vector_blocks(docs), queries, k, most=1.0)
 
 
-def dense_scores(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, vector_score): each query's k nearest by dot product, over 0 and at most 1.
-
-    A stated query set meets every document in blocks: a part of the queries (dealt by hash,
-    about ``QUERY_PART`` each) is broadcast, each document batch meets it in one matrix
-    product, and only k candidates a query leave a batch.
-    """
-    parts = max(1, -(-queries.count() // QUERY_PART))
-    found = [_dense_part(docs, queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i), k) for i in range(parts)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return top_per_query(out, "vector_score", k)
-
-
-def _dense_part(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    q = queries.select(F.col("id").alias("query_id"), "v").toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast((q["query_id"].tolist(), np.stack(q["v"].to_numpy()) if len(q) else np.zeros((0, 1))))
-
-    def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = shared.value
-        for b in it:
-            if not len(b) or not len(ids):
-                continue
-            b = b.sort_values("id", kind="stable")
-            s = np.clip(np.stack(b["v"].to_numpy()) @ m.T, 0.0, 1.0)
-            top = np.argsort(-s, axis=0, kind="stable")[:k]
-            score = np.take_along_axis(s, top, 0)
-            i, j = np.nonzero(score > 0)
-            yield pd.DataFrame({"query_id": np.array(ids)[j], "id": b["id"].to_numpy()[top[i, j]], "vector_score": score[i, j]})
-
-    kinds = dict(docs.dtypes)["id"], dict(queries.dtypes)["id"]
-    return docs.select("id", "v").mapInPandas(best, f"query_id {kinds[1]}, id {kinds[0]}, vector_score double")
-
-
-def candidate_scores(keyword: DataFrame, docs: DataFrame, queries: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
+def candidate_scores(keyword: DataFrame, docs: DataFrame, queries: DataFrame, candidates: int = CANDIDATES, blocks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, id, vector_score): of every pair that either retriever may put forward, exact.
 
     These are the vector scores that ``hybrid`` reads, without those of all other pairs:
     each query's best by dot product, and its best by keyword whatever their dot product.
     """
-    best = dense_scores(docs, queries, candidates)
-    pairs = top_per_query(keyword, "keyword_score", candidates).select("query_id", "id").join(best.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    near = dense_scores(docs, queries, candidates, blocks)
+    pairs = top_per_query(keyword, "keyword_score", candidates).select("query_id", "id").join(near.select("query_id", "id"), ["query_id", "id"], "left_anti")
     met = pairs.join(docs.select("id", "v"), "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return best.union(met.select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)).alias("vector_score")))
+    return near.union(met.select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)).alias("vector_score")))
+
+
+def retrieve(index: DataFrame, queries: DataFrame, docs: DataFrame, vectors: DataFrame, top_k: int = 8, candidates: int = CANDIDATES) -> DataFrame:
+    """``hybrid`` from an index (id, term, weight) and vectors (id, v), for many queries that have both.
+
+    Each retriever finds its best by its own bounds, and only the candidates of either get
+    both exact scores: no document meets a query for a shared word alone. A document without a vector has
+    the vector score 0, as a query without one.
+    """
+    words = keyword_top_k(posting_blocks(index), index, queries, candidates)
+    near = dense_scores(docs, vectors, candidates)
+    pairs = cut(words.select("query_id", "id").union(near.select("query_id", "id")).distinct())
+    met = pairs.join(docs.select("id", "v"), "id").join(vectors.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    vector = met.select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)).alias("vector_score"))
+    return hybrid(pair_scores(index, queries, pairs), vector, top_k, candidates)
 
 
 def hybrid(keyword: DataFrame, vector: DataFrame, top_k: int = 8, candidates: int = CANDIDATES, weights: tuple[float, float] = (VECTOR_WEIGHT, KEYWORD_WEIGHT), maximum: int = 12) -> DataFrame:
@@ -234,7 +217,7 @@ def hybrid(keyword: DataFrame, vector: DataFrame, top_k: int = 8, candidates: in
     ids = top_per_query(keyword, "keyword_score", candidates).select("query_id", "id").union(top_per_query(vector, "vector_score", candidates).select("query_id", "id")).distinct()
     d = ids.join(keyword, ["query_id", "id"], "left").join(vector, ["query_id", "id"], "left").fillna(0.0, ["keyword_score", "vector_score"])
     d = d.withColumn("hybrid_score", F.lit(weights[0]) * F.col("vector_score") + F.lit(weights[1]) * F.col("keyword_score")).where("hybrid_score > 0")
-    w = W.partitionBy("query_id").orderBy(F.desc("hybrid_score"), F.desc("vector_score"), F.desc("keyword_score"), "id")
+    w = W.partitionBy("query_id").orderBy(*[F.desc(F.round(c, PLACES)) for c in ("hybrid_score", "vector_score", "keyword_score")], "id")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "hybrid_score", "vector_score", "keyword_score")
 
 

@@ -44,6 +44,8 @@ def _identity(df: DataFrame) -> list[Any]:
 class Knowledge:
     """A TF-IDF and LSA index held as tables, for ad-hoc questions."""
 
+    blocks: tuple[DataFrame, DataFrame] | None = None
+
     def __init__(self, spark: SparkSession, chunks: DataFrame, dims: int, max_features: int = 16_000, g: grounding.Grounding = grounding.Grounding()):
         self.spark, self.chunks, self.dims, self.g = spark, chunks, dims, g
         counts = cut(retrieval.term_counts(chunks, "chunk_id", "text"))
@@ -80,7 +82,10 @@ class Knowledge:
             raise ValueError("the question is empty")
         q = retrieval.tfidf(retrieval.term_counts(self.spark.createDataFrame([("q", query)], "id string, text string"), "id", "text"), self.vocabulary)
         keyword = retrieval.keyword_scores(self.index, q)
-        hits = retrieval.hybrid(keyword, retrieval.candidate_scores(keyword, self.embedded, retrieval.embed(q, self.directions, self.dims)), top_k)
+        if self.blocks is None:  # made once, on the first question
+            self.blocks = retrieval.vector_blocks(self.embedded)
+        vector = retrieval.candidate_scores(keyword, self.embedded, retrieval.embed(q, self.directions, self.dims), blocks=self.blocks)
+        hits = retrieval.hybrid(keyword, vector, top_k)
         return hits.withColumnRenamed("id", "chunk_id").join(self.chunks, "chunk_id").orderBy("rank")
 
     def answer(self, query: str, candidates: int = 12) -> dict[str, Any]:

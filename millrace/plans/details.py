@@ -11,22 +11,18 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions.arrays import any_null, clip01, finite
 from millrace.functions.time import hours, lenient_timestamp
-from millrace.operators import alarms, corpus, eligibility, evaluation, features, grounding, iforest, retrieval, robust
+from millrace.operators import alarms, corpus, eligibility, evaluation, features, grounding, iforest, profile, retrieval, robust
 from millrace.plans.queries import (
-    _BEST, ANSWER_SQL, BEST_SQL, CLASSIFIED, ELIGIBLE_SQL, EVALUATION_SQL, FEATURES_SQL, HYBRID_SQL, MODEL, RERANK_SQL, SAMPLING, SCORED_SQL, SENSOR, SPEC, TFIDF_SQL, _answers, _diagnosis, _stand_in_vectors,
-    candidates, docs, eligible, featured, fitted, governed, query, r6, rounded, sensor, tfidf,
+    _BEST, ANSWER_SQL, BEST_SQL, CLASSIFIED, ELIGIBLE_SQL, EVALUATION_SQL, FEATURES_SQL, HYBRID_SQL, MODEL, RERANK_SQL, SAMPLING, SCORED_SQL, SENSOR, SPEC, TFIDF_SQL, _answers, _diagnosis,
+    both_sides, candidates, docs, eligible, featured, fitted, governed, query, r6, rounded, sensor, tfidf,
 )
-from millrace.plans.tables import cut
+from millrace.plans.tables import cut, shared_folder
 from millrace.session import table
 from millrace.sources import files
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        cut(spark.range(1))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/millrace-files/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/millrace-files/{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -51,12 +47,17 @@ def _(spark, d):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a7_raw_csv_scan", "SELECT event_id, CAST(value AS VARCHAR) AS value FROM events")
+@query("a7_raw_csv_scan", "SELECT event_id, CAST(value AS VARCHAR) AS value, row_number() OVER (ORDER BY event_id) AS place FROM events")
 def _(spark, d):
+    """A folder of files in the order of event_id; the place of a row is its position without the header lines before it."""
     path = _folder(spark)
-    table(spark, d, "events").select("event_id", "value").write.option("header", True).csv(path)
+    e = table(spark, d, "events").select("event_id", "value")
+    e.repartitionByRange(5, "event_id").sortWithinPartitions("event_id").write.option("header", True).csv(path)
     raw = files.raw_csv(spark, path, ("event_id", "value"))
-    return raw.select(F.col("event_id").cast("long").alias("event_id"), "value")
+    lines = files.lines_in_order(spark, path).where("line_in_file = 1").select(F.col("position").alias("head"))
+    heads = F.size(F.filter(F.col("heads"), lambda h: h < F.col("position")))
+    raw = raw.crossJoin(F.broadcast(lines.agg(F.collect_list("head").alias("heads"))))  # one row: a number for each of five files
+    return raw.select(F.col("event_id").cast("long").alias("event_id"), "value", (F.col("position") - heads).alias("place"))
 
 
 @query("a8_typed_csv_scan", "SELECT event_id, value FROM events")
@@ -144,13 +145,11 @@ def _(spark, d):
     return j.groupBy("query_id").agg(F.count(F.lit(1)).alias("traceable"))
 
 
-@query("g1_candidate_union", f"WITH {TFIDF_SQL}, {HYBRID_SQL} SELECT query_id, count(*) AS candidates FROM cand GROUP BY 1")
+@query("g1_candidate_union", f"WITH {TFIDF_SQL}, {HYBRID_SQL} SELECT query_id, id FROM cand")
 def _(spark, d):
-    _, index, q = tfidf(spark, d)
-    k = cut(retrieval.keyword_scores(index, q))
-    v = _stand_in_vectors(k)
-    both = retrieval.top_per_query(k, "keyword_score", 30).select("query_id", "id").union(retrieval.top_per_query(v, "vector_score", 30).select("query_id", "id")).distinct()
-    return both.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+    index, q, x, y = both_sides(spark, d)
+    found = retrieval.keyword_top_k(retrieval.posting_blocks(index), index, q, 30).select("query_id", "id").union(retrieval.dense_scores(x, y, 30).select("query_id", "id"))
+    return found.distinct()
 
 
 @query("g2_schema_difference", "SELECT unnest(['n_chars', 'lang', 'source']) AS column_name, 'documents' AS only_in UNION ALL SELECT 'item_id', 'benchmark' UNION ALL SELECT 'doc_id', 'documents'")
@@ -222,12 +221,17 @@ def _(spark, d):
 # ---------------------------------------------------------------- windows, sorts
 
 
-@query("e3_file_order", "SELECT count(*) FILTER (WHERE decreases) AS decreases FROM (SELECT ts < lag(ts) OVER (ORDER BY event_id) AS decreases FROM events)")
+@query("e3_file_order", "SELECT count(*) AS intervals, count(*) FILTER (WHERE s < 0) AS decreases, sum(abs(s))::BIGINT AS milliseconds FROM (SELECT epoch_ms(ts) - lag(epoch_ms(ts)) OVER (ORDER BY event_id) AS s FROM events) WHERE s IS NOT NULL")
 def _(spark, d):
-    from millrace.operators import profile
-
-    iv = profile.intervals(table(spark, d, "events"), "ts", "event_id")
-    return iv.agg(F.count_if(F.col("interval_seconds") < 0).alias("decreases"))
+    """Neighbours in the order of a folder of files whose sizes differ, so that Spark doesn't read them by name."""
+    path, header = _folder(spark), ("event_id", "timestamp")
+    e = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("timestamp"))
+    n = e.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.sqrt(F.col("event_id") / F.lit(n + 1)) * 6).cast("int")  # later files are smaller
+    e.repartitionByRange(6, part).sortWithinPartitions("event_id").write.option("header", True).csv(path)
+    iv = profile.intervals(files.raw_csv(spark, path, header).withColumn("ts", lenient_timestamp(F.col("timestamp"))), "ts", "position")
+    s = F.col("interval_seconds")
+    return iv.agg(F.count(F.lit(1)).alias("intervals"), F.count_if(s < 0).alias("decreases"), F.sum(F.round(F.abs(s) * 1000).cast("long")).alias("milliseconds"))
 
 
 @query("e5_history_boundaries", f"WITH {FEATURES_SQL} SELECT event_id FROM features WHERE history_rows_available = 1")

@@ -596,10 +596,11 @@ def _(spark, d):
     return rounded(tfidf(spark, d)[1].groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("weight_sum"), F.max("weight").alias("weight_max")))
 
 
-@query("f5_keyword_top_k", f"WITH {TFIDF_SQL} SELECT query_id, round(keyword_score, 6) AS keyword_score FROM ks WHERE keyword_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, id) <= 10")
+@query("f5_keyword_top_k", f"WITH {TFIDF_SQL} SELECT query_id, id, round(keyword_score, 6) AS keyword_score FROM ks WHERE keyword_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(keyword_score, 9) DESC, id) <= 10")
 def _(spark, d):
     _, index, q = tfidf(spark, d)
-    return rounded(retrieval.top_per_query(retrieval.keyword_scores(index, q), "keyword_score", 10).select("query_id", "keyword_score"))
+    index, q = cut(index), cut(q)
+    return rounded(retrieval.keyword_top_k(retrieval.posting_blocks(index), index, q, 10))
 
 
 def _lsa(spark, d):
@@ -617,9 +618,7 @@ def _(spark, d):
 
 @query("i9_hybrid_retrieval")
 def _(spark, d):
-    index, q, x, y = _lsa(spark, d)
-    keyword = retrieval.keyword_scores(index, q)
-    return retrieval.hybrid(keyword, retrieval.candidate_scores(keyword, x, y), 8)
+    return retrieval.retrieve(*_lsa(spark, d), 8)
 
 
 def _vectors(spark, d):
@@ -627,7 +626,7 @@ def _vectors(spark, d):
 
 
 @query("c8_dense_top_k", """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT q.id AS query_id, e.id, list_inner_product(e.v, q.v) AS s FROM v e, v q WHERE q.id % 50 = 0)
-SELECT query_id, id, round(least(1.0, s), 6) AS vector_score FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY least(1.0, s) DESC, id) <= 10""")
+SELECT query_id, id, round(least(1.0, s), 6) AS vector_score FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(least(1.0, s), 9) DESC, id) <= 10""")
 def _(spark, d):
     v = _vectors(spark, d)
     return rounded(retrieval.dense_scores(v, v.where("id % 50 = 0"), 10))
@@ -638,23 +637,27 @@ def _(spark, d):
     return rounded(_vectors(spark, d).select("id", l2_norm(F.col("v")).alias("norm")))
 
 
-HYBRID_SQL = """vs AS (SELECT query_id, id, least(1.0, greatest(0.0, 1.0 - abs(id - query_id * 7) / 1000.0))::DOUBLE AS vector_score FROM ks),
-kc AS (SELECT query_id, id FROM ks WHERE keyword_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, id) <= 30),
-vc AS (SELECT query_id, id FROM vs WHERE vector_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, id) <= 30),
+#: The vector side of a document (or question) is the embedding of its number, where there is one.
+HYBRID_SQL = """ev AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+vp AS (SELECT b.item_id AS query_id, e.id, least(1.0, greatest(0.0, list_inner_product(e.v, q.v))) AS vector_score FROM benchmark b JOIN ev q ON q.id = b.item_id, ev e JOIN documents x ON x.doc_id = e.id),
+kc AS (SELECT query_id, id FROM ks WHERE keyword_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(keyword_score, 9) DESC, id) <= 30),
+vc AS (SELECT query_id, id FROM vp WHERE vector_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(vector_score, 9) DESC, id) <= 30),
 cand AS (SELECT * FROM kc UNION SELECT * FROM vc),
-hyb AS (SELECT query_id, id, 0.65::DOUBLE * vector_score + 0.35::DOUBLE * keyword_score AS hybrid_score, vector_score, keyword_score FROM cand JOIN ks USING (query_id, id) JOIN vs USING (query_id, id))"""
+hyb AS (SELECT query_id, id, 0.65::DOUBLE * coalesce(vector_score, 0) + 0.35::DOUBLE * coalesce(keyword_score, 0) AS hybrid_score, coalesce(vector_score, 0) AS vector_score, coalesce(keyword_score, 0) AS keyword_score
+  FROM cand LEFT JOIN ks USING (query_id, id) LEFT JOIN vp USING (query_id, id))"""
 
 
-def _stand_in_vectors(keyword: DataFrame) -> DataFrame:
-    """A made-up second score, so that fusing can be compared with SQL."""
-    return keyword.select("query_id", "id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("id") - F.col("query_id") * 7) / 1000.0)).alias("vector_score"))
+def both_sides(spark, d):
+    """(index, queries, document vectors, query vectors): terms of texts, and the embeddings of the same numbers."""
+    _, index, q = tfidf(spark, d)
+    v = _vectors(spark, d)
+    named = lambda t, c: v.join(table(spark, d, t).select(F.col(c).alias("id")), "id", "left_semi")
+    return cut(index), cut(q), cut(named("documents", "doc_id")), named("benchmark", "item_id")
 
 
-@query("f6_hybrid_fusion", f"WITH {TFIDF_SQL}, {HYBRID_SQL} SELECT query_id, round(hybrid_score, 6) AS hybrid_score FROM hyb WHERE hybrid_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, vector_score DESC, keyword_score DESC, id) <= 8")
+@query("f6_hybrid_fusion", f"WITH {TFIDF_SQL}, {HYBRID_SQL} SELECT query_id, id, round(hybrid_score, 6) AS hybrid_score, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score FROM hyb WHERE hybrid_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(hybrid_score, 9) DESC, round(vector_score, 9) DESC, round(keyword_score, 9) DESC, id) <= 8")
 def _(spark, d):
-    _, index, q = tfidf(spark, d)
-    k = retrieval.keyword_scores(index, q)
-    return rounded(retrieval.hybrid(k, _stand_in_vectors(k), 8).select("query_id", "hybrid_score"))
+    return rounded(retrieval.retrieve(*both_sides(spark, d), 8).drop("rank"))
 
 
 # ---------------------------------------------------------------- grounding, evaluation, history
@@ -692,9 +695,9 @@ def _(spark, d):
     return rounded(grounding.rerank(candidates(spark, d)).select("query_id", "chunk_id", "intent", "query_coverage", "phrase", "classification_affinity", "rerank_score"))
 
 
-@query("f11_evidence_cutoff", f"WITH {RERANK_SQL} SELECT query_id, round(rerank_score, 6) AS rerank_score FROM rr WHERE rerank_score >= 0.08 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, hybrid DESC, chunk_id) <= 4")
+@query("f11_evidence_cutoff", f"WITH {RERANK_SQL} SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score FROM rr WHERE rerank_score >= 0.08 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, hybrid DESC, chunk_id) <= 4")
 def _(spark, d):
-    return rounded(grounding.evidence(grounding.rerank(candidates(spark, d))).select("query_id", "rerank_score"))
+    return rounded(grounding.evidence(grounding.rerank(candidates(spark, d))).select("query_id", "chunk_id", "rerank_score"))
 
 
 BEST_SQL = f"""sent AS (SELECT query_id, chunk_id, list_distinct(qt) AS q, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS ss FROM cand WHERE len(qt) > 0),

@@ -111,7 +111,7 @@ _PROFILED = """twice AS (SELECT event_id, ts, value FROM events UNION ALL SELECT
 def _(spark, d):
     path, header = _folder(spark), ("event_id", "timestamp", "value")
     e = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), "value")
-    files.write_csv_report(e.union(e.where("event_id % 10 = 0")).coalesce(1).sortWithinPartitions("event_id"), path)
+    e.union(e.where("event_id % 10 = 0")).repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.option("header", True).csv(path)
     r = workflows.profile_csv(spark, path, header)
     found = r["rows"], r["row_width_mismatches"], r["missing"]["value"], r["duplicates"]["duplicate_rows"], r["intervals"]["out_of_order"]
     return spark.createDataFrame([found], "rows long, row_width_mismatches long, missing long, duplicates long, out_of_order long")

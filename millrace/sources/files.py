@@ -11,9 +11,12 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.plans.tables import cut
+
 # The sensor table. The first header name is empty in the source file.
 CONTINUOUS = ("TP2", "TP3", "H1", "DV_pressure", "Reservoirs", "Oil_temperature", "Motor_current")
 BINARY = ("COMP", "DV_eletric", "Towers", "MPG", "LPS", "Pressure_switch", "Oil_level", "Caudal_impulses")
@@ -41,30 +44,56 @@ def sha256_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_header(spark: SparkSession, path: str, expected: tuple[str, ...] = HEADER) -> None:
-    """The first line must be exactly the expected names, empty ones included."""
-    first = spark.read.text(path).select(F.first("value").alias("v")).first()["v"]
-    got = tuple((first or "").removeprefix("\ufeff").rstrip("\r").split(","))
-    if got != expected:
-        raise GovernanceError(f"header {got} is not {expected}")
+    """The first line of every file must be exactly the expected names, empty ones included."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), "value")
+    first = lines.groupBy("file").agg(F.min_by("value", "id").alias("v")).select("file", F.rtrim(F.regexp_replace("v", "^\ufeff", ""), F.lit("\r")).alias("v"))
+    odd = first.where(F.col("v") != F.lit(",".join(expected))).orderBy("file").first()
+    if odd is not None or first.isEmpty():
+        raise GovernanceError(f"header {tuple(odd['v'].split(',')) if odd else None} is not {expected}")
+
+
+#: Blocks of files (splits) whose index is broadcast to their lines; a longer index is joined by shuffle.
+BROADCAST_BLOCKS = 500_000
+
+
+def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_in_file, position, value) of the lines of all files below ``path``; ``position`` counts from 1 as one reader would that takes the files by name, one after the other.
+
+    Tasks read splits, of one file or of several, in an order of Spark's own. The lines of a
+    split have consecutive row ids, so a first pass counts each split's lines and notes its
+    first id; sums over the splits before give where the split begins in its file, and
+    sums over files where the file begins. The second pass is a map over the scan: nothing is sorted, and
+    only one row per split is shuffled. Both passes read the same file listing with the
+    same split size; if ids didn't agree the read would stop.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("__block"), F.monotonically_increasing_id().alias("__id"), "value")
+    splits = lines.groupBy("file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = cut(splits.withColumn("__at", before(W.partitionBy("file").orderBy("__block"))))
+    of_file = splits.groupBy("file").agg(F.sum("__n").alias("__n"))  # one row per file
+    of_file = of_file.select(F.col("file").alias("__f"), before(W.orderBy("file")).alias("__start"))
+    index = splits.join(of_file, F.col("file") == F.col("__f")).drop("__f").withColumnsRenamed({"file": "__f", "__block": "__b"})
+    if splits.count() <= BROADCAST_BLOCKS:
+        index = F.broadcast(index)
+    found = lines.join(index, (F.col("file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    at = F.col("__id") - F.col("__first")
+    at = F.when((at >= 0) & (at < F.col("__n")), at).otherwise(F.raise_error(F.lit("the second pass over the files met other splits than the first")))
+    in_file = F.col("__at") + at + 1
+    return found.select("file", in_file.alias("line_in_file"), (F.col("__start") + in_file).alias("position"), "value")
 
 
 def raw_csv(spark: SparkSession, path: str, header: tuple[str, ...] = HEADER) -> DataFrame:
     """Untyped rows with ``position`` in file order and ``width``: short rows are padded, long ones cut.
 
-    One line is one row; quoted line breaks aren't part of the format.
+    One line is one row; quoted line breaks aren't part of the format. A folder is read file
+    by file in the order of names (``lines_in_order``); the header is taken off where it is a file's
+    first line, and counts as a position.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.row_index").alias("__n") if "row_index" in _metadata(spark, path) else F.monotonically_increasing_id().alias("__n"), "value")
-    cells = F.split(F.regexp_replace("value", "[\ufeff\r]", ""), ",", -1)
-    d = lines.withColumn("c", cells).where(F.col("value") != F.lit(",".join(header)))
+    lines = lines_in_order(spark, path).withColumn("value", F.regexp_replace("value", "[\ufeff\r]", ""))
+    d = lines.where((F.col("line_in_file") > 1) | (F.col("value") != F.lit(",".join(header)))).withColumn("c", F.split("value", ",", -1))
     names = [h or "C0" for h in header]
-    return d.select((F.col("__n") + 1).alias("position"), F.size("c").alias("width"), *[F.coalesce(F.get("c", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
-
-
-def _metadata(spark: SparkSession, path: str) -> set[str]:
-    try:
-        return set(spark.read.text(path).select("_metadata").schema[0].dataType.names)
-    except Exception:  # a reader without file metadata
-        return set()
+    return d.select("position", F.size("c").alias("width"), *[F.coalesce(F.get("c", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def typed_csv(spark: SparkSession, path: str, schema: T.StructType = SENSOR) -> DataFrame:

@@ -52,6 +52,46 @@ def test_raw_rows_are_padded_and_cut(spark, tmp_path):
     assert [r["width"] for r in got] == [3, 19] and got[0]["COMP"] == "" and got[0]["TP2"] == "5" and got[0]["C0"] == "1"
 
 
+def test_files_are_read_in_the_order_of_names(spark, tmp_path):
+    """The larger file comes second, and Spark's own order begins with it; a third has one line without a line end."""
+    (tmp_path / "d").mkdir()
+    for name, ids in (("part-1.csv", range(3)), ("part-2.csv", range(3, 50)), ("part-3.csv", [50])):
+        (tmp_path / "d" / name).write_text("id,v\n" + "\n".join(f"{i},{'id' if i == 7 else i}" for i in ids) + ("\n" if name != "part-3.csv" else ""))
+    header = ("id", "v")
+    files.check_header(spark, str(tmp_path / "d"), header)
+    got = files.raw_csv(spark, str(tmp_path / "d"), header).orderBy("position").collect()
+    assert [int(r["id"]) for r in got] == list(range(51))
+    assert [r["position"] for r in got] == [*range(2, 5), *range(6, 53), 54]
+    (tmp_path / "d" / "part-4.csv").write_text("v,id\n")
+    with pytest.raises(files.GovernanceError):
+        files.check_header(spark, str(tmp_path / "d"), header)
+    empty = tmp_path / "none"
+    empty.mkdir()
+    (empty / "a.csv").write_text("")
+    assert files.raw_csv(spark, str(empty), header).count() == 0
+
+
+def test_a_file_in_many_splits_keeps_its_order(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    rows = [f"{i},{'x' * rng.choice((0, 3, 400, 3000))}" for i in range(800)]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "b.csv").write_text("id,v\n" + "\n".join(rows[:700]) + "\n")
+    (tmp_path / "s" / "c.csv").write_text("id,v\r\n" + "\r\n".join(rows[700:]) + "\r\n")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        d = files.raw_csv(spark, str(tmp_path / "s"), ("id", "v"))
+        assert d.rdd.getNumPartitions() > 40
+        got = d.orderBy("position").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert [f"{r['id']},{r['v']}" for r in got] == rows and [r["position"] for r in got] == [*range(2, 702), *range(703, 803)]
+
+
 def test_archives(tmp_path):
     z = tmp_path / "a.zip"
     with zipfile.ZipFile(z, "w") as f:
