@@ -1,17 +1,22 @@
-"""Keyword retrieval over posting blocks in the order of their impact, with an exact early stop."""
+"""Keyword retrieval over shards of documents: posting blocks in the order of their impact, with an exact early stop."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.plans.tables import cut
-
-#: Postings of a block, about; weights of one block lie within one step of impact (a factor of two to the power of 1 / STEPS).
-BLOCK, STEPS = 256, 4
-#: Postings read for each wanted document before the first threshold is taken, and documents scored exactly for it, each times k.
-SEED, TRIED = 16, 3
+#: Documents, and entries of them, of a shard: what a task holds at once. Postings of a block.
+SHARD_DOCS, SHARD_ENTRIES, BLOCK = 20_000, 4_000_000, 64
+#: Postings of largest reach read for each wanted document before the first threshold is taken.
+SEED = 8
+#: Queries that are broadcast at a time.
+QUERY_PART = 10_000
 #: Scores that differ by less are equal: sums of floats have no order.
 PLACES = 9
 _SLACK = 2.0 * 10**-PLACES
@@ -23,18 +28,10 @@ def _few(d: DataFrame) -> DataFrame:
     return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
 
 
-def posting_blocks(index: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(term, level, shard, bound, n, held): the postings (id, weight) of ``index`` (id, term, weight over 0) in blocks.
-
-    A term's postings are grouped by impact level and, where it stands in many documents, dealt
-    by a hash of the id over as many shards as keep a block small, so a frequent term is no
-    hot key. ``bound`` is the largest weight of a block: what no posting of it exceeds.
-    """
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    level = F.floor(-F.log2("weight") * STEPS).cast("int")
-    shard = F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / F.lit(4 * block))).cast("int")
-    d = index.where("weight > 0").join(_few(df), "term").select("term", level.alias("level"), shard.alias("shard"), "id", "weight")
-    return d.groupBy("term", "level", "shard").agg(F.max("weight").alias("bound"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("id", "weight")).alias("held"))
+def best(scores: DataFrame, k: int, score: str = "keyword_score") -> DataFrame:
+    """The k best of each query with a score over 0; equal ones (to ``PLACES`` places) by the smaller id."""
+    w = W.partitionBy("query_id").orderBy(F.desc(F.round(score, PLACES)), "id")
+    return scores.where(F.col(score) > 0).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 
 
 def pair_scores(index: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -47,59 +44,164 @@ def pair_scores(index: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataF
     return met.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("keyword_score"))
 
 
-def best(scores: DataFrame, k: int, score: str = "keyword_score") -> DataFrame:
-    """The k best of each query with a score over 0; equal ones (to ``PLACES`` places) by the smaller id."""
-    w = W.partitionBy("query_id").orderBy(F.desc(F.round(score, PLACES)), "id")
-    return scores.where(F.col(score) > 0).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
-
-
-def read_plan(blocks: DataFrame, index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The headers of all blocks that queries meet, with ``read``: whether a block may hold a document of the k best.
-
-    ``reach``, a block's bound times the query's weight, is what it can add to a score.
-    First each query reads its blocks of largest reach until they hold ``SEED`` x k postings; the
-    best documents of these are scored exactly, and the k-th score of them is a floor under
-    the k-th best of all. Then terms are taken in order of their largest reach, smallest
-    first: those whose reaches add up to less than the floor can't lift a document over it
-    on their own, so their blocks are left out, and what remains of the floor is shared out
-    among the other terms: a block whose reach is under its term's share is left out too.
-    A document met in no block that is read has a score under the floor.
-    """
-    q = queries.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw")).where("qw > 0")
-    heads = cut(blocks.select("term", "level", "shard", "bound", "n").join(_few(q), "term").withColumn("reach", F.col("bound") * F.col("qw")))
-    by_query = W.partitionBy("query_id")
-    order = by_query.orderBy(F.desc("reach"), "term", "level", "shard").rowsBetween(W.unboundedPreceding, -1)
-    seed = heads.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < SEED * k)
-    met = partial_scores(blocks, seed)
-    tried = met.withColumn("__r", F.row_number().over(by_query.orderBy(F.desc("part"), "id"))).where(F.col("__r") <= TRIED * k)
-    floor = best(pair_scores(index, queries, cut(tried.select("query_id", "id"))), k)
-    floor = floor.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("keyword_score") - _SLACK).otherwise(0.0).alias("floor"))
-    terms = heads.groupBy("query_id", "term").agg(F.max("reach").alias("most"))
-    terms = terms.withColumn("upto", F.sum("most").over(by_query.orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0)))
-    terms = terms.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).withColumn("needed", F.col("upto") >= F.col("floor"))
-    spent = F.coalesce(F.max(F.when(~F.col("needed"), F.col("upto"))).over(by_query), F.lit(0.0))
-    shares = terms.select("query_id", "term", "floor", "needed", spent.alias("spent"), F.count_if("needed").over(by_query).alias("open"))
-    shares = shares.withColumn("share", F.greatest(F.lit(0.0), (F.col("floor") - F.col("spent")) / F.col("open")))
-    return heads.join(shares, ["query_id", "term"]).withColumn("read", F.col("needed") & (F.col("reach") >= F.col("share")))
-
-
-def partial_scores(blocks: DataFrame, heads: DataFrame) -> DataFrame:
-    """(query_id, id, part, terms): sums over the given blocks, and how many terms they came from."""
-    wanted = heads.select("query_id", "qw", "term", "level", "shard")
-    met = blocks.join(_few(wanted), ["term", "level", "shard"]).select("query_id", "qw", F.explode("held").alias("p"))
-    return met.groupBy("query_id", F.col("p.id").alias("id")).agg(F.sum(F.col("p.weight") * F.col("qw")).alias("part"), F.count(F.lit(1)).alias("terms"))
-
-
-def keyword_top_k(blocks: DataFrame, index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+class Shard:
+    """Postings of some documents: a term's by falling weight in blocks, whose first weight none of them exceeds."""
+
+    def __init__(self, n_docs: int, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int = BLOCK):
+        self.n_docs, self.block = n_docs, block
+        order = np.lexsort((doc, -weight, term))
+        self.doc, self.weight, term = doc[order], weight[order], term[order]
+        self.terms, self.first, self.count = np.unique(term, return_index=True, return_counts=True)
+        key = term * n_docs + self.doc
+        by_key = np.argsort(key)
+        self.key, self.of_key = key[by_key], self.weight[by_key]
+        self.read = self.met = 0  # blocks, over all queries
+
+    def exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Whole scores of the given documents."""
+        want = terms[:, None] * self.n_docs + docs[None, :]
+        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        return weights @ np.where(self.key[at] == want, self.of_key[at], 0.0)
+
+    def _postings(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        n = stop - start
+        end = np.cumsum(n)
+        return np.arange(end[-1] if len(end) else 0) - np.repeat(end - n - start, n)
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of those that may be among a query's k best, all of these k with them; ``floor``: scores under it are of no use.
+
+        Blocks are read by falling reach (bound times the query's weight). What an unread block
+        can still add to a document is the reach of its term's first unread block; once these
+        add up to less than the floor, a document not met yet can't reach it. The floor is the larger of
+        the given one and the k-th exact score among the documents of the first blocks.
+        """
+        slot = np.searchsorted(self.terms, terms)
+        there = (slot < len(self.terms)) & (weights > 0)
+        there[there] = self.terms[slot[there]] == terms[there]
+        slot, terms, weights = slot[there], terms[there], weights[there]
+        if not len(slot):
+            return np.zeros(0, np.int64), np.zeros(0)
+        n_blocks = -(-self.count[slot] // self.block)
+        edge = np.cumsum(n_blocks)
+        own = np.repeat(np.arange(len(slot)), n_blocks)
+        start = self.first[slot][own] + (np.arange(edge[-1]) - np.repeat(edge - n_blocks, n_blocks)) * self.block
+        stop = np.minimum(start + self.block, (self.first + self.count)[slot][own])
+        reach = self.weight[start] * weights[own]
+        after = np.append(reach[1:], 0.0)
+        after[edge - 1] = 0.0  # what the term can add once the block is read
+        order = np.argsort(-reach, kind="stable")
+        self.met += len(order)
+        whole = reach[edge - n_blocks].sum()
+        if whole < floor:
+            return np.zeros(0, np.int64), np.zeros(0)
+        seed = order[: int(np.searchsorted(np.cumsum((stop - start)[order]), SEED * k)) + 1]
+        tried = np.unique(self.doc[self._postings(start[seed], stop[seed])])
+        if len(tried) >= k:
+            floor = max(floor, float(np.partition(self.exact(tried, terms, weights), -k)[-k]) - _SLACK)
+        rest = whole - np.cumsum((reach - after)[order])
+        enough = np.flatnonzero(rest < floor)
+        n_read = int(enough[0]) + 1 if len(enough) else len(order)
+        some = order[:n_read]
+        at = self._postings(start[some], stop[some])
+        part = np.bincount(self.doc[at], weights=self.weight[at] * np.repeat(weights[own][some], (stop - start)[some]), minlength=self.n_docs)
+        left = max(float(rest[n_read - 1]), 0.0) if n_read < len(order) else 0.0
+        docs = np.flatnonzero((part > 0) & (part + left >= floor))
+        unread = int((stop - start)[order[n_read:]].sum())
+        if n_read == len(order):
+            scores = part[docs]
+        elif len(docs) * len(terms) <= unread:
+            scores = self.exact(docs, terms, weights)
+        else:  # cheaper to read on than to look up
+            n_read, more = len(order), order[n_read:]
+            at = self._postings(start[more], stop[more])
+            scores = (part + np.bincount(self.doc[at], weights=self.weight[at] * np.repeat(weights[own][more], (stop - start)[more]), minlength=self.n_docs))[docs]
+        self.read += n_read
+        good = scores >= floor
+        return docs[good], scores[good]
+
+
+class Running:
+    """A task's k best documents of each query so far."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.held = k, [[] for _ in range(n_queries)]
+
+    def floor(self, q: int) -> float:
+        return self.held[q][-1][2] - _SLACK if len(self.held[q]) == self.k else 0.0
+
+    def add(self, q: int, ids: list, docs: np.ndarray, scores: np.ndarray) -> None:
+        rounded = scores.round(PLACES)
+        # document numbers are in the order of ids
+        keep = np.lexsort((docs, -rounded))[: self.k]
+        self.held[q] = sorted(self.held[q] + [(-r, ids[i], s) for r, i, s in zip(rounded[keep].tolist(), docs[keep].tolist(), scores[keep].tolist(), strict=True)])[: self.k]
+
+
+def keyword_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, keyword_score): the k best documents of each query, the same as from the scores of all documents.
 
-    Only blocks that ``read_plan`` can't rule out are opened. A document met there is scored
-    exactly if its part, with all that left-out blocks could still add, reaches the floor.
-    ``queries`` is (id, term, weight) like ``index``. A query without a common term has no rows.
+    ``index`` and ``queries`` are (id, term, weight), weights over 0. A document's entries for the
+    terms that are asked for come together in one row; tasks hold documents a shard at a time and answer the
+    queries (a part of them, by hash, is broadcast at a time) from the shard's posting blocks, carrying
+    each query's k best along as the floor for the next shard. Only k rows a query leave a
+    task, so no pair of a query and a document is shuffled for a shared word. A query without
+    a common term has no rows; no documents or no queries: no rows.
     """
-    plan = cut(read_plan(blocks, index, queries, k))
-    met = partial_scores(blocks, plan.where("read"))
-    by_query = plan.groupBy("query_id").agg(F.max("floor").alias("floor"), F.max("spent").alias("spent"), F.max("share").alias("share"), F.max("open").alias("open"))
-    rest = F.col("spent") + F.greatest(F.lit(0), F.col("open") - F.col("terms")) * F.col("share")
-    worth = met.join(_few(by_query), "query_id").where(F.col("part") + rest >= F.col("floor") - _SLACK)
-    return best(pair_scores(index, queries, cut(worth.select("query_id", "id"))), k)
+    kinds = dict(index.dtypes)["id"], dict(queries.dtypes)["id"]
+    schema = f"query_id {kinds[1]}, id {kinds[0]}, keyword_score double"
+    parts = max(1, -(-queries.select("id").distinct().count() // QUERY_PART))
+    found = None
+    for i in range(parts):
+        q = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).select("id", "term", "weight").toPandas()
+        part = _from_shards(index, q, k, schema)
+        found = part if found is None else found.union(part)
+    return best(found, k)
+
+
+def _from_shards(index: DataFrame, q, k: int, schema: str) -> DataFrame:
+    spark = index.sparkSession
+    terms, code = np.unique(q["term"].to_numpy(dtype=object), return_inverse=True) if len(q) else (np.zeros(0, object), np.zeros(0, np.int64))
+    asked = [(name, code[at], q["weight"].to_numpy(np.float64)[at]) for name, at in q.groupby("id").indices.items()]
+    shared = spark.sparkContext.broadcast((terms.tolist(), asked))
+    wanted = spark.createDataFrame([(t,) for t in terms.tolist()], "term string")
+    e = index.join(F.broadcast(wanted), "term", "left_semi").where("weight > 0")  # terms of a part of the queries
+    docs = e.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("e")).select("id", F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = shared.value
+        names = pa.array(names, pa.string())
+        kept = Running(len(asked), k)
+        held: list[pa.RecordBatch] = []
+
+        def answer() -> None:
+            t = pa.Table.from_batches(held)
+            t = t.take(pc.sort_indices(t["id"])).combine_chunks()
+            lists = t["terms"].chunk(0) if t["terms"].num_chunks else None
+            if lists is None:
+                return
+            term = pc.index_in(lists.flatten(), names).to_numpy(zero_copy_only=False).astype(np.int64)
+            weight = t["weights"].chunk(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            doc = np.repeat(np.arange(len(t)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            shard, ids = Shard(len(t), doc, term, weight), t["id"].to_pylist()
+            for j, (_, code, w) in enumerate(asked):
+                docs, scores = shard.top(code, w, k, kept.floor(j))
+                if len(docs):
+                    kept.add(j, ids, docs, scores)
+
+        entries = 0
+        for b in it:
+            for at in range(0, b.num_rows, SHARD_DOCS):
+                held.append(b.slice(at, SHARD_DOCS))
+                entries += pc.sum(pc.list_value_length(held[-1].column("terms"))).as_py() or 0
+                if sum(x.num_rows for x in held) >= SHARD_DOCS or entries >= SHARD_ENTRIES:
+                    answer()
+                    held.clear()
+                    entries = 0
+        if held:
+            answer()
+        rows = [(asked[j][0], i, s) for j, h in enumerate(kept.held) for _, i, s in h]
+        if rows:
+            qs, ids, scores = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([x.item() if hasattr(x, "item") else x for x in qs]), pa.array(ids), pa.array(scores, pa.float64())], names=["query_id", "id", "keyword_score"])
+
+    return docs.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.arrays import l2_normalize
 from millrace.functions.text import terms, word_tokens
-from millrace.operators.postings import PLACES, best, keyword_top_k, pair_scores, posting_blocks
+from millrace.operators.postings import PLACES, best, keyword_top_k, pair_scores
 from millrace.operators.products import largest_products, vector_blocks
 from millrace.plans.tables import cut
 
@@ -197,7 +197,7 @@ def retrieve(index: DataFrame, queries: DataFrame, docs: DataFrame, vectors: Dat
     both exact scores: no document meets a query for a shared word alone. A document without a vector has
     the vector score 0, as a query without one.
     """
-    words = keyword_top_k(posting_blocks(index), index, queries, candidates)
+    words = keyword_top_k(index, queries, candidates)
     near = dense_scores(docs, vectors, candidates)
     pairs = cut(words.select("query_id", "id").union(near.select("query_id", "id")).distinct())
     met = pairs.join(docs.select("id", "v"), "id").join(vectors.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")

@@ -148,7 +148,7 @@ def _(spark, d):
 @query("g1_candidate_union", f"WITH {TFIDF_SQL}, {HYBRID_SQL} SELECT query_id, id FROM cand")
 def _(spark, d):
     index, q, x, y = both_sides(spark, d)
-    found = retrieval.keyword_top_k(retrieval.posting_blocks(index), index, q, 30).select("query_id", "id").union(retrieval.dense_scores(x, y, 30).select("query_id", "id"))
+    found = retrieval.keyword_top_k(index, q, 30).select("query_id", "id").union(retrieval.dense_scores(x, y, 30).select("query_id", "id"))
     return found.distinct()
 
 
@@ -221,7 +221,7 @@ def _(spark, d):
 # ---------------------------------------------------------------- windows, sorts
 
 
-@query("e3_file_order", "SELECT count(*) AS intervals, count(*) FILTER (WHERE s < 0) AS decreases, sum(abs(s))::BIGINT AS milliseconds FROM (SELECT epoch_ms(ts) - lag(epoch_ms(ts)) OVER (ORDER BY event_id) AS s FROM events) WHERE s IS NOT NULL")
+@query("e3_file_order", "SELECT count(*) AS intervals, count(*) FILTER (WHERE s < 0) AS decreases, sum(abs(s))::BIGINT AS milliseconds FROM (SELECT epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (ORDER BY event_id) AS s FROM events) WHERE s IS NOT NULL")
 def _(spark, d):
     """Neighbours in the order of a folder of files whose sizes differ, so that Spark doesn't read them by name."""
     path, header = _folder(spark), ("event_id", "timestamp")

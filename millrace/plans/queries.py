@@ -600,7 +600,7 @@ def _(spark, d):
 def _(spark, d):
     _, index, q = tfidf(spark, d)
     index, q = cut(index), cut(q)
-    return rounded(retrieval.keyword_top_k(retrieval.posting_blocks(index), index, q, 10))
+    return rounded(retrieval.keyword_top_k(index, q, 10))
 
 
 def _lsa(spark, d):
