@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,8 @@ def top_per_query(scores: DataFrame, score: str, k: int) -> DataFrame:
 
 #: Terms of a vocabulary that latent directions are made for, at most: their table is held in tasks and on the driver.
 LSA_TERMS = 100_000
+#: Directions iterated beside the wanted ones.
+OVERSAMPLE = 10
 #: Terms whose partial sums travel in one row, and entries that are multiplied at a time.
 TERM_CHUNK, ENTRIES = 16, 100_000
 
@@ -102,13 +105,30 @@ def _projected(b: pd.DataFrame, v: np.ndarray) -> Iterator[tuple[slice, np.ndarr
         yield slice(a, z), y, row, cols, w
 
 
-def lsa(index: DataFrame, vocab: DataFrame, dims: int, n_docs: int, rounds: int = 7, seed: int = 42) -> DataFrame:
-    """(term, v): right singular directions of the TF-IDF matrix by randomised subspace iteration.
+@dataclass
+class Latent:
+    """Latent directions with what certifies them.
+
+    ``values`` are the Rayleigh quotients of A'A, falling. ``residuals[j]`` is the norm of
+    A'A v - value v over the largest value: an eigenvalue of A'A lies within that share of the
+    largest from ``values[j]``, so small residuals prove the directions, whatever led to them.
+    """
+
+    directions: DataFrame  # term, v
+    values: np.ndarray
+    residuals: np.ndarray
+    rounds: int
+
+
+def latent(index: DataFrame, vocab: DataFrame, dims: int, n_docs: int, rounds: int = 7, seed: int = 42, tolerance: float = 0.0) -> Latent:
+    """Right singular directions of the TF-IDF matrix by randomised subspace iteration.
 
     The matrix stays distributed, a row of entries for each document. One round multiplies
     it by the table of term vectors (terms x dims, bounded by the vocabulary) and back:
     every task adds up its documents' share, the shares are added by term, and the sum is
-    orthonormalised. The last round's small product turns the basis to singular directions.
+    orthonormalised; ``OVERSAMPLE`` directions more than wanted go along, so that the last wanted ones
+    converge too. The small product of a round turns the basis to singular directions and tells
+    their residuals; rounds end once all of these are ``tolerance`` at most, or after ``rounds`` and one.
     """
     terms = [r["term"] for r in vocab.select("term").orderBy("term").limit(LSA_TERMS + 1).collect()]
     if len(terms) > LSA_TERMS:
@@ -117,13 +137,51 @@ def lsa(index: DataFrame, vocab: DataFrame, dims: int, n_docs: int, rounds: int
         raise ValueError(f"{dims} dimensions don't fit {n_docs} documents and {len(terms)} terms")
     spark = index.sparkSession
     rows = cut(_entries(index, terms))
-    v = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), dims)))[0]
-    for _ in range(rounds):
-        v = np.linalg.qr(_there_and_back(rows, v))[0]
-    values, turn = np.linalg.eigh(v.T @ _there_and_back(rows, v))
-    v = v @ turn[:, np.argsort(-values)]
+    v = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), min(dims + OVERSAMPLE, len(terms)))))[0]
+    for done in range(1, rounds + 2):
+        there = _there_and_back(rows, v)
+        values, turn = np.linalg.eigh(v.T @ there)
+        values, turn = values[::-1][:dims], turn[:, ::-1][:, :dims]
+        residuals = np.linalg.norm(there @ turn - (v @ turn) * values, axis=0) / max(values[0], 1e-300)
+        if done == rounds + 1 or residuals.max() <= tolerance:
+            break
+        v = np.linalg.qr(there)[0]
+    v = v @ turn
     v *= np.where(v[np.abs(v).argmax(axis=0), np.arange(dims)] < 0, -1.0, 1.0)
-    return spark.createDataFrame(pd.DataFrame({"term": terms, "v": v.tolist()}), "term string, v array<double>")
+    directions = spark.createDataFrame(pd.DataFrame({"term": terms, "v": v.tolist()}), "term string, v array<double>")
+    return Latent(directions, values, residuals, done)
+
+
+def lsa(index: DataFrame, vocab: DataFrame, dims: int, n_docs: int, rounds: int = 7, seed: int = 42) -> DataFrame:
+    """(term, v): the directions of ``latent``."""
+    return latent(index, vocab, dims, n_docs, rounds, seed).directions
+
+
+def total_variance(index: DataFrame, n_docs: int) -> DataFrame:
+    """(total_variance): the sum over terms of the variance of their weights over all documents, one without any term included. Two sums a term, no matrix."""
+    by_term = index.groupBy("term").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
+    return by_term.agg(F.coalesce(F.sum(F.col("q") / n_docs - F.pow(F.col("s") / n_docs, 2)), F.lit(0.0)).alias("total_variance"))
+
+
+def explained_variance(index: DataFrame, directions: DataFrame, dims: int, n_docs: int) -> DataFrame:
+    """(component, explained_variance, explained_ratio): the variance of the documents' coordinates along each direction, and its share of ``total_variance``.
+
+    Documents are projected where they are; each task sends two sums a component.
+    """
+    d = directions.orderBy("term").limit(LSA_TERMS).toPandas()
+    shared = index.sparkSession.sparkContext.broadcast(np.array(d["v"].tolist(), dtype=float).reshape(-1, dims))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, q = np.zeros(dims), np.zeros(dims)
+        for b in it:
+            for _, y, *_ in _projected(b, shared.value):
+                s, q = s + y.sum(axis=0), q + (y * y).sum(axis=0)
+        yield pd.DataFrame({"component": range(1, dims + 1), "s": s, "q": q})
+
+    sums = _entries(index, d["term"].tolist()).mapInPandas(run, "component int, s double, q double").groupBy("component").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+    variance = (F.col("q") / n_docs - F.pow(F.col("s") / n_docs, 2)).alias("explained_variance")
+    total = F.broadcast(total_variance(index, n_docs))  # one row
+    return sums.select("component", variance).crossJoin(total).select("component", "explained_variance", F.when(F.col("total_variance") > 0, F.col("explained_variance") / F.col("total_variance")).alias("explained_ratio"))
 
 
 def _there_and_back(rows: DataFrame, v: np.ndarray) -> np.ndarray:

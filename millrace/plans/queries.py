@@ -599,16 +599,20 @@ def _(spark, d):
 @query("f5_keyword_top_k", f"WITH {TFIDF_SQL} SELECT query_id, id, round(keyword_score, 6) AS keyword_score FROM ks WHERE keyword_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(keyword_score, 9) DESC, id) <= 10")
 def _(spark, d):
     _, index, q = tfidf(spark, d)
-    index, q = cut(index), cut(q)
     return rounded(retrieval.keyword_top_k(index, q, 10))
 
 
-def _lsa(spark, d):
+def _latent(spark, d):
     voc, index, q = tfidf(spark, d)
-    index, q, n = cut(index), cut(q), table(spark, d, "documents").count()
+    index, n = cut(index), table(spark, d, "documents").count()
     dims = min(128, n - 1)
-    directions = retrieval.lsa(index, voc, dims, n)
-    return index, q, retrieval.embed(index, directions, dims), retrieval.embed(q, directions, dims)
+    return index, q, n, dims, retrieval.latent(index, voc, dims, n)
+
+
+def _lsa(spark, d):
+    index, q, _, dims, found = _latent(spark, d)
+    q = cut(q)
+    return index, q, retrieval.embed(index, found.directions, dims), retrieval.embed(q, found.directions, dims)
 
 
 @query("i8_lsa_embeddings")
@@ -616,6 +620,18 @@ def _(spark, d):
     return _lsa(spark, d)[2]
 
 
+@query("i8_explained_variance")
+def _(spark, d):
+    index, _, n, dims, found = _latent(spark, d)
+    rest = [(j + 1, float(v), float(r)) for j, (v, r) in enumerate(zip(found.values, found.residuals, strict=True))]
+    return retrieval.explained_variance(index, found.directions, dims, n).join(F.broadcast(spark.createDataFrame(rest, "component int, value double, residual double")), "component")
+
+
+@query("i8_total_variance", f"WITH {TFIDF_SQL} SELECT round(sum(q / n - (s / n) * (s / n)), 9) AS total_variance FROM (SELECT sum(weight) AS s, sum(weight * weight) AS q FROM idx GROUP BY term), nd")
+def _(spark, d):
+    return retrieval.total_variance(tfidf(spark, d)[1], table(spark, d, "documents").count()).select(F.round("total_variance", 9).alias("total_variance"))
+
+
 @query("i9_hybrid_retrieval")
 def _(spark, d):
     return retrieval.retrieve(*_lsa(spark, d), 8)
