@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import release
 
-#: Symbols of the shared vocabulary; id 0 is any other code point and the start of a text.
-VOCABULARY = 255
 #: Weight of the shorter context in the smoothed estimates.
 SMOOTHING = 20.0
 #: Target documents up to this many are broadcast as ids; more are joined by shuffle.
@@ -29,150 +27,6 @@ _WORD = re.compile("[^\\W\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U0
 _START = np.uint64(0x9E3779B97F4A7C14)  # even, as pairs are
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-
-
-def _pieces(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(code points, which text each comes from, place in its text), about ``PIECE`` at a time; whole texts, none cut off."""
-    points, owner, place, n = [], [], [], 0
-    for i, t in enumerate(texts):
-        for at in range(0, len(t or ""), PIECE):
-            p = _points(t[max(0, at - 2) : at + PIECE])
-            skip = min(at, 2)  # two symbols of context before a later piece
-            points.append(p)
-            owner.append(np.full(len(p), i))
-            place.append(np.arange(len(p)) + (at - skip))
-            if skip:
-                owner[-1][:skip] = -1
-            n += len(p)
-            if n >= PIECE:
-                yield np.concatenate(points), np.concatenate(owner), np.concatenate(place)
-                points, owner, place, n = [], [], [], 0
-    if n:
-        yield np.concatenate(points), np.concatenate(owner), np.concatenate(place)
-
-
-def _grams(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Trigram number of every position: 8 bits a symbol, 0 before a text's start."""
-    one, two = np.zeros_like(ids), np.zeros_like(ids)
-    one[1:], two[2:] = ids[:-1], ids[:-2]
-    one[place == 0] = 0
-    two[place <= 1] = 0
-    return two << 16 | one << 8 | ids
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[int]:
-    """The ``size`` most frequent code points of all texts (ties: the smaller first)."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0x110000, dtype=np.int64)
-        for b in it:
-            for p, owner, _ in _pieces(b["text"]):
-                total += np.bincount(p[owner >= 0], minlength=0x110000)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"cp": at, "n": total[at]})
-
-    counts = docs.select("text").mapInPandas(run, "cp long, n long").groupBy("cp").agg(F.sum("n").alias("n"))
-    return [r["cp"] for r in counts.orderBy(F.desc("n"), "cp").limit(size).collect()]
-
-
-def _lookup(vocab: list[int]) -> np.ndarray:
-    lut = np.zeros(0x110000, dtype=np.int32)
-    lut[np.array(vocab, dtype=np.int64)] = np.arange(1, len(vocab) + 1)
-    return lut
-
-
-def counts(docs: DataFrame, vocab: list[int]) -> DataFrame:
-    """(gram, n_target, n_background) over all texts; ``docs`` has a boolean column ``target``.
-
-    Every task adds up its own share before the shuffle, so what is gathered is a partial
-    table a task, and the sum a table of at most 2**24 trigrams.
-    """
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lut = _lookup(vocab)
-        gram, n = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-        for b in it:
-            aim = b["target"].to_numpy(bool)
-            for p, owner, place in _pieces(b["text"]):
-                g, own = _grams(lut[p], place)[owner >= 0].astype(np.int64), owner[owner >= 0]
-                key, times = np.unique(g * 2 + aim[own], return_counts=True)
-                g, at = np.unique(np.concatenate([gram, key >> 1]), return_inverse=True)
-                new = np.zeros((len(g), 2), np.int64)
-                new[at[: len(gram)]] = n
-                np.add.at(new, (at[len(gram) :], (key & 1)), times)
-                gram, n = g, new
-        if len(gram):
-            yield pd.DataFrame({"gram": gram, "n_target": n[:, 1], "n_background": n.sum(1)})
-
-    part = docs.select("text", "target").mapInPandas(run, "gram long, n_target long, n_background long")
-    return part.groupBy("gram").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
-
-
-def losses(gram: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-    """-log p(last symbol | two before) of each trigram, smoothed through bigrams and single symbols.
-
-    Lower orders are sums of the trigram counts; an estimate is (count + s * shorter) /
-    (context + s), down to single symbols with one added to each.
-    """
-    n = n.astype(np.float64)
-    w, vw, uv, v = gram & 255, gram & 0xFFFF, gram >> 8, (gram >> 8) & 255
-    c1 = np.bincount(w, weights=n, minlength=256)
-    c2 = np.bincount(vw, weights=n, minlength=1 << 16)
-    ctx1 = np.bincount(v, weights=n, minlength=256)
-    ctx2 = np.bincount(uv, weights=n, minlength=1 << 16)
-    p1 = (c1[w] + 1) / (n.sum() + size + 1)
-    p2 = (c2[vw] + SMOOTHING * p1) / (ctx1[v] + SMOOTHING)
-    p3 = (n + SMOOTHING * p2) / (ctx2[uv] + SMOOTHING)
-    return -np.log(p3)
-
-
-def score(docs: DataFrame, targets: DataFrame, vocabulary_size: int = VOCABULARY, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of every document.
-
-    Tokens are code points. One vocabulary, the most frequent of all texts, serves two
-    trigram models smoothed alike: the target's from the documents named in ``targets``,
-    the background's from all. ``score`` is the mean over a text's tokens of the target
-    model's loss less the background model's: the lower, the nearer to the target.
-
-    Null or empty text: 0 tokens, null losses and score. Repeated rows are documents each;
-    repeated or unknown target ids count once or not at all. Without targets the target
-    model is the smoothed uniform one. Counts cover all texts whole. The shuffles carry
-    partial counts; texts move only when targets are too many to broadcast.
-    """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col("text"))
-    vocab = vocabulary(d, vocabulary_size)
-    t = targets.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    few = t.count() <= BROADCAST_TARGETS
-    marked = d.join(F.broadcast(t) if few else t, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    got = counts(marked, vocab).toPandas().sort_values("gram")
-    gram = got["gram"].to_numpy(np.int64)
-    pair = np.stack([losses(gram, got[c].to_numpy(), len(vocab)) for c in ("n_target", "n_background")]) if len(gram) else np.zeros((2, 0))
-    shared = spark.sparkContext.broadcast((vocab, gram.astype(np.int32), pair))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, gram, pair = shared.value
-        lut = _lookup(vocab)
-        row = np.zeros(1 << 24, dtype=np.int32)
-        row[gram] = np.arange(len(gram))
-        for b in it:
-            n, sums = np.zeros(len(b), np.int64), np.zeros((2, len(b)))
-            for p, owner, place in _pieces(b["text"]):
-                at = row[_grams(lut[p], place)[owner >= 0]]
-                own = owner[owner >= 0]
-                n += np.bincount(own, minlength=len(b))
-                for m in (0, 1):
-                    sums[m] += np.bincount(own, weights=pair[m][at], minlength=len(b))
-            mean = sums / np.maximum(n, 1)
-            cols = {"target_loss": mean[0], "background_loss": mean[1], "score": mean[0] - mean[1]}
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n} | {k: pd.arrays.FloatingArray(v, n == 0) for k, v in cols.items()})
-
-    kind = dict(d.dtypes)["doc_id"]
-    return d.mapInPandas(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
-
-
 def words(text: str) -> Iterator[list[str]]:
     """The words of a text in order, those of about ``PIECE`` code points at a time."""
     at = 0

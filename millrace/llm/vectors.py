@@ -417,7 +417,8 @@ def visits(low: np.ndarray, p: np.ndarray, share: float, most: int = 200_000) ->
 
     The likeliest bucket's cells are perturbed hash by hash; a partial row of cells that
     can't reach the least chance still wanted, whatever its other cells, is not followed.
-    That least chance is lowered until the share is there (or ``most`` buckets are).
+    That least chance is lowered until the share is there, or ``most`` buckets are: the chances
+    returned then add up to less than ``share``, which the caller has to look at.
     """
     best = np.append(np.cumprod(p.max(axis=1)[::-1])[::-1], 1.0)  # of the hashes still to come
     least = best[0]
@@ -459,7 +460,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     all tables are merged and ranked by the inner product in double precision, ties to the
     smaller id. Buckets are dealt to shelves of bounded size, one task per shelf block and
     query block; a shelf with a large bucket is cut into several blocks. A query that finds
-    fewer than k looks at all rows.
+    fewer than k, or whose share would take more buckets than a table is visited for,
+    looks at all rows.
 
     Vectors that are null, empty, zero, of another length than most or hold a null or
     non-finite component take no part on either side, nor do null ids. Repeated rows count
@@ -514,8 +516,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 low, p = h.chances(_matrix(b["v"]))
                 rows = []
                 for i, (qid, v) in enumerate(zip(b["id"], b["v"], strict=True)):
-                    for t in range(TABLES):
-                        seen = visits(low[i, t], p[i, t], share)[0]
+                    visited = [visits(low[i, t], p[i, t], share) for t in range(TABLES)]
+                    if any(odds.sum() < share * (1 - 1e-3) for _, odds in visited):
+                        continue  # too many buckets for its share: it finds nothing here, and so looks at all rows
+                    for t, (seen, _) in enumerate(visited):
                         on = shelf_of(seen)
                         by = np.argsort(on, kind="stable")
                         first = np.flatnonzero(np.append(True, np.diff(on[by]) > 0))

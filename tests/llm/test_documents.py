@@ -41,44 +41,6 @@ def labels(spark, rows):
 # ---------------------------------------------------------------- lm
 
 
-def brute_scores(rows, targets, size):
-    cps = Counter(c for _, t in rows for c in t or "")
-    vocab = {c: i for i, (c, _) in enumerate(sorted(cps.items(), key=lambda x: (-x[1], x[0]))[:size], start=1)}
-    grams = lambda t: [tuple(vocab.get(c, 0) if c else 0 for c in w) for w in zip(["", "", *t], ["", *t], t)]
-    models = []
-    for aim in (targets, None):
-        c = Counter(g for i, t in rows if aim is None or i in aim for g in grams(t or ""))
-        c1, c2, x1, x2 = Counter(), Counter(), Counter(), Counter()
-        for (u, v, w), n in c.items():
-            c1[w] += n
-            c2[v, w] += n
-            x1[v] += n
-            x2[u, v] += n
-        total = sum(c.values())
-
-        def loss(g, c=c, c1=c1, c2=c2, x1=x1, x2=x2, total=total):
-            u, v, w = g
-            p1 = (c1[w] + 1) / (total + len(vocab) + 1)
-            p2 = (c2[v, w] + lm.SMOOTHING * p1) / (x1[v] + lm.SMOOTHING)
-            return -math.log((c[g] + lm.SMOOTHING * p2) / (x2[u, v] + lm.SMOOTHING))
-
-        models.append(loss)
-    return {i: sum(models[0](g) - models[1](g) for g in grams(t)) / len(t) for i, t in rows if t}
-
-
-def test_lm_scores_match_brute_force(spark, monkeypatch):
-    rng = random.Random(1)
-    rows = [(i, "".join(rng.choice("abcdeé \n") for _ in range(rng.randrange(0, 60)))) for i in range(40)]
-    monkeypatch.setattr(lm, "PIECE", 16)  # pieces within texts
-    d = docs(spark, rows)
-    got = {r["doc_id"]: r for r in lm.score(d, d.where("doc_id < 12"), 5).collect()}
-    want = brute_scores(rows, set(range(12)), 5)
-    assert len(got) == 40
-    for i, t in rows:
-        assert got[i]["n_tokens"] == len(t)
-        assert (got[i]["score"] is None) == (not t) and (not t or abs(got[i]["score"] - want[i]) < 1e-9)
-
-
 def brute_word_scores(rows, targets):
     models = []
     every = [(i, t, [w for part in lm.words(t or "") for w in part]) for i, t in rows]
