@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from datetime import date, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -96,7 +97,7 @@ def exactly(*needed: str) -> Callable[[Any], bool]:
 
 
 def every(prefix: str, keys: str, test: Test) -> list[Rule]:
-    return [(f"{prefix}.{k}", test) for k in keys.split()]
+    return [(f"{prefix}.{k}" if prefix else k, test) for k in keys.split()]
 
 
 # What each stage's settings have to say.
@@ -183,6 +184,135 @@ APPLICATION: list[Rule] = [
 ]
 
 
+# What documented events have to say of their sources.
+CONFIDENCE, DATASET_MATCH = ("documented", "derived", "ambiguous"), ("exact", "related", "unknown")
+
+PROVENANCE: list[Rule] = [
+    *every("provenance", "source_title source_type source_identifier source_locator interpretation", text), ("provenance.accessed_on", lambda x: text(x) and _day(x) is not None),
+    ("provenance.confidence", lambda x: x in CONFIDENCE), ("provenance.dataset_match", lambda x: x in DATASET_MATCH), ("provenance.source_conflicts", texts),
+]
+
+STATES = "documented_failure warning pre_event_exclusion partition_buffer_exclusion unverified"
+
+MATERIALIZATION: list[Rule] = [
+    ("timestamp_column", text), *every("", "expected_sampling_seconds gap_threshold_seconds pre_event_exclusion_hours", lambda x: number(x) and x > 0), ("warning_horizon_hours", lambda x: x is None or (number(x) and x > 0)),
+    *every("", "cross_segment_assignment_allowed unverified_rows_are_negative source_conflicts_create_labels", False), *every("states", STATES, text),
+]
+
+HELD_OUT: list[Rule] = [
+    ("inputs", lambda x: isinstance(x, dict)), ("evaluation.partition", "test"), ("evaluation.scoring_eligibility_column", "eligible_for_scoring"), ("evaluation.known_event_eligibility_column", "eligible_for_known_event_evaluation"),
+    ("evaluation.alarm_burden_eligibility_column", "eligible_for_alarm_burden"), ("evaluation.selected_threshold_quantile", quantile), ("evaluation.expected_sampling_seconds", lambda x: number(x) and x > 0),
+    *every("governance", "parameters_must_be_frozen threshold_must_match_validation_decision validation_must_precede_test one_time_test_evaluation no_refit_or_threshold_revision", True),
+    *every("governance", "unverified_rows_are_verified_healthy alarm_burden_is_false_positive_rate advanced_model_comparison_enabled", False), ("outputs.compression", lambda x: x in ("ZSTD", "SNAPPY", "GZIP")),
+]
+
+
+def _moment(x: Any) -> datetime | None:
+    try:
+        return datetime.fromisoformat(x) if text(x) else None
+    except ValueError:
+        return None
+
+
+def _day(x: str) -> date | None:
+    try:
+        return date.fromisoformat(x)
+    except ValueError:
+        return None
+
+
+def check_provenance(event: dict) -> tuple[str, int]:
+    """(confidence, number of recorded conflicts) of a documented event: where it stands, when that was read, how sure it is."""
+    check("provenance", event, PROVENANCE, ("what is documented must match the dataset exactly", lambda v: at(v, "provenance.confidence") != "documented" or at(v, "provenance.dataset_match") == "exact"))
+    return event["provenance"]["confidence"], len(event["provenance"]["source_conflicts"])
+
+
+def check_prediction_window(event: dict, minimum_warning_hours: float) -> tuple[datetime, datetime] | None:
+    """An event's window for predictions, if it has one: before the event, by the agreed hours at least."""
+    if event.get("prediction_window") is None:
+        return None
+    is_time = lambda x: _moment(x) is not None
+    gap = lambda v: _moment(v["start"]) - _moment(at(v, "prediction_window.end"))
+    check(
+        "prediction window", event, [("start", is_time), *every("prediction_window", "start end", is_time)],
+        ("the window ends before it starts", lambda v: _moment(at(v, "prediction_window.start")) <= _moment(at(v, "prediction_window.end"))),
+        ("the window must end before the event starts", lambda v: gap(v).total_seconds() > 0),
+        (f"the window must end {minimum_warning_hours} hours before the event", lambda v: gap(v).total_seconds() >= minimum_warning_hours * 3600),
+    )
+    return _moment(event["prediction_window"]["start"]), _moment(event["prediction_window"]["end"])
+
+
+def check_materialization(policy: dict) -> None:
+    """How rows get their states: no label across a gap, none from an unsettled source, and nothing unverified counts as healthy."""
+    check(
+        "materialization policy", policy, MATERIALIZATION,
+        ("the gap threshold must exceed the sampling interval", lambda v: v["gap_threshold_seconds"] > v["expected_sampling_seconds"]),
+        ("the warning horizon must exceed the exclusion", lambda v: v["warning_horizon_hours"] is None or v["warning_horizon_hours"] > v["pre_event_exclusion_hours"]),
+        ("state names repeat", lambda v: len({v["states"][k] for k in STATES.split()}) == len(STATES.split())),
+    )
+
+
+def check_held_out(contract: dict) -> None:
+    """One look at the test partition: no refit, no new threshold, no healthy rows made up, no burden called a false positive rate."""
+    check("held-out contract", contract, HELD_OUT)
+
+
+def check_frozen_inputs(parameters: dict, validation: dict, diagnosis: dict, expected_quantile: float) -> tuple[list[dict[str, Any]], float]:
+    """(retained features, threshold) if parameters, validation and diagnosis are one unbroken chain that never met the test partition."""
+
+    def features(x: Any) -> bool:
+        sound = isinstance(x, list) and bool(x) and all(isinstance(f, dict) and text(f.get("feature")) and number(f.get("median")) and number(f.get("iqr")) and f["iqr"] > 0 for f in x)
+        return sound and len({f["feature"] for f in x}) == len(x)
+
+    both = {"parameters": parameters, "validation": validation, "diagnosis": diagnosis}
+    same = lambda v, *paths: len({float(at(v, p)) for p in paths}) == 1
+    quantiles = ("parameters.threshold_quantile", "validation.fit.threshold_quantile", "diagnosis.decision.selected_threshold_quantile")
+    thresholds = ("parameters.threshold", "validation.fit.threshold", "diagnosis.frozen_baseline.threshold")
+    check(
+        "frozen inputs", both,
+        [
+            ("parameters.status", "frozen_before_validation"), ("parameters.test_partition_used", False), ("parameters.retained_features", features),
+            ("validation.status", "valid"), ("validation.governance.test_rows_scored", 0), ("validation.governance.test_partition_locked", True),
+            ("diagnosis.status", "valid"), ("diagnosis.decision.decision_status", "frozen_after_validation_diagnosis"), ("diagnosis.decision.test_partition_remains_locked", True),
+            *[(p, number) for p in (*quantiles, *thresholds)], ("diagnosis.frozen_baseline.retained_feature_count", integer()),
+        ],
+        ("the threshold quantile differs across evidence", lambda v: same(v, *quantiles) and float(at(v, quantiles[0])) == float(expected_quantile)),
+        ("the threshold differs across evidence", lambda v: same(v, *thresholds)),
+        ("the number of retained features differs from the diagnosis", lambda v: at(v, "diagnosis.frozen_baseline.retained_feature_count") == len(v["parameters"]["retained_features"])),
+    )
+    kept = [{"feature": f["feature"], "median": float(f["median"]), "iqr": float(f["iqr"])} for f in parameters["retained_features"]]
+    return kept, float(parameters["threshold"])
+
+
+FOREST_TEST: list[Rule] = [
+    ("schema_version", 1), ("authorization.one_time_test_evaluation_authorized", True), ("authorization.authorization_scope", "frozen_selected_candidate_only"),
+    ("authorization.authorized_candidate_id", text), ("authorization.authorized_threshold", number), ("inputs", lambda x: isinstance(x, dict) and bool(x) and all(map(text, x.values()))),
+    ("evaluation.partition", "test"), ("evaluation.scoring_eligibility_column", "eligible_for_scoring"), ("evaluation.known_event_eligibility_column", "eligible_for_known_event_evaluation"),
+    ("evaluation.alarm_burden_eligibility_column", "eligible_for_alarm_burden"), ("evaluation.expected_retained_feature_count", integer()), ("evaluation.expected_sampling_seconds", lambda x: number(x) and x > 0),
+    ("evaluation.matrix_dtype", "float32"), ("evaluation.threshold_comparison", "strictly_greater_than"), *every("governance", "model_must_be_loaded_without_refit threshold_must_be_loaded_without_revision", True),
+    *every("governance", "candidate_reselection_enabled feature_changes_enabled test_driven_model_change_enabled unverified_rows_are_verified_healthy alarm_burden_is_false_positive_rate unusualness_is_failure_probability unsupported_classification_metrics_enabled", False),
+    ("outputs", lambda x: isinstance(x, dict)),
+]
+
+EVALUATION: list[Rule] = [
+    ("schema_version", 1), ("evaluation_id", text), ("report_path", lambda x: text(x) and not x.startswith("/") and ".." not in x.split("/")), *every("frozen_artifacts", "corpus_id retrieval_id grounding_id", text),
+    *every("frozen_artifacts", "expected_chunk_sha256 expected_retrieval_index_sha256", sha256), ("retrieval.evaluation_top_k", integer()),
+    ("retrieval.metric_cutoffs", lambda x: isinstance(x, list) and bool(x) and all(map(integer(), x)) and x == sorted(set(x))), ("usefulness.minimum_concept_coverage", weight),
+    ("cases", lambda x: isinstance(x, list) and bool(x)), ("limitations", lambda x: texts(x) and len(x) >= 3),
+]
+
+
+def check_forest_test(contract: dict, frozen: dict[str, Any]) -> None:
+    """The one authorized look of a frozen forest at the test partition. ``frozen``: what was agreed on before, by path: candidate, threshold, inputs."""
+    check("forest test contract", contract, [*FOREST_TEST, *[(k, v) for k, v in frozen.items()]])
+
+
+def check_evaluation(c: dict, categories: set[str]) -> None:
+    """Settings of an evaluation run, its cases with them."""
+    check("evaluation settings", c, EVALUATION, ("a cutoff exceeds evaluation_top_k", lambda v: max(v["retrieval"]["metric_cutoffs"]) <= v["retrieval"]["evaluation_top_k"]))
+    check_cases(c["cases"], categories)
+
+
 def check_features(c: dict) -> None:
     f = lambda v: at(v, "feature_contract.continuous_signals") + at(v, "feature_contract.operating_state_signals")
     check("feature contract", c, FEATURES, ("signal names repeat", lambda v: len(set(f(v))) == len(f(v))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions.arrays import any_null, clip01, finite
 from millrace.functions.time import hours, lenient_timestamp
-from millrace.operators import alarms, corpus, eligibility, evaluation, features, grounding, iforest, profile, retrieval, robust
+from millrace.operators import alarms, corpus, dataset_rules, eligibility, evaluation, features, grounding, iforest, profile, retrieval, robust
 from millrace.plans.queries import (
     _BEST, ANSWER_SQL, BEST_SQL, CLASSIFIED, ELIGIBLE_SQL, EVALUATION_SQL, FEATURES_SQL, HYBRID_SQL, MODEL, RERANK_SQL, SAMPLING, SCORED_SQL, SENSOR, SPEC, TFIDF_SQL, _answers, _diagnosis,
     both_sides, candidates, docs, eligible, featured, fitted, governed, query, r6, rounded, sensor, tfidf,
@@ -399,3 +399,25 @@ def _(spark, d) -> DataFrame:
     e = eligible(spark, d)
     eligibility.check_chronology(e)
     return e.groupBy(F.coalesce("partition", F.lit("excluded")).alias("partition"), "evaluation_role").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+# ---------------------------------------------------------------- rules over tables
+
+
+@query("contract_documents", """SELECT unnest(['doc_id is missing', 'text is missing', 'lang is none of the agreed values', 'n_chars is not what it was frozen from', 'doc_id repeats', 'fewer than 1 rows']) AS rule,
+  unnest([count(*) FILTER (WHERE doc_id IS NULL), count(*) FILTER (WHERE text IS NULL), count(*) FILTER (WHERE lang IS NULL OR lang NOT IN ('en', 'de')), count(*) FILTER (WHERE n_chars IS DISTINCT FROM len(text)), count(*) - count(DISTINCT doc_id), 0]) AS broken FROM documents""")
+def _(spark, d):
+    r = dataset_rules
+    rules = r.TableRules((*r.present("doc_id", "text"), *r.one_of("lang", ["en", "de"]), *r.frozen("n_chars", "length(text)")), unique=("doc_id",))
+    return r.broken_rules(table(spark, d, "documents"), rules)
+
+
+@query("contract_order_lines", """WITH o AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0), l AS (SELECT DISTINCT l_orderkey FROM lineitem)
+SELECT unnest(['l_quantity is not finite', 'l_tax is after l_quantity', 'discounts stay under a tenth', 'l_orderkey is unknown to the other table', 'l_orderkey of the other table is absent', 'fewer than 1 rows']) AS rule,
+  unnest([count(*) FILTER (WHERE l_quantity IS NULL), count(*) FILTER (WHERE NOT coalesce(l_tax <= l_quantity, false)), count(*) FILTER (WHERE NOT coalesce(l_discount < 0.1, false)),
+  (SELECT count(*) FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)), (SELECT count(*) FROM o WHERE o_orderkey NOT IN (SELECT l_orderkey FROM l)), 0]) AS broken FROM lineitem""")
+def _(spark, d):
+    r = dataset_rules
+    rows = (*r.finite("l_quantity"), *r.in_order("l_tax", "l_quantity"), r.RowRule("discounts stay under a tenth", "l_discount < 0.1"))
+    rules = r.TableRules(rows, keys=("l_orderkey",), names={"l_orderkey": "o_orderkey"})
+    return r.broken_rules(table(spark, d, "lineitem"), rules, table(spark, d, "orders").where("o_orderkey % 7 <> 0"))
