@@ -111,10 +111,16 @@ def best_sentences(query: Column, text: Column, n: int) -> Column:
 
 
 def evidence(reranked: DataFrame, g: Grounding = Grounding()) -> DataFrame:
-    """Candidates that reach the minimum, at most ``max_chunks`` a query, numbered."""
+    """Candidates that reach the minimum, at most ``max_chunks`` a query, numbered.
+
+    Only ids, ranks and scores are ranked; the few that are kept then find their texts. Chunk
+    ids are unique within a query.
+    """
     w = W.partitionBy("query_id").orderBy("rerank_rank")
-    d = reranked.where(F.col("rerank_score") >= g.minimum_score).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= g.max_chunks)
-    return d.withColumn("citation_id", F.concat(F.lit(g.prefix), F.col("__n").cast("string"))).withColumnRenamed("__n", "evidence_rank")
+    ranked = reranked.where(F.col("rerank_score") >= g.minimum_score).select(F.col("query_id").alias("__q"), F.col("chunk_id").alias("__c"), "rerank_rank", F.row_number().over(w).alias("evidence_rank"))
+    kept = ranked.where(F.col("evidence_rank") <= g.max_chunks)
+    d = reranked.drop("rerank_rank").join(kept, F.col("query_id").eqNullSafe(F.col("__q")) & (F.col("chunk_id") == F.col("__c"))).drop("__q", "__c")
+    return d.withColumn("citation_id", F.concat(F.lit(g.prefix), F.col("evidence_rank").cast("string")))
 
 
 def answers(queries: DataFrame, reranked: DataFrame, g: Grounding = Grounding()) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -283,3 +283,25 @@ def table_identity(df: DataFrame) -> DataFrame:
     """(rows, identity): an order-free fingerprint of a table's content, for checks on load. A sum, so that rows that stand twice count twice."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("identity"))
+
+
+#: Ranges of keys that an identity is kept for: two to this power.
+LEAF_BITS = 10
+
+
+def leaf(key: Column) -> Column:
+    """The range of hashed keys that a row belongs to."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - LEAF_BITS).cast("int")
+
+
+def identity_leaves(df: DataFrame, key: str) -> DataFrame:
+    """(leaf, rows, identity): ``table_identity`` of each range of keys; bounded, whatever the table. Rows of one key share a leaf."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(leaf(F.col(key)).alias("leaf")).agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("identity"))
+
+
+def changed_leaves(saved: DataFrame, found: DataFrame) -> list[int]:
+    """Ranges that hold other rows than when they were saved, fewer or more of them included."""
+    a, b = saved.select("leaf", "rows", "identity"), found.select("leaf", F.col("rows").alias("__n"), F.col("identity").alias("__i"))
+    d = a.join(b, "leaf", "full_outer").where(~(F.col("rows").eqNullSafe(F.col("__n")) & F.col("identity").eqNullSafe(F.col("__i"))))
+    return sorted(r["leaf"] for r in d.select("leaf").collect())  # as many as leaves at most

@@ -9,9 +9,10 @@ from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.operators import grounding, iforest, retrieval
-from millrace.operators.contracts import check_chain
+from millrace.operators.contracts import ContractError, check_chain
 from millrace.plans.tables import cut
 from millrace.sources.files import canonical
 from millrace.sources.store import Counters, Store
@@ -58,6 +59,7 @@ class Knowledge:
     def save(self, path: str) -> dict[str, Any]:
         """Writes the index as tables below ``path``, beside what they hold: rows and content of each, and of the chunks they stand for."""
         identity = {"dims": self.dims, "chunks": _identity(self.chunks.select("chunk_id", "text"))}
+        retrieval.identity_leaves(self.chunks.select("chunk_id", "text"), "chunk_id").coalesce(1).write.mode("errorifexists").parquet(f"{path}/leaves")
         for name in INDEX:
             getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
             identity[name] = _identity(self.spark.read.parquet(f"{path}/{name}"))
@@ -66,15 +68,36 @@ class Knowledge:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, chunks: DataFrame, g: grounding.Grounding = grounding.Grounding()) -> Knowledge:
-        """A saved index; tables or chunks that aren't those it was saved with are an error."""
+        """A saved index; tables or chunks that aren't those it was saved with are an error, which names the ranges of chunk ids that changed."""
+        k, changed = cls._saved(spark, path, chunks, g)
+        if changed:
+            raise ContractError("saved index", [f"chunks changed in {len(changed)} of {1 << retrieval.LEAF_BITS} ranges: {changed[:20]}"])
+        return k
+
+    @classmethod
+    def refresh(cls, spark: SparkSession, path: str, chunks: DataFrame, g: grounding.Grounding = grounding.Grounding()) -> tuple[Knowledge, list[int]]:
+        """(a saved index brought up to date, the ranges rebuilt): documents of changed ranges are weighed and embedded anew, with the saved vocabulary and directions; all others keep their rows."""
+        k, changed = cls._saved(spark, path, chunks, g)
+        if changed:
+            other = ~retrieval.leaf(F.col("id")).isin(changed)
+            fresh = chunks.where(retrieval.leaf(F.col("chunk_id")).isin(changed))
+            index = cut(retrieval.tfidf(retrieval.term_counts(fresh, "chunk_id", "text"), k.vocabulary))
+            k.index = cut(k.index.where(other).unionByName(index))
+            k.embedded = cut(k.embedded.where(other).unionByName(retrieval.embed(index, k.directions, k.dims)))
+        return k, changed
+
+    @classmethod
+    def _saved(cls, spark: SparkSession, path: str, chunks: DataFrame, g: grounding.Grounding) -> tuple[Knowledge, list[int]]:
+        """Saved tables that are sound, and the ranges in which the chunks differ from those they were saved with."""
         identity = json.loads(spark.read.text(f"{path}/identity").first()[0])
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in INDEX}
-        check_chain(identity, {"dims": identity["dims"], "chunks": _identity(chunks.select("chunk_id", "text"))} | {k: _identity(t) for k, t in tables.items()})
+        check_chain({n: identity[n] for n in INDEX}, {n: _identity(t) for n, t in tables.items()})
+        changed = retrieval.changed_leaves(spark.read.parquet(f"{path}/leaves"), retrieval.identity_leaves(chunks.select("chunk_id", "text"), "chunk_id"))
         k = cls.__new__(cls)
         k.spark, k.chunks, k.dims, k.g = spark, chunks, identity["dims"], g
         for name, t in tables.items():
             setattr(k, name, t.cache())
-        return k
+        return k, changed
 
     def retrieve(self, query: str, top_k: int = 8) -> DataFrame:
         """Chunks for one question, best first; none if no word is known."""
@@ -89,8 +112,6 @@ class Knowledge:
         return hits.withColumnRenamed("id", "chunk_id").join(self.chunks, "chunk_id").orderBy("rank")
 
     def answer(self, query: str, candidates: int = 12) -> dict[str, Any]:
-        from pyspark.sql import functions as F
-
         found = self.retrieve(query, candidates).withColumn("query_id", F.lit(1)).withColumn("query", F.lit(query))
         asked = self.spark.createDataFrame([(1, query)], "query_id int, query string")
         return grounding.answers(asked, grounding.rerank(found, self.g), self.g).first().asDict(recursive=True)

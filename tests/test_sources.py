@@ -3,9 +3,11 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import contracts as C
-from millrace.operators import corpus, iforest, robust
+from millrace.operators import corpus, iforest, retrieval, robust
+from millrace.operators.contracts import ContractError
 from millrace.operators.service import Knowledge, Prediction, Services, smoke
 from millrace.sources import archive, charts, files
 from millrace.sources.store import Counters, Store, load_forest, save_forest
@@ -250,6 +252,30 @@ def test_saved_index_answers_alike_and_refuses_other_chunks(spark, tmp_path):
         Knowledge.load(spark, str(tmp_path / "index"), spark.createDataFrame([*rows, rows[0]], "chunk_id string, text string"))
 
 
+def test_a_changed_chunk_is_named_and_only_its_range_rebuilt(spark, tmp_path):
+    rows = [(f"c{i}", f"compressor pressure note {i} about valve {i % 3} and leak {i % 5}") for i in range(30)]
+    frame = lambda x: spark.createDataFrame(x, "chunk_id string, text string")
+    path = str(tmp_path / "index")
+    k = Knowledge(spark, frame(rows), 3)
+    k.save(path)
+    leaf_of = {r["chunk_id"]: r["l"] for r in frame([*rows, ("new", "")]).select("chunk_id", retrieval.leaf(F.col("chunk_id")).alias("l")).collect()}
+    now = [r for r in rows if r[0] != "c9"]
+    now[4] = ("c4", "leak leak valve")
+    now.append(("new", "compressor valve pressure"))
+    want = sorted({leaf_of[c] for c in ("c4", "c9", "new")})
+    with pytest.raises(ContractError, match=str(want[0])):
+        Knowledge.load(spark, path, frame(now))
+    again, changed = Knowledge.refresh(spark, path, frame(now))
+    assert changed == want
+    old, new = ({(r["id"], r["term"]): r["weight"] for r in x.index.collect()} for x in (k, again))
+    assert {i for i, _ in new} == {c for c, _ in now} and all(new[p] == v for p, v in old.items() if leaf_of[p[0]] not in want)
+    whole = retrieval.tfidf(retrieval.term_counts(frame(now), "chunk_id", "text"), k.vocabulary).collect()
+    assert {(r["id"], r["term"]) for r in whole} == new.keys() and all(abs(new[r["id"], r["term"]] - r["weight"]) < 1e-12 for r in whole)
+    assert again.embedded.count() == len(now) and again.retrieve("leak valve", 2).first()["chunk_id"] == "c4"
+    same, none = Knowledge.refresh(spark, path, frame(rows))
+    assert none == [] and same.index.count() == k.index.count()
+
+
 def test_readiness_follows_the_frozen_files_and_retrieval_is_kept(spark, tmp_path):
     import hashlib
 
