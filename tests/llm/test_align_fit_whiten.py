@@ -146,7 +146,7 @@ def test_best_fit_keeps_every_capacity(cap):
 def test_best_fit_of_few_lengths_is_exact():
     hist = np.zeros(4097, dtype=np.int64)
     hist[[3000, 1096, 1000, 96]] = [7, 10, 3, 3]
-    assert bestfit.fewest(hist).n_seqs == 7 + 1  # 7 pairs fill up; 3 of 1096 with the rest
+    assert bestfit.fewest(hist).n_seqs == 9  # 35,248 tokens; seven pairs fill up
     with pytest.raises(ValueError):
         bestfit.best_fit(np.ones(200, dtype=np.int64), bestfit.Capacity(100))
     assert bestfit.best_fit(np.zeros(10, dtype=np.int64)).n_seqs == 0
