@@ -57,6 +57,25 @@ def test_near_duplicates_of_low_rank_vectors(spark):
     assert (got["component_id"].to_numpy() == comp).all()
 
 
+def test_near_duplicates_of_ten_thousand_vectors(spark):
+    """Groups of copies from two to hundreds among 10,000 vectors, many pairs just over and just under the threshold."""
+    rng = np.random.default_rng(11)
+    n, d = 10_000, 32
+    x = rng.normal(size=(n, d))
+    free, at = rng.permutation(n), 0
+    for size in [2] * 600 + [5] * 200 + [40] * 20 + [300] * 2:
+        g = free[at : at + size]
+        at += size
+        x[g] = x[g[0]] + rng.normal(size=(size, d)) * rng.uniform(0.05, 0.5)
+    x *= rng.uniform(0.5, 2, size=(n, 1))
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    links = np.concatenate([(y[i : i + 500] @ y.T >= 0.9).sum(axis=1) - 1 for i in range(0, n, 500)])
+    got = vectors.near_duplicates(table(spark, x)).toPandas().set_index("vec_id").sort_index()
+    found = got["n_links"].to_numpy()
+    assert links.sum() > 20_000 and (found <= links).all() and found.sum() >= 0.999 * links.sum()
+    assert ((found > 0) == (links > 0)).mean() >= 0.999
+
+
 ODD = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [2.0, 0.0]), (9, [float("inf"), 0.0]), (20, [-1.0, 0.1]), (40, [1e300, 1e300])]
 
 
