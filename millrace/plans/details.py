@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions.arrays import any_null, clip01, finite
 from millrace.functions.time import hours, lenient_timestamp
-from millrace.operators import alarms, corpus, dataset_rules, eligibility, evaluation, features, grounding, iforest, profile, retrieval, robust
+from millrace.operators import alarms, corpus, dataset_rules, eligibility, evaluation, features, grounding, iforest, profile, retrieval, robust, targets
 from millrace.plans.queries import (
     _BEST, ANSWER_SQL, BEST_SQL, CLASSIFIED, ELIGIBLE_SQL, EVALUATION_SQL, FEATURES_SQL, HYBRID_SQL, MODEL, RERANK_SQL, SAMPLING, SCORED_SQL, SENSOR, SPEC, TFIDF_SQL, _answers, _diagnosis,
     both_sides, candidates, docs, eligible, featured, fitted, governed, query, r6, rounded, sensor, tfidf,
@@ -354,16 +354,18 @@ def _(spark, d):
     return rows.select("event_id", F.size(m).cast("double").alias("width"), F.forall(m, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))).alias("finite"))
 
 
-@query("h5_configured_intervals", "SELECT * FROM (VALUES ('f_train', TIMESTAMP '2024-01-08 06:00:00', 28800::BIGINT), ('f_val', TIMESTAMP '2024-01-18 10:00:00', 36000::BIGINT), ('f_test', TIMESTAMP '2024-01-26 03:00:00', 21600::BIGINT)) t(name, start, seconds)")
+@query("h5_configured_intervals", """WITH c(name, a, z) AS (VALUES ('f_train', TIMESTAMP '2024-01-08 06:00:00', TIMESTAMP '2024-01-08 14:00:00'), ('f_val', TIMESTAMP '2024-01-18 10:00:00', TIMESTAMP '2024-01-18 20:00:00'), ('f_test', TIMESTAMP '2024-01-26 03:00:00', TIMESTAMP '2024-01-26 09:00:00'))
+SELECT name, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS rows, count(*) FILTER (WHERE value IS NULL) AS missing FROM events JOIN c ON ts BETWEEN a AND z GROUP BY 1""")
 def _(spark, d):
+    """Intervals come from strict texts of the settings; what the series holds in each of them."""
     SPEC.validate()
-    return spark.createDataFrame([(e.name, e.start, int((e.end - e.start).total_seconds())) for e in SPEC.events], "name string, start timestamp_ntz, seconds long")
+    name = targets.first_of([((F.col("ts") >= F.lit(e.start)) & (F.col("ts") <= F.lit(e.end)), e.name) for e in SPEC.events]).alias("name")
+    x = table(spark, d, "events").select(name, "ts", "value").where("name is not null")
+    return x.groupBy("name").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("missing"))
 
 
 @query("b4_event_windows", f"WITH {CLASSIFIED} SELECT coalesce(exclusion_event, 'none') AS exclusion_event, coalesce(warning_event, 'none') AS warning_event, count(*) AS n FROM classified GROUP BY 1, 2")
 def _(spark, d):
-    from millrace.operators import targets
-
     c = targets.classify(sensor(spark, d), SPEC, tie="event_id")
     return c.groupBy(F.coalesce("exclusion_event", F.lit("none")).alias("exclusion_event"), F.coalesce("warning_event", F.lit("none")).alias("warning_event")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -245,9 +245,10 @@ def _(spark, d):
     return profile.invalid_binary(raw(spark, d), ["flag"])
 
 
-@query("d20_duplicate_rows", f"WITH {RAW_SQL}, g AS (SELECT kind, flag, count(*) AS n FROM raw GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM g")
+@query("d20_duplicate_rows", f"WITH {RAW_SQL}, twice AS (SELECT * FROM raw UNION ALL SELECT * FROM raw WHERE position % 10 = 0), g AS (SELECT *, count(*) AS n FROM twice GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM g")
 def _(spark, d):
-    return profile.duplicates(raw(spark, d), ["kind", "flag"])
+    x = raw(spark, d)
+    return profile.duplicates(x.union(x.where("position % 10 = 0")), x.columns)
 
 
 def _intervals(spark, d):
@@ -493,9 +494,16 @@ def _(spark, d):
     return iforest.score(e.where("eligible_for_scoring").select("event_id", "partition", *MODEL), f).select("event_id", "partition", "anomaly_score")
 
 
-@query("i3_candidate_grid", "SELECT CAST(row_number() OVER (ORDER BY n, m, f) AS BIGINT) AS complexity_rank, 'iforest_ne' || n || '_ms' || m || '_mf' || replace(CAST(f AS VARCHAR), '.', 'p') AS candidate_id FROM (VALUES (100), (200)) a(n), (VALUES (1024), (4096)) b(m), (VALUES (0.5), (1.0)) c(f)")
+@query("i3_candidate_grid", f"""WITH {ELIGIBLE_SQL}, fit AS (SELECT count(*) AS n_fit FROM eligible WHERE eligible_for_reference_fit)
+SELECT CAST(row_number() OVER (ORDER BY n, m, f) AS BIGINT) AS complexity_rank, 'iforest_ne' || n || '_ms' || m || '_mf' || replace(CAST(f AS VARCHAR), '.', 'p') AS candidate_id, n_fit, least(m, n_fit) AS sample_rows, n * least(m, n_fit) AS sampled
+FROM (VALUES (100), (200)) a(n), (VALUES (1024), (4096)) b(m), (VALUES (0.5), (1.0)) c(f), fit""")
 def _(spark, d):
-    return spark.createDataFrame([(c.complexity_rank, c.candidate_id) for c in iforest.grid([100, 200], [1024, 4096], [0.5, 1.0])], "complexity_rank long, candidate_id string")
+    """The candidates, simplest first, with the rows that each would draw from those eligible for the fit."""
+    made = [(c.complexity_rank, c.candidate_id, c.n_estimators, c.max_samples) for c in iforest.grid([100, 200], [1024, 4096], [0.5, 1.0])]
+    g = spark.createDataFrame(made, "complexity_rank long, candidate_id string, n long, m long")
+    n = eligible(spark, d).where("eligible_for_reference_fit").agg(F.count(F.lit(1)).alias("n_fit"))
+    rows = F.least("m", "n_fit")
+    return g.crossJoin(F.broadcast(n)).select("complexity_rank", "candidate_id", "n_fit", rows.alias("sample_rows"), (F.col("n") * rows).alias("sampled"))  # one row
 
 
 # ---------------------------------------------------------------- text
