@@ -93,7 +93,7 @@ FILTERS: dict[str, Callable[[Any], Any]] = {
     "length": lambda x: len(x),
 }
 
-_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~<>().|]))")
+_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~<>().|\[\]]))")
 _STRING_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", "'": "'", '"': '"'}
 _LOOP = ("index", "index0", "first", "last")
 
@@ -183,11 +183,18 @@ class _Expr:
         if value.lower() in ("true", "false", "none"):
             return Lit({"true": True, "false": False, "none": None}[value.lower()])
         path = [value]
-        while self.peek("."):
-            self.take()
-            kind, part = self.take()
-            if kind != "name":
-                raise TemplateError("a name must follow the dot")
+        while self.peek(".", "["):
+            if self.take()[1] == ".":
+                kind, part = self.take()
+                if kind != "name":
+                    raise TemplateError("a name must follow the dot")
+            else:  # m['role'] is m.role
+                kind, part = self.take()
+                if kind != "str" or not re.fullmatch(r"[A-Za-z_]\w*", part[1:-1]):
+                    raise TemplateError("a quoted name must stand in brackets")
+                part = part[1:-1]
+                if self.take()[1] != "]":
+                    raise TemplateError("missing ]")
             path.append(part)
         if any(p.startswith("_") for p in path):
             raise TemplateError("names may not begin with _")

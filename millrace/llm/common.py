@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -32,8 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-#: Tables written so far and not dropped.
-_tables: list[str] = []
+class _Written(threading.local):
+    """Tables that a thread's queries wrote and nobody dropped: another thread's are not its to drop."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+
+_tables = _Written()
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
@@ -44,16 +54,16 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
 
 
 def drop_written(spark: SparkSession, before: int = 0) -> None:
-    """Drops all tables that ``written`` made since there were ``before``."""
-    drop(spark, _tables[before:])
-    del _tables[before:]
+    """Drops all tables that ``written`` made in this thread since there were ``before``."""
+    drop(spark, _tables.paths[before:])
+    del _tables.paths[before:]
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/millrace-tables/{uuid.uuid4().hex}"
-    _tables.append(path)
+    _tables.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -440,8 +440,10 @@ def _encoded(docs: DataFrame, path: str, window: int, id_col: str = "doc_id") ->
         release()
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    block = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(RANK_BLOCKS)).cast("int")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), block.alias("block")).mapInPandas(run, _HEADS)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    # by text too, as many rows may have no id
+    block = F.pmod(F.xxhash64(F.lit(3), "doc_id", "th"), F.lit(RANK_BLOCKS)).cast("int")
+    return d.select("doc_id", "th", "text", block.alias("block")).mapInPandas(run, _HEADS)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:

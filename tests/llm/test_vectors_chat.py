@@ -176,6 +176,15 @@ def test_compiler_folds_and_renders():
     assert text == "1x,2yz" and [text[a:b] for a, b in spans] == ["x", "yz"]
 
 
+def test_a_quoted_name_in_brackets_is_an_attribute():
+    t = chat.Template("{% for m in messages %}{% if m['role'] == \"user\" %}[{{ m['content']|trim }}]{% else %}{% generation %}{{ m['meta'].x }}{% endgeneration %}{% endif %}{% endfor %}")
+    text, spans = t.render(messages=[{"role": "user", "content": " a "}, {"role": "assistant", "meta": {"x": "bc"}}])
+    assert text == "[a]bc" and [text[a:b] for a, b in spans] == ["bc"]
+    for bad in ("{{ m['__class__'] }}", "{{ m['a b'] }}", "{{ m['a' }}", "{{ m[x] }}", "{{ ['a'] }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.Template(bad)
+
+
 @pytest.mark.parametrize("bad", ["{% for x %}", "{{ a[0] }}", "{{ f(1) }}", "{{ x.__class__ }}", "{% if a %}", "{{ 'a' | evil }}", "{% import x %}", "{{ 1 + }}", "{% generation %}{% generation %}{% endgeneration %}{% endgeneration %}", "{{ 1 + 'a' }}"])
 def test_compiler_rejects(bad):
     with pytest.raises(chat.TemplateError):
