@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.operators.segments import _bucketed, running_groups
+from millrace.operators.segments import _bucketed, numbered
 
 WINDOWS = (6, 30)
 #: Rows of one history group that a task takes at once.
@@ -14,19 +14,9 @@ RUN = 100_000
 
 
 def history_groups(df: DataFrame, ts: str = "timestamp", tie: str | None = None) -> DataFrame:
-    """Adds ``history_group_id``: a new group at the first row and where segment or partition change (nulls alike).
-
-    Rows are dealt by time bucket; the row before a bucket's first comes from one row per bucket.
-    """
-    d = _bucketed(df, ts, "day")
-    order = [F.col(ts)] + ([F.col(tie)] if tie else [])
-    w = W.partitionBy("__b").orderBy(*order)
-    state = F.struct("segment_id", "partition")
-    at = F.struct(*order)
-    ends = d.groupBy("__b").agg(F.max_by(state, at).alias("__end")).select("__b", F.lag("__end").over(W.orderBy("__b")).alias("__before"))
-    d = d.withColumn("__in", F.lag(state).over(w)).join(ends, "__b").withColumn("__p", F.coalesce("__in", "__before"))
-    starts = F.col("__p").isNull() | ~F.col("__p.segment_id").eqNullSafe(F.col("segment_id")) | ~F.col("__p.partition").eqNullSafe(F.col("partition"))
-    return running_groups(d.drop("__in", "__before"), starts, "history_group_id", ts, tie).drop("__b", "__p")
+    """Adds ``history_group_id``: a new group at the first row and where segment or partition change (nulls alike)."""
+    changes = lambda before, now: ~(before["segment_id"].eqNullSafe(now["segment_id"]) & before["partition"].eqNullSafe(now["partition"]))
+    return numbered(df, F.struct("segment_id", "partition"), changes, "history_group_id", ts, tie).drop("__before")
 
 
 def positions(df: DataFrame, ts: str = "timestamp", tie: str | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ before it, the number of segments begun before it) comes from one summary row pe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,20 +32,35 @@ def with_previous(df: DataFrame, ts: str = "timestamp", tie: str | None = None,
     return d.withColumn("__in", inside).join(ends, "__b").withColumn("previous_timestamp", F.coalesce("__in", "__before")).drop("__in", "__before")
 
 
-def running_groups(df: DataFrame, flag: Column, name: str, ts: str = "timestamp", tie: str | None = None) -> DataFrame:
-    """Adds ``name``: how many rows up to and including this one, in time order, have the flag. Needs ``__b``."""
-    d = df.withColumn("__f", F.when(flag, 1).otherwise(0))
+def numbered(df: DataFrame, state: Column, breaks: Callable[[Column, Column], Column], name: str, ts: str = "timestamp", tie: str | None = None, unit: str = "day") -> DataFrame:
+    """Adds ``name``, the number of the run a row belongs to, from 1 in time order, and ``__before``, the state of the row before.
+
+    A run begins at the first row and wherever ``breaks(state before, state)`` holds. One
+    ordered pass counts the breaks inside each bucket, without its first row; a summary row per bucket (first and
+    last state, breaks inside) tells whether the first row breaks too and how many runs began
+    before. So rows are shuffled and sorted once, and read by two jobs: the summaries and the result.
+    Rows without a time have no place in the order and are left out.
+    """
     order = [F.col(ts)] + ([F.col(tie)] if tie else [])
-    w = W.partitionBy("__b").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = d.groupBy("__b").agg(F.sum("__f").alias("__n"))
-    sums = sums.select("__b", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    return d.withColumn("__in", F.sum("__f").over(w)).join(sums, "__b").withColumn(name, (F.col("__base") + F.col("__in")).cast("long")).drop("__f", "__in", "__base")
+    w, at = W.partitionBy("__b").orderBy(*order), F.struct(*order)
+    d = _bucketed(df.where(F.col(ts).isNotNull()), ts, unit).withColumn("__s", state).withColumn("__p", F.lag("__s").over(w)).withColumn("__row", F.row_number().over(w))
+    inside = F.when(F.col("__row") > 1, breaks(F.col("__p"), F.col("__s")).cast("int")).otherwise(0)
+    d = d.withColumn("__in", F.sum(inside).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ends = d.groupBy("__b").agg(F.min_by("__s", at).alias("__first"), F.max_by("__s", at).alias("__last"), F.max("__in").alias("__n"))
+    # a row per bucket: the span of the series in days bounds these windows
+    days = W.orderBy("__b")
+    ends = ends.withColumn("__from", F.lag("__last").over(days)).withColumn("__there", F.row_number().over(days) > 1)
+    ends = ends.withColumn("__new", F.when(F.col("__there"), breaks(F.col("__from"), F.col("__first")).cast("int")).otherwise(1))
+    base = F.coalesce(F.sum(F.col("__n") + F.col("__new")).over(days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("__new")
+    ends = ends.select("__b", "__from", base.alias("__base"))
+    out = d.join(ends, "__b").withColumn("__before", F.when(F.col("__row") > 1, F.col("__p")).otherwise(F.col("__from")))
+    return out.withColumn(name, (F.col("__base") + F.col("__in")).cast("long")).drop("__b", "__s", "__p", "__row", "__in", "__from", "__base")
 
 
 def segment(df: DataFrame, threshold_s: float, ts: str = "timestamp", tie: str | None = None) -> DataFrame:
     """Adds ``previous_timestamp`` and ``segment_id`` (from 1): a new segment begins after a gap of more than ``threshold_s``."""
-    gap = F.col("previous_timestamp").isNull() | (seconds_between(F.col("previous_timestamp"), F.col(ts)) > F.lit(threshold_s))
-    return running_groups(with_previous(df, ts, tie), gap, "segment_id", ts, tie).drop("__b")
+    gap = lambda before, now: seconds_between(before, now) > F.lit(threshold_s)
+    return numbered(df, F.col(ts), gap, "segment_id", ts, tie).withColumnRenamed("__before", "previous_timestamp")
 
 
 def segment_summary(segmented: DataFrame, ts: str = "timestamp") -> DataFrame:
