@@ -211,3 +211,29 @@ def test_long_history_groups_are_cut_without_a_trace(spark):
             assert abs(r["x__mean_30"] - plain[r["timestamp"]][0]) < 1e-12 and min(r["history_rows_available"], 30) == plain[r["timestamp"]][1]
     with pytest.raises(ValueError):
         features.causal_features(d, ["x"], run=29)
+
+
+def test_runs_are_numbered_across_buckets(spark):
+    """Against one walk over the whole series: days without rows, days that begin inside a run, states that are null, rows without a time."""
+    import random
+
+    rng = random.Random(3)
+    at, rows = datetime(2024, 1, 1), []
+    for i in range(400):
+        at += timedelta(seconds=rng.choice((0, 5, 5, 5, 40_000, 200_000)))
+        rows.append((i, at, rng.choice((1, 1, 2, None)), rng.choice(("train", None))))
+    frame = spark.createDataFrame([*rows, (900, None, 1, "train")], "event_id long, timestamp timestamp_ntz, state int, part string").repartition(5)
+    got = {r["event_id"]: (r["segment_id"], r["previous_timestamp"]) for r in segments.segment(frame, 60, tie="event_id").collect()}
+    want, number, before = {}, 0, None
+    for i, t, _, _ in rows:
+        number += before is None or (t - before).total_seconds() > 60
+        want[i] = (number, before)
+        before = t
+    assert got == want
+    runs = features.history_groups(frame.withColumnsRenamed({"state": "segment_id", "part": "partition"}), tie="event_id")
+    got = {r["event_id"]: r["history_group_id"] for r in runs.collect()}
+    want, number, before = {}, 0, ()
+    for i, _, s, p in rows:
+        number += (s, p) != before
+        want[i], before = number, (s, p)
+    assert got == want and "__before" not in runs.columns
