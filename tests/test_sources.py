@@ -224,6 +224,25 @@ def test_knowledge_answers_and_refuses(spark):
     assert all(c["passed"] for c in smoke(k))
 
 
+def test_a_log_is_compacted_and_an_id_has_one_writer(spark, tmp_path):
+    kept = {"records": 3, "evaluations": 3, "events": 3}
+    a, b = (Store(spark, str(tmp_path / "st"), kept, compact=4) for _ in range(2))
+    row = lambda i: {"request_id": f"r{i}", "operation": "read", "status": "ok", "created_at": datetime(2024, 1, 1), "request_json": {"i": i}, "response_json": "{}"}
+    for i in range(5):
+        a.append("records", row(i))
+    with pytest.raises(files.GovernanceError):
+        b.append("records", row(4))  # the other writer has it, in an append that isn't compacted
+    assert [r["request_id"] for r in b.recent("records", 9).collect()] == ["r4", "r3", "r2"]
+    folder = tmp_path / "st" / "records"
+    assert len(list((folder / "tail").iterdir())) == 1 and len(list((folder / "base").iterdir())) == 1
+    b.append("records", row(0))  # r0 left by retention when the log was compacted
+    a.compact("records")
+    assert [r["request_id"] for r in a.read("records").orderBy("sequence").collect()] == ["r3", "r4", "r0"]
+    assert not list((folder / "tail").iterdir()) and len([p for p in (folder / "ids").iterdir() if not p.name.startswith(".")]) == 3
+    a.compact("records")
+    assert a.counts() == {"records": 3, "evaluations": 0, "events": 0}
+
+
 def test_stream_scoring(spark, tmp_path):
     d = spark.createDataFrame([(1.0,), (9.0,)], "x double")
     d.write.parquet(str(tmp_path / "in"))
