@@ -585,6 +585,10 @@ def op10_chat(conversations: DataFrame) -> DataFrame:
 
     Rows stream in conversation order: pieces are parsed and hashed turn by turn, so even
     a conversation with a third of all rows holds one turn in memory.
+
+    Null text or role: empty. Null conv_id: one conversation, with a null id. Turns with equal
+    numbers (or null ones, which come first) follow by role and text; repeated rows are turns.
+    An empty table gives the probe alone. Extra columns are not read.
     """
     spark = conversations.sparkSession
     probe = spark.createDataFrame([(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], "conv_id long, turn long, role string, text string")
