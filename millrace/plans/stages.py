@@ -120,7 +120,7 @@ def _(spark, d):
 @query("i16_exploration", f"WITH {SEGMENTED}, g AS (SELECT date_diff('second', previous_timestamp, timestamp) AS s FROM segmented) SELECT (SELECT count(*) FROM sensor) AS rows, count(*) FILTER (WHERE s > {GAP}) + 1 AS segments, count(*) FILTER (WHERE s > {GAP}) AS gaps, max(s) AS largest_gap, (SELECT round(quantile_cont(s1, 0.5), 6) FROM sensor) AS median FROM g")
 def _(spark, d):
     r = workflows.explore(sensor(spark, d), CONTINUOUS, STATES, GAP)
-    found = r["coverage"]["row_count"], r["segment_count"], r["gap_count"], r["largest_gaps"][0]["gap_seconds"], r["signals"][0]["q50"]
+    found = r["coverage"]["row_count"], r["segment_count"], r["gap_count"], r["largest_interval_seconds"], r["signals"][0]["q50"]
     return rounded(spark.createDataFrame([found], "rows long, segments long, gaps long, largest_gap long, median double"))
 
 

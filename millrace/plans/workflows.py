@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import normalize_text
-from millrace.functions.time import lenient_timestamp
+from millrace.functions.time import lenient_timestamp, seconds_between
 from millrace.operators import alarms, corpus, eligibility, evaluation, features, grounding, iforest, profile, robust, segments, targets
 from millrace.operators.contracts import check_chain, check_chunks, check_test_lock
 from millrace.sources import charts, files
@@ -53,15 +53,19 @@ def profile_csv(spark: SparkSession, path: str, header: tuple[str, ...] = files.
 
 
 def explore(sensor: DataFrame, continuous: list[str], binary: list[str], gap_seconds: float, gap_rows: int = 20, ts: str = "timestamp") -> dict[str, Any]:
-    """Coverage, summaries, states, segments and largest gaps, reconciled with each other, and two charts."""
+    """Coverage, summaries, states, segments and largest gaps, reconciled with each other, and two charts.
+
+    A series without a gap has no largest gaps; its largest interval is told all the same (null for a single row).
+    """
     seg = segments.segment_summary(segments.segment(sensor, gap_seconds, ts)).cache()
     n, totals = sensor.count(), seg.agg(F.count(F.lit(1)).alias("s"), F.sum("row_count").alias("r")).first()
     gap_count = segments.gaps(sensor, gap_seconds, ts).count()
+    largest = segments.with_previous(sensor, ts).agg(F.max(seconds_between(F.col("previous_timestamp"), F.col(ts))).alias("s")).first()["s"]
     segments.check_segments(n, totals["r"] or 0, totals["s"], gap_count)
     summary = _rows(segments.signal_summary(sensor, continuous).orderBy("signal"))
     states = _rows(segments.state_frequencies(sensor, binary).orderBy("signal", "state"))
     return {
-        "coverage": _rows(segments.coverage(sensor, ts))[0], "signals": summary, "states": states, "segment_count": totals["s"], "gap_count": gap_count,
+        "coverage": _rows(segments.coverage(sensor, ts))[0], "signals": summary, "states": states, "segment_count": totals["s"], "gap_count": gap_count, "largest_interval_seconds": largest,
         "largest_gaps": _rows(segments.largest_gaps(sensor, gap_seconds, gap_rows, ts)), "charts": {"states": charts.state_bars(states), "signals": charts.quantile_strips(summary)},
     }
 
