@@ -326,7 +326,8 @@ def _(spark, d):
 
 @query("c1_feature_join", f"WITH {STATES_SQL} SELECT timestamp, target_state, s1 FROM states")
 def _(spark, d):
-    return governed(spark, d).select("timestamp", "target_state").join(sensor(spark, d).select("timestamp", "s1"), "timestamp")
+    """By the key of the row: times repeat."""
+    return governed(spark, d).select("event_id", "timestamp", "target_state").join(sensor(spark, d).select("event_id", "s1"), "event_id").drop("event_id")
 
 
 @query("c2_unmatched_keys", "SELECT count(*) FILTER (WHERE b.doc_id IS NULL) AS left_only, count(*) FILTER (WHERE a.doc_id IS NULL) AS right_only FROM documents a FULL JOIN labels b ON a.doc_id = b.doc_id")

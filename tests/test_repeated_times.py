@@ -31,3 +31,7 @@ def same(spark, name, folder, rows=None):
 def test_exploration_without_a_gap(spark, tmp_path):
     duckdb.sql(f"copy (select * replace (timestamp '2024-01-01' + to_seconds(event_id * 7) as ts) from '{SOURCE}/events.parquet') to '{tmp_path}/events.parquet'")
     same(spark, "i16_exploration", str(tmp_path), 1)
+
+
+def test_feature_join_of_repeated_times(spark, folder):
+    same(spark, "c1_feature_join", folder, 10_000)
