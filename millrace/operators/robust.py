@@ -114,7 +114,7 @@ def with_dominant(df: DataFrame, parameters: tuple[Parameter, ...]) -> DataFrame
 
 
 def diagnostic_rows(features: DataFrame, eligibility: DataFrame, scores: DataFrame, parameters: tuple[Parameter, ...], key: str = "timestamp") -> DataFrame:
-    """Train and validation rows with saved scores where there are any, else recomputed; training rows have no alarm."""
+    """Train and validation rows with saved scores where there are any, else recomputed; training rows have no alarm. ``key`` is unique in each table."""
     flags = ("eligible_for_reference_fit", "eligible_for_scoring", "eligible_for_known_event_evaluation", "eligible_for_alarm_burden")
     f = features.where(F.col("partition").isin("train", "validation"))
     d = f.drop(*flags).join(eligibility.select(key, *flags), key).join(scores.select(key, F.col("robust_distance_score").alias("__s"), "alarm"), key, "left")
@@ -149,11 +149,11 @@ def small_ranges(parameters: tuple[Parameter, ...], ratio: float) -> list[Parame
     return [p for p in parameters if p.iqr <= most * ratio]
 
 
-def run(features: DataFrame, quantile: float = 0.995, partition: str = "validation", names: list[str] | None = None) -> tuple[Fit, DataFrame]:
+def run(features: DataFrame, quantile: float = 0.995, partition: str = "validation", names: list[str] | None = None, key: str = "timestamp") -> tuple[Fit, DataFrame]:
     """Fit and threshold on training reference rows, then scores and alarms of one held-out partition.
 
     ``features`` carries the eligibility flags. The fitted numbers enter the scoring plan as
-    literals, so scoring is one map over the scan.
+    literals, so scoring is one map over the scan. ``key`` names a row where timestamps repeat; scores carry it.
     """
     names = names or [f for f in numeric_features(features) if not f.startswith("eligible")]
     reference = features.where(F.col("eligible_for_reference_fit") & (F.col("partition") == "train"))
@@ -161,5 +161,5 @@ def run(features: DataFrame, quantile: float = 0.995, partition: str = "validati
     limit = threshold(reference.select(score(found.retained).alias("robust_distance_score")), quantile)
     found = Fit(found.retained, found.excluded, found.reference_rows, limit)
     held = features.where((F.col("partition") == partition) & F.col("eligible_for_scoring")).withColumn("robust_distance_score", score(found.retained))
-    cols = ["timestamp", "segment_id", "partition", "target_state", "source_event", "eligible_for_known_event_evaluation", "eligible_for_alarm_burden", "robust_distance_score"]
+    cols = [*dict.fromkeys([key, "timestamp"]), "segment_id", "partition", "target_state", "source_event", "eligible_for_known_event_evaluation", "eligible_for_alarm_burden", "robust_distance_score"]
     return found, with_alarm(held.select(*cols), "robust_distance_score", limit)

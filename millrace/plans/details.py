@@ -123,7 +123,7 @@ def _(spark, d):
 @query("c3_optional_scores", f"WITH {SCORED_SQL} SELECT partition, count(*) AS rows, count(*) FILTER (WHERE partition = 'validation' AND eligible_for_scoring AND score > t) AS alarms, count(*) FILTER (WHERE NOT (partition = 'validation' AND coalesce(eligible_for_scoring, false))) AS without_score FROM scored, lim WHERE partition IN ('train', 'validation') GROUP BY 1")
 def _(spark, d):
     e, f, scored = fitted(spark, d)
-    rows = robust.diagnostic_rows(e, e, scored, f.retained)
+    rows = robust.diagnostic_rows(e, e, scored, f.retained, "event_id")
     return rows.groupBy("partition").agg(F.count(F.lit(1)).alias("rows"), F.count_if("alarm").alias("alarms"), F.count_if(F.col("alarm").isNull()).alias("without_score"))
 
 
@@ -322,7 +322,7 @@ def _(spark, d):
 @query("h14_saved_or_recomputed", f"WITH {SCORED_SQL} SELECT event_id, round(score, 6) AS robust_distance_score, {_BEST} AS feature FROM scored WHERE partition IN ('train', 'validation') AND s1__mean_30 IS NOT NULL")
 def _(spark, d):
     e, f, scored = fitted(spark, d)
-    rows = robust.diagnostic_rows(e, e, scored, f.retained)
+    rows = robust.diagnostic_rows(e, e, scored, f.retained, "event_id")
     return rounded(rows.select("event_id", "robust_distance_score", "dominant.feature"))
 
 

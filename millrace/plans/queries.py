@@ -144,7 +144,7 @@ def fitted(spark, d, partition: str = "validation"):
     from millrace.plans.tables import cut
 
     e = cut(eligible(spark, d))
-    found, scored = robust.run(e, 0.95, partition, MODEL)
+    found, scored = robust.run(e, 0.95, partition, MODEL, "event_id")
     return e, found, scored
 
 
@@ -419,7 +419,7 @@ _BEST = "CASE " + " ".join(f"WHEN dev_{f} = score THEN '{f}'" for f in MODEL) +
 
 def _diagnosis(spark, d):
     e, f, scored = fitted(spark, d)
-    rows = robust.diagnostic_rows(e, e, scored, f.retained)
+    rows = robust.diagnostic_rows(e, e, scored, f.retained, "event_id")
     return rows.where("partition = 'validation' and eligible_for_scoring"), f
 
 

@@ -35,3 +35,8 @@ def test_exploration_without_a_gap(spark, tmp_path):
 
 def test_feature_join_of_repeated_times(spark, folder):
     same(spark, "c1_feature_join", folder, 10_000)
+
+
+@pytest.mark.parametrize("name", "c3_optional_scores d13_dominant_features d14_alarms_by_segment d15_alarms_by_hour d16_alarms_by_state h12_contributions h13_dominant_feature_rows h14_saved_or_recomputed h29_model_matrix".split())
+def test_diagnosis_of_repeated_times(spark, folder, name):
+    same(spark, name, folder)
