@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.segments import _bucketed, numbered
+from millrace.plans.tables import cut
 
 WINDOWS = (6, 30)
 #: Rows of one history group that a task takes at once.
@@ -31,7 +32,8 @@ def positions(df: DataFrame, ts: str = "timestamp", tie: str | None = None) -> D
     before = F.sum("__n").over(W.partitionBy("history_group_id").orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.select("history_group_id", "__b", F.coalesce(before, F.lit(0)).alias("__base"))
     d = d.withColumn("__in", F.row_number().over(W.partitionBy("history_group_id", "__b").orderBy(*order)))
-    return d.join(sizes, ["history_group_id", "__b"]).withColumn("history_rows_available", F.col("__base") + F.col("__in")).drop("__b", "__in", "__base")
+    # merged, as a long Parquet table packs so well that its rows would be taken for few and broadcast
+    return d.join(sizes.hint("merge"), ["history_group_id", "__b"]).withColumn("history_rows_available", F.col("__base") + F.col("__in")).drop("__b", "__in", "__base")
 
 
 def causal_features(df: DataFrame, continuous: list[str], ts: str = "timestamp", tie: str | None = None, windows: tuple[int, ...] = WINDOWS, run: int = RUN) -> DataFrame:
@@ -65,8 +67,13 @@ def causal_features(df: DataFrame, continuous: list[str], ts: str = "timestamp",
 
 
 def engineer(sensor: DataFrame, targets: DataFrame, continuous: list[str], ts: str = "timestamp") -> DataFrame:
-    """Targets joined to signals one to one on the timestamp, then history groups and features."""
-    return causal_features(history_groups(targets.join(sensor, ts), ts), continuous, ts)
+    """Targets joined to signals one to one on the timestamp, then history groups and features.
+
+    Each step reads its input several times, so steps are cut. The join is a merge at any size: the
+    targets pack so well as Parquet that Spark would take them for few, and broadcast them all.
+    """
+    joined = cut(targets.join(sensor.hint("merge"), ts))
+    return causal_features(cut(history_groups(joined, ts)), continuous, ts)
 
 
 def unmatched(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

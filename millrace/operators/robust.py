@@ -117,7 +117,7 @@ def diagnostic_rows(features: DataFrame, eligibility: DataFrame, scores: DataFra
     """Train and validation rows with saved scores where there are any, else recomputed; training rows have no alarm. ``key`` is unique in each table."""
     flags = ("eligible_for_reference_fit", "eligible_for_scoring", "eligible_for_known_event_evaluation", "eligible_for_alarm_burden")
     f = features.where(F.col("partition").isin("train", "validation"))
-    d = f.drop(*flags).join(eligibility.select(key, *flags), key).join(scores.select(key, F.col("robust_distance_score").alias("__s"), "alarm"), key, "left")
+    d = f.drop(*flags).join(eligibility.select(key, *flags).hint("merge"), key).join(scores.select(key, F.col("robust_distance_score").alias("__s"), "alarm").hint("merge"), key, "left")
     d = with_dominant(d, parameters)
     return d.withColumn("robust_distance_score", F.coalesce("__s", F.col("dominant.contribution"))).drop("__s")
 

@@ -29,7 +29,7 @@ def with_previous(df: DataFrame, ts: str = "timestamp", tie: str | None = None,
     ends = d.groupBy("__b").agg(F.max(ts).alias("__end"))
     # a row per bucket: the span of the series in days bounds this window
     ends = ends.select("__b", F.lag("__end").over(W.orderBy("__b")).alias("__before"))
-    return d.withColumn("__in", inside).join(ends, "__b").withColumn("previous_timestamp", F.coalesce("__in", "__before")).drop("__in", "__before")
+    return d.withColumn("__in", inside).join(F.broadcast(ends), "__b").withColumn("previous_timestamp", F.coalesce("__in", "__before")).drop("__in", "__before")
 
 
 def numbered(df: DataFrame, state: Column, breaks: Callable[[Column, Column], Column], name: str, ts: str = "timestamp", tie: str | None = None, unit: str = "day") -> DataFrame:
@@ -53,7 +53,7 @@ def numbered(df: DataFrame, state: Column, breaks: Callable[[Column, Column], Co
     ends = ends.withColumn("__new", F.when(F.col("__there"), breaks(F.col("__from"), F.col("__first")).cast("int")).otherwise(1))
     base = F.coalesce(F.sum(F.col("__n") + F.col("__new")).over(days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("__new")
     ends = ends.select("__b", "__from", base.alias("__base"))
-    out = d.join(ends, "__b").withColumn("__before", F.when(F.col("__row") > 1, F.col("__p")).otherwise(F.col("__from")))
+    out = d.join(F.broadcast(ends), "__b").withColumn("__before", F.when(F.col("__row") > 1, F.col("__p")).otherwise(F.col("__from")))
     return out.withColumn(name, (F.col("__base") + F.col("__in")).cast("long")).drop("__b", "__s", "__p", "__row", "__in", "__from", "__base")
 
 

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.plans import details, queries, stages  # noqa: F401
 
@@ -40,3 +41,14 @@ def test_feature_join_of_repeated_times(spark, folder):
 @pytest.mark.parametrize("name", "c3_optional_scores d13_dominant_features d14_alarms_by_segment d15_alarms_by_hour d16_alarms_by_state h12_contributions h13_dominant_feature_rows h14_saved_or_recomputed h29_model_matrix".split())
 def test_diagnosis_of_repeated_times(spark, folder, name):
     same(spark, name, folder)
+
+
+def test_a_long_table_that_packs_well_is_not_broadcast(spark, tmp_path):
+    """Targets of equal rows are a few kB as Parquet, whatever their number."""
+    from millrace.operators import features
+
+    spark.range(50_000).selectExpr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id) as timestamp", "1L as segment_id", "'train' as partition").write.parquet(f"{tmp_path}/t")
+    targets = spark.read.parquet(f"{tmp_path}/t")
+    made = features.engineer(targets.select("timestamp", F.rand(1).alias("a")), targets, ["a"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and made.where("has_full_30_row_history").count() == 50_000 - 29
