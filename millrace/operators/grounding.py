@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.arrays import clip01
 from millrace.functions.text import bigrams, content_tokens, coverage_share, normalized, sentences
+from millrace.plans.tables import cut
 
 
 @dataclass(frozen=True)
@@ -79,8 +80,8 @@ def tokenized(texts: DataFrame) -> DataFrame:
     return texts.withColumn("text_tokens", content_tokens(F.col("text"))).withColumn("text_pairs", bigrams(F.col("text_tokens")))
 
 
-def rerank(candidates: DataFrame, g: Grounding = Grounding()) -> DataFrame:
-    """Adds the score, its four parts, the intent and the new rank.
+def scored(candidates: DataFrame, g: Grounding = Grounding()) -> DataFrame:
+    """Adds the score, its four parts and the intent: a map.
 
     Candidates have query_id, query, rank, hybrid_score, chunk_id, classification and text.
     Texts that ``tokenized`` has been over aren't cut again. A query without content tokens
@@ -93,9 +94,33 @@ def rerank(candidates: DataFrame, g: Grounding = Grounding()) -> DataFrame:
     d = d.withColumns({"intent": intent(F.col("query"), g), "hybrid": clip01(F.col("hybrid_score").cast("double")), "query_coverage": coverage_share(F.col("__q"), F.col("text_tokens")), "phrase": share})
     d = d.withColumn("classification_affinity", affinity(F.col("classification"), F.col("intent"), g))
     total = F.lit(g.hybrid_weight) * F.col("hybrid") + F.lit(g.coverage_weight) * F.col("query_coverage") + F.lit(g.phrase_weight) * F.col("phrase") + F.lit(g.classification_weight) * F.col("classification_affinity")
-    d = d.withColumn("rerank_score", total)
-    w = W.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("hybrid"), "chunk_id")
-    return d.withColumn("rerank_rank", F.row_number().over(w)).withColumnRenamed("rank", "retrieval_rank").drop("__q", "__p", "text_tokens", "text_pairs")
+    return d.withColumn("rerank_score", total).withColumnRenamed("rank", "retrieval_rank").drop("__q", "__p", "text_tokens", "text_pairs")
+
+
+def order() -> list[Column]:
+    """Best first within a query; equal scores by chunk id."""
+    return [F.desc("rerank_score"), F.desc("hybrid"), F.asc("chunk_id")]
+
+
+def ranked(scored: DataFrame) -> DataFrame:
+    """Adds ``rerank_rank``, the place of a candidate within its query, from 1.
+
+    Rows are cut into ranges of the order and numbered inside each; what a query has in the ranges
+    before comes from one row per query and range. So no task holds a query whole. All columns of
+    ``scored`` travel: leave texts out that the rank doesn't need.
+    """
+    rows = cut(cut(scored).repartitionByRange("query_id", *order()).withColumn("__part", F.spark_partition_id()))
+    sizes = rows.groupBy("query_id", "__part").agg(F.count(F.lit(1)).alias("__n"))  # a row per query and range
+    before = F.sum("__n").over(W.partitionBy("query_id").orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("query_id").alias("__query"), F.col("__part").alias("__range"), F.coalesce(before, F.lit(0)).alias("__base"))
+    inside = F.row_number().over(W.partitionBy("query_id", "__part").orderBy(*order()))
+    d = rows.withColumn("__in", inside).join(F.broadcast(sizes), F.col("query_id").eqNullSafe(F.col("__query")) & (F.col("__part") == F.col("__range")))
+    return d.withColumn("rerank_rank", (F.col("__base") + F.col("__in")).cast("int")).drop("__part", "__in", "__query", "__range", "__base")
+
+
+def rerank(candidates: DataFrame, g: Grounding = Grounding()) -> DataFrame:
+    """``scored`` candidates with their new rank."""
+    return ranked(scored(candidates, g))
 
 
 CITATION = ("chunk_id", "source_id", "source_title", "publisher", "source_url", "doi", "classification", "equipment_relevance", "scope_note", "locator", "source_sha256", "text_sha256")
@@ -113,13 +138,14 @@ def best_sentences(query: Column, text: Column, n: int) -> Column:
 def evidence(reranked: DataFrame, g: Grounding = Grounding()) -> DataFrame:
     """Candidates that reach the minimum, at most ``max_chunks`` a query, numbered.
 
-    Only ids, ranks and scores are ranked; the few that are kept then find their texts. Chunk
+    Needs scores, no ranks. Only ids and scores are compared, and each task keeps its best; the few that are kept then find their texts. Chunk
     ids are unique within a query.
     """
-    w = W.partitionBy("query_id").orderBy("rerank_rank")
-    ranked = reranked.where(F.col("rerank_score") >= g.minimum_score).select(F.col("query_id").alias("__q"), F.col("chunk_id").alias("__c"), "rerank_rank", F.row_number().over(w).alias("evidence_rank"))
-    kept = ranked.where(F.col("evidence_rank") <= g.max_chunks)
-    d = reranked.drop("rerank_rank").join(kept, F.col("query_id").eqNullSafe(F.col("__q")) & (F.col("chunk_id") == F.col("__c"))).drop("__q", "__c")
+    w = W.partitionBy("query_id").orderBy(*order())
+    best = reranked.where(F.col("rerank_score") >= g.minimum_score).select("query_id", "chunk_id", "rerank_score", "hybrid").withColumn("evidence_rank", F.row_number().over(w))
+    kept = best.where(F.col("evidence_rank") <= g.max_chunks).select(F.col("query_id").alias("__q"), F.col("chunk_id").alias("__c"), "evidence_rank")
+    # max_chunks rows a query
+    d = reranked.join(F.broadcast(kept), F.col("query_id").eqNullSafe(F.col("__q")) & (F.col("chunk_id") == F.col("__c"))).drop("__q", "__c")
     return d.withColumn("citation_id", F.concat(F.lit(g.prefix), F.col("evidence_rank").cast("string")))
 
 

@@ -14,7 +14,7 @@ from millrace.functions.time import hours, lenient_timestamp
 from millrace.operators import alarms, corpus, dataset_rules, eligibility, evaluation, features, grounding, iforest, profile, retrieval, robust, targets
 from millrace.plans.queries import (
     _BEST, ANSWER_SQL, BEST_SQL, CLASSIFIED, ELIGIBLE_SQL, EVALUATION_SQL, FEATURES_SQL, HYBRID_SQL, MODEL, RERANK_SQL, SAMPLING, SCORED_SQL, SENSOR, SPEC, TFIDF_SQL, _answers, _diagnosis,
-    both_sides, candidates, docs, eligible, featured, fitted, governed, query, r6, rounded, sensor, tfidf,
+    both_sides, candidates, docs, eligible, featured, fitted, governed, query, r6, rounded, scored, sensor, tfidf,
 )
 from millrace.plans.tables import cut, shared_folder
 from millrace.session import table
@@ -107,7 +107,7 @@ def _(spark, d):
 
 @query("b14_citations", f"WITH {RERANK_SQL}, top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, hybrid DESC, chunk_id) AS n FROM rr WHERE rerank_score >= 0.08) SELECT query_id, 'S' || n AS citation_id FROM top WHERE n <= 4")
 def _(spark, d):
-    return grounding.evidence(grounding.rerank(candidates(spark, d))).select("query_id", "citation_id")
+    return grounding.evidence(scored(spark, d)).select("query_id", "citation_id")
 
 
 @query("b15_report_names", "SELECT '__unnamed_column_0__' AS \"column\", count(*) FILTER (WHERE value IS NULL) AS missing FROM events")
@@ -136,7 +136,7 @@ def _(spark, d):
 
 @query("c6_citation_lookup", f"WITH {RERANK_SQL}, top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, hybrid DESC, chunk_id) AS n FROM rr WHERE rerank_score >= 0.08) SELECT query_id, count(*) AS traceable FROM top WHERE n <= 4 GROUP BY 1")
 def _(spark, d):
-    rr = grounding.rerank(candidates(spark, d))
+    rr = scored(spark, d)
     cited = grounding.evidence(rr).select("query_id", "chunk_id", *evaluation.TRACED)
     other = rr.select("query_id", "chunk_id", *[F.col(c).alias(f"__{c}") for c in evaluation.TRACED])
     j = cited.join(other, ["query_id", "chunk_id"])
@@ -263,7 +263,7 @@ def _(spark, d):
 
 @query("f7_rerank_order", f"WITH {RERANK_SQL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, hybrid DESC, chunk_id) AS rerank_rank, round(rerank_score, 6) AS rerank_score FROM rr")
 def _(spark, d):
-    return rounded(grounding.rerank(candidates(spark, d)).select("query_id", F.col("rerank_rank").cast("long").alias("rerank_rank"), "rerank_score"))
+    return rounded(grounding.ranked(scored(spark, d).select("query_id", "chunk_id", "rerank_score", "hybrid")).select("query_id", F.col("rerank_rank").cast("long").alias("rerank_rank"), "rerank_score"))
 
 
 @query("f8_best_sentences", f"WITH {RERANK_SQL}, {BEST_SQL} SELECT query_id, chunk_id, sentences FROM best")
@@ -339,7 +339,7 @@ def _(spark, d):
 
 @query("h24_affinity", f"WITH {RERANK_SQL} SELECT DISTINCT intent, classification, round(affinity, 6) AS affinity FROM parts")
 def _(spark, d):
-    return rounded(grounding.rerank(candidates(spark, d)).select("intent", "classification", F.col("classification_affinity").alias("affinity")).distinct())
+    return rounded(grounding.scored(candidates(spark, d)).select("intent", "classification", F.col("classification_affinity").alias("affinity")).distinct())
 
 
 @query("h25_citation_markers", "SELECT doc_id, len(regexp_extract_all(text || ' x [S1] y [S2].', '\\[([A-Z][A-Z0-9]*)\\]', 1)) AS markers FROM documents")
@@ -384,7 +384,7 @@ def _(spark, d):
 
 @query("i12_answered_questions", f"WITH {ANSWER_SQL} SELECT query_id, status, reason_code, (SELECT count(*) FROM cit WHERE cit.query_id = ans.query_id)::INTEGER AS citations FROM ans")
 def _(spark, d):
-    return _answers(spark, d)[1].select("query_id", "status", "reason_code", F.size("citations").alias("citations"))
+    return _answers(spark, d)[2].select("query_id", "status", "reason_code", F.size("citations").alias("citations"))
 
 
 @query("i20_single_row_prediction")

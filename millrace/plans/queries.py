@@ -691,13 +691,16 @@ _CLASS = "CASE WHEN doc_id % 3 = 0 THEN 'exact_equipment_source' WHEN doc_id % 3
 QUESTIONS = ("the tion of this and that", "dataset ersh thing and ent", "service manual of the oner", "und der heit", "que de la")
 
 
-def candidates(spark, d):
-    """Every document, tokenized once, as a candidate for five fixed questions, with a made-up hybrid score."""
+def candidates(spark, d, only=None):
+    """Every document (or those of the chunk ids ``only``), tokenized once, as a candidate for five fixed questions, with a made-up hybrid score."""
+    chunk = F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("chunk_id")
+    t = table(spark, d, "documents").select("doc_id", "text")
+    t = spread(t) if only is None else t.join(F.broadcast(only), chunk == F.col("chunk_id"), "left_semi")
     q = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(t).alias("query")) for i, t in enumerate(QUESTIONS)])).alias("q")
-    x = grounding.tokenized(spread(table(spark, d, "documents").select("doc_id", "text"))).select(q, "*").select("q.query_id", "q.query", "doc_id", "text", "text_tokens", "text_pairs")
+    x = grounding.tokenized(t).select(q, "*").select("q.query_id", "q.query", "doc_id", "text", "text_tokens", "text_pairs")
     return x.select(
         "text_tokens", "text_pairs",
-        "query_id", "query", F.col("doc_id").cast("int").alias("rank"), (1.0 / (1.0 + F.col("doc_id") % 10)).alias("hybrid_score"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("chunk_id"),
+        "query_id", "query", F.col("doc_id").cast("int").alias("rank"), (1.0 / (1.0 + F.col("doc_id") % 10)).alias("hybrid_score"), chunk,
         F.expr(_CLASS).alias("classification"), F.concat(F.lit("src"), F.col("doc_id").cast("string")).alias("source_id"), F.lit("page:1").alias("locator"), F.sha2("text", 256).alias("text_sha256"), "text",
     )
 
@@ -715,14 +718,19 @@ parts AS (SELECT *, len(list_intersect(list_distinct(qt), tt)) / len(list_distin
 rr AS (SELECT *, 0.55::DOUBLE * hybrid + 0.3::DOUBLE * query_coverage + 0.1::DOUBLE * phrase + 0.05::DOUBLE * affinity AS rerank_score FROM parts)"""
 
 
+def scored(spark, d):
+    """Every candidate with its scores and without its text, worked out once."""
+    return cut(grounding.scored(candidates(spark, d)).drop("text"))
+
+
 @query("i10_rerank", f"WITH {RERANK_SQL} SELECT query_id, chunk_id, intent, round(query_coverage, 6) AS query_coverage, round(phrase, 6) AS phrase, round(affinity, 6) AS classification_affinity, round(rerank_score, 6) AS rerank_score FROM rr")
 def _(spark, d):
-    return rounded(grounding.rerank(candidates(spark, d)).select("query_id", "chunk_id", "intent", "query_coverage", "phrase", "classification_affinity", "rerank_score"))
+    return rounded(grounding.scored(candidates(spark, d)).select("query_id", "chunk_id", "intent", "query_coverage", "phrase", "classification_affinity", "rerank_score"))
 
 
 @query("f11_evidence_cutoff", f"WITH {RERANK_SQL} SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score FROM rr WHERE rerank_score >= 0.08 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, hybrid DESC, chunk_id) <= 4")
 def _(spark, d):
-    return rounded(grounding.evidence(grounding.rerank(candidates(spark, d))).select("query_id", "chunk_id", "rerank_score"))
+    return rounded(grounding.evidence(scored(spark, d)).select("query_id", "chunk_id", "rerank_score"))
 
 
 BEST_SQL = f"""sent AS (SELECT query_id, chunk_id, list_distinct(qt) AS q, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS ss FROM cand WHERE len(qt) > 0),
@@ -743,15 +751,17 @@ cit AS (SELECT query_id, chunk_id, classification, text, 'S' || n AS citation_id
 
 
 def _answers(spark, d):
-    c = candidates(spark, d)
-    rr = cut(grounding.rerank(c))
-    q = c.select("query_id", "query").distinct()
-    return rr, grounding.answers(q, rr)
+    """(all candidates with scores, without texts; the evidence of any question with scores and texts; answers): only the texts of evidence are read again."""
+    s = scored(spark, d)
+    few = cut(grounding.evidence(s).select("chunk_id").distinct())
+    e = cut(grounding.scored(candidates(spark, d, few)))
+    q = spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id long, query string")
+    return s, e, grounding.answers(q, e)
 
 
 @query("i11_answers", f"WITH {ANSWER_SQL} SELECT query_id, status, reason_code, intent, answer, evidence_chunk_count FROM ans")
 def _(spark, d):
-    return _answers(spark, d)[1].select("query_id", "status", "reason_code", "intent", "answer", "evidence_chunk_count")
+    return _answers(spark, d)[2].select("query_id", "status", "reason_code", "intent", "answer", "evidence_chunk_count")
 
 
 _NORMAL = "regexp_replace(trim(lower({0})), '\\s+', ' ', 'g')"
@@ -782,11 +792,12 @@ def _(spark, d):
 
 
 def _cases(spark, d):
-    rr, ans = _answers(spark, d)
+    """(cases, all candidates by rank, the candidates that answers may cite, answers)."""
+    s, e, ans = _answers(spark, d)
     rows = [(i, "equipment_boundary" if "manual" in t else "general", t, "answered", "grounded", "general", ["src1"], ["authoritative_general_reference"], [["the", "und"]]) for i, t in enumerate(QUESTIONS)]
     cases = spark.createDataFrame(rows, "case_id long, category string, query string, expected_status string, expected_reason_code string, expected_intent string, relevant_source_ids array<string>, expected_source_classifications array<string>, required_concepts array<array<string>>")
-    r = rr.withColumnRenamed("query_id", "case_id")
-    return cases.drop("query"), r.withColumn("rank", F.col("rerank_rank")), r, ans.withColumnRenamed("query_id", "case_id")
+    ranks = grounding.ranked(s.select("query_id", "chunk_id", "source_id", "classification", "rerank_score", "hybrid")).withColumnsRenamed({"query_id": "case_id", "rerank_rank": "rank"})
+    return cases.drop("query"), ranks, e.withColumnRenamed("query_id", "case_id"), ans.withColumnRenamed("query_id", "case_id")
 
 
 def _sql_rate(c: str, name: str | None = None) -> str:

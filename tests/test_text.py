@@ -98,3 +98,14 @@ def test_hybrid_reads_the_vector_score_of_every_candidate(spark):
     assert len(scores) == 32 and abs(scores[5000] - 0.8) < 1e-12 and scores[5001] == 0.0
     first = retrieval.hybrid(keyword, retrieval.candidate_scores(keyword, d, q), 8).where("rank = 1").first()
     assert first["id"] == 5000 and abs(first["hybrid_score"] - (0.65 * 0.8 + 0.35)) < 1e-12
+
+
+def test_ranks_over_ranges(spark):
+    """One question's candidates lie in several ranges; ranks are those of one sort."""
+    c = spark.range(3_000).selectExpr("if(id % 3 = 0, null, 1L) as query_id", "lpad(cast(id as string), 9, '0') as chunk_id", "(id * 7 % 11) / 11D as rerank_score", "(id % 5) / 5D as hybrid")
+    r = grounding.ranked(c)
+    assert "Window" in r._jdf.queryExecution().executedPlan().toString() and "__part" in r._jdf.queryExecution().executedPlan().toString()
+    rows = r.collect()
+    for q, n in ((None, 1_000), (1, 2_000)):
+        own = sorted((x for x in rows if x["query_id"] == q), key=lambda x: (-x["rerank_score"], -x["hybrid"], x["chunk_id"]))
+        assert [x["rerank_rank"] for x in own] == list(range(1, n + 1))
