@@ -128,11 +128,20 @@ CITATION = ("chunk_id", "source_id", "source_title", "publisher", "source_url",
 
 def best_sentences(query: Column, text: Column, n: int) -> Column:
     """The n sentences with most of the query's tokens, first of equals first; the first sentence where none has any."""
-    q = F.array_distinct(content_tokens(query))
-    scored = F.transform(sentences(text), lambda s, i: F.struct((-F.size(F.array_intersect(q, content_tokens(s)))).alias("o"), i.alias("i"), s.alias("s")))
-    order = F.array_sort(scored)
-    hit = F.filter(order, lambda x: x["o"] < 0)
-    return F.transform(F.when(F.size(hit) > 0, F.slice(hit, 1, n)).otherwise(F.slice(order, 1, 1)), lambda x: x["s"])
+    return best_of(content_tokens(query), sentence_tokens(text), n)
+
+
+def sentence_tokens(text: Column) -> Column:
+    """array<struct<s, k>>: sentences with their content tokens; where many questions meet a text, a column made before they do."""
+    return F.transform(sentences(text), lambda s: F.struct(s.alias("s"), content_tokens(s).alias("k")))
+
+
+def best_of(query: Column, cut_text: Column, n: int) -> Column:
+    """``best_sentences`` of a question's content tokens and the ``sentence_tokens`` of a text."""
+    q = F.array_distinct(query)
+    order = F.array_sort(F.transform(cut_text, lambda x, i: F.struct((-F.size(F.array_intersect(q, x["k"]))).alias("o"), i.alias("i"), x["s"].alias("s"))))
+    # the first has most tokens: where it has none, it is kept alone
+    return F.transform(F.slice(F.filter(order, lambda x, i: (x["o"] < 0) | (i == 0)), 1, n), lambda x: x["s"])
 
 
 def evidence(reranked: DataFrame, g: Grounding = Grounding()) -> DataFrame:

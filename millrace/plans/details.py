@@ -13,7 +13,7 @@ from millrace.functions.arrays import any_null, clip01, finite
 from millrace.functions.time import hours, lenient_timestamp
 from millrace.operators import alarms, corpus, dataset_rules, eligibility, evaluation, features, grounding, iforest, profile, retrieval, robust, targets
 from millrace.plans.queries import (
-    _BEST, ANSWER_SQL, BEST_SQL, CLASSIFIED, ELIGIBLE_SQL, EVALUATION_SQL, FEATURES_SQL, HYBRID_SQL, MODEL, RERANK_SQL, SAMPLING, SCORED_SQL, SENSOR, SPEC, TFIDF_SQL, _answers, _diagnosis,
+    _BEST, ANSWER_SQL, BEST_SQL, CLASSIFIED, ELIGIBLE_SQL, EVALUATION_SQL, FEATURES_SQL, HYBRID_SQL, MODEL, QUESTIONS, RERANK_SQL, SAMPLING, SCORED_SQL, SENSOR, SPEC, TFIDF_SQL, _answers, _diagnosis,
     both_sides, candidates, docs, eligible, featured, fitted, governed, query, r6, rounded, scored, sensor, tfidf,
 )
 from millrace.plans.tables import cut, shared_folder
@@ -268,7 +268,10 @@ def _(spark, d):
 
 @query("f8_best_sentences", f"WITH {RERANK_SQL}, {BEST_SQL} SELECT query_id, chunk_id, sentences FROM best")
 def _(spark, d):
-    return candidates(spark, d).select("query_id", "chunk_id", grounding.best_sentences(F.col("query"), F.col("text"), 2).alias("sentences"))
+    """A text is cut into sentences and tokens once, then meets the questions."""
+    q = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), T.content_tokens(F.lit(t)).alias("k")) for i, t in enumerate(QUESTIONS)])).alias("q")
+    x = docs(spark, d).select("doc_id", grounding.sentence_tokens(F.col("text")).alias("cut")).select(q, "*")
+    return x.select("q.query_id", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("chunk_id"), grounding.best_of(F.col("q.k"), F.col("cut"), 2).alias("sentences"))
 
 
 # ---------------------------------------------------------------- scalar functions

@@ -109,3 +109,9 @@ def test_ranks_over_ranges(spark):
     for q, n in ((None, 1_000), (1, 2_000)):
         own = sorted((x for x in rows if x["query_id"] == q), key=lambda x: (-x["rerank_score"], -x["hybrid"], x["chunk_id"]))
         assert [x["rerank_rank"] for x in own] == list(range(1, n + 1))
+
+
+def test_sentences_cut_once(spark):
+    t = spark.createDataFrame([(1, "Air is free. Air leaks cost money. Nothing here."), (2, "Only this. And that."), (3, None), (4, "")], "i int, t string").select("i", grounding.sentence_tokens(F.col("t")).alias("c"))
+    got = dict(t.select("i", grounding.best_of(F.array(F.lit("air"), F.lit("leaks")), F.col("c"), 2)).collect())
+    assert got == {1: ["Air leaks cost money.", "Air is free."], 2: ["Only this."], 3: None, 4: []}
