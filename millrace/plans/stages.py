@@ -163,7 +163,7 @@ def _(spark, d):
     csv, parquet = _folder(spark), _folder(spark)
     x = sensor(spark, d).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS"))
     cells = [F.col("event_id"), F.col("timestamp"), *[F.coalesce(F.col("s1"), F.lit(0.0))] * len(files.CONTINUOUS), *[F.col(STATES[0])] * len(files.BINARY)]
-    lines = x.select("event_id", F.concat_ws(",", *[c.cast("string") for c in cells]).alias("value")).union(spark.createDataFrame([(-1, ",".join(files.HEADER))], "event_id long, value string"))
-    lines.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(csv)
+    lines = x.select("event_id", F.concat_ws(",", *[c.cast("string") for c in cells]).alias("value"))
+    files.with_headers(lines.repartitionByRange("event_id").sortWithinPartitions("event_id").select("value")).write.text(csv)
     r = files.convert(spark, csv, parquet)
     return files.inspect(spark, parquet).crossJoin(spark.read.parquet(parquet).agg(F.round(F.sum(files.CONTINUOUS[0]), 3).alias("total"))).select(F.lit(r["source_rows"]).cast("long").alias("source_rows"), "rows", "columns", "last_timestamp", "total")

@@ -6,10 +6,11 @@ import hashlib
 import json
 import os
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,11 +121,26 @@ def check_parquet(spark: SparkSession, path: str, schema: T.StructType | None =
     return {"rows": n, "columns": len(d.columns), "schema": d.schema.simpleString()}
 
 
+def with_headers(lines: DataFrame, header: tuple[str, ...] = HEADER) -> DataFrame:
+    """Lines (value) with a header line before those of each partition that has any, so that each file written of them begins with one."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for b in it:
+            if b.num_rows and not begun:
+                begun = True
+                yield pa.RecordBatch.from_arrays([pa.array([",".join(header)], b.schema.field(0).type)], schema=b.schema)
+            yield b
+
+    return lines.select("value").mapInArrow(run, "value string")
+
+
 def convert(spark: SparkSession, csv: str, parquet: str, overwrite: bool = False) -> dict[str, Any]:
     """CSV to Parquet with the header, the row count and the schema checked on both sides."""
     check_header(spark, csv)
     d = typed_csv(spark, csv)
-    n = spark.read.text(csv).where("trim(value) <> ''").count() - 1
+    lines = spark.read.text(csv).where("trim(value) <> ''").groupBy(F.col("_metadata.file_path")).agg(F.count(F.lit(1)).alias("n"))
+    n = lines.agg(F.sum(F.col("n") - 1)).first()[0] or 0  # each file has a header
     write_parquet(d, parquet, overwrite)
     return check_parquet(spark, parquet, SENSOR, n) | {"source_rows": n}
 

@@ -308,3 +308,11 @@ def test_readiness_follows_the_frozen_files_and_retrieval_is_kept(spark, tmp_pat
     f.write_text("{ }")
     assert not s.ready()["components"][f"file:{f}"] and s.ready()["status"] == "not_ready"
     assert s.metrics()["counters"]["retrieve.requests"] == 2
+
+
+def test_a_csv_of_several_files_is_converted_with_a_header_in_each(spark, tmp_path):
+    row = "2020-01-01 00:00:00.000," + ",".join(["1.0"] * (len(files.HEADER) - 2))
+    lines = spark.range(100).selectExpr("id", f"concat(id, ',{row}') as value").repartitionByRange(3, "id").sortWithinPartitions("id")
+    files.with_headers(lines).write.text(f"{tmp_path}/csv")
+    assert spark.read.text(f"{tmp_path}/csv").count() == 103
+    assert files.convert(spark, f"{tmp_path}/csv", f"{tmp_path}/parquet")["source_rows"] == 100
