@@ -20,9 +20,18 @@ from millrace.plans.tables import cut
 VECTOR_WEIGHT, KEYWORD_WEIGHT, CANDIDATES = 0.65, 0.35, 30
 
 
+#: Characters of text that one task counts the terms of, about: some 2 million terms of its own hash table.
+TASK_CHARS = 6_000_000
+
+
 def term_counts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf); texts are dealt by id and cut into tokens once, so that a document's terms are counted where they are and no term is shuffled."""
-    k = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).repartition("id").select("id", word_tokens(F.col("t")).alias("k"))
+    """(id, term, tf); texts are dealt by id and cut into tokens once, so that a document's terms are counted where they are and no term is shuffled.
+
+    A first pass adds up the lengths of texts: a task gets about ``TASK_CHARS`` of them, whatever the table.
+    """
+    n = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_CHARS))
+    k = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).repartition(parts, "id").select("id", word_tokens(F.col("t")).alias("k"))
     # outer, as otherwise a filter on the list's size is put below and cuts the text again
     return k.select("id", F.explode_outer(terms(F.col("k"))).alias("term")).where(F.col("term").isNotNull()).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 

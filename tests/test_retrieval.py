@@ -106,3 +106,12 @@ def test_latent_directions_are_certified(spark):
     assert np.allclose(got["explained_ratio"], y.var(axis=0) / a.var(axis=0).sum(), rtol=1e-5)
     loose = retrieval.latent(index, vocab, dims, n, rounds=1)
     assert loose.rounds == 2 and loose.residuals.max() > found.residuals.max()  # too few rounds show
+
+
+def test_terms_are_counted_in_tasks_of_bounded_text(spark, monkeypatch):
+    """Twice the text makes twice the tasks; a document's rows still meet."""
+    monkeypatch.setattr(retrieval, "TASK_CHARS", 1_000)
+    docs = spark.range(400).selectExpr("id % 200 as id", "repeat('some words and others ', 10) as t")
+    counts = retrieval.term_counts(docs, "id", "t")
+    assert counts.rdd.getNumPartitions() >= 80
+    assert {tuple(r) for r in counts.where("term = 'words'").select("tf").distinct().collect()} == {(20,)} and counts.count() == 200 * 8
