@@ -12,7 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Documents, and entries of them, of a shard: what a task holds at once. Postings of a block.
-SHARD_DOCS, SHARD_ENTRIES, BLOCK = 20_000, 4_000_000, 64
+SHARD_DOCS, SHARD_ENTRIES, BLOCK = 20_000, 1_000_000, 64
+#: Documents of a batch that are looked through at a time.
+STEP = 1_000
 #: Postings of largest reach read for each wanted document before the first threshold is taken.
 SEED = 8
 #: Queries that are broadcast at a time.
@@ -137,10 +139,11 @@ class Running:
         self.held[q] = sorted(self.held[q] + [(-r, ids[i], s) for r, i, s in zip(rounded[keep].tolist(), docs[keep].tolist(), scores[keep].tolist(), strict=True)])[: self.k]
 
 
-def keyword_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def keyword_top_k(index: DataFrame, queries: DataFrame, k: int, names: list[str] | None = None) -> DataFrame:
     """(query_id, id, keyword_score): the k best documents of each query, the same as from the scores of all documents.
 
-    ``index`` and ``queries`` are (id, term, weight), weights over 0. A document's entries for the
+    ``index`` and ``queries`` are (id, term, weight), weights over 0; an index may also be the
+    documents (id, cols, weights), terms by their number in ``names``, which are read without a shuffle. A document's entries for the
     terms that are asked for come together in one row; tasks hold documents a shard at a time and answer the
     queries (a part of them, by hash, is broadcast at a time) from the shard's posting blocks, carrying
     each query's k best along as the floor for the next shard. Only k rows a query leave a
@@ -153,51 +156,59 @@ def keyword_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     found = None
     for i in range(parts):
         q = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).select("id", "term", "weight").toPandas()
-        part = _from_shards(index, q, k, schema)
+        part = _from_shards(index, q, k, schema, names)
         found = part if found is None else found.union(part)
     return best(found, k)
 
 
-def _from_shards(index: DataFrame, q, k: int, schema: str) -> DataFrame:
+def _from_shards(index: DataFrame, q, k: int, schema: str, names: list[str] | None) -> DataFrame:
     spark = index.sparkSession
     terms, code = np.unique(q["term"].to_numpy(dtype=object), return_inverse=True) if len(q) else (np.zeros(0, object), np.zeros(0, np.int64))
     asked = [(name, code[at], q["weight"].to_numpy(np.float64)[at]) for name, at in q.groupby("id").indices.items()]
-    shared = spark.sparkContext.broadcast((terms.tolist(), asked))
-    wanted = spark.createDataFrame([(t,) for t in terms.tolist()], "term string")
-    e = index.join(F.broadcast(wanted), "term", "left_semi").where("weight > 0")  # terms of a part of the queries
-    docs = e.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("e")).select("id", F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"))
+    if names is None:
+        wanted = spark.createDataFrame([(t,) for t in terms.tolist()], "term string")
+        e = index.join(F.broadcast(wanted), "term", "left_semi").where("weight > 0")  # terms of a part of the queries
+        docs = e.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("e")).select("id", F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"))
+        known = pa.array(terms.tolist(), pa.string())
+    else:
+        docs, number = index.select("id", F.col("cols").alias("terms"), "weights"), {t: i for i, t in enumerate(names)}
+        known = pa.array([number.get(t) for t in terms.tolist()], pa.int32())
+    shared = spark.sparkContext.broadcast((known, asked))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked = shared.value
-        names = pa.array(names, pa.string())
+        known, asked = shared.value
         kept = Running(len(asked), k)
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def answer() -> None:
-            t = pa.Table.from_batches(held)
-            t = t.take(pc.sort_indices(t["id"])).combine_chunks()
-            lists = t["terms"].chunk(0) if t["terms"].num_chunks else None
-            if lists is None:
-                return
-            term = pc.index_in(lists.flatten(), names).to_numpy(zero_copy_only=False).astype(np.int64)
-            weight = t["weights"].chunk(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            doc = np.repeat(np.arange(len(t)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            shard, ids = Shard(len(t), doc, term, weight), t["id"].to_pylist()
+            ids = pa.concat_arrays([h[0] for h in held])
+            order = pc.sort_indices(ids).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))  # documents are numbered in the order of their ids
+            first = np.cumsum([0, *[len(h[0]) for h in held]])
+            doc = place[np.concatenate([h[1] + f for h, f in zip(held, first, strict=False)])]
+            shard, names = Shard(len(order), doc, *(np.concatenate([h[i] for h in held]) for i in (2, 3))), ids.take(pa.array(order)).to_pylist()
             for j, (_, code, w) in enumerate(asked):
                 docs, scores = shard.top(code, w, k, kept.floor(j))
                 if len(docs):
-                    kept.add(j, ids, docs, scores)
+                    kept.add(j, names, docs, scores)
 
         entries = 0
         for b in it:
-            for at in range(0, b.num_rows, SHARD_DOCS):
-                held.append(b.slice(at, SHARD_DOCS))
-                entries += pc.sum(pc.list_value_length(held[-1].column("terms"))).as_py() or 0
-                if sum(x.num_rows for x in held) >= SHARD_DOCS or entries >= SHARD_ENTRIES:
-                    answer()
+            for at in range(0, b.num_rows, min(STEP, SHARD_DOCS)):
+                x = b.slice(at, min(STEP, SHARD_DOCS))
+                term = pc.fill_null(pc.index_in(x.column("terms").flatten(), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                weight = x.column("weights").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                doc = np.repeat(np.arange(x.num_rows), pc.list_value_length(x.column("terms")).to_numpy(zero_copy_only=False))
+                there = (term >= 0) & (weight > 0)
+                held.append((x.column("id"), doc[there], term[there], weight[there]))
+                entries += int(there.sum())
+                if sum(len(h[0]) for h in held) >= SHARD_DOCS or entries >= SHARD_ENTRIES:
+                    if entries:
+                        answer()
                     held.clear()
                     entries = 0
-        if held:
+        if entries:
             answer()
         rows = [(asked[j][0], i, s) for j, h in enumerate(kept.held) for _, i, s in h]
         if rows:

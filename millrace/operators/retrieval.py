@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from millrace.functions.arrays import l2_normalize
 from millrace.functions.text import terms, word_tokens
 from millrace.operators.postings import PLACES, best, keyword_top_k, pair_scores
 from millrace.operators.products import largest_products, vector_blocks
+from millrace.operators.terms import MOST_TERMS, document_rows, entry_rows, numbered, vocabulary_of  # noqa: F401
 from millrace.plans.tables import cut
 
 VECTOR_WEIGHT, KEYWORD_WEIGHT, CANDIDATES = 0.65, 0.35, 30
@@ -71,14 +74,16 @@ def top_per_query(scores: DataFrame, score: str, k: int) -> DataFrame:
 
 
 #: Terms of a vocabulary that latent directions are made for, at most: their table is held in tasks and on the driver.
-LSA_TERMS = 100_000
+LSA_TERMS = MOST_TERMS
 #: Directions iterated beside the wanted ones.
 OVERSAMPLE = 10
-#: Terms whose partial sums travel in one row, and entries that are multiplied at a time.
-TERM_CHUNK, ENTRIES = 16, 100_000
+#: Terms whose partial sums travel in one row; documents that are multiplied at a time, and entries of their rare terms.
+TERM_CHUNK, DOCS, ENTRIES = 16, 512, 2_000
+#: Terms that at least one in so many of these documents has are multiplied as a dense matrix.
+DENSE = 40
 
 
-def _entries(index: DataFrame, terms: list[str]) -> DataFrame:
+def entries(index: DataFrame, terms: list[str]) -> DataFrame:
     """(id, cols, weights): a document's entries as one row, terms by number."""
     shared = index.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
@@ -94,24 +99,52 @@ def _entries(index: DataFrame, terms: list[str]) -> DataFrame:
     return d.mapInPandas(run, f"id {kind}, cols array<int>, weights array<double>")
 
 
-def _projected(b: pd.DataFrame, v: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, their products with v, and their entries: row, term, weight), about ``ENTRIES`` entries at a time."""
-    sizes = np.array([len(c) for c in b["cols"]], dtype=np.int64)
-    edge, total = [0], 0
-    for i, n in enumerate(sizes):
-        total += n
-        if total >= ENTRIES or i == len(sizes) - 1:
-            edge.append(i + 1)
-            total = 0
-    for a, z in zip(edge, edge[1:], strict=False):
-        cols, w = np.concatenate(b["cols"].iloc[a:z].to_list()).astype(np.int64), np.concatenate(b["weights"].iloc[a:z].to_list())
-        row = np.repeat(np.arange(z - a), sizes[a:z])
-        row, cols, w = row[cols >= 0], cols[cols >= 0], w[cols >= 0]
-        y = np.zeros((z - a, v.shape[1]))
-        if len(row):
-            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            y[row[first]] = np.add.reduceat(v[cols] * w[:, None], first, axis=0)
-        yield slice(a, z), y, row, cols, w
+def _rows(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The index as documents with numbered terms, whether it is a table of these already or of single entries."""
+    return index if "cols" in index.columns else entries(index, terms)
+
+
+class _Block:
+    """Entries of some documents: those of terms that many of them have as a dense matrix, the others in lists, row by row and term by term."""
+
+    def __init__(self, rows: int, row: np.ndarray, col: np.ndarray, w: np.ndarray, n_terms: int, dense: int = DENSE):
+        self.rows = rows
+        count = np.bincount(col, minlength=n_terms)
+        self.head = np.flatnonzero(count * dense >= rows)
+        place = np.full(n_terms, -1)
+        place[self.head] = np.arange(len(self.head))
+        at = place[col]
+        often, rare = at >= 0, at < 0
+        self.dense = np.bincount(row[often] * len(self.head) + at[often], w[often], rows * len(self.head)).reshape(rows, len(self.head))
+        self.row, self.col, self.w = row[rare], col[rare], w[rare]
+
+    def _added(self, out: np.ndarray, to: np.ndarray, x: np.ndarray, of: np.ndarray, w: np.ndarray) -> None:
+        """Adds x[of] * w to out[to], a part of the entries at a time that stays near the processor; ``to`` rises."""
+        for a in range(0, len(to), ENTRIES):
+            t, part = to[a : a + ENTRIES], x[of[a : a + ENTRIES]]
+            part *= w[a : a + ENTRIES, None]
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            out[t[first]] += np.add.reduceat(part, first, axis=0)
+
+    def product(self, v: np.ndarray) -> np.ndarray:
+        y = self.dense @ v[self.head]
+        self._added(y, self.row, v, self.col, self.w)
+        return y
+
+    def back(self, y: np.ndarray, out: np.ndarray) -> None:
+        out[self.head] += self.dense.T @ y
+        order = np.argsort(self.col, kind="stable")
+        self._added(out, self.col[order], y, self.row[order], self.w[order])
+
+
+def _blocks(b: pa.RecordBatch, n_terms: int, dense: int = DENSE) -> Iterator[tuple[slice, _Block]]:
+    """The batch's documents, ``DOCS`` at a time; entries of unknown terms are left out."""
+    for a in range(0, b.num_rows, DOCS):
+        x = b.slice(a, DOCS)
+        cols, w = x.column("cols").flatten().to_numpy().astype(np.int64), x.column("weights").flatten().to_numpy()
+        row = np.repeat(np.arange(x.num_rows), pc.list_value_length(x.column("cols")).to_numpy(zero_copy_only=False))
+        known = cols >= 0
+        yield slice(a, a + x.num_rows), _Block(x.num_rows, row[known], cols[known], w[known], n_terms, dense)
 
 
 @dataclass
@@ -145,7 +178,8 @@ def latent(index: DataFrame, vocab: DataFrame, dims: int, n_docs: int, rounds: i
     if not 2 <= dims <= min(n_docs - 1, len(terms) - 1):
         raise ValueError(f"{dims} dimensions don't fit {n_docs} documents and {len(terms)} terms")
     spark = index.sparkSession
-    rows = cut(_entries(index, terms))
+    rows = index if "cols" in index.columns else cut(entries(index, terms))
+    rows = rows.coalesce(spark.sparkContext.defaultParallelism)  # each task sends a table of term vectors: as many as work at a time
     v = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), min(dims + OVERSAMPLE, len(terms)))))[0]
     for done in range(1, rounds + 2):
         there = _there_and_back(rows, v)
@@ -172,7 +206,7 @@ def total_variance(index: DataFrame, n_docs: int) -> DataFrame:
     return by_term.agg(F.coalesce(F.sum(F.col("q") / n_docs - F.pow(F.col("s") / n_docs, 2)), F.lit(0.0)).alias("total_variance"))
 
 
-def explained_variance(index: DataFrame, directions: DataFrame, dims: int, n_docs: int) -> DataFrame:
+def explained_variance(index: DataFrame, directions: DataFrame, dims: int, n_docs: int, vocab: DataFrame | None = None) -> DataFrame:
     """(component, explained_variance, explained_ratio): the variance of the documents' coordinates along each direction, and its share of ``total_variance``.
 
     Documents are projected where they are; each task sends two sums a component.
@@ -180,16 +214,17 @@ def explained_variance(index: DataFrame, directions: DataFrame, dims: int, n_doc
     d = directions.orderBy("term").limit(LSA_TERMS).toPandas()
     shared = index.sparkSession.sparkContext.broadcast(np.array(d["v"].tolist(), dtype=float).reshape(-1, dims))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, q = np.zeros(dims), np.zeros(dims)
         for b in it:
-            for _, y, *_ in _projected(b, shared.value):
+            for _, x in _blocks(b, len(shared.value)):
+                y = x.product(shared.value)
                 s, q = s + y.sum(axis=0), q + (y * y).sum(axis=0)
-        yield pd.DataFrame({"component": range(1, dims + 1), "s": s, "q": q})
+        yield pa.RecordBatch.from_pydict({"component": pa.array(range(1, dims + 1), pa.int32()), "s": s, "q": q})
 
-    sums = _entries(index, d["term"].tolist()).mapInPandas(run, "component int, s double, q double").groupBy("component").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+    sums = _rows(index, d["term"].tolist()).mapInArrow(run, "component int, s double, q double").groupBy("component").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
     variance = (F.col("q") / n_docs - F.pow(F.col("s") / n_docs, 2)).alias("explained_variance")
-    total = F.broadcast(total_variance(index, n_docs))  # one row
+    total = F.broadcast(total_variance(index if vocab is None else entry_rows(index, vocab), n_docs))  # one row
     return sums.select("component", variance).crossJoin(total).select("component", "explained_variance", F.when(F.col("total_variance") > 0, F.col("explained_variance") / F.col("total_variance")).alias("explained_ratio"))
 
 
@@ -197,18 +232,14 @@ def _there_and_back(rows: DataFrame, v: np.ndarray) -> np.ndarray:
     """A'A v, the tasks' shares added by blocks of terms."""
     shared = rows.sparkSession.sparkContext.broadcast(v)
 
-    def share(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def share(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         out = np.zeros_like(v)
         for b in it:
-            for _, y, row, cols, w in _projected(b, v):
-                order = np.argsort(cols, kind="stable")
-                cols, part = cols[order], y[row[order]] * w[order][:, None]
-                if len(cols):
-                    first = np.flatnonzero(np.append(True, cols[1:] != cols[:-1]))
-                    out[cols[first]] += np.add.reduceat(part, first, axis=0)
+            for _, x in _blocks(b, len(v)):
+                x.back(x.product(v), out)
         used = [a for a in range(0, len(out), TERM_CHUNK) if out[a : a + TERM_CHUNK].any()]
-        yield pd.DataFrame({"at": used, "x": [out[a : a + TERM_CHUNK].tobytes() for a in used]})
+        yield pa.RecordBatch.from_pydict({"at": pa.array(used, pa.int32()), "x": pa.array([out[a : a + TERM_CHUNK].tobytes() for a in used], pa.binary())})
 
     def added(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -218,7 +249,7 @@ def _there_and_back(rows: DataFrame, v: np.ndarray) -> np.ndarray:
                 total[at] = total[at] + x if at in total else x
         yield pd.DataFrame({"at": list(total), "x": [x.tobytes() for x in total.values()]})
 
-    sums = rows.mapInPandas(share, "at int, x binary").repartition("at").mapInPandas(added, "at int, x binary").toPandas()  # as large as v
+    sums = rows.mapInArrow(share, "at int, x binary").repartition("at").mapInPandas(added, "at int, x binary").toPandas()  # as large as v
     out = np.zeros_like(v)
     for at, x in zip(sums["at"], sums["x"], strict=True):
         out[at : at + TERM_CHUNK] = np.frombuffer(x).reshape(-1, v.shape[1])
@@ -231,12 +262,14 @@ def embed(index: DataFrame, directions: DataFrame, dims: int) -> DataFrame:
     terms, m = d["term"].tolist(), np.array(d["v"].tolist(), dtype=float).reshape(-1, dims)
     shared = index.sparkSession.sparkContext.broadcast(m)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for at, y, *_ in _projected(b, shared.value):
-                yield pd.DataFrame({"id": b["id"].iloc[at], "v": y.tolist()})
+            for at, x in _blocks(b, len(shared.value)):
+                y = x.product(shared.value)
+                v = pa.ListArray.from_arrays(np.arange(len(y) + 1, dtype=np.int32) * dims, pa.array(y.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(at.start, len(y)), v], names=["id", "v"])
 
-    return _entries(index, terms).mapInPandas(run, f"id {dict(index.dtypes)['id']}, v array<double>").select("id", l2_normalize(F.col("v")).alias("v"))
+    return _rows(index, terms).mapInArrow(run, f"id {dict(index.dtypes)['id']}, v array<double>").select("id", l2_normalize(F.col("v")).alias("v"))
 
 
 def dense_scores(docs: DataFrame, queries: DataFrame, k: int, blocks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -257,19 +290,21 @@ def candidate_scores(keyword: DataFrame, docs: DataFrame, queries: DataFrame, ca
     return near.union(met.select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)).alias("vector_score")))
 
 
-def retrieve(index: DataFrame, queries: DataFrame, docs: DataFrame, vectors: DataFrame, top_k: int = 8, candidates: int = CANDIDATES) -> DataFrame:
-    """``hybrid`` from an index (id, term, weight) and vectors (id, v), for many queries that have both.
+def retrieve(index: DataFrame, queries: DataFrame, docs: DataFrame, vectors: DataFrame, top_k: int = 8, candidates: int = CANDIDATES, vocab: DataFrame | None = None) -> DataFrame:
+    """``hybrid`` from an index (id, term, weight), or documents with the numbered terms of ``vocab``, and vectors (id, v), for many queries that have both.
 
     Each retriever finds its best by its own bounds, and only the candidates of either get
     both exact scores: no document meets a query for a shared word alone. A document without a vector has
     the vector score 0, as a query without one.
     """
-    words = keyword_top_k(index, queries, candidates)
+    words = keyword_top_k(index, queries, candidates, None if vocab is None else numbered(vocab)[0])
     near = dense_scores(docs, vectors, candidates)
     pairs = cut(words.select("query_id", "id").union(near.select("query_id", "id")).distinct())
     met = pairs.join(docs.select("id", "v"), "id").join(vectors.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     vector = met.select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)).alias("vector_score"))
+    if vocab is not None:
+        index = entry_rows(index.join(pairs.select("id").distinct(), "id", "left_semi"), vocab)  # of candidates alone
     return hybrid(pair_scores(index, queries, pairs), vector, top_k, candidates)
 
 

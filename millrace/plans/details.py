@@ -78,7 +78,8 @@ def _(spark, d):
 
 @query("i21_index_identity")
 def _(spark, d):
-    return retrieval.table_identity(tfidf(spark, d)[1].select("id", "term", r6("weight").alias("weight")))
+    voc, index, _ = tfidf(spark, d)
+    return retrieval.table_identity(retrieval.entry_rows(index, voc).select("id", "term", r6("weight").alias("weight")))
 
 
 # ---------------------------------------------------------------- projections and predicates
@@ -147,8 +148,8 @@ def _(spark, d):
 
 @query("g1_candidate_union", f"WITH {TFIDF_SQL}, {HYBRID_SQL} SELECT query_id, id FROM cand")
 def _(spark, d):
-    index, q, x, y = both_sides(spark, d)
-    found = retrieval.keyword_top_k(index, q, 30).select("query_id", "id").union(retrieval.dense_scores(x, y, 30).select("query_id", "id"))
+    index, q, x, y, voc = both_sides(spark, d)
+    found = retrieval.keyword_top_k(index, q, 30, retrieval.numbered(voc)[0]).select("query_id", "id").union(retrieval.dense_scores(x, y, 30).select("query_id", "id"))
     return found.distinct()
 
 

@@ -587,41 +587,47 @@ qwt AS (SELECT id, term, (ln(tf) + 1.0) * idf AS w FROM qtc JOIN voc USING (term
 ks AS (SELECT q.id AS query_id, i.id, sum(i.weight * q.weight) AS keyword_score FROM idx i JOIN qidx q USING (term) GROUP BY 1, 2)"""
 
 
-def tfidf(spark, d):
+def vocabulary(spark, d):
     x = docs(spark, d)
-    tc = cut(retrieval.term_counts(x, "doc_id", "text"))
-    voc = cut(retrieval.vocabulary(tc, x.count()))
+    return retrieval.vocabulary_of(x, "doc_id", "text", x.count())
+
+
+def tfidf(spark, d):
+    """(vocabulary, documents with numbered terms, the questions' terms)."""
+    voc = vocabulary(spark, d)
     qc = retrieval.term_counts(queries_of(spark, d), "doc_id", "text")
-    return voc, retrieval.tfidf(tc, voc), retrieval.tfidf(qc, voc)
+    return voc, retrieval.document_rows(docs(spark, d), "doc_id", "text", voc), retrieval.tfidf(qc, voc)
 
 
 @query("i7_vocabulary", f"WITH {TFIDF_SQL} SELECT term, df, round(idf, 6) AS idf FROM voc")
 def _(spark, d):
-    return rounded(tfidf(spark, d)[0])
+    return rounded(vocabulary(spark, d))
 
 
 @query("i7_tfidf_norms", f"WITH {TFIDF_SQL} SELECT id, count(*) AS terms, round(sum(weight), 6) AS weight_sum, round(max(weight), 6) AS weight_max FROM idx GROUP BY id")
 def _(spark, d):
-    return rounded(tfidf(spark, d)[1].groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("weight_sum"), F.max("weight").alias("weight_max")))
+    total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
+    return rounded(tfidf(spark, d)[1].select("id", F.size("cols").cast("long").alias("terms"), total.alias("weight_sum"), F.array_max("weights").alias("weight_max")))
 
 
 @query("f5_keyword_top_k", f"WITH {TFIDF_SQL} SELECT query_id, id, round(keyword_score, 6) AS keyword_score FROM ks WHERE keyword_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(keyword_score, 9) DESC, id) <= 10")
 def _(spark, d):
-    _, index, q = tfidf(spark, d)
-    return rounded(retrieval.keyword_top_k(index, q, 10))
+    voc, index, q = tfidf(spark, d)
+    return rounded(retrieval.keyword_top_k(index, q, 10, retrieval.numbered(voc)[0]))
 
 
 def _latent(spark, d):
     voc, index, q = tfidf(spark, d)
     index, n = cut(index), table(spark, d, "documents").count()
     dims = min(128, n - 1)
-    return index, q, n, dims, retrieval.latent(index, voc, dims, n)
+    return voc, index, q, n, dims, retrieval.latent(index, voc, dims, n)
 
 
 def _lsa(spark, d):
-    index, q, _, dims, found = _latent(spark, d)
+    """(index, questions, their embeddings, the vocabulary)."""
+    voc, index, q, _, dims, found = _latent(spark, d)
     q = cut(q)
-    return index, q, retrieval.embed(index, found.directions, dims), retrieval.embed(q, found.directions, dims)
+    return index, q, retrieval.embed(index, found.directions, dims), retrieval.embed(q, found.directions, dims), voc
 
 
 @query("i8_lsa_embeddings")
@@ -631,19 +637,21 @@ def _(spark, d):
 
 @query("i8_explained_variance")
 def _(spark, d):
-    index, _, n, dims, found = _latent(spark, d)
+    voc, index, _, n, dims, found = _latent(spark, d)
     rest = [(j + 1, float(v), float(r)) for j, (v, r) in enumerate(zip(found.values, found.residuals, strict=True))]
-    return retrieval.explained_variance(index, found.directions, dims, n).join(F.broadcast(spark.createDataFrame(rest, "component int, value double, residual double")), "component")
+    return retrieval.explained_variance(index, found.directions, dims, n, voc).join(F.broadcast(spark.createDataFrame(rest, "component int, value double, residual double")), "component")
 
 
 @query("i8_total_variance", f"WITH {TFIDF_SQL} SELECT round(sum(q / n - (s / n) * (s / n)), 9) AS total_variance FROM (SELECT sum(weight) AS s, sum(weight * weight) AS q FROM idx GROUP BY term), nd")
 def _(spark, d):
-    return retrieval.total_variance(tfidf(spark, d)[1], table(spark, d, "documents").count()).select(F.round("total_variance", 9).alias("total_variance"))
+    voc, index, _ = tfidf(spark, d)
+    return retrieval.total_variance(retrieval.entry_rows(index, voc), table(spark, d, "documents").count()).select(F.round("total_variance", 9).alias("total_variance"))
 
 
 @query("i9_hybrid_retrieval")
 def _(spark, d):
-    return retrieval.retrieve(*_lsa(spark, d), 8)
+    index, q, x, y, voc = _lsa(spark, d)
+    return retrieval.retrieve(index, q, cut(x), cut(y), 8, vocab=voc)
 
 
 def _vectors(spark, d):
@@ -673,16 +681,17 @@ hyb AS (SELECT query_id, id, 0.65::DOUBLE * coalesce(vector_score, 0) + 0.35::DO
 
 
 def both_sides(spark, d):
-    """(index, queries, document vectors, query vectors): terms of texts, and the embeddings of the same numbers."""
-    _, index, q = tfidf(spark, d)
+    """(index, queries, document vectors, query vectors, vocabulary): terms of texts, and the embeddings of the same numbers."""
+    voc, index, q = tfidf(spark, d)
     v = _vectors(spark, d)
     named = lambda t, c: v.join(table(spark, d, t).select(F.col(c).alias("id")), "id", "left_semi")
-    return cut(index), cut(q), cut(named("documents", "doc_id")), named("benchmark", "item_id")
+    return cut(index), cut(q), cut(named("documents", "doc_id")), named("benchmark", "item_id"), voc
 
 
 @query("f6_hybrid_fusion", f"WITH {TFIDF_SQL}, {HYBRID_SQL} SELECT query_id, id, round(hybrid_score, 6) AS hybrid_score, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score FROM hyb WHERE hybrid_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(hybrid_score, 9) DESC, round(vector_score, 9) DESC, round(keyword_score, 9) DESC, id) <= 8")
 def _(spark, d):
-    return rounded(retrieval.retrieve(*both_sides(spark, d), 8).drop("rank"))
+    *sides, voc = both_sides(spark, d)
+    return rounded(retrieval.retrieve(*sides, 8, vocab=voc).drop("rank"))
 
 
 # ---------------------------------------------------------------- grounding, evaluation, history
