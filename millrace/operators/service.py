@@ -49,12 +49,12 @@ class Knowledge:
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, dims: int, max_features: int = 16_000, g: grounding.Grounding = grounding.Grounding()):
         self.spark, self.chunks, self.dims, self.g = spark, chunks, dims, g
-        counts = cut(retrieval.term_counts(chunks, "chunk_id", "text"))
         n = chunks.count()
-        self.vocabulary = retrieval.vocabulary(counts, n, max_features).cache()
-        self.index = retrieval.tfidf(counts, self.vocabulary).cache()
-        self.directions = retrieval.lsa(self.index, self.vocabulary, dims, n, 7).cache()
-        self.embedded = retrieval.embed(self.index, self.directions, dims).cache()
+        self.vocabulary = cut(retrieval.vocabulary_of(chunks, "chunk_id", "text", n, max_features))
+        rows = cut(retrieval.document_rows(chunks, "chunk_id", "text", self.vocabulary))
+        self.index = retrieval.entry_rows(rows, self.vocabulary)
+        self.directions = cut(retrieval.lsa(rows, self.vocabulary, dims, n, 7))
+        self.embedded = cut(retrieval.embed(rows, self.directions, dims))
 
     def save(self, path: str) -> dict[str, Any]:
         """Writes the index as tables below ``path``, beside what they hold: rows and content of each, and of the chunks they stand for."""
