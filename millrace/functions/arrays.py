@@ -17,9 +17,9 @@ def l2_norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    """Unit vector; a zero vector stays as it is."""
-    n = l2_norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0)))
+    """Unit vector; a zero vector stays as it is. The norm is summed once a vector: inside ``transform`` it would be for each component."""
+    unit = lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n > 0, F.sqrt(n)).otherwise(F.lit(1.0)))
+    return F.aggregate(F.array(dot(a, a)), F.lit(0.0), lambda s, x: s + x, unit)
 
 
 def greatest_of(terms: list[Column]) -> Column:
